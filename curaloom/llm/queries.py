@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,24 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("doc_id"), "fingerprint", "component_id")
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_records(index, index.schema["id"].dataType.simpleString(), with_payload=False)
+    return found.select(found["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_files() -> dict[str, str]:
+    """Where the public vocabulary lies: its file, the same as ranks, and its pattern."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select(found["id"].alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -23,10 +41,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_golay": op3_simhash_golay,
+    "op4_warc_index": op4_warc_index,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_warc_index": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+        q AS (SELECT page_id, x, sha1(x) AS h, max(page_id) OVER (PARTITION BY x) AS chosen FROM p)
+        SELECT page_id, octet_length(encode(x)) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> chosen THEN chosen END AS refers_to
+        FROM q
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
