@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, simhash, warc
+from . import exact_dedup, packing, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    return secrets.digest(found).withColumnRenamed("id", "doc_id")
+
+
 def tokenizer_files() -> dict[str, str]:
     """Where the public vocabulary lies: its file, the same as ranks, and its pattern."""
     import public_tokenizers
@@ -44,10 +50,40 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def secrets_sql() -> str:
+    """The scan in SQL: the same patterns, places by sums over the text between matches."""
+    kinds = []
+    for nth, (kind, pattern, group, least) in enumerate(secrets.BASE + secrets.WIDE):
+        quoted = pattern.replace("'", "''")
+        opaque = "AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')" if kind == "opaque" else ""
+        kinds.append(f"""
+            SELECT row_no, {nth} AS nth, '{kind}' AS kind, {nth >= len(secrets.BASE)} AS wide, owner, repo, v, s, s + length(m) AS e FROM (
+                SELECT row_no, owner, repo, ms[i] AS m, vs[i] AS v,
+                       coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0) AS s
+                FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+                    SELECT row_no, owner, repo, regexp_extract_all(x, '{quoted}', 0) AS ms, regexp_extract_all(x, '{quoted}', {group}) AS vs, string_split_regex(x, '{quoted}') AS gs FROM t))
+            ) WHERE length(v) >= {least} {opaque}""")
+    union = " UNION ALL ".join(kinds)
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+        c AS ({union}),
+        o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
+        k AS (SELECT c.*, owners <= 1 AS live FROM c JOIN o USING (v)),
+        f AS (SELECT * FROM k WHERE NOT wide OR (live AND NOT EXISTS (SELECT 1 FROM k AS b WHERE b.row_no = k.row_no AND NOT b.wide AND b.s < k.e AND k.s < b.e))),
+        g AS (SELECT row_no, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (live) AS l,
+                     string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, nth) AS al,
+                     string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, nth) FILTER (NOT wide) AS ba FROM f GROUP BY row_no)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(l, 0) AS n_live,
+               sha256(coalesce(ba, '')) AS base_sha256, coalesce(al, '') AS spans
+        FROM t LEFT JOIN g USING (row_no)
+    """
+
+
 QUERIES = {
     "op2_quality_ftrl": op2_quality_ftrl,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_warc_index": op4_warc_index,
+    "op6_secret_ownership": op6_secret_ownership,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -63,6 +99,7 @@ ORACLE_SQL = {
                CASE WHEN page_id <> chosen THEN chosen END AS refers_to
         FROM q
     """,
+    "op6_secret_ownership": secrets_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
