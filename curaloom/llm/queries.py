@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, secrets, simhash, warc
+from . import exact_dedup, packing, pii, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("found")
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
     return secrets.digest(found).withColumnRenamed("id", "doc_id")
@@ -83,6 +87,7 @@ QUERIES = {
     "op2_quality_ftrl": op2_quality_ftrl,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_warc_index": op4_warc_index,
+    "op5_pii_semi_markov": op5_pii_semi_markov,
     "op6_secret_ownership": op6_secret_ownership,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
