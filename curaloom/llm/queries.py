@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, quality, secrets, simhash, warc
+from . import exact_dedup, html_text, packing, pii, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumnRenamed("id", "doc_id")
@@ -84,6 +88,7 @@ def secrets_sql() -> str:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_quality_ftrl": op2_quality_ftrl,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_warc_index": op4_warc_index,
