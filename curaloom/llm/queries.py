@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, pii, quality, secrets, simhash, warc
+from . import exact_dedup, html_text, ngram_lm, packing, pii, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.score(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("tokens") > 0, F.col("log_score") / F.col("tokens")).otherwise(0.0)
+    return found.select(F.col("id").alias("doc_id"), "tokens", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
 def secrets_sql() -> str:
     """The scan in SQL: the same patterns, places by sums over the text between matches."""
     kinds = []
@@ -96,9 +102,39 @@ QUERIES = {
     "op6_secret_ownership": op6_secret_ownership,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_stupid_backoff": op10_stupid_backoff,
 }
 
+LM_SQL = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+    ), w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+    g AS (
+        SELECT r, i, w AS g1, CASE WHEN i > 1 THEN concat_ws(' ', lag(w) OVER o, w) END AS g2, CASE WHEN i > 2 THEN concat_ws(' ', lag(w, 2) OVER o, lag(w) OVER o, w) END AS g3
+        FROM w WINDOW o AS (PARTITION BY r ORDER BY i)
+    ),
+    n1 AS (SELECT r, g1, count(*) AS own, sum(count(*)) OVER (PARTITION BY g1) AS al FROM g GROUP BY r, g1),
+    n2 AS (SELECT r, g2, count(*) AS own, sum(count(*)) OVER (PARTITION BY g2) AS al FROM g WHERE g2 IS NOT NULL GROUP BY r, g2),
+    n3 AS (SELECT r, g3, count(*) AS own, sum(count(*)) OVER (PARTITION BY g3) AS al FROM g WHERE g3 IS NOT NULL GROUP BY r, g3),
+    c AS (
+        SELECT g.r, i, n1.al - n1.own AS c1, coalesce(n2.al - n2.own, 0) AS c2, coalesce(n3.al - n3.own, 0) AS c3
+        FROM g JOIN n1 ON g.r = n1.r AND g.g1 = n1.g1 LEFT JOIN n2 ON g.r = n2.r AND g.g2 = n2.g2 LEFT JOIN n3 ON g.r = n3.r AND g.g3 = n3.g3
+    ),
+    h AS (SELECT *, lag(c1) OVER o AS p1, lag(c2) OVER o AS p2 FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
+    t AS (SELECT r, count(*) AS n, greatest(sum(count(*)) OVER () - count(*), 1) AS rest FROM w GROUP BY r),
+    s AS (
+        SELECT h.r, sum(CASE WHEN c3 > 0 THEN ln(c3) - ln(p2)
+                             WHEN c2 > 0 THEN ln(c2) - ln(p1) + (least(i, 3) - 2) * ln(0.4)
+                             WHEN c1 > 0 THEN ln(c1) - ln(rest) + (least(i, 3) - 1) * ln(0.4)
+                             ELSE least(i, 3) * ln(0.4) - ln(rest) END) AS log_score, any_value(n) AS n
+        FROM h JOIN t ON h.r = t.r GROUP BY h.r
+    )
+    SELECT doc_id, coalesce(n, 0) AS tokens, round(coalesce(log_score, 0), 4) AS log_score, round(coalesce(log_score / n, 0), 6) AS mean_log_score
+    FROM d LEFT JOIN s ON d.r = s.r
+"""
+
 ORACLE_SQL = {
+    "op10_stupid_backoff": LM_SQL,
     "op4_warc_index": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
         q AS (SELECT page_id, x, sha1(x) AS h, max(page_id) OVER (PARTITION BY x) AS chosen FROM p)
