@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, ngram_lm, packing, pii, quality, secrets, simhash, warc
+from . import decontaminate, exact_dedup, html_text, ngram_lm, packing, pii, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "windows", F.round("share", 6).alias("share"))
+
+
 def tokenizer_files() -> dict[str, str]:
     """Where the public vocabulary lies: its file, the same as ranks, and its pattern."""
     import public_tokenizers
@@ -93,6 +98,43 @@ def secrets_sql() -> str:
     """
 
 
+def templates_sql() -> str:
+    """Template windows, alignments and slots in SQL; keys are the joined words themselves."""
+    numbers, units = decontaminate.quoted(decontaminate.NUMBER_WORDS), decontaminate.quoted(decontaminate.UNITS)
+    number, unit = f"(w < ':' OR lower(w) IN ({numbers}))", f"(i > 1 AND p < ':' AND lower(w) IN ({units}))"
+    name = "(w <> lower(w) AND substr(w, 2) = lower(substr(w, 2)) AND length(w) > 1)"
+
+    def side(of: str, table_name: str, key: str, text: str) -> str:
+        return f"""
+            {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(coalesce({text}, ''), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
+            {of}p AS (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY i) AS p FROM {of}w),
+            {of}t AS (SELECT id, list(CASE WHEN {number} THEN '#1' WHEN {unit} THEN '#2' ELSE lower(w) END ORDER BY i) AS a,
+                             list(CASE WHEN {number} THEN '#1' WHEN {unit} THEN '#2' WHEN {name} THEN '#3' ELSE lower(w) END ORDER BY i) AS b,
+                             list(CASE WHEN {number} OR {unit} OR {name} THEN lower(w) END ORDER BY i) AS v
+                      FROM {of}p GROUP BY id)"""
+
+    def keys(width: str) -> str:
+        return f"unnest([array_to_string(a[pos:pos + {width} - 1], ' '), array_to_string(b[pos:pos + {width} - 1], ' ')])"
+
+    return f"""
+        WITH {side('d', 'documents', 'doc_id', 'text')}, {side('i', 'benchmark', 'item_id', 'text')},
+        s1 AS (SELECT *, least(len(a), 8) AS width FROM it WHERE len(a) >= 4),
+        s2 AS (SELECT *, list_distinct(list_concat(range(1, len(a) - width + 2, 4), [len(a) - width + 1])) AS spots FROM s1),
+        s3 AS (SELECT *, len(spots) AS n FROM s2),
+        s4 AS (SELECT id, width, a, b, v, n, unnest(spots) AS pos FROM s3),
+        s5 AS (SELECT * FROM s4 WHERE len(list_distinct(list_filter(list_transform(range(pos, pos + width), lambda q: CASE WHEN v[q] IS NULL THEN a[q] END), lambda x: x IS NOT NULL))) >= least(width, 4)),
+        s AS (SELECT DISTINCT id AS item_id, n, width, pos AS spot, v[pos:pos + width - 1] AS own, {keys('width')} AS key FROM s5),
+        k AS (SELECT DISTINCT width FROM s1),
+        m1 AS (SELECT id, a, b, v, width, unnest(range(1, len(a) - width + 2)) AS pos FROM dt, k),
+        m AS (SELECT DISTINCT id, width, pos, v[pos:pos + width - 1] AS seen, {keys('width')} AS key FROM m1),
+        h AS (SELECT m.id, s.item_id, s.n, s.spot, m.pos - s.spot AS shift, own, seen FROM m JOIN s ON m.key = s.key AND m.width = s.width),
+        q AS (SELECT id, item_id, shift, unnest(own) AS o, unnest(seen) AS e FROM h),
+        bad AS (SELECT DISTINCT id, item_id, shift FROM q WHERE o IS NOT NULL AND e IS NOT NULL GROUP BY id, item_id, shift, o HAVING count(DISTINCT e) > 1),
+        f AS (SELECT id, item_id, n, count(DISTINCT spot) AS windows FROM h ANTI JOIN bad USING (id, item_id, shift) GROUP BY id, item_id, n)
+        SELECT id AS doc_id, item_id, windows, round(windows / n, 6) AS share FROM f WHERE windows / n >= 0.5
+    """
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality_ftrl": op2_quality_ftrl,
@@ -100,6 +142,7 @@ QUERIES = {
     "op4_warc_index": op4_warc_index,
     "op5_pii_semi_markov": op5_pii_semi_markov,
     "op6_secret_ownership": op6_secret_ownership,
+    "op7_template_decontamination": op7_template_decontamination,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_stupid_backoff": op10_stupid_backoff,
@@ -146,6 +189,7 @@ ORACLE_SQL = {
         FROM q
     """,
     "op6_secret_ownership": secrets_sql(),
+    "op7_template_decontamination": templates_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
