@@ -13,6 +13,8 @@ Everything is an expression of Spark SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve t
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms kilograms ton tons ounce ounces pound pounds ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur mph kmh degree degrees celsius fahrenheit watt watts kw kwh volt volts amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
 #: Windows of the benchmark that go into a broadcast at most; more are joined by shuffling.
 BROADCAST_WINDOWS = 200_000
+#: Words of the benchmark that documents' words are held against at most; with more, every window is hashed.
+BROADCAST_WORDS = 20_000
 #: Below this many words a text can't be told from chance.
 LEAST = 4
 
@@ -32,24 +36,40 @@ def quoted(words: list[str]) -> str:
 
 
 def templated(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, and by word of the text: ``a`` (hashes, names as words), ``b`` (names as placeholders), ``v`` (value hash of a placeholder, else null)."""
+    """``id``, and by word of the text: ``l`` (lower case), ``k`` (1 number, 2 unit, 3 name, 0 other), ``a`` (hashes, names as words), ``b`` (names as placeholders)."""
     words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0)))
-    number = f"(w < ':' OR lower(w) IN ({quoted(NUMBER_WORDS)}))"
-    unit = f"(i > 0 AND ws[i - 1] < ':' AND lower(w) IN ({quoted(UNITS)}))"
-    name = "(w <> lower(w) AND substr(w, 2) = lower(substr(w, 2)) AND length(w) > 1)"
-    a = f"transform(ws, (w, i) -> CASE WHEN {number} THEN 1L WHEN {unit} THEN 2L ELSE xxhash64(lower(w)) END)"
-    b = f"transform(ws, (w, i) -> CASE WHEN {number} THEN 1L WHEN {unit} THEN 2L WHEN {name} THEN 3L ELSE xxhash64(lower(w)) END)"
-    v = f"transform(ws, (w, i) -> CASE WHEN {number} OR {unit} OR {name} THEN xxhash64(lower(w)) END)"
-    return once(words, F.col("id"), a=F.expr(a), b=F.expr(b), v=F.expr(v))
+    words = once(words, F.col("id"), F.col("ws"), l=F.expr("transform(ws, w -> lower(w))"))
+    kind = f"""transform(ws, (w, i) -> CASE
+        WHEN w < ':' OR l[i] IN ({quoted(NUMBER_WORDS)}) THEN 1
+        WHEN i > 0 AND ws[i - 1] < ':' AND l[i] IN ({quoted(UNITS)}) THEN 2
+        WHEN w <> l[i] AND length(w) > 1 AND substr(w, 2) = lower(substr(w, 2)) THEN 3
+        ELSE 0 END)"""
+    words = once(words, F.col("id"), F.col("l"), k=F.expr(kind))
+    words = once(words, F.col("id"), F.col("l"), F.col("k"), a=F.expr("zip_with(l, k, (w, x) -> CASE WHEN x = 1 THEN 1L WHEN x = 2 THEN 2L ELSE xxhash64(w) END)"))
+    return once(words, F.col("id"), F.col("l"), F.col("k"), F.col("a"), b=F.expr("zip_with(a, k, (h, x) -> CASE WHEN x = 3 THEN 3L ELSE h END)"))
+
 
+def values(width: str) -> str:
+    """SQL for the value hashes of a window's placeholders, null at other words."""
+    return f"zip_with(slice(l, pos, {width}), slice(k, pos, {width}), (w, x) -> CASE WHEN x > 0 THEN xxhash64(w) END)"
 
-def windows(width: int) -> str:
-    """SQL for the array of ``(pos, key)`` of both kinds of windows of a width."""
 
-    def of(side: str) -> str:
-        return f"transform(sequence(1, size(a) - {width} + 1), i -> named_struct('pos', i, 'key', xxhash64(slice({side}, i, {width}), {width})))"
+def spotted(rows: DataFrame, width: int, known: list[int] | None) -> DataFrame:
+    """``id, l, k, pos, key`` of the windows of a width.
 
-    return f"CASE WHEN size(a) >= {width} THEN concat({of('a')}, {of('b')}) ELSE array() END"
+    Where the words of all items are known, a window with another word in it can't
+    match and isn't hashed.
+    """
+    if known is None:
+        fits = F.expr(f"CASE WHEN size(a) >= {width} THEN sequence(1, size(a) - {width} + 1) ELSE array() END")
+        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), at=fits)
+    else:
+        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), f=F.expr(f"zip_with(a, k, (h, x) -> x = 3 OR h IN ({', '.join(map(str, known)) or 'NULL'}))"))
+        run = " AND ".join(f"f[i + {n - 1}]" for n in range(width))
+        fits = F.expr(f"CASE WHEN size(a) >= {width} THEN filter(sequence(1, size(a) - {width} + 1), i -> {run}) ELSE array() END")
+        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), at=fits)
+    keys = [f"transform(at, i -> named_struct('pos', i, 'key', xxhash64(slice({side}, i, {width}), {width})))" for side in "ab"]
+    return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.key")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -75,22 +95,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
         widths = [width]
     last = "size(a) - width + 1"
     pos = F.expr(f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))")
-    spots = items.select("item", "width", "a", "b", "v", F.size(pos).alias("of"), F.explode(pos).alias("pos"))
-    plain = "filter(transform(sequence(pos, pos + width - 1), p -> CASE WHEN v[p - 1] IS NULL THEN a[p - 1] END), x -> x IS NOT NULL)"
+    spots = items.select("item", "width", "l", "k", "a", "b", F.size(pos).alias("of"), F.explode(pos).alias("pos"))
+    plain = "filter(transform(sequence(pos, pos + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL)"
     spots = spots.where(F.expr(f"size(array_distinct({plain})) >= least(width, {least_words})"))
+    known = spots.select(F.explode(F.slice("a", F.col("pos"), F.col("width"))).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
+    known = sorted(r["h"] for r in known) if len(known) <= BROADCAST_WORDS else None
     key = "xxhash64(slice({0}, pos, width), width)"
-    spots = spots.select("item", "of", F.col("pos").alias("at"), "width", F.expr("slice(v, pos, width)").alias("own"), F.explode(F.expr(f"array_distinct(array({key.format('a')}, {key.format('b')}))")).alias("key"))
+    spots = spots.select("item", "of", F.col("pos").alias("at"), "width", F.expr(values("width")).alias("own"), F.explode(F.expr(f"array_distinct(array({key.format('a')}, {key.format('b')}))")).alias("key"))
 
     rows = templated(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    made = rows.select("id", "v", F.explode(F.expr(f"concat({', '.join(windows(w) for w in widths)})")).alias("w")).select("id", "v", "w.pos", "w.key")
+    made = reduce(DataFrame.union, [spotted(rows, w, known) for w in widths])
     few = spots.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     if few:
-        hits = made.join(F.broadcast(spots), "key")
+        hits = made.join(F.broadcast(spots), "key").withColumn("seen", F.expr(values("width")))
     else:
-        hits = made.select("id", "pos", "key", F.slice("v", F.col("pos"), width).alias("seen")).join(spots, "key")
-    seen = F.slice("v", F.col("pos"), F.col("width")) if few else F.slice("seen", 1, F.col("width"))
+        hits = made.select("id", "pos", "key", F.expr(values(str(width))).alias("seen")).join(spots, "key").withColumn("seen", F.slice("seen", F.lit(1), F.col("width")))
     pairs = F.expr("filter(arrays_zip(own, seen), p -> p.own IS NOT NULL AND p.seen IS NOT NULL)")
-    hits = hits.select("id", "item", "of", "at", (F.col("pos") - F.col("at")).alias("shift"), "own", seen.alias("seen")).select("id", "item", "of", "at", "shift", pairs.alias("pairs"))
+    hits = hits.select("id", "item", "of", "at", (F.col("pos") - F.col("at")).alias("shift"), pairs.alias("pairs"))
 
     # an alignment has at most the item's windows and placeholders, so these sets are bounded by the item
     lines = hits.groupBy("id", "item", "of", "shift").agg(F.collect_set("at").alias("ats"), F.collect_set("pairs").alias("lists"))
