@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, store
+from .shared import discard, new_path, small_batches, store
 
 #: Tokens of a block, and n-grams of a hash partition, about.
 BLOCK_TOKENS, PARTITION_GRAMS = 1 << 21, 1 << 20
@@ -95,56 +95,61 @@ class Block:
     """The n-grams of one block, by level.
 
     ``at[k]`` are the positions where an n-gram of k words ends that was sent,
-    ``sent[k]`` the sorted distinct hashes, ``which[k]`` the index for each position.
+    ``sent[k]`` the sorted distinct hashes, ``which[k]`` the index for each
+    position, ``totals[k]`` the corpus totals by that index.
     """
 
     def __init__(self, row: dict, order: int):
         self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        self.words = np.frombuffer(row["vocabulary"], np.uint64)[unplanes(row["words"])] if row["tokens"] else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.words)) - np.repeat(starts, self.lengths)
-        self.order, self.at, self.sent, self.which, self.often, self.total = order, {}, {}, {}, {}, {}
-        self.gram = {1: mix(self.words)}
-        for k in range(2, order + 1):
-            gram = np.zeros(len(self.words), np.uint64)
-            gram[1:] = mix(self.gram[k - 1][:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[1:])
-            self.gram[k] = gram
+        words = np.frombuffer(row["vocabulary"], np.uint64)[unplanes(row["words"])] if row["tokens"] else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.place = np.arange(len(words), dtype=np.int32) - np.repeat(starts, self.lengths)
+        self.order, self.words, self.gram, self.top = order, words, mix(words), 1
+        self.at, self.sent, self.which, self.often, self.totals = {}, {}, {}, {}, {}
 
     def level(self, k: int) -> None:
-        """Work out what is sent at a level; above two, after ``learn`` of the level before."""
+        """Work out what is sent at a level, each after the one below; above two, after ``learn`` too."""
+        while self.top < k:
+            longer = np.zeros(len(self.words), np.uint64)
+            longer[1:] = mix(self.gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[1:])
+            self.gram, self.top = longer, self.top + 1
         fits = self.place >= k - 1
         if k > 2:
-            twice = self.total[k - 1] >= 2
+            twice = np.zeros(len(self.words), bool)
+            twice[self.at[k - 1]] = self.totals[k - 1][self.which[k - 1]] >= 2
             fits[1:] &= twice[1:] & twice[:-1]
-        self.at[k] = np.flatnonzero(fits)
-        self.sent[k], self.which[k], self.often[k] = np.unique(self.gram[k][self.at[k]], return_inverse=True, return_counts=True)
+        self.at[k] = np.flatnonzero(fits).astype(np.int32)
+        self.sent[k], which, self.often[k] = np.unique(self.gram[self.at[k]], return_inverse=True, return_counts=True)
+        self.which[k] = which.astype(np.int32)
 
     def learn(self, k: int, totals: np.ndarray) -> None:
         """Take the corpus totals of what was sent; an n-gram that wasn't sent occurs once."""
-        self.total[k] = np.ones(len(self.words), np.int64)
-        self.total[k][self.at[k]] = totals[self.which[k]]
+        self.totals[k] = totals
 
     def others(self, k: int) -> np.ndarray:
         """By position: the count of the n-gram ending there in all other documents."""
         out = np.zeros(len(self.words), np.int64)
-        own = self.doc[self.at[k]] * max(len(self.sent[k]), 1) + self.which[k]
+        own = self.doc[self.at[k]].astype(np.int64) * max(len(self.sent[k]), 1) + self.which[k]
         _, back, counts = np.unique(own, return_inverse=True, return_counts=True)
-        out[self.at[k]] = self.total[k][self.at[k]] - counts[back]
+        out[self.at[k]] = self.totals[k][self.which[k]] - counts[back]
         return out
 
     def scores(self, corpus_tokens: int, alpha: float) -> np.ndarray:
         """Sum of natural logarithms of the scores of each document's words."""
         n, step = len(self.words), math.log(alpha)
-        counts = {k: self.others(k) for k in range(1, self.order + 1)}
+        if not n:
+            return np.zeros(len(self.lengths))
         most = np.minimum(self.place + 1, self.order)
         rest = np.log(np.maximum(corpus_tokens - self.lengths, 1))[self.doc]
-        seen = counts[1] > 0
-        out = np.where(seen, np.log(np.maximum(counts[1], 1)) + (most - 1) * step, most * step) - rest
+        below = self.others(1)
+        out = np.where(below > 0, np.log(np.maximum(below, 1)) + (most - 1) * step, most * step) - rest
         for k in range(2, self.order + 1):
-            hit = np.flatnonzero(counts[k] > 0)
-            out[hit] = np.log(counts[k][hit]) - np.log(counts[k - 1][hit - 1]) + (most[hit] - k) * step
-        return np.bincount(self.doc, weights=out, minlength=len(self.lengths)) if n else np.zeros(len(self.lengths))
+            counts = self.others(k)
+            hit = np.flatnonzero(counts > 0)
+            out[hit] = np.log(counts[hit]) - np.log(below[hit - 1]) + (most[hit] - k) * step
+            below = counts
+        return np.bincount(self.doc, weights=out, minlength=len(self.lengths))
 
 
 def totals_of(table: pa.Table, k: int) -> np.ndarray:
@@ -172,13 +177,16 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
     spark = docs.sparkSession
     shape = blocks(docs, id_col, text_col, block_tokens)
     kind = shape.schema["ids"].dataType.elementType.simpleString()
-    made = store(shape, "lm-blocks")
+    first = new_path(spark, "lm-blocks")
+    shape.write.option("compression", "zstd").parquet(first)
+    made = spark.read.schema(shape.schema).parquet(first)
     corpus = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     total, bits = corpus["t"], max(0, math.ceil(math.log2(max(corpus["t"], 1) / partition_grams)))
     # laid out by block once, so that only the totals move when they are joined
     name = f"lm_blocks_{uuid.uuid4().hex[:12]}"
     places = max(corpus["n"], int(spark.conf.get("spark.sql.shuffle.partitions")))
     made.write.bucketBy(places, "block").option("path", new_path(spark, "lm-bucketed")).option("compression", "zstd").saveAsTable(name)
+    discard(spark, first)
     made = spark.table(name)
     sent_type = "level int, part bigint, block bigint, grams binary, counts binary"
 
