@@ -1,64 +1,16 @@
-"""Shared plumbing: tables written to the cluster's shared folder, and small helpers."""
+"""Small helpers shared by the operators; stored tables come from ``curaloom.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch.  Texts can be very long, so batches hold few rows.
-ARROW_ROWS = 256
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``.  Where that
-    is unset (tests, a single machine), a temporary folder is made, and only a
-    local master may use it.
-    """
-    global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="curaloom-")
-    return _own_dir
-
+from ..storage import discard, drop_stored, new_path, shared_dir, store
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; two runs never share one."""
-    return f"{shared_dir(spark)}/curaloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["ARROW_ROWS", "discard", "drop_stored", "new_path", "once", "shared_dir", "small_batches", "store", "text_or_empty"]
 
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage and gives rows made by non-deterministic expressions
-    (row numbers by partition) one fixed value.  A lost executor loses nothing.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete everything this application has put into the shared folder."""
-    discard(spark, f"{shared_dir(spark)}/curaloom/{spark.sparkContext.applicationId}")
+#: Rows per Arrow batch.  Texts can be very long, so batches hold few rows.
+ARROW_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
