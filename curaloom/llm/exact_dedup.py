@@ -85,9 +85,14 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     these, one stays.  A null id is matched too.  Names beginning with two
     underscores are taken for the work.
     """
-    cols = docs.columns
-    stays = exact_groups(docs, id_col, text_col).where("kept").select(F.struct("id", F.col("text_sha256").alias("sha"), "code_points").alias("__key"))
+    names = ("__id", "__sha", "__points")
+
+    def key(row_id: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-"))
+
+    # plain columns on both sides, so the window finds the rows dealt out by the join
+    stays = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col("id")).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("code_points").alias("__points"))
     text = text_or_empty(text_col)
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.sha2(normalised(text), 256).alias("sha"), F.length(text).alias("code_points")))
-    one = Window.partitionBy("__key").orderBy(F.lit(0))
-    return keyed.join(stays, "__key", "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*cols)
+    keyed = docs.withColumns({"__id": key(F.col(id_col)), "__sha": F.sha2(normalised(text), 256), "__points": F.length(text)})
+    one = Window.partitionBy(*names).orderBy(F.lit(0))
+    return keyed.join(stays, list(names), "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
