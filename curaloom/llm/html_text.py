@@ -42,6 +42,7 @@ ENDS = {
     "caption": ({"caption", "colgroup"}, {"table"}),
     "colgroup": ({"caption", "colgroup"}, {"table"}),
 }
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=[^\s/>=]*)?(\s*=\s*)?")
@@ -158,6 +159,8 @@ def build(html: str) -> Node:
                 continue
             if here.tag == "head" and value not in HEAD_ONLY:
                 to_body()
+            if value in TABLE_PARTS and not open_tags.get("table"):
+                continue
             if value in CLOSES_P and (p := nearest({"p"}, {"table", "td", "th", "caption", "button", "object"})):
                 leave(p)
             if value in ENDS:

@@ -105,7 +105,7 @@ def templates_sql() -> str:
     name = "(w <> lower(w) AND substr(w, 2) = lower(substr(w, 2)) AND length(w) > 1)"
 
     def side(of: str, table_name: str, key: str, text: str) -> str:
-        return f"""
+        return rf"""
             {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(coalesce({text}, ''), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
             {of}p AS (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY i) AS p FROM {of}w),
             {of}t AS (SELECT id, list(CASE WHEN {number} THEN '#1' WHEN {unit} THEN '#2' ELSE lower(w) END ORDER BY i) AS a,
