@@ -104,7 +104,7 @@ def publish_failures(rules: Publish, skip_thresholds: bool = False) -> Column:
     if not skip_thresholds:
         checks += [
             F.when(F.col("acceptedCount") < rules.min_accepted, F.format_string(f"accepted count %d below minimum {rules.min_accepted}", "acceptedCount")),
-            F.when(rate < rules.min_syntax_rate, F.format_string(f"syntax pass rate %.2f%% below minimum {rules.min_syntax_rate:.0%}".replace("90%", "90%%"), rate * 100)),
+            F.when(rate < rules.min_syntax_rate, F.format_string(f"syntax pass rate %.2f%% below minimum {rules.min_syntax_rate * 100:.0f}%%", rate * 100)),
         ]
     return F.filter(F.array(*checks), lambda c: c.isNotNull())
 

@@ -26,9 +26,14 @@ def once_each(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["payload"])
 
 
-def counts(events: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """``day, event, events`` by tumbling windows; rows later than the delay are left out."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event").agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), "event", "events")
+def counts(events: DataFrame, width: str = "1 day", delay: str | None = "1 day") -> DataFrame:
+    """``start, event, events`` by tumbling windows; rows later than the delay are left out.
+
+    Without a delay the events bring a watermark of their own, as those of
+    ``once_each`` do.
+    """
+    marked = events.withWatermark("ts", delay) if delay else events
+    return marked.groupBy(F.window("ts", width).alias("w"), "event").agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), "event", "events")
 
 
 def filter_stream(spark: SparkSession, folder: str, checkpoint: str, gate: Callable[[DataFrame], DataFrame], accept: str, reject: str) -> StreamingQuery:
