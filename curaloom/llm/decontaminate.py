@@ -72,12 +72,13 @@ def spotted(rows: DataFrame, width: int, known: list[int] | None) -> DataFrame:
     return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.key")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_windows: int = 3, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of documents and benchmark items whose template they repeat.
 
     Returns ``id``, ``item_id``, ``windows`` (of the item, found in consistent
     alignments) and ``share`` (of the item's windows), one row per pair with a
-    share of ``least_share`` or more.  Items give a window every ``stride`` words
+    share of ``least_share`` or more, or with ``least_windows`` windows (a passage
+    of sixteen words, whatever the length of the item).  Items give a window every ``stride`` words
     and one at their end; documents give one at every word.  A window needs
     ``least_words`` different words that are no placeholders.
 
@@ -118,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     lines = lines.withColumn("pairs", F.array_distinct(F.flatten("lists")))
     sound = lines.where(F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.own)))"))
     found = sound.select("id", "item", "of", F.explode("ats").alias("at")).groupBy("id", "item", "of").agg(F.countDistinct("at").alias("windows"))
-    return found.select("id", F.col("item").alias("item_id"), "windows", (F.col("windows") / F.col("of")).alias("share")).where(F.col("share") >= least_share)
+    return found.select("id", F.col("item").alias("item_id"), "windows", (F.col("windows") / F.col("of")).alias("share")).where((F.col("share") >= least_share) | (F.col("windows") >= least_windows))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

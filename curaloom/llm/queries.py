@@ -131,7 +131,7 @@ def templates_sql() -> str:
         q AS (SELECT id, item_id, shift, unnest(own) AS o, unnest(seen) AS e FROM h),
         bad AS (SELECT DISTINCT id, item_id, shift FROM q WHERE o IS NOT NULL AND e IS NOT NULL GROUP BY id, item_id, shift, o HAVING count(DISTINCT e) > 1),
         f AS (SELECT id, item_id, n, count(DISTINCT spot) AS windows FROM h ANTI JOIN bad USING (id, item_id, shift) GROUP BY id, item_id, n)
-        SELECT id AS doc_id, item_id, windows, round(windows / n, 6) AS share FROM f WHERE windows / n >= 0.5
+        SELECT id AS doc_id, item_id, windows, round(windows / n, 6) AS share FROM f WHERE windows / n >= 0.5 OR windows >= 3
     """
 
 

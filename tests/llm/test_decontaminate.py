@@ -18,6 +18,13 @@ def test_reworded_values_are_caught_and_others_left(spark):
     assert set(got) == {(0, 0), (1, 0), (2, 0)} and got[1, 0] == 1.0
 
 
+def test_a_passage_of_a_long_item(spark):
+    item = words(120, 8)
+    part = " ".join(item.split()[30:52])
+    got = found(spark, [words(60, 1) + " " + part + " " + words(60, 2), " ".join(item.split()[30:39])], [item])
+    assert set(got) == {(0, 0)} and got[0, 0] < 0.5
+
+
 def test_slots_must_agree(spark):
     item = "If Anna gives 12 apples to Ben and later Anna takes 12 plums from the big brown basket near the gate then who has more fruit"
     even = item.replace("12", "30")
