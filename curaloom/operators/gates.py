@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +60,16 @@ def schema_fault(tax: Taxonomy, synthetic: bool = True, require_metadata: bool =
 
 
 def quality_fault(gates: Gates, instruction: Column) -> Column:
-    """Too short, vague (of several phrases the first in the alphabet is named), or without an imperative verb."""
-    lowered = text.stripped(F.lower(instruction))
-    vague = F.array_min(F.filter(F.array(*map(F.lit, gates.vague_phrases)), lambda p: F.contains(lowered, p)))
-    verb = F.arrays_overlap(text.words(lowered), F.array(*map(F.lit, gates.verbs)))
+    """Too short, vague (of several phrases the first in the alphabet is named), or without an imperative verb.
+
+    A verb is a whole word between white space or hyphens; one search finds it, so
+    long texts aren't split.
+    """
+    lowered = F.lower(instruction)
+    inner = lowered if all(p == p.strip() for p in gates.vague_phrases) else text.stripped(lowered)
+    vague = F.array_min(F.filter(F.array(*map(F.lit, gates.vague_phrases)), lambda p: F.contains(inner, p)))
+    edge = r"[\s\x1c-\x1f-]"
+    verb = lowered.rlike(rf"(?U)(?:^|{edge})(?:{'|'.join(map(re.escape, gates.verbs))})(?:\z|{edge})")
     return (
         F.when(F.length(instruction) < gates.instruction_length, f"instruction shorter than {gates.instruction_length} characters")
         .when(vague.isNotNull(), F.concat(F.lit("instruction contains vague phrase '"), vague, F.lit("'")))

@@ -38,9 +38,10 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
     classes = store(classes.where("size > 0"), "token-classes")
-    words = classes.select("class_id", "by", "size", F.explode("tokens").alias("token"))
-    rarity = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(rarity, "token").groupBy("class_id", "by", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    words = classes.select("class_id", "by", "size", F.explode("tokens").alias("token")).withColumn("n", F.length("token"))
+    # the second key makes the join deal both sides out anew, so adaptive execution can split a frequent token
+    rarity = words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.length("token"))
+    ranked = words.join(rarity, ["token", "n"]).groupBy("class_id", "by", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - HAIR) + 1).cast("int")
     prefix = ranked.select("class_id", "by", "size", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r")).select("class_id", "by", "size", "r.token")
     prefix = store(prefix, "token-prefixes")

@@ -161,3 +161,22 @@ def test_promotion(spark):
     assert got == {("seed-js-002", "SyntaxValidation"), ("seed-js-002", "HeldOutLeak"), ("x", "SchemaValidation"), ("seed-js-001", "DuplicateCheck")}
     counts = {r["targetLanguage"]: r["rows"] for r in gates.counts_by_language(seeds).collect()}
     assert counts == {"JavaScript": 3, "HTML": 0, "FreeMarker": 0}
+
+
+def test_instruction_quality_is_that_of_whole_words(spark):
+    rng = random.Random(9)
+    own = Gates(instruction_length=3, vague_phrases=("help me", "todo"), verbs=("write", "add"))
+    parts = ["write", "add", "Add,", "WRITE", "x-write", "writes", "help", "me", "todo", "\t", " ", "-", "\n", "é", "add "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 5))) for _ in range(300)]
+
+    def plain(t):
+        low = t.lower().strip()
+        if len(t) < 3:
+            return "short"
+        if any(p in low for p in own.vague_phrases):
+            return "vague"
+        return None if set(low.replace("-", " ").split()) & set(own.verbs) else "verb"
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gates.quality_fault(own, F.col("t")).alias("f")).collect()
+    kind = lambda f: None if f is None else "short" if "shorter" in f else "vague" if "vague" in f else "verb"
+    assert [(r["t"], kind(r["f"])) for r in rows] == [(t, plain(t)) for t in texts]
