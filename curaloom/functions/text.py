@@ -85,6 +85,6 @@ def gigabytes(size: Column) -> Column:
     return size / F.lit(1024.0**3)
 
 
-def number_prefix(c: Column, digits: int = 15) -> Column:
+def number_prefix(c: Column, digits: int = 16) -> Column:
     """The first hex digits of a text's SHA-256 as a number."""
-    return F.conv(F.substr(F.sha2(c, 256), F.lit(1), F.lit(digits)), 16, 10).cast("bigint")
+    return F.conv(F.substr(F.sha2(c, 256), F.lit(1), F.lit(digits)), 16, 10).cast("decimal(20,0)")

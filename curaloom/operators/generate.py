@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Scope
-from ..functions.text import rendered
+from .. import schemas
+from ..functions.text import json_object, rendered
 from ..vocabulary import METHOD_CYCLE, PREFIX
 
 # Fixed values of the stand-in for a teacher: tags and code by language.
@@ -109,3 +113,53 @@ def few_shots(seeds: DataFrame, key: str = "id", separator: str = "\n\n---\n\n")
 
 def user_prompt(template: str, values: dict[str, Column]) -> Column:
     return rendered(F.lit(template), values)
+
+
+def out_of_scope_summary(scope: Scope, language: str) -> str:
+    return bullets(list(scope.out_of_scope.get(language, ())))
+
+
+def system_prompt(template: str, scope: Scope, language: str) -> str:
+    """The system prompt of a language, with what is out of scope and held out."""
+    return template.replace("{{OUT_OF_SCOPE}}", out_of_scope_summary(scope, language)).replace("{{HELD_OUT_SUMMARY}}", held_out_summary(scope, language))
+
+
+def shot_pool(seeds: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
+    """Seeds to draw few-shots from: those that are no reference seeds."""
+    return seeds.join(references.select(key), key, "left_anti")
+
+
+#: A teacher: system and user prompt in; text, input tokens, output tokens and model out.
+Teacher = Callable[[str, str], tuple[str, int, int, str]]
+
+
+def replies(prompts: DataFrame, teacher: Teacher, attempts: int = 3) -> DataFrame:
+    """Rows of ``ord, system, user`` with a teacher's reply and the candidate in it as JSON.
+
+    The teacher is any callable that executors can unpickle.  A reply without a
+    JSON object is asked for again, ``attempts`` times at most; then ``candidate``
+    is null and the row can be reported as rejected.  Tokens of all attempts count.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for row in part.itertuples(index=False):
+                spent = [0, 0]
+                for _ in range(attempts):
+                    text, i, o, model = teacher(row.system, row.user)
+                    spent[0] += i
+                    spent[1] += o
+                    if "{" in text and "}" in text:
+                        break
+                rows.append((row.ord, text, spent[0], spent[1], model))
+            yield pd.DataFrame(rows, columns=["ord", "text", "inputTokens", "outputTokens", "model"])
+
+    said = prompts.select("ord", "system", "user").mapInPandas(run, "ord bigint, text string, inputTokens bigint, outputTokens bigint, model string")
+    return said.withColumn("candidate", json_object(F.col("text")))
+
+
+def parsed_replies(said: DataFrame, language: str, created: str) -> DataFrame:
+    """Candidates of replies, defaults filled in; replies without one are left out."""
+    got = said.where("candidate IS NOT NULL").select("ord", "inputTokens", "outputTokens", F.from_json("candidate", schemas.EXAMPLE).alias("r")).select("ord", "inputTokens", "outputTokens", "r.*")
+    return with_defaults(got, language, created)

@@ -6,6 +6,7 @@ arguments, so a run can be repeated exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -196,8 +197,8 @@ class Steps:
         writers.write_json(spark, path, {"runId": self.run_id, "failed": self.failed, "steps": [{"step": s, "success": ok, "message": m} for s, ok, m in self.rows]})
 
 
-def run_language(spark: SparkSession, language: str, root: str, scope: Scope, now: str, expansion: Expansion, gates: Gates, review: Review, rules: Publish, run_id: str, version: str, seeds_root: str | None = None, auto_approve: bool = False, skip_thresholds: bool = False, stop_after: str | None = None) -> Steps:
-    """Expand, filter, prepare and submit the review, publish; stops at the first failure or after ``stop_after``."""
+def run_language(spark: SparkSession, language: str, root: str, scope: Scope, now: str, expansion: Expansion, gates: Gates, review: Review, rules: Publish, run_id: str, version: str, seeds_root: str | None = None, auto_approve: bool = False, skip_thresholds: bool = False, stop_after: str | None = None, smoke: Callable[[], dict] | None = None) -> Steps:
+    """Expand, filter, prepare and submit the review, publish, and a smoke test if given; stops at the first failure or after ``stop_after``."""
     log = Steps(run_id)
     seeds = readers.seeds(spark, f"{seeds_root}/{DIRECTORY[language]}") if seeds_root else spark.createDataFrame([], schemas.EXAMPLE)
 
@@ -216,12 +217,15 @@ def run_language(spark: SparkSession, language: str, root: str, scope: Scope, no
         yield "submit-review", done["status"] == "Approved", done["status"]
         out = publish(spark, f"{root}/drafts/{run_id}", version, f"{root}/published", rules, "auto", now, f"{root}/events", skip_thresholds)
         yield "publish", True, f"{out['exampleCount']} examples"
+        if smoke is not None:
+            tried = smoke()
+            yield "smoke-train", tried["gateSatisfied"], f"pass@1 {tried['passAt1']:.1%}"
 
     try:
         for name, ok, message in steps():
             if not log.add(name, ok, message) or name == stop_after:
                 break
     except (ValueError, FileNotFoundError, SeedsInsufficient, writers.PublishError) as e:
-        log.add(("generate", "filter", "prepare-review", "submit-review", "publish")[min(len(log.rows), 4)], False, str(e))
+        log.add(("generate", "filter", "prepare-review", "submit-review", "publish", "smoke-train")[min(len(log.rows), 5)], False, str(e))
     log.write(spark, f"{root}/review/{run_id}-steps.json")
     return log

@@ -178,9 +178,15 @@ def evaluate_runs(spark: SparkSession, run_ids: list[str], held_out: str, benchm
     done = [analyse(spark, r, benchmarks, phase4, anchor, now) for r in run_ids] if ready else []
     out = {"profile": phase4.defaults.get("profile"), "failed": not ready, "readinessPassed": ready, "benchmarkRunIds": run_ids, "completedAt": now, "readinessChecks": [r.asDict() for r in checks.collect()], "evaluations": [{"runId": e["runId"], "compressionMethod": e.get("compressionMethod") or "Unknown", "passAt1": e.get("passAt1", 0.0), "evaluationPath": f"{benchmarks}/{e['runId']}/evaluation.json"} for e in done]}
     writers.write_json(spark, report, out)
+    writers.write_text(spark, report.rsplit(".", 1)[0] + "-summary.md", operator_summary(out))
     return out
 
 
+def operator_summary(r: dict) -> str:
+    out = ["# Evaluation Results Summary", "", f"Profile: **{r['profile']}**", "", "| Method | Pass@1 | Evaluation |", "|--------|--------|------------|"]
+    return "\n".join([*out, *[f"| {e['compressionMethod']} | {e['passAt1']:.1%} | `{e['evaluationPath']}` |" for e in r["evaluations"]], ""])
+
+
 def report(spark: SparkSession, run_ids: list[str], benchmarks: str, path: str, now: str, tie_breakers: tuple[str, ...] = ranking.TIE_BREAKERS, allow_mixed: bool = False, events: str | None = None) -> dict:
     """The ranking of runs as Markdown and JSON, with warnings and footnotes."""
     runs = store(readers.benchmark_runs(spark, benchmarks, run_ids), "runs")

@@ -240,3 +240,36 @@ def test_gates_as_a_stream(spark, tmp_path):
     place = f"file://{tmp_path}"
     streams.filter_stream(spark, f"{place}/in", f"{place}/cp", gate, f"{place}/ok", f"{place}/no").awaitTermination(180)
     assert spark.read.parquet(f"{place}/ok").count() == 3 and spark.read.parquet(f"{place}/no").first()["reasonCode"] == "SCHEMA_INVALID"
+
+
+def test_replies_of_a_teacher(spark):
+    def teacher(system, user):
+        return ("no object" if user == "silent" else '```json\n{"id": "syn-js-0001", "instruction": "' + user + '"}\n```'), 10, 5, "fake"
+
+    prompts = spark.createDataFrame([(0, "s", "do it"), (1, "s", "silent")], "ord bigint, system string, user string")
+    said = generate.replies(prompts, teacher, attempts=3).orderBy("ord").collect()
+    assert [(r["inputTokens"], r["candidate"] is None) for r in said] == [(10, False), (30, True)]
+    got = generate.parsed_replies(generate.replies(prompts, teacher), "JavaScript", "2026-06-20").collect()
+    assert [(r["instruction"], r["targetLanguage"], r["metadata"]["source"]) for r in got] == [("do it", "JavaScript", "synthetic")]
+    pool = generate.shot_pool(spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a",)], "id string"))
+    assert [r["id"] for r in pool.collect()] == ["b"]
+    assert generate.system_prompt("{{OUT_OF_SCOPE}}|{{HELD_OUT_SUMMARY}}", SCOPE, "HTML").startswith("- frameworks|- Thing 0\n")
+
+
+def test_rules(spark):
+    from curaloom.operators import rules
+
+    words = spark.createDataFrame([("dedup",), ("sql query",)], "keyword string")
+    own = spark.createDataFrame([(3, "c", "deduplicate", False), (1, "a", "", True), (2, "b", "SQL", False), (4, "d", "other", False), (5, "c", "dedup", False)], "ord int, rule string, trigger string, always boolean")
+    assert [r["rule"] for r in rules.resolve(words, own).collect()] == ["a", "b", "c"]
+
+
+def test_smoke_step_ends_the_pipeline(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    fine = dict(spark=spark, language="HTML", root=root, scope=SCOPE, now=NOW, expansion=Expansion(target_count=5, min_gold_seeds=0), gates=LOOSE, review=Review(), rules=Publish(min_accepted=1), run_id="r", version="ds-2026-06-20-html-v1", auto_approve=True)
+    log = curation.run_language(**fine, smoke=lambda: {"gateSatisfied": False, "passAt1": 0.5})
+    assert log.rows[-1] == ("smoke-train", False, "pass@1 50.0%") and log.failed
+    again = curation.run_language(**fine | {"run_id": "r2"})
+    assert again.rows[-1][:2] == ("publish", False)  # the version exists
+    few = curation.run_language(**fine | {"run_id": "r3", "expansion": Expansion(min_gold_seeds=50)})
+    assert few.rows[0][:2] == ("generate", False) and "need >= 50" in few.rows[0][2]
