@@ -41,9 +41,10 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     words = classes.select("class_id", "by", "size", F.explode("tokens").alias("token")).withColumn("n", F.length("token"))
     # the second key makes the join deal both sides out anew, so adaptive execution can split a frequent token
     rarity = words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.length("token"))
-    ranked = words.join(rarity, ["token", "n"]).groupBy("class_id", "by", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    ranked = words.join(rarity.hint("shuffle_hash"), ["token", "n"]).groupBy("class_id", "by", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - HAIR) + 1).cast("int")
-    prefix = ranked.select("class_id", "by", "size", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r")).select("class_id", "by", "size", "r.token")
+    prefix = ranked.select("class_id", "by", "size", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r"))
+    prefix = prefix.where("r.df > 1").select("class_id", "by", "size", "r.token")  # a token of one class meets nothing
     prefix = store(prefix, "token-prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.token") == F.col("b.token")) & F.col("a.by").eqNullSafe(F.col("b.by")) & (F.col("a.class_id") < F.col("b.class_id"))
