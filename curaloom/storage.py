@@ -46,7 +46,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._curaloom_path = path
+    return stored
+
+
+def forget(stored: DataFrame) -> None:
+    """Delete a table that ``store`` returned, once nothing reads it any more."""
+    discard(stored.sparkSession, stored._curaloom_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
