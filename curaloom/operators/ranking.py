@@ -88,20 +88,53 @@ def table_line(languages: tuple[str, ...] = LANGUAGES) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[or_dash(c) for c in shown]), F.lit(" |"))
 
 
+# The layout of the ranking report, and the heads of its language columns.
+REPORT = """\
+# Wave 1 Method Ranking
+
+Comparative benchmark report (UC-005, BR-012, EVALUATION-METHOD.md).
+
+## Ranking rules
+
+1. Primary: aggregate Pass@1
+2. Tie-break: lower VRAM → lower train time → fewer trainable params
+3. BR-014: param delta >10% requires footnote
+4. L4 Speculative never ranked as best without label
+{warnings}
+## Comparative table
+
+| Rank | Method | Evidence | χ/rank | {heads} | VRAM GB | Train s | Params |
+|------|--------|----------|--------|{rules}|---------|---------|--------|
+{lines}
+{footnotes}
+## Tag bucket diagnostics
+
+{buckets}"""
+BUCKETS = """\
+### {method}
+
+| Tag | Tasks | Pass@1 | Pass@5 |
+|-----|-------|--------|--------|
+{lines}
+"""
+HEADS = {"JavaScript": "JS Pass@1", "HTML": "HTML Pass@1", "FreeMarker": "FMT Pass@1"}
+
+
+def section(title: str, lines: list[str]) -> str:
+    """A section with its lines, or nothing without any."""
+    return "\n".join(["", f"## {title}", "", *lines, ""]) if lines else ""
+
+
 def markdown(runs: DataFrame, warnings: list[str], notes: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> str:
     """The ranking report of ranked runs."""
-    heads = [{"JavaScript": "JS", "HTML": "HTML", "FreeMarker": "FMT"}.get(name, name) + " Pass@1" for name in languages]
-    out = ["# Wave 1 Method Ranking", "", "Comparative benchmark report (UC-005, BR-012, EVALUATION-METHOD.md).", "", "## Ranking rules", ""]
-    out += ["1. Primary: aggregate Pass@1", "2. Tie-break: lower VRAM → lower train time → fewer trainable params", "3. BR-014: param delta >10% requires footnote", "4. L4 Speculative never ranked as best without label", ""]
-    if warnings:
-        out += ["## Warnings", "", *[f"- {w}" for w in warnings], ""]
-    out += ["## Comparative table", "", "| Rank | Method | Evidence | χ/rank | " + " | ".join(heads) + " | VRAM GB | Train s | Params |", "|------|--------|----------|--------|" + " | ".join("---" for _ in heads) + "|---------|---------|--------|"]
-    out += [r["line"] for r in summaries(runs, languages).select("rank", table_line(languages).alias("line")).orderBy("rank").collect()]
-    marks = notes.collect()
-    if marks:
-        out += ["", "## Footnotes", "", *[f"- **{n['compressionMethod']}** (`{n['runId']}`): {n['reason']}" for n in marks], ""]
-    out += ["", "## Tag bucket diagnostics", ""]
+    lines = summaries(runs, languages).select("rank", table_line(languages).alias("line")).orderBy("rank").collect()
     cells = F.transform("tagBuckets", lambda b: F.concat(F.lit("| "), F.concat_ws(" | ", b["tag"], b["taskCount"].cast("string"), percent(F.coalesce(b["passAt1"], F.lit(0.0))), percent(F.coalesce(b["passAt5"], F.lit(0.0)))), F.lit(" |")))
-    for r in runs.where(F.size("tagBuckets") > 0).orderBy("rank").select("compressionMethod", cells.alias("lines")).collect():
-        out += [f"### {r['compressionMethod']}", "", "| Tag | Tasks | Pass@1 | Pass@5 |", "|-----|-------|--------|--------|", *r["lines"], ""]
-    return "\n".join(out)
+    buckets = runs.where(F.size("tagBuckets") > 0).orderBy("rank").select("compressionMethod", F.array_join(cells, "\n").alias("lines")).collect()
+    return REPORT.format(
+        warnings=section("Warnings", [f"- {w}" for w in warnings]),
+        heads=" | ".join(HEADS.get(name, f"{name} Pass@1") for name in languages),
+        rules=" | ".join("---" for _ in languages),
+        lines="\n".join(r["line"] for r in lines),
+        footnotes=section("Footnotes", [f"- **{n['compressionMethod']}** (`{n['runId']}`): {n['reason']}" for n in notes.collect()]),
+        buckets="\n".join(BUCKETS.format(method=b["compressionMethod"], lines=b["lines"]) for b in buckets),
+    )

@@ -11,6 +11,64 @@ from ..sources import readers, writers
 from ..storage import store
 from ..vocabulary import COMPRESSION_METHODS, LANGUAGES
 
+# The layout of the Markdown documents.
+SUMMARY = """\
+# Benchmark {runId}
+
+- Checkpoint: `{checkpointRunId}`
+- Method: {compressionMethod}
+- Dataset: {datasetVersion}
+- Test set: {heldOutTestSetVersion}
+
+## Aggregate
+
+- Pass@1: **{passAt1:.1%}**
+- Pass@5: **{passAt5:.1%}**
+- Syntax validity: {syntaxValidityRate:.1%}
+
+## By language
+
+| Language | Pass@1 | Pass@5 | Syntax |
+|----------|--------|--------|--------|
+{lines}
+"""
+EVALUATION = """\
+# Evaluation {runId}
+
+- Method: {compressionMethod}
+- Pass@1: **{passAt1:.1%}**
+- Pass@5: **{passAt5:.1%}**
+- Syntax validity: {syntaxValidityRate:.1%}
+"""
+INFERENCE = """\
+## Inference cost
+
+- Latency: {meanLatencyMsPerToken} ms/token
+- Throughput: {throughputTokensPerSec} tokens/s
+- Model size: {modelSizeMb} MB
+"""
+BUCKETS = """\
+## Tag buckets
+
+| Tag | Tasks | Pass@1 | Pass@5 |
+|-----|-------|--------|--------|
+{lines}
+"""
+BUCKET = "| {tag} | {taskCount} | {passAt1:.1%} | {passAt5:.1%} |"
+FOOTNOTE = """\
+## BR-014 footnote
+
+Trainable params differ from anchor by {deltaPercent:.1f}% — comparison requires footnote.
+"""
+OVERVIEW = """\
+# Evaluation Results Summary
+
+Profile: **{profile}**
+
+| Method | Pass@1 | Evaluation |
+|--------|--------|------------|
+{lines}"""
+
 
 def training_rows(rows: DataFrame, limit: int, seed: int) -> DataFrame:
     """A fixed part of a dataset to train on."""
@@ -102,10 +160,8 @@ def benchmark(spark: SparkSession, run_id: str, checkpoint: str, held_out: str,
 
 def summary(r: dict) -> str:
     """The results as Markdown."""
-    out = [f"# Benchmark {r['runId']}", "", f"- Checkpoint: `{r['checkpointRunId']}`", f"- Method: {r['compressionMethod']}", f"- Dataset: {r['datasetVersion']}", f"- Test set: {r['heldOutTestSetVersion']}", ""]
-    out += ["## Aggregate", "", f"- Pass@1: **{r['passAt1']:.1%}**", f"- Pass@5: **{r['passAt5']:.1%}**", f"- Syntax validity: {r['syntaxValidityRate']:.1%}", ""]
-    out += ["## By language", "", "| Language | Pass@1 | Pass@5 | Syntax |", "|----------|--------|--------|--------|"]
-    return "\n".join([*out, *[f"| {name} | {m['passAt1']:.1%} | {m['passAt5']:.1%} | {m['syntaxValidityRate']:.1%} |" for name, m in r["byLanguage"].items()], ""])
+    line = "| {name} | {passAt1:.1%} | {passAt5:.1%} | {syntaxValidityRate:.1%} |"
+    return SUMMARY.format_map(r | {"lines": "\n".join(line.format(name=k, **v) for k, v in r["byLanguage"].items())})
 
 
 def anchor_count(spark: SparkSession, phase3: Phase, anchor: str, benchmarks: str, checkpoints: str, profile: str) -> int | None:
@@ -144,14 +200,15 @@ def analyse(spark: SparkSession, run_id: str, benchmarks: str, phase4: Phase, an
 
 
 def evaluation_markdown(e: dict) -> str:
-    out = [f"# Evaluation {e['runId']}", "", f"- Method: {e.get('compressionMethod')}", f"- Pass@1: **{e.get('passAt1', 0):.1%}**", f"- Pass@5: **{e.get('passAt5', 0):.1%}**", f"- Syntax validity: {e.get('syntaxValidityRate', 0):.1%}", ""]
-    if cost := e.get("inference"):
-        out += ["## Inference cost", "", f"- Latency: {cost['meanLatencyMsPerToken']} ms/token", f"- Throughput: {cost['throughputTokensPerSec']} tokens/s", f"- Model size: {cost['modelSizeMb']} MB", ""]
-    if buckets := e.get("tagBuckets"):
-        out += ["## Tag buckets", "", "| Tag | Tasks | Pass@1 | Pass@5 |", "|-----|-------|--------|--------|", *[f"| {b['tag']} | {b['taskCount']} | {b['passAt1']:.1%} | {b['passAt5']:.1%} |" for b in buckets], ""]
-    if (match := e.get("paramMatch")) and match["footnoteRequired"]:
-        out += ["## BR-014 footnote", "", f"Trainable params differ from anchor by {match['deltaPercent']:.1f}% — comparison requires footnote.", ""]
-    return "\n".join(out)
+    """An analysis as Markdown; a section stands where there is something to say."""
+    parts = [EVALUATION.format_map({"compressionMethod": None, "passAt1": 0.0, "passAt5": 0.0, "syntaxValidityRate": 0.0} | e)]
+    if e.get("inference"):
+        parts.append(INFERENCE.format_map(e["inference"]))
+    if e.get("tagBuckets"):
+        parts.append(BUCKETS.format(lines="\n".join(BUCKET.format_map(b) for b in e["tagBuckets"])))
+    if e.get("paramMatch", {}).get("footnoteRequired"):
+        parts.append(FOOTNOTE.format_map(e["paramMatch"]))
+    return "\n".join(parts)
 
 
 def readiness_checks(spark: SparkSession, held_out: str, benchmarks: str, run_ids: list[str], version: str) -> DataFrame:
@@ -183,8 +240,7 @@ def evaluate_runs(spark: SparkSession, run_ids: list[str], held_out: str, benchm
 
 
 def operator_summary(r: dict) -> str:
-    out = ["# Evaluation Results Summary", "", f"Profile: **{r['profile']}**", "", "| Method | Pass@1 | Evaluation |", "|--------|--------|------------|"]
-    return "\n".join([*out, *[f"| {e['compressionMethod']} | {e['passAt1']:.1%} | `{e['evaluationPath']}` |" for e in r["evaluations"]], ""])
+    return OVERVIEW.format(profile=r["profile"], lines="".join(f"| {e['compressionMethod']} | {e['passAt1']:.1%} | `{e['evaluationPath']}` |\n" for e in r["evaluations"]))
 
 
 def report(spark: SparkSession, run_ids: list[str], benchmarks: str, path: str, now: str, tie_breakers: tuple[str, ...] = ranking.TIE_BREAKERS, allow_mixed: bool = False, events: str | None = None) -> dict:
