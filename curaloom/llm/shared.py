@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, drop_stored, new_path, shared_dir, store
+from ..storage import discard, drop_stored, forget, new_path, shared_dir, store
 
-__all__ = ["ARROW_ROWS", "discard", "drop_stored", "new_path", "once", "shared_dir", "small_batches", "store", "text_or_empty"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "discard", "drop_stored", "forget", "new_path", "once", "shared_dir", "small_batches", "store", "text_or_empty"]
 
-#: Rows per Arrow batch.  Texts can be very long, so batches hold few rows.
-ARROW_ROWS = 256
+#: Rows and bytes per Arrow batch.  Texts can be very long, so batches are small.
+ARROW_ROWS, ARROW_BYTES = 256, "16m"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def once(df: DataFrame, *keep: Column, **made: Column) -> DataFrame:

@@ -84,7 +84,11 @@ def keys(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs ``a < b`` of different fingerprints at ``bits`` (2 at most) or fewer differing bits."""
+    """Pairs ``a < b`` of different fingerprints at ``bits`` (2 at most) or fewer differing bits.
+
+    A fingerprint has at most 2,080 others within two bits, so pairs grow with the
+    number of different fingerprints, however many documents share one.
+    """
     if not 0 <= bits <= 2:
         raise ValueError("the segments and keys are made for two differing bits at most")
     made = store(keys(fps), "keys")
