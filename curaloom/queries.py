@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import Gates
+from .config import Gates, Taxonomy
 from .functions import syntax, text
 from .operators import contamination, evaluate, gates, generate, lifecycle, ranking, sampling, similarity
 from .operators.dedup import ordered_duplicates
@@ -301,11 +301,92 @@ def token_costs(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.round(F.sum(cost), 6).alias("usd"))
 
 
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as code records, some of them broken in one way or another."""
+    n = F.col("doc_id")
+    cycle = lambda values, by: F.element_at(F.array(*values), (F.pmod(F.floor(n / by), F.lit(len(values))) + 1).cast("int"))
+    meta = lambda source: F.struct(F.lit("a").alias("author"), F.lit("2026-01-01").alias("created"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("notes"))
+    return table(spark, d, "documents").select(
+        n.alias("ord"), F.format_string("%s-%04d", cycle([F.lit(x) for x in ("syn-js", "syn-html", "seed-js")], 1), F.pmod(n, F.lit(10000))).alias("id"),
+        cycle([F.lit(x) for x in ("JavaScript", "HTML", "JavaScript", "Rust")], 3).alias("targetLanguage"), F.substr("text", F.lit(1), cycle([F.lit(x) for x in (300, 10)], 12)).alias("instruction"),
+        F.substr("text", F.lit(1), cycle([F.lit(x) for x in (40, 40, 5)], 24)).alias("code"),
+        cycle([F.array(*map(F.lit, x)) for x in (("L1-trivial", "array", "forms"), ("L1-trivial",), ("array", "forms"))], 72).alias("tags"), cycle([meta("synthetic"), meta("manual"), meta("web")], 216).alias("metadata"),
+    )
+
+
+def schema_gate(spark, d):
+    return records(spark, d).select(F.col("ord").alias("doc_id"), gates.schema_fault(Taxonomy()).alias("message"))
+
+
+def acceptance_check(spark, d):
+    criteria = F.struct(F.lit(False).alias("mustParse"), F.array(F.lit("E"), F.lit("a")).alias("mustContain"), F.array(F.lit("CASINO"), F.lit("@")).alias("mustNotContain"))
+    return table(spark, d, "documents").select("doc_id", evaluate.acceptance_fault(criteria, F.lit("JavaScript"), F.col("text")).alias("reason"))
+
+
+def topics(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as held-out topics with their first three words as keywords."""
+    words = F.slice(F.split(F.lower("text"), " "), 1, 3)
+    language = F.element_at(F.array(*map(F.lit, ("JavaScript", "HTML", "FreeMarker"))), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("HO-"), F.col("item_id").cast("string")).alias("id"), language.alias("language"), F.substr("text", F.lit(1), F.lit(12)).alias("pattern"), words.alias("keywords"))
+
+
+def held_out_tasks(spark, d):
+    return generate.held_out_tasks(topics(spark, d)).select("id", "targetLanguage", "topicId", "instruction", F.array_join("acceptanceCriteria.mustContain", ",").alias("must"), "task_index")
+
+
+def benchmark_scores(spark, d):
+    tasks = generate.held_out_tasks(topics(spark, d)).withColumn("acceptanceCriteria", F.col("acceptanceCriteria").withField("mustContain", F.array(F.col("id"), F.lit("solution"))))
+    return evaluate.score_benchmark(tasks.where("targetLanguage <> 'HTML'"), 0.72, 5).select("id", "passAt1", "passAtK", "syntaxValid")
+
+
+def topic_matrix(spark, d):
+    rows = topics(spark, d).withColumn("difficulty", F.lit("L1"))
+    return generate.topic_matrix(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1"))
+
+
+def blocklist(spark, d):
+    return generate.blocklist(topics(spark, d))
+
+
+def missing_labels(spark, d):
+    """Documents whose label is missing, by language: a reference that finds nothing."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def mock_candidates(spark, d):
+    made = generate.mock_candidates(spark, "JavaScript", 200, "2026-06-20")
+    return made.select("id", "batch", "method", "instruction", F.sha2("code", 256).alias("code"), F.array_join("tags", ",").alias("tags"), F.col("metadata.notes").alias("notes"))
+
+
+def language_pivot(spark, d):
+    """pass@1 by source, with a column for each language."""
+    rows = judged(spark, d).groupBy("source").pivot("lang", ["en", "de"]).agg(F.round(F.avg(F.coalesce("quality", F.lit(0)).cast("double")), 6))
+    return rows.select("source", F.col("en").alias("enPassAt1"), F.col("de").alias("dePassAt1"))
+
+
+def inference_metrics(spark, d):
+    method = F.element_at(F.array(*map(F.lit, ("FewShot", "LoRA", "QLoRA", "DoRA"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
+    cost = evaluate.mock_inference(F.col("method"), 12.5, 82.0, 1024)
+    return table(spark, d, "benchmark").select("item_id", method.alias("method")).select("item_id", *[c.alias(k) for k, c in cost.items()])
+
+
+def evidence_labels(spark, d):
+    level = F.element_at(F.array(*map(F.lit, ("Established", "QuantumInspired", "NovelApplication", "Speculative", "Other"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    rank = F.when(F.pmod("doc_id", F.lit(3)) > 0, F.pmod("doc_id", F.lit(3)).cast("int"))
+    return table(spark, d, "documents").select("doc_id", ranking.evidence_label(level).alias("label"), ranking.rank_label(rank).alias("parameter"))
+
+
+def first_language(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.min_by("lang", "doc_id").alias("lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     gate_cascade_reasons, gate_cascade_decisions, instruction_quality, contamination_pairs, contamination_semi, contamination_anti, contamination_first_match, keyword_leak_by_lang, near_dup_classes, near_dup_pairs_same_lang,
     dedup_greedy_keep, token_sets, review_sample, train_subset, sft_text, tag_buckets, pass_at_k, pass_rates, weighted_rate, rank_runs, run_comparability, param_match, mock_costs, mock_pass_pattern, budget_running_sum, budget_used,
     state_transitions, event_counts_daily, event_pairs, events_json_props, mixed_publish_union, counts_zero_filled, review_missing, batches, head_by_language, readiness, publish_failures, version_faults, javascript_syntax,
-    freemarker_syntax, html_syntax, url_responses, prompts, topic_overlap, token_costs,
+    freemarker_syntax, html_syntax, url_responses, prompts, topic_overlap, token_costs, schema_gate, acceptance_check, held_out_tasks, benchmark_scores, topic_matrix, blocklist, missing_labels, mock_candidates, language_pivot, inference_metrics,
+    evidence_labels, first_language,
 )}
 
 
@@ -331,6 +412,10 @@ TASKS = f"(SELECT lang, task, arg_min(passed, sample) AS passAt1, bool_or(passed
 SPENT = "(SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)"
 NTH = "CAST(regexp_extract(source, '(\\d+)', 1) AS INT)"
 
+TOPICS = "(SELECT item_id AS ord, 'HO-' || item_id AS id, ['JavaScript', 'HTML', 'FreeMarker'][item_id % 3 + 1] AS language, substr(text, 1, 12) AS pattern, string_split(lower(text), ' ')[1:3] AS keywords FROM benchmark)"
+RECORDS = """(SELECT doc_id, ['syn-js', 'syn-html', 'seed-js'][doc_id % 3 + 1] AS p, ['JavaScript', 'HTML', 'JavaScript', 'Rust'][(doc_id // 3) % 4 + 1] AS l,
+    substr(text, 1, [300, 10][(doc_id // 12) % 2 + 1]) AS i, substr(text, 1, [40, 40, 5][(doc_id // 24) % 3 + 1]) AS c, (doc_id // 72) % 3 AS t, (doc_id // 216) % 3 AS m FROM documents)"""
+
 ORACLE_SQL = {
     "gate_cascade_reasons": f"{CASCADE} SELECT reason AS \"reasonCode\", count(*) AS rows FROM f WHERE reason IS NOT NULL GROUP BY reason",
     "gate_cascade_decisions": f"""{CASCADE} SELECT doc_id, reason IS NULL AS accepted, reason AS "reasonCode",
@@ -386,4 +471,30 @@ ORACLE_SQL = {
     "prompts": "SELECT item_id, 'Write HTML for: ' || substr(text, 1, 20) || ' (HTML)' AS prompt FROM benchmark",
     "topic_overlap": "SELECT doc_id AS id FROM documents INTERSECT SELECT item_id FROM benchmark",
     "token_costs": "SELECT source, round(sum(n_chars * 3.0 / 1e6 + 400 * 15.0 / 1e6), 6) AS usd FROM documents GROUP BY source",
+    "schema_gate": f"""SELECT doc_id, 'SeedValidationError [' || p || '-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '] ' || CASE
+        WHEN p = 'seed-js' THEN 'id: must match syn-(js|html|fmt)-NNNN' WHEN l = 'Rust' THEN 'targetLanguage: must be JavaScript, HTML, or FreeMarker'
+        WHEN l = 'JavaScript' AND p <> 'syn-js' THEN 'id: language prefix ''js'' must appear in id for JavaScript' WHEN l = 'HTML' AND p <> 'syn-html' THEN 'id: language prefix ''html'' must appear in id for HTML'
+        WHEN length(i) < 20 THEN 'instruction: must be at least 20 characters' WHEN length(c) < 10 THEN 'code: must be at least 10 characters'
+        WHEN t = 1 THEN 'tags: must be an array with at least 2 items' WHEN t = 2 THEN 'tags: must include exactly one difficulty tag (L1-trivial … L4-edge-case)'
+        WHEN m = 1 THEN 'metadata.source: must be ''synthetic'' for synthetic examples' WHEN m = 2 THEN 'metadata.source: invalid source value' END AS message FROM {RECORDS}""",
+    "acceptance_check": """SELECT doc_id, CASE WHEN NOT contains(lower(text), 'e') THEN 'missing keyword: E' WHEN NOT contains(lower(text), 'a') THEN 'missing keyword: a'
+        WHEN contains(lower(text), 'casino') THEN 'forbidden keyword: CASINO' WHEN contains(lower(text), '@') THEN 'forbidden keyword: @' END AS reason FROM documents""",
+    "held_out_tasks": f"""SELECT 'ho-' || c || '-' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, language AS "targetLanguage", id AS "topicId", CASE c WHEN 'js' THEN 'Implement ' || lower(pattern) || ' in plain JavaScript (ES modules).'
+        WHEN 'html' THEN 'Build a complete HTML5 page for: ' || pattern || '.' ELSE 'Write a FreeMarker template for: ' || pattern || '.' END AS instruction, array_to_string(keywords[1:2], ',') AS must, n - 1 AS task_index
+        FROM (SELECT *, CASE language WHEN 'JavaScript' THEN 'js' WHEN 'HTML' THEN 'html' ELSE 'fmt' END AS c, row_number() OVER (PARTITION BY language ORDER BY ord) AS n FROM {TOPICS})""",
+    "benchmark_scores": f"""WITH t AS (SELECT language, CASE language WHEN 'JavaScript' THEN 'js' ELSE 'fmt' END AS c, row_number() OVER (PARTITION BY language ORDER BY ord) AS n FROM {TOPICS} WHERE language <> 'HTML'),
+        s AS (SELECT c, n, k, ((n - 1 + k) % 10) / 10.0 < 0.72 AS ok FROM t, range(5) r(k))
+        SELECT 'ho-' || c || '-' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, arg_min(ok, k) AS "passAt1", bool_or(ok) AS "passAtK", true AS "syntaxValid" FROM s GROUP BY c, n""",
+    "topic_matrix": f"""SELECT id AS topic_id, language, CASE WHEN ord % 2 = 0 THEN 'L1' ELSE 'L3' END AS difficulty, CASE WHEN ord % 2 = 0 THEN 'yes' ELSE 'no' END AS in_seed, CASE WHEN ord % 2 = 0 THEN 'yes' ELSE 'no' END AS in_synthetic,
+        CASE WHEN ord % 2 = 0 THEN 'no' ELSE 'yes' END AS in_held_out, pattern FROM {TOPICS}""",
+    "blocklist": f"SELECT id || ' [' || language || ']: ' || pattern || ' | ' || array_to_string(keywords, ', ') AS value FROM {TOPICS}",
+    "missing_labels": "SELECT lang, count(*) AS rows FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY lang",
+    "mock_candidates": f"""SELECT 'syn-js-' || lpad(CAST(n AS VARCHAR), 4, '0') AS id, (n - 1) // 25 AS batch, {listed(METHOD_CYCLE)}[((n - 1) // 25) % 6 + 1] AS method,
+        'Write a JavaScript utility variant #' || n || ' following enterprise clean-code standards.' AS instruction, sha256(replace('{generate.CODE["JavaScript"].replace("'", "''")}', '{{n}}', CAST(n AS VARCHAR))) AS code, 'functional,module,L2-standard' AS tags,
+        'expansion: ' || {listed(METHOD_CYCLE)}[((n - 1) // 25) % 6 + 1] || '; dry-run mock' AS notes FROM range(1, 201) r(n)""",
+    "language_pivot": f"SELECT source, round(avg(coalesce(quality, 0)) FILTER (lang = 'en'), 6) AS \"enPassAt1\", round(avg(coalesce(quality, 0)) FILTER (lang = 'de'), 6) AS \"dePassAt1\" FROM {JUDGED} GROUP BY source",
+    "inference_metrics": """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 11.88 WHEN 2 THEN 14.0 ELSE 12.5 END AS "meanLatencyMsPerToken", CASE item_id % 4 WHEN 0 THEN 86.1 WHEN 2 THEN 75.44 ELSE 82.0 END AS "throughputTokensPerSec",
+        CASE item_id % 4 WHEN 2 THEN 563.2 ELSE 1024.0 END AS "modelSizeMb" FROM benchmark""",
+    "evidence_labels": "SELECT doc_id, ['L1', 'L2', 'L3', 'L4', 'Other'][doc_id % 5 + 1] AS label, CASE WHEN doc_id % 3 > 0 THEN 'r=' || (doc_id % 3) ELSE '—' END AS parameter FROM documents",
+    "first_language": "SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source",
 }

@@ -82,10 +82,19 @@ def lines(spark: SparkSession, path: str, schema: str, glob: str | None = None)
     return parsed(raw.where(F.trim(F.regexp_replace("value", r"[\t\r]", " ")) != ""), schema)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """``ord`` by file name and then line: the rank of the file, and the line within it.
+
+    Only the names of files are ranked, so rows aren't brought together.  Numbers
+    rise but have gaps.
+    """
+    files = rows.select("file").distinct().withColumn("nth", F.row_number().over(Window.orderBy("file")) - 1)
+    return rows.join(files, "file").withColumn("ord", F.shiftleft(F.col("nth").cast("bigint"), 40) + F.col("line")).drop("nth")
+
+
 def raw_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``batch-*.jsonl`` of a run, ``ord`` by file name and line."""
-    rows = lines(spark, folder, schemas.EXAMPLE, "batch-*.jsonl")
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("file", "line")) - 1)
+    """All ``batch-*.jsonl`` of a run, in the order of file names and lines."""
+    return in_order(lines(spark, folder, schemas.EXAMPLE, "batch-*.jsonl"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
