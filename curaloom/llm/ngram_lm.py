@@ -30,6 +30,8 @@ from .shared import discard, new_path, small_batches, store
 
 #: Tokens of a block, and n-grams of a hash partition, about.
 BLOCK_TOKENS, PARTITION_GRAMS = 1 << 21, 1 << 20
+#: Buckets of a table at most; with more blocks than that, a task has several.
+MOST_BUCKETS = 100_000
 
 
 class Numbering(dict):
@@ -184,7 +186,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
     total, bits = corpus["t"], max(0, math.ceil(math.log2(max(corpus["t"], 1) / partition_grams)))
     # laid out by block once, so that only the totals move when they are joined
     name = f"lm_blocks_{uuid.uuid4().hex[:12]}"
-    places = max(corpus["n"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = min(max(corpus["n"], int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     made.write.bucketBy(places, "block").option("path", new_path(spark, "lm-bucketed")).option("compression", "zstd").saveAsTable(name)
     discard(spark, first)
     made = spark.table(name)
