@@ -45,6 +45,11 @@ def test_small_blocks_and_partitions(spark):
     check(spark, TEXTS * 3, block_tokens=40, partition_grams=16)
 
 
+def test_several_blocks_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "MOST_BUCKETS", 1)
+    check(spark, TEXTS * 2, block_tokens=30, partition_grams=16)
+
+
 def test_awkward(spark):
     got = ngram_lm.score(awkward(spark), block_tokens=1000, partition_grams=500).collect()
     assert len(got) == awkward(spark).count() and all(r["log_score"] <= 0 for r in got)
