@@ -196,6 +196,8 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
         for k in levels:
             block.level(k)
             grams, often = block.sent[k], block.often[k]
+            if not len(grams):
+                continue
             part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
             ids, first = np.unique(part, return_index=True)
             for p, a, b in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(grams)], strict=True):

@@ -50,6 +50,12 @@ def test_several_blocks_in_a_bucket(spark, monkeypatch):
     check(spark, TEXTS * 2, block_tokens=30, partition_grams=16)
 
 
+def test_blocks_without_some_lengths(spark):
+    check(spark, [None, "", "one"])
+    check(spark, ["one", "two words", "one", "", "one"], block_tokens=1, partition_grams=1)
+    check(spark, ["", None])
+
+
 def test_awkward(spark):
     got = ngram_lm.score(awkward(spark), block_tokens=1000, partition_grams=500).collect()
     assert len(got) == awkward(spark).count() and all(r["log_score"] <= 0 for r in got)
