@@ -80,7 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     share of ``least_share`` or more, or with ``least_windows`` windows (a passage
     of sixteen words, whatever the length of the item).  Items give a window every ``stride`` words
     and one at their end; documents give one at every word.  A window needs
-    ``least_words`` different words that are no placeholders.
+    ``least_words`` different words that are no placeholders; others don't count.
 
     Defined cases: null and empty texts match nothing; items with fewer words than
     ``width`` are one window of their own length, those under four words are never
@@ -95,10 +95,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     if not widths:
         widths = [width]
     last = "size(a) - width + 1"
-    pos = F.expr(f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))")
-    spots = items.select("item", "width", "l", "k", "a", "b", F.size(pos).alias("of"), F.explode(pos).alias("pos"))
-    plain = "filter(transform(sequence(pos, pos + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL)"
-    spots = spots.where(F.expr(f"size(array_distinct({plain})) >= least(width, {least_words})"))
+    plain = "array_distinct(filter(transform(sequence(q, q + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL))"
+    pos = F.expr(f"filter(array_distinct(concat(sequence(1, {last}, {stride}), array({last}))), q -> size({plain}) >= least(width, {least_words}))")
+    spots = items.select("item", "width", "l", "k", "a", "b", pos.alias("all")).select("item", "width", "l", "k", "a", "b", F.size("all").alias("of"), F.explode("all").alias("pos"))
     known = spots.select(F.explode(F.slice("a", F.col("pos"), F.col("width"))).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
     known = sorted(r["h"] for r in known) if len(known) <= BROADCAST_WORDS else None
     key = "xxhash64(slice({0}, pos, width), width)"

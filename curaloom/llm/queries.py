@@ -119,10 +119,9 @@ def templates_sql() -> str:
     return f"""
         WITH {side('d', 'documents', 'doc_id', 'text')}, {side('i', 'benchmark', 'item_id', 'text')},
         s1 AS (SELECT *, least(len(a), 8) AS width FROM it WHERE len(a) >= 4),
-        s2 AS (SELECT *, list_distinct(list_concat(range(1, len(a) - width + 2, 4), [len(a) - width + 1])) AS spots FROM s1),
-        s3 AS (SELECT *, len(spots) AS n FROM s2),
-        s4 AS (SELECT id, width, a, b, v, n, unnest(spots) AS pos FROM s3),
-        s5 AS (SELECT * FROM s4 WHERE len(list_distinct(list_filter(list_transform(range(pos, pos + width), lambda q: CASE WHEN v[q] IS NULL THEN a[q] END), lambda x: x IS NOT NULL))) >= least(width, 4)),
+        s2 AS (SELECT *, list_filter(list_distinct(list_concat(range(1, len(a) - width + 2, 4), [len(a) - width + 1])), lambda o: len(list_distinct(list_filter(
+            list_transform(range(o, o + width), lambda q: CASE WHEN v[q] IS NULL THEN a[q] END), lambda x: x IS NOT NULL))) >= least(width, 4)) AS spots FROM s1),
+        s5 AS (SELECT id, width, a, b, v, len(spots) AS n, unnest(spots) AS pos FROM s2),
         s AS (SELECT DISTINCT id AS item_id, n, width, pos AS spot, v[pos:pos + width - 1] AS own, {keys('width')} AS key FROM s5),
         k AS (SELECT DISTINCT width FROM s1),
         m1 AS (SELECT id, a, b, v, width, unnest(range(1, len(a) - width + 2)) AS pos FROM dt, k),

@@ -33,6 +33,12 @@ def test_slots_must_agree(spark):
     assert (0, 0) in got and (1, 0) not in got
 
 
+def test_windows_of_placeholders_do_not_count(spark):
+    item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 what single value follows after these long rows"
+    got = found(spark, [item, "31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48"], [item])
+    assert set(got) == {(0, 0)} and got[0, 0] == 1.0
+
+
 def test_short_items(spark):
     got = found(spark, ["so green apples never sleep well", "green apples"], ["green apples never sleep", "too short here", "", None])
     assert set(got) == {(0, 0)}
