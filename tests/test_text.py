@@ -104,3 +104,12 @@ def test_fault_by_language(spark):
     rows = spark.createDataFrame([("JavaScript", "x"), ("HTML", "x"), ("FreeMarker", "x"), ("HTML", None)], "l string, c string")
     got = [r[0] for r in rows.select(syntax.fault(F.col("l"), F.col("c"))).collect()]
     assert got == ["missing export or function declaration", "missing <html> root element", None, None]
+
+
+def test_long_runs_stay_cheap(spark):
+    import time
+
+    rows = spark.createDataFrame([("x" + " " * 100_000 + "y",), ("{" * 50_000,), (" " * 100_000 + "```",)], "t string")
+    began = time.time()
+    rows.select(F.sum(F.length(text.stripped(F.col("t")))), F.count(text.json_object(F.col("t")))).collect()
+    assert time.time() - began < 30
