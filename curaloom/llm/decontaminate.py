@@ -37,7 +37,7 @@ def quoted(words: list[str]) -> str:
 
 def templated(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, and by word of the text: ``l`` (lower case), ``k`` (1 number, 2 unit, 3 name, 0 other), ``a`` (hashes, names as words), ``b`` (names as placeholders)."""
-    words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0)))
+    words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*+"), F.lit(0)))
     words = once(words, F.col("id"), F.col("ws"), l=F.expr("transform(ws, w -> lower(w))"))
     kind = f"""transform(ws, (w, i) -> CASE
         WHEN w < ':' OR l[i] IN ({quoted(NUMBER_WORDS)}) THEN 1
