@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import discard, new_path, small_batches, store
 
 #: Tokens of a block, and n-grams of a hash partition, about.
-BLOCK_TOKENS, PARTITION_GRAMS = 1 << 21, 1 << 20
+BLOCK_TOKENS, PARTITION_GRAMS = 3 << 19, 1 << 20
 #: Buckets of a table at most; with more blocks than that, a task has several.
 MOST_BUCKETS = 100_000
 
