@@ -13,9 +13,7 @@ Everything is an expression of Spark SQL.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import once, text_or_empty
@@ -54,22 +52,37 @@ def values(width: str) -> str:
     return f"zip_with(slice(l, pos, {width}), slice(k, pos, {width}), (w, x) -> CASE WHEN x > 0 THEN xxhash64(w) END)"
 
 
-def spotted(rows: DataFrame, width: int, known: list[int] | None) -> DataFrame:
-    """``id, l, k, pos, key`` of the windows of a width.
+def spotted(rows: DataFrame, widths: list[int], known: list[int] | None, literal_widths: list[int], literals: list[int] | None) -> DataFrame:
+    """``id, l, k, pos, width, key`` of the windows of some widths, as templates and as literal words.
 
     Where the words of all items are known, a window with another word in it can't
     match and isn't hashed.
     """
-    if known is None:
-        fits = F.expr(f"CASE WHEN size(a) >= {width} THEN sequence(1, size(a) - {width} + 1) ELSE array() END")
-        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), at=fits)
-    else:
-        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), f=F.expr(f"zip_with(a, k, (h, x) -> x = 3 OR h IN ({', '.join(map(str, known)) or 'NULL'}))"))
-        run = " AND ".join(f"f[i + {n - 1}]" for n in range(width))
-        fits = F.expr(f"CASE WHEN size(a) >= {width} THEN filter(sequence(1, size(a) - {width} + 1), i -> {run}) ELSE array() END")
-        rows = once(rows, *map(F.col, ("id", "l", "k", "a", "b")), at=fits)
-    keys = [f"transform(at, i -> named_struct('pos', i, 'key', xxhash64(slice({side}, i, {width}), {width})))" for side in "ab"]
-    return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.key")
+    base = [F.col(c) for c in ("id", "l", "k", "a", "b")]
+    made = {}
+    if known is not None:
+        made["f"] = F.expr(f"zip_with(a, k, (h, x) -> x = 3 OR h IN ({', '.join(map(str, known)) or 'NULL'}))")
+    if literals is not None and literal_widths:
+        made["g"] = F.expr(f"transform(l, w -> xxhash64(w) IN ({', '.join(map(str, literals))}))")
+    if made:
+        rows = once(rows, *base, **made)
+
+    def fits(width: int, flags: str) -> Column:
+        every = f"sequence(1, size(a) - {width} + 1)"
+        if flags in made:
+            every = f"filter({every}, i -> {' AND '.join(f'{flags}[i + {n - 1}]' for n in range(width))})"
+        return F.expr(f"CASE WHEN size(a) >= {width} THEN {every} ELSE array() END")
+
+    rows = once(rows, *base, **{f"t{w}": fits(w, "f") for w in widths}, **{f"v{w}": fits(w, "g") for w in literal_widths})
+    keys = [f"transform(t{w}, i -> named_struct('pos', i, 'width', {w}, 'key', xxhash64(slice({side}, i, {w}), {w})))" for w in widths for side in "ab"]
+    keys += [f"transform(v{w}, i -> named_struct('pos', i, 'width', {w}, 'key', xxhash64(slice(l, i, {w}), {w}, 'literal')))" for w in literal_widths]
+    return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.width", "w.key")
+
+
+def words_of(spots: DataFrame, words: str) -> list[int] | None:
+    """Hashes of the different words in windows, or none if they are too many."""
+    found = spots.select(F.explode(F.expr(words)).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
+    return sorted(r["h"] for r in found) if len(found) <= BROADCAST_WORDS else None
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_windows: int = 3, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -81,35 +94,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     of sixteen words, whatever the length of the item).  Items give a window every ``stride`` words
     and one at their end; documents give one at every word.  A window needs
     ``least_words`` different words that are no placeholders; others don't count.
+    An item without any such window, or with fewer than four words, would be told
+    from chance by no template: its windows meet the same words only, values included.
 
     Defined cases: null and empty texts match nothing; items with fewer words than
-    ``width`` are one window of their own length, those under four words are never
-    found; rows with a null id or item are left out, since a pair needs both;
+    ``width`` are one window of their own length; rows with a null id or item are left out, since a pair needs both;
     repeated ids are one document; equal items are all reported; empty tables
     give an empty result; only the named columns are read.
     """
     items = templated(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col).withColumnRenamed("id", "item")
     n = F.size("a")
-    items = items.where(n >= LEAST).withColumn("width", F.least(n, F.lit(width)))
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``width`` values
-    if not widths:
-        widths = [width]
+    items = items.where(n > 0).withColumn("width", F.least(n, F.lit(width)))
     last = "size(a) - width + 1"
     plain = "array_distinct(filter(transform(sequence(q, q + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL))"
-    pos = F.expr(f"filter(array_distinct(concat(sequence(1, {last}, {stride}), array({last}))), q -> size({plain}) >= least(width, {least_words}))")
-    spots = items.select("item", "width", "l", "k", "a", "b", pos.alias("all")).select("item", "width", "l", "k", "a", "b", F.size("all").alias("of"), F.explode("all").alias("pos"))
-    known = spots.select(F.explode(F.slice("a", F.col("pos"), F.col("width"))).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
-    known = sorted(r["h"] for r in known) if len(known) <= BROADCAST_WORDS else None
+    every = F.expr(f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))")
+    items = once(items, *map(F.col, ("item", "width", "l", "k", "a", "b")), every=every)
+    items = once(items, *map(F.col, ("item", "width", "l", "k", "a", "b", "every")), typed=F.expr(f"filter(every, q -> size(a) >= {LEAST} AND size({plain}) >= least(width, {least_words}))"))
+    items = items.withColumn("literal", F.size("typed") == 0).withColumn("all", F.when(F.col("literal"), F.col("every")).otherwise(F.col("typed")))
+    spots = items.select("item", "width", "l", "k", "a", "b", "literal", F.size("all").alias("of"), F.explode("all").alias("pos"))
+    kinds = spots.select("literal", "width").distinct().collect()  # at most two times ``width`` values
+    widths, literal_widths = (sorted(r["width"] for r in kinds if r["literal"] == kind) for kind in (False, True))
+    known = words_of(spots.where("NOT literal"), "slice(a, pos, width)")
+    literals = words_of(spots.where("literal"), "transform(slice(l, pos, width), w -> xxhash64(w))") if literal_widths else []
     key = "xxhash64(slice({0}, pos, width), width)"
-    spots = spots.select("item", "of", F.col("pos").alias("at"), "width", F.expr(values("width")).alias("own"), F.explode(F.expr(f"array_distinct(array({key.format('a')}, {key.format('b')}))")).alias("key"))
+    keys = F.expr(f"CASE WHEN literal THEN array(xxhash64(slice(l, pos, width), width, 'literal')) ELSE array_distinct(array({key.format('a')}, {key.format('b')})) END")
+    spots = spots.select("item", "of", F.col("pos").alias("at"), F.expr(values("width")).alias("own"), F.explode(keys).alias("key"))
 
     rows = templated(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    made = reduce(DataFrame.union, [spotted(rows, w, known) for w in widths])
+    made = spotted(rows, widths if kinds else [width], known, literal_widths, literals)
     few = spots.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     if few:
         hits = made.join(F.broadcast(spots), "key").withColumn("seen", F.expr(values("width")))
     else:
-        hits = made.select("id", "pos", "key", F.expr(values(str(width))).alias("seen")).join(spots, "key").withColumn("seen", F.slice("seen", F.lit(1), F.col("width")))
+        hits = made.select("id", "pos", "key", F.expr(values("width")).alias("seen")).join(spots, "key")
     pairs = F.expr("filter(arrays_zip(own, seen), p -> p.own IS NOT NULL AND p.seen IS NOT NULL)")
     hits = hits.select("id", "item", "of", "at", (F.col("pos") - F.col("at")).alias("shift"), pairs.alias("pairs"))
 

@@ -44,6 +44,21 @@ def test_short_items(spark):
     assert set(got) == {(0, 0)}
 
 
+def test_items_without_template_windows_are_found_literally(spark):
+    items = ["Who wrote the novel Moby Dick?", "What is 12 times 15?", "Compute 17 + 28 - 9 * 4.", "Anna has 3 apples and Bob has 5 apples.", "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "2 + 2 = ?", "name three rivers", "?"]
+    texts = [words(30, i) + " " + t + " " + words(30, 50 + i) for i, t in enumerate(items)]
+    others = ["who wrote the novel war and peace", "What is 13 times 15?", "Compute 18 + 28 - 9 * 4.", "Anna has 3 apples and Bob has 6 apples.", "name four rivers"]
+    assert set(found(spark, texts + others, items)) == {(i, i) for i in range(7)}
+
+
+def test_every_way_finds_literal_items(spark, monkeypatch):
+    items = ["What is 12 times 15?", "name three rivers", QUESTION]
+    texts = [words(30, i) + " " + t.upper() for i, t in enumerate(items)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 2)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 2)
+    assert set(found(spark, texts, items)) == {(i, i) for i in range(3)}
+
+
 def test_every_way_gives_the_same(spark, monkeypatch, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = lambda: sorted(tuple(r) for r in leaks(docs, bench).collect())
