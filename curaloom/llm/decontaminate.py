@@ -25,6 +25,8 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gra
 BROADCAST_WINDOWS = 200_000
 #: Words of the benchmark that documents' words are held against at most; with more, every window is hashed.
 BROADCAST_WORDS = 20_000
+#: Covered words of an item that are a repetition, however long the item.
+PASSAGE = 16
 #: Below this many words a text can't be told from chance.
 LEAST = 4
 
@@ -79,24 +81,42 @@ def spotted(rows: DataFrame, widths: list[int], known: list[int] | None, literal
     return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.width", "w.key")
 
 
+def agrees(met: str) -> str:
+    """SQL for whether each value of the item meets one value in windows of an alignment."""
+    pairs = f"array_distinct(flatten(transform({met}, m -> m.pairs)))"
+    return f"size({pairs}) = size(array_distinct(transform({pairs}, p -> p.own)))"
+
+
+def consistent(whole: bool) -> Column:
+    """The windows of an alignment that count: all if its values agree; else none, or with ``whole`` those on the stride if theirs agree."""
+    stride = "filter(met, m -> m.spot.counts)"
+    rest = f"CASE WHEN {agrees(stride)} THEN {stride} ELSE filter(met, m -> false) END" if whole else "filter(met, m -> false)"
+    return F.expr(f"CASE WHEN {agrees('met')} THEN met ELSE {rest} END")
+
+
 def words_of(spots: DataFrame, words: str) -> list[int] | None:
     """Hashes of the different words in windows, or none if they are too many."""
     found = spots.select(F.explode(F.expr(words)).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
     return sorted(r["h"] for r in found) if len(found) <= BROADCAST_WORDS else None
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_windows: int = 3, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_windows: int = 3, least_words: int = 4, whole: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of documents and benchmark items whose template they repeat.
 
     Returns ``id``, ``item_id``, ``windows`` (of the item, found in consistent
     alignments) and ``share`` (of the item's windows), one row per pair with a
     share of ``least_share`` or more, or with ``least_windows`` windows (a passage
-    of sixteen words, whatever the length of the item).  Items give a window every ``stride`` words
+    of sixteen words that starts on the stride, of twenty or so elsewhere).  Items give a window every ``stride`` words
     and one at their end; documents give one at every word.  A window needs
     ``least_words`` different words that are no placeholders; others don't count.
     An item without any such window, or with fewer than four words, would be told
     from chance by no template: its windows meet the same words only, values included.
 
+    With ``whole``, items give a window at every word, those of few plain words as
+    literal ones, and a pair is also reported if its windows cover a passage of
+    ``PASSAGE`` words of the item or ``least_share`` of them, wherever it starts.
+    ``windows`` and ``share`` count the windows on the stride all the same.
+
     Defined cases: null and empty texts match nothing; items with fewer words than
     ``width`` are one window of their own length; rows with a null id or item are left out, since a pair needs both;
     repeated ids are one document; equal items are all reported; empty tables
@@ -107,18 +127,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     items = items.where(n > 0).withColumn("width", F.least(n, F.lit(width)))
     last = "size(a) - width + 1"
     plain = "array_distinct(filter(transform(sequence(q, q + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL))"
-    every = F.expr(f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))")
-    items = once(items, *map(F.col, ("item", "width", "l", "k", "a", "b")), every=every)
-    items = once(items, *map(F.col, ("item", "width", "l", "k", "a", "b", "every")), typed=F.expr(f"filter(every, q -> size(a) >= {LEAST} AND size({plain}) >= least(width, {least_words}))"))
-    items = items.withColumn("literal", F.size("typed") == 0).withColumn("all", F.when(F.col("literal"), F.col("every")).otherwise(F.col("typed")))
-    spots = items.select("item", "width", "l", "k", "a", "b", "literal", F.size("all").alias("of"), F.explode("all").alias("pos"))
+    grid = f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))"
+    sides = [F.col(c) for c in ("item", "width", "l", "k", "a", "b")]
+    items = once(items, *sides, every=F.expr(f"sequence(1, {last})" if whole else grid), grid=F.expr(grid))
+    items = once(items, *sides, F.col("every"), F.col("grid"), typed=F.expr(f"filter(every, q -> size(a) >= {LEAST} AND size({plain}) >= least(width, {least_words}))"))
+    # the windows on the stride that count: the typed ones, or all where none is typed
+    items = once(items, *sides, F.col("every"), F.col("grid"), F.col("typed"), counted=F.array_intersect("grid", "typed"))
+    items = items.withColumn("counted", F.when(F.size("counted") > 0, F.col("counted")).otherwise(F.col("grid")))
+    spots = items.select(*sides, "typed", "counted", F.explode("every" if whole else "counted").alias("pos"))
+    spots = spots.select(*sides, "pos", F.size("a").alias("n"), F.size("counted").alias("of"), F.expr("array_contains(counted, pos)").alias("counts"), F.expr("NOT array_contains(typed, pos)").alias("literal"))
     kinds = spots.select("literal", "width").distinct().collect()  # at most two times ``width`` values
     widths, literal_widths = (sorted(r["width"] for r in kinds if r["literal"] == kind) for kind in (False, True))
     known = words_of(spots.where("NOT literal"), "slice(a, pos, width)")
     literals = words_of(spots.where("literal"), "transform(slice(l, pos, width), w -> xxhash64(w))") if literal_widths else []
     key = "xxhash64(slice({0}, pos, width), width)"
     keys = F.expr(f"CASE WHEN literal THEN array(xxhash64(slice(l, pos, width), width, 'literal')) ELSE array_distinct(array({key.format('a')}, {key.format('b')})) END")
-    spots = spots.select("item", "of", F.col("pos").alias("at"), F.expr(values("width")).alias("own"), F.explode(keys).alias("key"))
+    spots = spots.select("item", F.struct("n", "of", "width").alias("of"), F.struct(F.col("pos").alias("at"), "counts").alias("spot"), F.expr(values("width")).alias("own"), F.explode(keys).alias("key"))
 
     rows = templated(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     made = spotted(rows, widths if kinds else [width], known, literal_widths, literals)
@@ -128,17 +152,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
     else:
         hits = made.select("id", "pos", "key", F.expr(values("width")).alias("seen")).join(spots, "key")
     pairs = F.expr("filter(arrays_zip(own, seen), p -> p.own IS NOT NULL AND p.seen IS NOT NULL)")
-    hits = hits.select("id", "item", "of", "at", (F.col("pos") - F.col("at")).alias("shift"), pairs.alias("pairs"))
+    hits = hits.select("id", "item", "of", "spot", (F.col("pos") - F.col("spot.at")).alias("shift"), pairs.alias("pairs"))
 
     # an alignment has at most the item's windows and placeholders, so these sets are bounded by the item
-    lines = hits.groupBy("id", "item", "of", "shift").agg(F.collect_set("at").alias("ats"), F.collect_set("pairs").alias("lists"))
-    lines = lines.withColumn("pairs", F.array_distinct(F.flatten("lists")))
-    sound = lines.where(F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.own)))"))
-    found = sound.select("id", "item", "of", F.explode("ats").alias("at")).groupBy("id", "item", "of").agg(F.countDistinct("at").alias("windows"))
-    return found.select("id", F.col("item").alias("item_id"), "windows", (F.col("windows") / F.col("of")).alias("share")).where((F.col("share") >= least_share) | (F.col("windows") >= least_windows))
+    lines = hits.groupBy("id", "item", "of", "shift").agg(F.collect_set(F.struct("spot", "pairs")).alias("met"))
+    sound = lines.withColumn("met", consistent(whole))
+    found = sound.select("id", "item", "of", F.explode("met.spot").alias("spot")).groupBy("id", "item", "of").agg(F.collect_set("spot").alias("spots"))
+    covered = F.expr("size(array_distinct(flatten(transform(spots, s -> sequence(s.at, s.at + of.width - 1)))))")
+    found = found.withColumn("windows", F.expr("CAST(size(filter(spots, s -> s.counts)) AS BIGINT)")).withColumn("share", F.col("windows") / F.col("of.of")).withColumn("covered", covered)
+    enough = (F.col("share") >= least_share) | (F.col("windows") >= least_windows)
+    if whole:
+        enough |= (F.col("covered") >= PASSAGE) | (F.col("covered") >= least_share * F.col("of.n"))
+    return found.where(enough).select("id", F.col("item").alias("item_id"), "windows", "share")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that repeat no benchmark item; rows without an id stay."""
-    gone = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias("__id")).distinct()
+    """The rows of ``docs`` that repeat no benchmark item, in whole or in passages; rows without an id stay."""
+    gone = leaks(docs, benchmark, whole=True, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias("__id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")

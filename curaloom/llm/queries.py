@@ -42,7 +42,7 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
     return found.select(F.col("id").alias("doc_id"), "item_id", "windows", F.round("share", 6).alias("share"))
 
 
@@ -99,7 +99,10 @@ def secrets_sql() -> str:
 
 
 def templates_sql() -> str:
-    """Template windows, alignments and slots in SQL; keys are the joined words themselves."""
+    """Template windows on the stride, alignments and slots in SQL; keys are the joined words themselves.
+
+    The query also finds what lies off the stride, which the given tables have none of.
+    """
     numbers, units = decontaminate.quoted(decontaminate.NUMBER_WORDS), decontaminate.quoted(decontaminate.UNITS)
     number, unit = f"(w < ':' OR lower(w) IN ({numbers}))", f"(i > 1 AND p < ':' AND lower(w) IN ({units}))"
     name = "(w <> lower(w) AND substr(w, 2) = lower(substr(w, 2)) AND length(w) > 1)"

@@ -59,6 +59,22 @@ def test_every_way_finds_literal_items(spark, monkeypatch):
     assert set(found(spark, texts, items)) == {(i, i) for i in range(3)}
 
 
+def test_whole_finds_passages_wherever_they_start(spark):
+    item = words(59, 8)
+    parts = [" ".join(item.split()[i : i + 16]) for i in range(44)]
+    texts = [words(30, 100 + i) + " " + part + " " + words(30, 200 + i) for i, part in enumerate(parts)]
+    assert set(found(spark, texts, [item], whole=True)) == {(i, 0) for i in range(44)}
+    docs = spark.createDataFrame(list(enumerate([*texts, words(90, 3), " ".join(item.split()[:9])])), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {44, 45}
+
+
+def test_whole_matches_windows_of_few_words_literally(spark):
+    item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 " + words(40, 8)
+    texts = ["x " + " ".join(item.split()[2:20]) + " y", " ".join(str(40 + i) for i in range(22))]
+    assert set(found(spark, texts, [item], whole=True)) == {(0, 0)}
+
+
 def test_every_way_gives_the_same(spark, monkeypatch, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = lambda: sorted(tuple(r) for r in leaks(docs, bench).collect())
