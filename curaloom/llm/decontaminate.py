@@ -88,9 +88,10 @@ def agrees(met: str) -> str:
 
 
 def consistent(whole: bool) -> Column:
-    """The windows of an alignment that count: all if its values agree; else none, or with ``whole`` those on the stride if theirs agree."""
+    """The windows of an alignment that count: all if its values agree; else none, or with ``whole`` the literal ones, and those on the stride if theirs agree."""
     stride = "filter(met, m -> m.spot.counts)"
-    rest = f"CASE WHEN {agrees(stride)} THEN {stride} ELSE filter(met, m -> false) END" if whole else "filter(met, m -> false)"
+    same = "forall(m.pairs, p -> p.own = p.seen)"
+    rest = f"filter(met, m -> {same} OR (m.spot.counts AND {agrees(stride)}))" if whole else "filter(met, m -> false)"
     return F.expr(f"CASE WHEN {agrees('met')} THEN met ELSE {rest} END")
 
 
@@ -114,7 +115,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4
 
     With ``whole``, items give a window at every word, those of few plain words as
     literal ones, and a pair is also reported if its windows cover a passage of
-    ``PASSAGE`` words of the item or ``least_share`` of them, wherever it starts.
+    ``PASSAGE`` words of the item or ``least_share`` of them, wherever it starts.  Where
+    values disagree, windows with the item's own values count.
     ``windows`` and ``share`` count the windows on the stride all the same.
 
     Defined cases: null and empty texts match nothing; items with fewer words than

@@ -75,6 +75,15 @@ def test_whole_matches_windows_of_few_words_literally(spark):
     assert set(found(spark, texts, [item], whole=True)) == {(0, 0)}
 
 
+def test_whole_keeps_literal_windows_beside_one_changed_value(spark):
+    part = words(50, 8).split()
+    item = " ".join(["The", *part[:25], "The", *part[25:40], "took 12", *part[40:], "and 12 more"])
+    changed = [item.replace("The", "Bob", 1), item.replace("12", "30", 1)]
+    split = "If Anna gives 12 apples to Ben and later Anna takes 12 plums"
+    got = found(spark, [*changed, split.replace("12 apples", "30 apples").replace("Anna takes", "Maria takes")], [item, split], whole=True)
+    assert set(got) == {(0, 0), (1, 0)}
+
+
 def test_every_way_gives_the_same(spark, monkeypatch, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = lambda: sorted(tuple(r) for r in leaks(docs, bench).collect())
