@@ -7,6 +7,8 @@ labels the judge's score.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Fixed values of these queries: phrases and verbs in the tables' languages, and keywords by language.
 VAGUE = ("the the the", "de de de", "haha", "und und")
+LANGUAGES = ("en", "de", "es", "fr")
 VERBS = ("the", "der", "de", "la", "und", "que")
 KEYWORDS = [
     ("en", 0, "HO-EN-001", 0, "ing"), ("en", 0, "HO-EN-001", 1, "that"), ("en", 1, "HO-EN-002", 0, "of the of"), ("en", 1, "HO-EN-002", 1, "with"),
@@ -105,6 +108,11 @@ def token_sets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(words).alias("words"), F.array_join(F.slice(F.sort_array(words), 1, 5), " ").alias("head"))
 
 
+def token_sets_whole(spark, d):
+    words = F.sort_array(text.token_set(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.size(words).alias("words"), F.sha2(F.array_join(words, " "), 256).alias("set_sha256"))
+
+
 def review_sample(spark, d):
     return sampling.review_sample(table(spark, d, "documents"), "doc_id", "run-001", 0.05, 1).select("doc_id")
 
@@ -220,6 +228,12 @@ def mixed_publish_union(spark, d):
     return parts[0].unionByName(parts[1]).groupBy("src_ord", "lang").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
 
 
+def mixed_publish_union_all(spark, d):
+    docs = table(spark, d, "documents")
+    parts = [docs.where(F.col("lang") == name).select(F.lit(i).alias("src_ord"), "doc_id", "lang") for i, name in enumerate(LANGUAGES)]
+    return reduce(DataFrame.unionByName, parts).groupBy("src_ord", "lang").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
+
+
 def counts_zero_filled(spark, d):
     every = spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "it")], "lang string")
     n = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -308,8 +322,8 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     meta = lambda source: F.struct(F.lit("a").alias("author"), F.lit("2026-01-01").alias("created"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("notes"))
     return table(spark, d, "documents").select(
         n.alias("ord"), F.format_string("%s-%04d", cycle([F.lit(x) for x in ("syn-js", "syn-html", "seed-js")], 1), F.pmod(n, F.lit(10000))).alias("id"),
-        cycle([F.lit(x) for x in ("JavaScript", "HTML", "JavaScript", "Rust")], 3).alias("targetLanguage"), F.substr("text", F.lit(1), cycle([F.lit(x) for x in (300, 10)], 12)).alias("instruction"),
-        F.substr("text", F.lit(1), cycle([F.lit(x) for x in (40, 40, 5)], 24)).alias("code"),
+        cycle([F.lit(x) for x in ("JavaScript", "HTML", "JavaScript", "Rust")], 3).alias("targetLanguage"), cycle([F.col("text"), F.substr("text", F.lit(1), F.lit(10))], 12).alias("instruction"),
+        cycle([F.col("text"), F.col("text"), F.substr("text", F.lit(1), F.lit(5))], 24).alias("code"),
         cycle([F.array(*map(F.lit, x)) for x in (("L1-trivial", "array", "forms"), ("L1-trivial",), ("array", "forms"))], 72).alias("tags"), cycle([meta("synthetic"), meta("manual"), meta("web")], 216).alias("metadata"),
     )
 
@@ -334,9 +348,18 @@ def held_out_tasks(spark, d):
     return generate.held_out_tasks(topics(spark, d)).select("id", "targetLanguage", "topicId", "instruction", F.array_join("acceptanceCriteria.mustContain", ",").alias("must"), "task_index")
 
 
-def benchmark_scores(spark, d):
+def scored(spark: SparkSession, d: str, languages: str) -> DataFrame:
     tasks = generate.held_out_tasks(topics(spark, d)).withColumn("acceptanceCriteria", F.col("acceptanceCriteria").withField("mustContain", F.array(F.col("id"), F.lit("solution"))))
-    return evaluate.score_benchmark(tasks.where("targetLanguage <> 'HTML'"), 0.72, 5).select("id", "passAt1", "passAtK", "syntaxValid")
+    return evaluate.score_benchmark(tasks.where(languages), 0.72, 5).select("id", "passAt1", "passAtK", "syntaxValid")
+
+
+def benchmark_scores(spark, d):
+    return scored(spark, d, "targetLanguage <> 'HTML'")
+
+
+def benchmark_scores_html(spark, d):
+    """The language whose syntax check is beyond SQL; with ``benchmark_scores`` every task is scored."""
+    return scored(spark, d, "targetLanguage = 'HTML'")
 
 
 def topic_matrix(spark, d):
@@ -365,6 +388,11 @@ def language_pivot(spark, d):
     return rows.select("source", F.col("en").alias("enPassAt1"), F.col("de").alias("dePassAt1"))
 
 
+def language_pivot_all(spark, d):
+    rows = judged(spark, d).groupBy("source").pivot("lang", list(LANGUAGES)).agg(F.round(F.avg(F.coalesce("quality", F.lit(0)).cast("double")), 6))
+    return rows.select("source", *[F.col(name).alias(f"{name}PassAt1") for name in LANGUAGES])
+
+
 def inference_metrics(spark, d):
     method = F.element_at(F.array(*map(F.lit, ("FewShot", "LoRA", "QLoRA", "DoRA"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
     cost = evaluate.mock_inference(F.col("method"), 12.5, 82.0, 1024)
@@ -386,7 +414,7 @@ QUERIES = {f.__name__: f for f in (
     dedup_greedy_keep, token_sets, review_sample, train_subset, sft_text, tag_buckets, pass_at_k, pass_rates, weighted_rate, rank_runs, run_comparability, param_match, mock_costs, mock_pass_pattern, budget_running_sum, budget_used,
     state_transitions, event_counts_daily, event_pairs, events_json_props, mixed_publish_union, counts_zero_filled, review_missing, batches, head_by_language, readiness, publish_failures, version_faults, javascript_syntax,
     freemarker_syntax, html_syntax, url_responses, prompts, topic_overlap, token_costs, schema_gate, acceptance_check, held_out_tasks, benchmark_scores, topic_matrix, blocklist, missing_labels, mock_candidates, language_pivot, inference_metrics,
-    evidence_labels, first_language,
+    evidence_labels, first_language, benchmark_scores_html, token_sets_whole, mixed_publish_union_all, language_pivot_all,
 )}
 
 
@@ -497,4 +525,7 @@ ORACLE_SQL = {
         CASE item_id % 4 WHEN 2 THEN 563.2 ELSE 1024.0 END AS "modelSizeMb" FROM benchmark""",
     "evidence_labels": "SELECT doc_id, ['L1', 'L2', 'L3', 'L4', 'Other'][doc_id % 5 + 1] AS label, CASE WHEN doc_id % 3 > 0 THEN 'r=' || (doc_id % 3) ELSE '—' END AS parameter FROM documents",
     "first_language": "SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source",
+    "token_sets_whole": f"SELECT doc_id, len({TOKENS}) AS words, sha256(array_to_string(list_sort({TOKENS}), ' ')) AS set_sha256 FROM documents",
+    "mixed_publish_union_all": f"SELECT list_position({listed(LANGUAGES)}, lang) - 1 AS src_ord, lang, count(*) AS rows, min(doc_id) AS first_id FROM documents WHERE lang IN ({listed(LANGUAGES)[1:-1]}) GROUP BY ALL",
+    "language_pivot_all": "SELECT source, " + ", ".join(f"round(avg(coalesce(quality, 0)) FILTER (lang = '{x}'), 6) AS \"{x}PassAt1\"" for x in LANGUAGES) + f" FROM {JUDGED} GROUP BY source",
 }
