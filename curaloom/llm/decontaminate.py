@@ -1,12 +1,20 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, units and names become typed placeholders, so a question with other
-values keeps its template.  Windows of template words are hashed and joined
-between documents and benchmark items.  A placeholder must then stand for one
-value: where an item's value ``x`` meets ``y`` in a document at one place and
-``z`` at another of the same alignment, the alignment is no re-parameterised
-question and is dropped.  Windows are hashed twice, with names as words and with
-names as placeholders, so texts in another letter case match as well.
+values keeps its template.  A text is read in three ways:
+
+* ``words``: its lower-cased words, for verbatim passages;
+* ``values``: numbers and units as placeholders, names as words, for texts in
+  another letter case;
+* ``names``: numbers, units and names as placeholders, where a run of capitalised
+  words is one name and a run of number words one number, so values may have
+  other lengths.
+
+Windows of at most eight entries, at every position of items and documents, are
+hashed and joined.  Windows of an item that meet a document at one distance are an
+alignment.  In it a placeholder must stand for one value: where an item's value
+``x`` meets ``y`` at one place and ``z`` at another, only windows with the item's
+own values count.
 
 Everything is an expression of Spark SQL.
 """
@@ -16,19 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import once, text_or_empty
+from .shared import once, rest_of, text_or_empty
 
 #: Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms kilograms ton tons ounce ounces pound pounds ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur mph kmh degree degrees celsius fahrenheit watt watts kw kwh volt volts amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
 #: Windows of the benchmark that go into a broadcast at most; more are joined by shuffling.
 BROADCAST_WINDOWS = 200_000
-#: Words of the benchmark that documents' words are held against at most; with more, every window is hashed.
+#: Entries of the benchmark that documents' entries are held against at most; with more, every window is hashed.
 BROADCAST_WORDS = 20_000
-#: Covered words of an item that are a repetition, however long the item.
-PASSAGE = 16
-#: Below this many words a text can't be told from chance.
-LEAST = 4
+#: The readings, by number.
+WORDS, VALUES, NAMES = 0, 1, 2
 
 
 def quoted(words: list[str]) -> str:
@@ -36,139 +42,119 @@ def quoted(words: list[str]) -> str:
 
 
 def templated(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, and by word of the text: ``l`` (lower case), ``k`` (1 number, 2 unit, 3 name, 0 other), ``a`` (hashes, names as words), ``b`` (names as placeholders)."""
+    """``id, way, h, v``: a row per text and reading, with the hashes of its entries and of the placeholders' values (null at other entries)."""
+    keep = F.col("id")
     words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*+"), F.lit(0)))
-    words = once(words, F.col("id"), F.col("ws"), l=F.expr("transform(ws, w -> lower(w))"))
+    words = once(words, keep, F.col("ws"), l=F.expr("transform(ws, w -> lower(w))"))
+    words = once(words, keep, F.col("ws"), F.col("l"), d=F.expr(f"zip_with(ws, l, (w, x) -> w < ':' OR x IN ({quoted(NUMBER_WORDS)}))"))
     kind = f"""transform(ws, (w, i) -> CASE
-        WHEN w < ':' OR l[i] IN ({quoted(NUMBER_WORDS)}) THEN 1
-        WHEN i > 0 AND ws[i - 1] < ':' AND l[i] IN ({quoted(UNITS)}) THEN 2
+        WHEN d[i] THEN 1
+        WHEN i > 0 AND d[i - 1] AND l[i] IN ({quoted(UNITS)}) THEN 2
         WHEN w <> l[i] AND length(w) > 1 AND substr(w, 2) = lower(substr(w, 2)) THEN 3
         ELSE 0 END)"""
-    words = once(words, F.col("id"), F.col("l"), k=F.expr(kind))
-    words = once(words, F.col("id"), F.col("l"), F.col("k"), a=F.expr("zip_with(l, k, (w, x) -> CASE WHEN x = 1 THEN 1L WHEN x = 2 THEN 2L ELSE xxhash64(w) END)"))
-    return once(words, F.col("id"), F.col("l"), F.col("k"), F.col("a"), b=F.expr("zip_with(a, k, (h, x) -> CASE WHEN x = 3 THEN 3L ELSE h END)"))
-
-
-def values(width: str) -> str:
-    """SQL for the value hashes of a window's placeholders, null at other words."""
-    return f"zip_with(slice(l, pos, {width}), slice(k, pos, {width}), (w, x) -> CASE WHEN x > 0 THEN xxhash64(w) END)"
-
-
-def spotted(rows: DataFrame, widths: list[int], known: list[int] | None, literal_widths: list[int], literals: list[int] | None) -> DataFrame:
-    """``id, l, k, pos, width, key`` of the windows of some widths, as templates and as literal words.
-
-    Where the words of all items are known, a window with another word in it can't
-    match and isn't hashed.
-    """
-    base = [F.col(c) for c in ("id", "l", "k", "a", "b")]
-    made = {}
+    words = once(words, keep, F.col("ws"), F.col("l"), k=F.expr(kind), g=F.expr("transform(l, w -> xxhash64(w))"))
+    # places at which an entry of the third reading starts
+    starts = "filter(transform(ws, (w, i) -> CASE WHEN i > 0 AND k[i] = k[i - 1] AND (k[i] = 3 OR (k[i] = 1 AND w > ':')) THEN NULL ELSE i END), i -> i IS NOT NULL)"
+    words = once(words, keep, F.col("l"), F.col("k"), F.col("g"), s=F.expr(starts))
+    none = "CAST(array() AS array<bigint>)"
+    ways = f"""array(
+        named_struct('way', {WORDS}, 'h', g, 'v', {none}),
+        named_struct('way', {VALUES}, 'h', zip_with(g, k, (x, y) -> CASE WHEN y IN (1, 2) THEN CAST(y AS BIGINT) ELSE x END), 'v', zip_with(g, k, (x, y) -> CASE WHEN y IN (1, 2) THEN x END)),
+        named_struct('way', {NAMES}, 'h', transform(s, p -> CASE WHEN k[p] = 0 THEN g[p] ELSE CAST(k[p] AS BIGINT) END),
+                     'v', transform(s, (p, j) -> CASE WHEN k[p] > 0 THEN xxhash64(slice(l, p + 1, coalesce(get(s, j + 1), size(l)) - p)) END)))"""
+    return words.select("id", F.inline(F.expr(ways)))
+
+
+def windows_of(rows: DataFrame, widths: list[int], known: list[int] | None) -> DataFrame:
+    """``id, way, pos, key, seen`` of every window of some widths; where the entries of all items are known, of windows without others."""
+    base = [F.col(c) for c in ("id", "way", "h", "v")]
     if known is not None:
-        made["f"] = F.expr(f"zip_with(a, k, (h, x) -> x = 3 OR h IN ({', '.join(map(str, known)) or 'NULL'}))")
-    if literals is not None and literal_widths:
-        made["g"] = F.expr(f"transform(l, w -> xxhash64(w) IN ({', '.join(map(str, literals))}))")
-    if made:
-        rows = once(rows, *base, **made)
-
-    def fits(width: int, flags: str) -> Column:
-        every = f"sequence(1, size(a) - {width} + 1)"
-        if flags in made:
-            every = f"filter({every}, i -> {' AND '.join(f'{flags}[i + {n - 1}]' for n in range(width))})"
-        return F.expr(f"CASE WHEN size(a) >= {width} THEN {every} ELSE array() END")
-
-    rows = once(rows, *base, **{f"t{w}": fits(w, "f") for w in widths}, **{f"v{w}": fits(w, "g") for w in literal_widths})
-    keys = [f"transform(t{w}, i -> named_struct('pos', i, 'width', {w}, 'key', xxhash64(slice({side}, i, {w}), {w})))" for w in widths for side in "ab"]
-    keys += [f"transform(v{w}, i -> named_struct('pos', i, 'width', {w}, 'key', xxhash64(slice(l, i, {w}), {w}, 'literal')))" for w in literal_widths]
-    return rows.select("id", "l", "k", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("w")).select("id", "l", "k", "w.pos", "w.width", "w.key")
-
-
-def agrees(met: str) -> str:
-    """SQL for whether each value of the item meets one value in windows of an alignment."""
-    pairs = f"array_distinct(flatten(transform({met}, m -> m.pairs)))"
-    return f"size({pairs}) = size(array_distinct(transform({pairs}, p -> p.own)))"
-
-
-def consistent(whole: bool) -> Column:
-    """The windows of an alignment that count: all if its values agree; else none, or with ``whole`` the literal ones, and those on the stride if theirs agree."""
-    stride = "filter(met, m -> m.spot.counts)"
-    same = "forall(m.pairs, p -> p.own = p.seen)"
-    rest = f"filter(met, m -> {same} OR (m.spot.counts AND {agrees(stride)}))" if whole else "filter(met, m -> false)"
-    return F.expr(f"CASE WHEN {agrees('met')} THEN met ELSE {rest} END")
-
-
-def words_of(spots: DataFrame, words: str) -> list[int] | None:
-    """Hashes of the different words in windows, or none if they are too many."""
-    found = spots.select(F.explode(F.expr(words)).alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
-    return sorted(r["h"] for r in found) if len(found) <= BROADCAST_WORDS else None
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, least_share: float = 0.5, least_windows: int = 3, least_words: int = 4, whole: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Pairs of documents and benchmark items whose template they repeat.
-
-    Returns ``id``, ``item_id``, ``windows`` (of the item, found in consistent
-    alignments) and ``share`` (of the item's windows), one row per pair with a
-    share of ``least_share`` or more, or with ``least_windows`` windows (a passage
-    of sixteen words that starts on the stride, of twenty or so elsewhere).  Items give a window every ``stride`` words
-    and one at their end; documents give one at every word.  A window needs
-    ``least_words`` different words that are no placeholders; others don't count.
-    An item without any such window, or with fewer than four words, would be told
-    from chance by no template: its windows meet the same words only, values included.
-
-    With ``whole``, items give a window at every word, those of few plain words as
-    literal ones, and a pair is also reported if its windows cover a passage of
-    ``PASSAGE`` words of the item or ``least_share`` of them, wherever it starts.  Where
-    values disagree, windows with the item's own values count.
-    ``windows`` and ``share`` count the windows on the stride all the same.
-
-    Defined cases: null and empty texts match nothing; items with fewer words than
-    ``width`` are one window of their own length; rows with a null id or item are left out, since a pair needs both;
-    repeated ids are one document; equal items are all reported; empty tables
-    give an empty result; only the named columns are read.
+        rows = once(rows, *base, f=F.expr(f"transform(h, x -> x IN ({', '.join(map(str, known)) or 'NULL'}))"))
+    fits = {}
+    for width in widths:
+        every = f"sequence(1, size(h) - {width} + 1)"
+        if known is not None:
+            every = f"filter({every}, i -> {' AND '.join(f'f[i + {n - 1}]' for n in range(width))})"
+        fits[f"t{width}"] = F.expr(f"CASE WHEN size(h) >= {width} THEN {every} ELSE array() END")
+    rows = once(rows, *base, **fits)
+    made = [f"transform(t{w}, i -> named_struct('pos', i, 'key', xxhash64(slice(h, i, {w}), {w}, way), 'seen', CASE WHEN way > {WORDS} THEN slice(v, i, {w}) ELSE v END))" for w in widths]
+    return rows.select("id", "way", F.inline(F.expr(f"concat({', '.join(made)})" if made else "CAST(array() AS array<struct<pos:int,key:bigint,seen:array<bigint>>>)")))
+
+
+def consistent() -> Column:
+    """The windows of an alignment that count: all if each value of the item meets one value, else those with the item's own values."""
+    pairs = "array_distinct(flatten(transform(met, m -> m.pairs)))"
+    agrees = f"size({pairs}) = size(array_distinct(transform({pairs}, p -> p.own)))"
+    return F.expr(f"CASE WHEN {agrees} THEN met ELSE filter(met, m -> forall(m.pairs, p -> p.own = p.seen)) END")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, passage: int = 16, plain: int = 4, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Pairs of documents and benchmark items that they repeat, verbatim or with other values.
+
+    Returns ``id``, ``item_id``, ``verbatim`` (words of the item that stand in the
+    document in windows of ``width`` words, or as the whole of a shorter item),
+    ``template`` (entries of the item's template that the document repeats, by the
+    reading that has more) and ``share`` (the larger of both as a share of the
+    item).  A pair is reported if
+
+    * any window stands there verbatim, in any letter case; or
+    * consistent alignments cover ``passage`` entries of the template, or ``share``
+      of it, with at least ``plain`` different entries that are no placeholders.
+      With fewer of those the passage must be longer in proportion (with one of
+      four, four times as long); or
+    * they cover a whole template of at least ``plain`` entries, one of them no
+      placeholder.
+
+    A window of placeholders alone matches verbatim only: by its template it can't
+    be told from any row of numbers or names.
+
+    Defined cases: null and empty texts and texts without words match nothing;
+    items with fewer entries than ``width`` are one window of their own length, so
+    an item of one word is found wherever that word stands; rows with a null id or
+    item are left out, since a pair needs both; repeated ids are one document;
+    equal items are all reported; empty tables give an empty result; only the
+    named columns are read.
     """
-    items = templated(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col).withColumnRenamed("id", "item")
-    n = F.size("a")
-    items = items.where(n > 0).withColumn("width", F.least(n, F.lit(width)))
-    last = "size(a) - width + 1"
-    plain = "array_distinct(filter(transform(sequence(q, q + width - 1), p -> CASE WHEN k[p - 1] = 0 THEN a[p - 1] END), x -> x IS NOT NULL))"
-    grid = f"array_distinct(concat(sequence(1, {last}, {stride}), array({last})))"
-    sides = [F.col(c) for c in ("item", "width", "l", "k", "a", "b")]
-    items = once(items, *sides, every=F.expr(f"sequence(1, {last})" if whole else grid), grid=F.expr(grid))
-    items = once(items, *sides, F.col("every"), F.col("grid"), typed=F.expr(f"filter(every, q -> size(a) >= {LEAST} AND size({plain}) >= least(width, {least_words}))"))
-    # the windows on the stride that count: the typed ones, or all where none is typed
-    items = once(items, *sides, F.col("every"), F.col("grid"), F.col("typed"), counted=F.array_intersect("grid", "typed"))
-    items = items.withColumn("counted", F.when(F.size("counted") > 0, F.col("counted")).otherwise(F.col("grid")))
-    spots = items.select(*sides, "typed", "counted", F.explode("every" if whole else "counted").alias("pos"))
-    spots = spots.select(*sides, "pos", F.size("a").alias("n"), F.size("counted").alias("of"), F.expr("array_contains(counted, pos)").alias("counts"), F.expr("NOT array_contains(typed, pos)").alias("literal"))
-    kinds = spots.select("literal", "width").distinct().collect()  # at most two times ``width`` values
-    widths, literal_widths = (sorted(r["width"] for r in kinds if r["literal"] == kind) for kind in (False, True))
-    known = words_of(spots.where("NOT literal"), "slice(a, pos, width)")
-    literals = words_of(spots.where("literal"), "transform(slice(l, pos, width), w -> xxhash64(w))") if literal_widths else []
-    key = "xxhash64(slice({0}, pos, width), width)"
-    keys = F.expr(f"CASE WHEN literal THEN array(xxhash64(slice(l, pos, width), width, 'literal')) ELSE array_distinct(array({key.format('a')}, {key.format('b')})) END")
-    spots = spots.select("item", F.struct("n", "of", "width").alias("of"), F.struct(F.col("pos").alias("at"), "counts").alias("spot"), F.expr(values("width")).alias("own"), F.explode(keys).alias("key"))
+    items = templated(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col).withColumnRenamed("id", "item").where("size(h) > 0")
+    items = items.withColumn("n", F.size("h")).withColumn("width", F.least("n", F.lit(width)))
+    spots = items.select("item", "way", "n", "width", "h", "v", F.explode(F.expr("sequence(1, n - width + 1)")).alias("at"))
+    own = F.expr(f"CASE WHEN way > {WORDS} THEN slice(v, at, width) ELSE v END")
+    spots = spots.select("item", "way", "n", "width", "at", F.expr("slice(h, at, width)").alias("hs"), own.alias("own"))
+    words = F.expr("filter(zip_with(hs, own, (x, y) -> CASE WHEN y IS NULL THEN x END), x -> x IS NOT NULL)")
+    spots = spots.withColumn("words", F.when(F.col("way") > WORDS, words).otherwise(F.array().cast("array<bigint>"))).where((F.col("way") == WORDS) | (F.size("words") > 0))
+    widths = sorted(r["width"] for r in spots.select("width").distinct().collect())  # at most ``width`` values
+    found = spots.select(F.explode("hs").alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
+    known = sorted(r["h"] for r in found) if len(found) <= BROADCAST_WORDS else None
+    spots = spots.select("item", "n", F.struct("at", "width", "words").alias("spot"), "own", F.xxhash64("hs", "width", "way").alias("key"))
 
     rows = templated(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    made = spotted(rows, widths if kinds else [width], known, literal_widths, literals)
+    made = windows_of(rows, widths, known)
     few = spots.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    if few:
-        hits = made.join(F.broadcast(spots), "key").withColumn("seen", F.expr(values("width")))
-    else:
-        hits = made.select("id", "pos", "key", F.expr(values("width")).alias("seen")).join(spots, "key")
-    pairs = F.expr("filter(arrays_zip(own, seen), p -> p.own IS NOT NULL AND p.seen IS NOT NULL)")
-    hits = hits.select("id", "item", "of", "spot", (F.col("pos") - F.col("spot.at")).alias("shift"), pairs.alias("pairs"))
+    hits = made.join(F.broadcast(spots) if few else spots, "key")
+    pairs = F.expr("filter(arrays_zip(own, seen), p -> p.own IS NOT NULL)")
+    hits = hits.select("id", "item", "way", "n", "spot", (F.col("pos") - F.col("spot.at")).alias("shift"), pairs.alias("pairs"))
 
     # an alignment has at most the item's windows and placeholders, so these sets are bounded by the item
-    lines = hits.groupBy("id", "item", "of", "shift").agg(F.collect_set(F.struct("spot", "pairs")).alias("met"))
-    sound = lines.withColumn("met", consistent(whole))
-    found = sound.select("id", "item", "of", F.explode("met.spot").alias("spot")).groupBy("id", "item", "of").agg(F.collect_set("spot").alias("spots"))
-    covered = F.expr("size(array_distinct(flatten(transform(spots, s -> sequence(s.at, s.at + of.width - 1)))))")
-    found = found.withColumn("windows", F.expr("CAST(size(filter(spots, s -> s.counts)) AS BIGINT)")).withColumn("share", F.col("windows") / F.col("of.of")).withColumn("covered", covered)
-    enough = (F.col("share") >= least_share) | (F.col("windows") >= least_windows)
-    if whole:
-        enough |= (F.col("covered") >= PASSAGE) | (F.col("covered") >= least_share * F.col("of.n"))
-    return found.where(enough).select("id", F.col("item").alias("item_id"), "windows", "share")
+    lines = hits.groupBy("id", "item", "way", "n", "shift").agg(F.collect_set(F.struct("spot", "pairs")).alias("met"))
+    sound = lines.withColumn("met", consistent()).select("id", "item", "way", "n", F.explode("met.spot").alias("spot"))
+    read = sound.groupBy("id", "item", "way", "n").agg(F.collect_set("spot").alias("spots"))
+    covered = F.expr("size(array_distinct(flatten(transform(spots, s -> sequence(s.at, s.at + s.width - 1)))))")
+    read = read.select("id", "item", "way", "n", covered.alias("c"), F.expr("size(array_distinct(flatten(transform(spots, s -> s.words))))").alias("p"))
+    long_enough = (F.col("c") * F.least("p", F.lit(plain)) >= passage * plain) | ((F.col("p") >= plain) & (F.col("c") >= share * F.col("n"))) | ((F.col("c") == F.col("n")) & (F.col("n") >= plain))
+    counts = (F.col("way") == WORDS) | long_enough
+    verbatim, template = F.when(F.col("way") == WORDS, F.col("c")), F.when(F.col("way") > WORDS, F.col("c"))
+    whole = read.groupBy("id", "item").agg(
+        F.max(counts).alias("counts"), F.coalesce(F.max(verbatim), F.lit(0)).cast("bigint").alias("verbatim"), F.coalesce(F.max(template), F.lit(0)).cast("bigint").alias("template"), F.max(F.col("c") / F.col("n")).alias("share"),
+    )
+    return whole.where("counts").select("id", F.col("item").alias("item_id"), "verbatim", "template", "share")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that repeat no benchmark item, in whole or in passages; rows without an id stay."""
-    gone = leaks(docs, benchmark, whole=True, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    """The rows of ``docs`` that repeat no benchmark item, in whole or in passages, with all their columns.
+
+    Defined cases: rows without an id stay, and so do null and empty texts; of
+    rows that share an id all go if one of their texts repeats an item; empty
+    tables give an empty result or change nothing; columns may have any name.
+    """
+    gone = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **how).select("id").distinct()
+    return rest_of(docs, id_col, gone)

@@ -42,8 +42,8 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
-    return found.select(F.col("id").alias("doc_id"), "item_id", "windows", F.round("share", 6).alias("share"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "verbatim", "template", F.round("share", 6).alias("share"))
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -99,41 +99,37 @@ def secrets_sql() -> str:
 
 
 def templates_sql() -> str:
-    """Template windows on the stride, alignments and slots in SQL; keys are the joined words themselves.
-
-    The query also finds what lies off the stride, which the given tables have none of.
-    """
+    """Readings, windows, alignments and slots as relations of words; keys are the joined words themselves."""
     numbers, units = decontaminate.quoted(decontaminate.NUMBER_WORDS), decontaminate.quoted(decontaminate.UNITS)
-    number, unit = f"(w < ':' OR lower(w) IN ({numbers}))", f"(i > 1 AND p < ':' AND lower(w) IN ({units}))"
-    name = "(w <> lower(w) AND substr(w, 2) = lower(substr(w, 2)) AND length(w) > 1)"
 
-    def side(of: str, table_name: str, key: str, text: str) -> str:
+    def side(of: str, table_name: str, key: str) -> str:
         return rf"""
-            {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(coalesce({text}, ''), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
-            {of}p AS (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY i) AS p FROM {of}w),
-            {of}t AS (SELECT id, list(CASE WHEN {number} THEN '#1' WHEN {unit} THEN '#2' ELSE lower(w) END ORDER BY i) AS a,
-                             list(CASE WHEN {number} THEN '#1' WHEN {unit} THEN '#2' WHEN {name} THEN '#3' ELSE lower(w) END ORDER BY i) AS b,
-                             list(CASE WHEN {number} OR {unit} OR {name} THEN lower(w) END ORDER BY i) AS v
-                      FROM {of}p GROUP BY id)"""
-
-    def keys(width: str) -> str:
-        return f"unnest([array_to_string(a[pos:pos + {width} - 1], ' '), array_to_string(b[pos:pos + {width} - 1], ' ')])"
+            {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
+            {of}num AS (SELECT *, lower(w) AS l, regexp_matches(w, '^[0-9]') OR lower(w) IN ({numbers}) AS num FROM {of}w),
+            {of}k AS (SELECT *, CASE WHEN num THEN '#number' WHEN lag(num) OVER o AND l IN ({units}) THEN '#unit'
+                                     WHEN length(w) > 1 AND w <> l AND substr(w, 2) = lower(substr(w, 2)) THEN '#name' ELSE '' END AS k FROM {of}num WINDOW o AS (PARTITION BY id ORDER BY i)),
+            {of}c AS (SELECT *, CASE WHEN k <> '' AND k = lag(k) OVER o AND (k = '#name' OR (k = '#number' AND NOT regexp_matches(w, '^[0-9]'))) THEN 0 ELSE 1 END AS starts FROM {of}k WINDOW o AS (PARTITION BY id ORDER BY i)),
+            {of}r AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY i) AS run FROM {of}c),
+            {of}e AS (
+                SELECT id, 'words' AS way, i, l AS t, NULL AS v FROM {of}r
+                UNION ALL SELECT id, 'values', i, CASE WHEN k IN ('#number', '#unit') THEN k ELSE l END, CASE WHEN k IN ('#number', '#unit') THEN l END FROM {of}r
+                UNION ALL SELECT id, 'names', run, CASE WHEN min(k) = '' THEN min(l) ELSE min(k) END, CASE WHEN min(k) <> '' THEN string_agg(l, ' ' ORDER BY i) END FROM {of}r GROUP BY id, run),
+            {of}l AS (SELECT id, way, list(t ORDER BY i) AS ts, list(v ORDER BY i) AS vs FROM {of}e GROUP BY id, way)"""
 
     return f"""
-        WITH {side('d', 'documents', 'doc_id', 'text')}, {side('i', 'benchmark', 'item_id', 'text')},
-        s1 AS (SELECT *, least(len(a), 8) AS width FROM it WHERE len(a) >= 4),
-        s2 AS (SELECT *, list_filter(list_distinct(list_concat(range(1, len(a) - width + 2, 4), [len(a) - width + 1])), lambda o: len(list_distinct(list_filter(
-            list_transform(range(o, o + width), lambda q: CASE WHEN v[q] IS NULL THEN a[q] END), lambda x: x IS NOT NULL))) >= least(width, 4)) AS spots FROM s1),
-        s5 AS (SELECT id, width, a, b, v, len(spots) AS n, unnest(spots) AS pos FROM s2),
-        s AS (SELECT DISTINCT id AS item_id, n, width, pos AS spot, v[pos:pos + width - 1] AS own, {keys('width')} AS key FROM s5),
-        k AS (SELECT DISTINCT width FROM s1),
-        m1 AS (SELECT id, a, b, v, width, unnest(range(1, len(a) - width + 2)) AS pos FROM dt, k),
-        m AS (SELECT DISTINCT id, width, pos, v[pos:pos + width - 1] AS seen, {keys('width')} AS key FROM m1),
-        h AS (SELECT m.id, s.item_id, s.n, s.spot, m.pos - s.spot AS shift, own, seen FROM m JOIN s ON m.key = s.key AND m.width = s.width),
-        q AS (SELECT id, item_id, shift, unnest(own) AS o, unnest(seen) AS e FROM h),
-        bad AS (SELECT DISTINCT id, item_id, shift FROM q WHERE o IS NOT NULL AND e IS NOT NULL GROUP BY id, item_id, shift, o HAVING count(DISTINCT e) > 1),
-        f AS (SELECT id, item_id, n, count(DISTINCT spot) AS windows FROM h ANTI JOIN bad USING (id, item_id, shift) GROUP BY id, item_id, n)
-        SELECT id AS doc_id, item_id, windows, round(windows / n, 6) AS share FROM f WHERE windows / n >= 0.5 OR windows >= 3
+        WITH {side('d', 'documents', 'doc_id')}, {side('i', 'benchmark', 'item_id')},
+        s1 AS (SELECT *, len(ts) AS n, least(len(ts), 8) AS width FROM il),
+        s2 AS (SELECT id, way, ts, vs, n, width, unnest(range(1, n - width + 2)) AS pos FROM s1),
+        s AS (SELECT id AS item_id, way, n, width, pos, ts[pos:pos + width - 1] AS key, vs[pos:pos + width - 1] AS own FROM s2 WHERE way = 'words' OR len(list_filter(ts[pos:pos + width - 1], lambda t: NOT starts_with(t, '#'))) > 0),
+        d1 AS (SELECT id, way, ts, vs, width, unnest(range(1, len(ts) - width + 2)) AS pos FROM dl, (SELECT DISTINCT width FROM s1) WHERE len(ts) >= width),
+        d AS (SELECT id, way, pos, ts[pos:pos + width - 1] AS key, vs[pos:pos + width - 1] AS seen FROM d1),
+        h AS (SELECT d.id, s.item_id, s.way, n, width, s.pos, s.key, d.pos - s.pos AS shift, own, seen FROM d JOIN s ON d.way = s.way AND d.key = s.key),
+        q AS (SELECT id, item_id, way, shift, unnest(own) AS o, unnest(seen) AS e FROM h),
+        bad AS (SELECT DISTINCT id, item_id, way, shift FROM q WHERE o IS NOT NULL GROUP BY id, item_id, way, shift, o HAVING count(DISTINCT e) > 1),
+        ok AS (SELECT h.*, unnest(range(h.pos, h.pos + width)) AS place, unnest(h.key) AS t FROM h LEFT JOIN bad USING (id, item_id, way, shift) WHERE bad.id IS NULL OR own IS NOT DISTINCT FROM seen),
+        c AS (SELECT id, item_id, way, n, count(DISTINCT place) AS c, count(DISTINCT CASE WHEN NOT starts_with(t, '#') THEN t END) AS p FROM ok GROUP BY id, item_id, way, n)
+        SELECT id AS doc_id, item_id, coalesce(max(c) FILTER (way = 'words'), 0) AS verbatim, coalesce(max(c) FILTER (way <> 'words'), 0) AS template, round(max(c / n), 6) AS share
+        FROM c GROUP BY id, item_id HAVING bool_or(way = 'words' OR c * least(p, 4) >= 64 OR (p >= 4 AND 2 * c >= n) OR (c = n AND n >= 4))
     """
 
 

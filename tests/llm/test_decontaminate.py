@@ -1,4 +1,4 @@
-from curaloom.llm import decontaminate
+from curaloom.llm import decontaminate, shared
 from curaloom.llm.decontaminate import leaks
 
 from .helpers import awkward, empty, words
@@ -18,25 +18,35 @@ def test_reworded_values_are_caught_and_others_left(spark):
     assert set(got) == {(0, 0), (1, 0), (2, 0)} and got[1, 0] == 1.0
 
 
-def test_a_passage_of_a_long_item(spark):
+def test_passages_wherever_they_start(spark):
     item = words(120, 8)
-    part = " ".join(item.split()[30:52])
-    got = found(spark, [words(60, 1) + " " + part + " " + words(60, 2), " ".join(item.split()[30:39])], [item])
-    assert set(got) == {(0, 0)} and got[0, 0] < 0.5
+    parts = [" ".join(item.split()[i : i + 8]) for i in range(113)]
+    texts = [words(30, 100 + i) + " " + part + " " + words(30, 300 + i) for i, part in enumerate(parts)]
+    assert set(found(spark, [*texts, words(90, 3), " ".join(item.split()[30:37])], [item])) == {(i, 0) for i in range(113)}
+    docs = spark.createDataFrame(list(enumerate([*texts, words(90, 3), " ".join(item.split()[:7])])), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {113, 114}
 
 
 def test_slots_must_agree(spark):
     item = "If Anna gives 12 apples to Ben and later Anna takes 12 plums from the big brown basket near the gate then who has more fruit"
-    even = item.replace("12", "30")
-    odd = item.replace("12 apples", "30 apples")  # one value became two
-    got = found(spark, [even, odd], [item])
-    assert (0, 0) in got and (1, 0) not in got
+    even = item.replace("12", "30").replace("Anna", "Mary Jane Watson").replace("Ben", "Tom")
+    odd = item.replace("12 apples", "30 apples").replace("Anna takes", "Maria takes").replace("brown", "red").replace("near", "by")  # values became two, and no eight words are left
+    assert set(found(spark, [even, odd], [item])) == {(0, 0)}
+
+
+def test_literal_windows_beside_a_changed_value(spark):
+    part = words(50, 8).split()
+    item = " ".join(["The", *part[:25], "The", *part[25:40], "took 12", *part[40:], "and 12 more"])
+    texts = [item.replace("The", "Bob", 1), item.replace("12", "30", 1)]
+    assert set(found(spark, texts, [item])) == {(0, 0), (1, 0)}
 
 
-def test_windows_of_placeholders_do_not_count(spark):
+def test_placeholders_alone_match_verbatim_only(spark):
     item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 what single value follows after these long rows"
-    got = found(spark, [item, "31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48"], [item])
-    assert set(got) == {(0, 0)} and got[0, 0] == 1.0
+    rows = "31 32 33 34 35 36 37 38 39 40"
+    got = found(spark, [item, "31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48", "so: " + rows, rows.replace("3", "5")], [item, rows])
+    assert set(got) == {(0, 0), (1, 1), (2, 1)} and got[0, 0] == 1.0
 
 
 def test_short_items(spark):
@@ -44,44 +54,55 @@ def test_short_items(spark):
     assert set(got) == {(0, 0)}
 
 
-def test_items_without_template_windows_are_found_literally(spark):
-    items = ["Who wrote the novel Moby Dick?", "What is 12 times 15?", "Compute 17 + 28 - 9 * 4.", "Anna has 3 apples and Bob has 5 apples.", "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "2 + 2 = ?", "name three rivers", "?"]
-    texts = [words(30, i) + " " + t + " " + words(30, 50 + i) for i, t in enumerate(items)]
-    others = ["who wrote the novel war and peace", "What is 13 times 15?", "Compute 18 + 28 - 9 * 4.", "Anna has 3 apples and Bob has 6 apples.", "name four rivers"]
-    assert set(found(spark, texts + others, items)) == {(i, i) for i in range(7)}
+ITEMS = ["Who wrote the novel Moby Dick?", "What is 12 times 15?", "What is 12 + 30 - 7 * 5 ?", "Solve 3 x + 12 = 40 for x", "Compute 17 + 28 - 9 * 4.", "Anna has 3 apples and Bob has 5 apples.", "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "2 + 2 = ?", "name three rivers", "7 8 9 10 11 12 13 14 15"]
 
 
-def test_every_way_finds_literal_items(spark, monkeypatch):
-    items = ["What is 12 times 15?", "name three rivers", QUESTION]
-    texts = [words(30, i) + " " + t.upper() for i, t in enumerate(items)]
-    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 2)
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 2)
-    assert set(found(spark, texts, items)) == {(i, i) for i in range(3)}
+def test_every_item_is_found_in_its_copy(spark):
+    texts = [words(30, i) + " " + t + " " + words(30, 50 + i) for i, t in enumerate(ITEMS)]
+    shouted = [words(30, i) + " " + t.upper() + " " + words(30, 50 + i) for i, t in enumerate(ITEMS)]
+    others = ["who wrote the novel war and peace", "What was 13 times 15?", "name four rivers", "?", "9 8 7 6 5 4 3 2 1"]
+    n = len(ITEMS)
+    assert set(found(spark, [*texts, *shouted, *others], [*ITEMS, "?"])) == {(i + k * n, i) for i in range(n) for k in (0, 1)}
 
 
-def test_whole_finds_passages_wherever_they_start(spark):
-    item = words(59, 8)
-    parts = [" ".join(item.split()[i : i + 16]) for i in range(44)]
-    texts = [words(30, 100 + i) + " " + part + " " + words(30, 200 + i) for i, part in enumerate(parts)]
-    assert set(found(spark, texts, [item], whole=True)) == {(i, 0) for i in range(44)}
-    docs = spark.createDataFrame(list(enumerate([*texts, words(90, 3), " ".join(item.split()[:9])])), "doc_id bigint, text string")
-    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
-    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {44, 45}
+def test_short_questions_with_other_values(spark):
+    texts = ["Who wrote the novel Don Quixote?", "what is 13 times 14?", "What is 5 + 6 - 17 * 15 ?", "Solve 8 x + 2 = 90 for x", "Compute 1 + 2 - 3 * 5.", "Zoe has 13 apples and Uma has 25 apples."]
+    assert set(found(spark, texts, ITEMS[:6])) == {(i, i) for i in range(6)}
 
 
-def test_whole_matches_windows_of_few_words_literally(spark):
-    item = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 " + words(40, 8)
-    texts = ["x " + " ".join(item.split()[2:20]) + " y", " ".join(str(40 + i) for i in range(22))]
-    assert set(found(spark, texts, [item], whole=True)) == {(0, 0)}
+def reworded(seed):
+    """An item with numbers, number words, units and names of one to three words, and the same with other values."""
+    import random
 
+    rng = random.Random(seed)
+    filler = iter(words(60, 1000 + seed).split())
+    name = lambda: " ".join(w.capitalize() for w in words(rng.randint(1, 3), rng.randint(0, 10**6)).split())
+    number = lambda: rng.choice((str(rng.randint(2, 9999)), f"{rng.randint(1, 99)}.{rng.randint(1, 99)}", "twenty five", "seven", "three hundred", "forty"))
+    slots = {f"<{k}{i}>": [(name, number)[k == "n"]() for _ in range(2)] for k in "an" for i in range(2)}
+    slots["<u0>"] = rng.sample(["km", "miles", "hours", "kg", "dollars"], 2)
+    body = []
+    for _ in range(rng.randint(3, 6)):
+        body += [next(filler) for _ in range(rng.randint(1, 4))]
+        body.append(rng.choice(("<a0>", "<a1>", "<n0>", "<n1>", "<n0> <u0>")))
+    body += [next(filler) for _ in range(3)]
+    made = []
+    for side in range(2):
+        text = " ".join(body)
+        for slot, values in slots.items():
+            text = text.replace(slot, values[side])
+        made.append(text)
+    return made
 
-def test_whole_keeps_literal_windows_beside_one_changed_value(spark):
-    part = words(50, 8).split()
-    item = " ".join(["The", *part[:25], "The", *part[25:40], "took 12", *part[40:], "and 12 more"])
-    changed = [item.replace("The", "Bob", 1), item.replace("12", "30", 1)]
-    split = "If Anna gives 12 apples to Ben and later Anna takes 12 plums"
-    got = found(spark, [*changed, split.replace("12 apples", "30 apples").replace("Anna takes", "Maria takes")], [item, split], whole=True)
-    assert set(got) == {(0, 0), (1, 0)}
+
+def test_recall_on_reworded_items(spark):
+    """At least nine of ten are found, and hardly any text is taken for another item's."""
+    pairs = [reworded(i) for i in range(150)]
+    texts = [words(20, 5000 + i) + " " + new + " " + words(20, 7000 + i) for i, (_, new) in enumerate(pairs)]
+    clean = [words(15, 9000 + i) + " " + reworded(500 + i)[0] + " " + words(15, 9500 + i) for i in range(150)]
+    got = set(found(spark, texts + clean, [old for old, _ in pairs]))
+    right = {(i, i) for i in range(150)}
+    assert len(got & right) >= 0.9 * len(right)
+    assert len(got & right) >= 0.98 * len(got)
 
 
 def test_every_way_gives_the_same(spark, monkeypatch, sf_dir):
@@ -94,6 +115,13 @@ def test_every_way_gives_the_same(spark, monkeypatch, sf_dir):
     assert rows() == want
 
 
+def test_the_way_of_removal_does_not_matter(spark, monkeypatch):
+    docs, bench = awkward(spark), spark.createDataFrame([(1, words(40, 1))], "item_id bigint, text string")
+    want = sorted(decontaminate.drop_leaks(docs, bench).collect(), key=str)
+    monkeypatch.setattr(shared, "BROADCAST_KEYS", 0)
+    assert sorted(decontaminate.drop_leaks(docs, bench).collect(), key=str) == want and len(want) == docs.count() - 5
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, words(40, 1)), (1, words(40, 1)), (None, "x y z w v"), (2, None)], "item_id bigint, text string")
