@@ -16,6 +16,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     folder.  Nothing but two sums comes to the driver.  A node with very many
     edges costs its row in the join, which adaptive execution may split; the
     minimum over neighbours is combined before it is shuffled.
+
+    Defined cases: an edge with a null end or from a node to itself says nothing;
+    repeated and reversed edges are one; no edges give an empty result; other
+    columns aren't read.
     """
     edges = store(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "edges")
     seen = None

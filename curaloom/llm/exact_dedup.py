@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import once, store, text_or_empty
+from .shared import fresh, joined_by, once, rest_of, store, text_or_empty
 
 #: Fixed values of the normal form: the white space that is deleted.
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
@@ -81,18 +81,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are matched by id, digest and length of their text; of rows equal in
-    these, one stays.  A null id is matched too.  Names beginning with two
-    underscores are taken for the work.
-    """
-    names = ("__id", "__sha", "__points")
+    Rows go by their id, so that no text is shuffled.  Only where some rows of an
+    id stay and others go are rows told apart by digest and length of their text
+    as well; of rows equal in all of these, one stays.
 
-    def key(row_id: Column) -> Column:
-        return F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-"))
+    Defined cases: null ids are one id; null and empty texts and texts of white
+    space alone are copies of each other; repeated rows leave one; an empty table
+    gives an empty result; columns may have any name.
+    """
+    base = store(exact_groups(docs, id_col, text_col).select("id", "kept", "text_sha256", "code_points"), "exact")
+    by_id = store(base.groupBy("id").agg(F.bool_and("kept").alias("whole"), F.bool_or("kept").alias("some")).where("NOT whole"), "exact-ids")
+    rest = rest_of(docs, id_col, by_id.where("id IS NOT NULL").select("id"))
+    split = by_id.where("some")
+    if split.isEmpty():
+        return rest
+    nulls = not split.where("id IS NULL").isEmpty()
+    parted = joined_by(docs, id_col, split.where("id IS NOT NULL").select("id"), "left_semi")
+    if nulls:
+        rest, parted = rest.where(F.col(id_col).isNotNull()), parted.unionByName(docs.where(F.col(id_col).isNull()))
 
     # plain columns on both sides, so the window finds the rows dealt out by the join
-    stays = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col("id")).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("code_points").alias("__points"))
+    names = [fresh(docs, n) for n in ("of_id", "of_sha", "of_points")]
+    nth = fresh(docs, "nth")
+    key = lambda row_id: F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-"))
+    stays = base.where("kept").select(key(F.col("id")).alias(names[0]), F.col("text_sha256").alias(names[1]), F.col("code_points").alias(names[2]))
     text = text_or_empty(text_col)
-    keyed = docs.withColumns({"__id": key(F.col(id_col)), "__sha": F.sha2(normalised(text), 256), "__points": F.length(text)})
+    keyed = parted.withColumns(dict(zip(names, (key(F.col(id_col)), F.sha2(normalised(text), 256), F.length(text)), strict=True)))
     one = Window.partitionBy(*names).orderBy(F.lit(0))
-    return keyed.join(stays, list(names), "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
+    first = keyed.join(stays, names, "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
+    return rest.unionByName(first.drop(*names, nth))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import fresh, small_batches
 
 #: A run of letters and digits, or a run of other signs.
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is the labelled rows with the smallest hash of their id, so it
     doesn't depend on the order of the input.  Rows without an id, a label or a
-    document are passed over.  Without any row to learn from, every score is 0.5.
+    document are passed over; a label row that repeats counts once, and of documents
+    that share an id the one with the smallest vector.  Without any row to learn
+    from, every score is 0.5.
     """
     small_batches(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("id")))
@@ -131,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
     made = rows.select("turn", "label", "x").mapInArrow(vectors, "turn bigint, label double, places binary, vals binary")
+    # a document id that repeats is one row to learn from, so the sample bounds what the one task reads
+    made = made.groupBy("turn", "label").agg(F.min(F.struct("places", "vals")).alias("v")).select("turn", "label", "v.places", "v.vals")
     turns = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", "turn", "label", F.xxhash64("places"))
     got = turns.select("turn", "label", "places", "vals").mapInArrow(train, "weights binary, bias double").first()
     if got is None:
@@ -170,6 +174,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their own columns."""
+    """The rows of ``docs`` that the classifier accepts, with their own columns.
+
+    Defined cases: null, empty and wordless texts have the score of the intercept,
+    and without any row to learn from every score is 0.5; null ids and repeated
+    rows are judged like any other; an empty table gives an empty result; columns
+    may have any name.
+    """
     model = fit(docs, labels, id_col, text_col, label_col, **how)
-    return score(docs, model, text_col, "__score").where(F.col("__score") >= threshold).drop("__score")
+    name = fresh(docs, "score")
+    return score(docs, model, text_col, name).where(F.col(name) >= threshold).drop(name)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from .components import components
-from .shared import small_batches, store
+from .shared import rest_of, small_batches, store
 
 #: Lowest bit and width of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -86,12 +86,15 @@ def keys(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs ``a < b`` of different fingerprints at ``bits`` (2 at most) or fewer differing bits.
 
+    Defined cases: a null fingerprint has no key and no link; repeated ones are
+    linked once; an empty table gives no pairs; other columns aren't read.
+
     A fingerprint has at most 2,080 others within two bits, so pairs grow with the
     number of different fingerprints, however many documents share one.
     """
     if not 0 <= bits <= 2:
         raise ValueError("the segments and keys are made for two differing bits at most")
-    made = store(keys(fps), "keys")
+    made = store(keys(fps.where("fp IS NOT NULL")), "keys")
     near = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") != F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= bits)
     pairs = made.where("stored").alias("l").join(made.alias("r"), near)
     return pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
@@ -120,7 +123,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, all columns kept.
 
-    Rows without an id stay only where no row of their group has one.
+    Defined cases: rows without an id stay; rows that share an id stay together if
+    the id is the smallest of any of their groups; null and empty texts and texts
+    without words are one group; an empty table gives an empty result; columns may
+    have any name.
     """
-    stay = near_groups(docs, id_col, text_col, **how).where("id <=> component_id").select(F.struct("id").alias("__key")).distinct()
-    return docs.withColumn("__key", F.struct(F.col(id_col).alias("id"))).join(stay, "__key", "left_semi").select(*docs.columns)
+    by_id = near_groups(docs, id_col, text_col, **how).where("id IS NOT NULL").groupBy("id").agg(F.bool_or(F.col("id") == F.col("component_id")).alias("stays"))
+    return rest_of(docs, id_col, by_id.where("NOT stays").select("id"))
