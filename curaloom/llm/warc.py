@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, store
+from .shared import BROADCAST_KEYS, new_path, small_batches, store
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes between two wanted ranges that are read along rather than skipped, and most bytes of one read.
 GAP, MOST = 1 << 16, 1 << 23
+#: Tasks that read at most; with more stretches than that, a task has several.
+MOST_TASKS = 20_000
 
 
 def digest32(payload: bytes) -> str:
@@ -76,11 +78,19 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, at_least: int) -> DataFrame:
-    """``id, url, payload`` (null for revisits), ``size, refers_to, revisit``."""
+    """``id, url, payload`` (null for revisits), ``size, refers_to, revisit, sha1``.
+
+    Digests alone decide: ids and digests are grouped, and the verdicts of groups
+    with more than one row are brought back to the rows by digest.  Revisits take
+    no payload into the exchange where verdicts are few enough to be sent; else
+    the copies of a very common payload are a key that adaptive execution splits.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("bigint").alias("size"), F.sha2("payload", 256).alias("sha"))
-    groups = rows.groupBy("sha").agg(F.max("id").alias("chosen"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= at_least)).drop("n")
-    both = rows.join(groups, ["sha", "size"], "left")
+    rows = rows.select("*", F.octet_length("payload").cast("bigint").alias("size"), F.unhex(F.sha2("payload", 256)).alias("sha"))
+    groups = rows.groupBy("sha").agg(F.max("id").alias("chosen"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= at_least))
+    groups = store(groups.select("sha", "chosen"), "warc-groups")
+    few = groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    both = rows.join(F.broadcast(groups) if few else groups, "sha", "left")
     revisit = F.coalesce(~F.col("id").eqNullSafe(F.col("chosen")) & F.col("chosen").isNotNull(), F.lit(False))
     both = both.withColumn("revisit", revisit)
     return both.select("id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "size", F.when(F.col("revisit"), F.col("chosen")).alias("refers_to"), "revisit", F.unhex(F.sha1("payload")).alias("sha1"))
@@ -140,10 +150,19 @@ def read_records(index: DataFrame, id_type: str = "bigint", with_payload: bool =
 
     Returns ``id, payload_bytes, payload_digest, record_type, refers_to`` and, if
     asked for, ``payload`` (null for revisits).  Rows are dealt out by stretches of
-    ``most`` bytes of a file, so a large file isn't one task's work.
+    ``most`` bytes of a file.  Their number follows from the bytes to read: index
+    rows are tiny, so their own size says nothing about the work, and adaptive
+    execution would put them all into one task.
+
+    Defined cases: a row named twice is read twice; an empty index gives an empty
+    result; a record without an id has a null id; a payload that doesn't match its
+    digest, and a record that doesn't end where its length says, raise an error;
+    other columns of the index aren't read.
     """
     small_batches(index.sparkSession)
-    spots = index.select("file", "offset", "length", F.floor(F.col("offset") / most).alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    stretch = F.floor(F.col("offset") / most)
+    parts = min(index.agg(F.count_distinct("file", stretch)).first()[0], MOST_TASKS)
+    spots = index.select("file", "offset", "length", stretch.alias("stretch")).repartition(max(parts, 1), "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
 
     def run(batches):
         opened: dict = {"name": None}

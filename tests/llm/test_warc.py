@@ -64,3 +64,26 @@ def test_damage_is_noticed(spark):
 def test_empty(spark):
     index = warc.write_archives(pages(spark).limit(0), folder=new_path(spark, "warc"))
     assert index.count() == 0 and warc.read_records(index).count() == 0
+
+
+def test_reads_are_dealt_out_by_bytes(spark):
+    """One file of many stretches is many tasks' work, though its index is tiny."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, "u", rng.randbytes(40_000).hex()) for i in range(60)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1))
+    total = index.agg(F.sum("length")).first()[0]
+    most = total // 24
+    read = warc.read_records(index, most=most).select("id", F.spark_partition_id().alias("task"))
+    tasks = {r["task"] for r in read.collect()}
+    assert len(index.select("file").distinct().collect()) == 1 and len(tasks) >= 12
+
+
+def test_both_ways_of_deciding_agree(spark, monkeypatch):
+    rows = lambda: sorted(map(str, warc.read_records(warc.write_archives(pages(spark))).drop("payload").collect()))
+    want = rows()
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", 0)
+    assert rows() == want
