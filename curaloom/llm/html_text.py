@@ -2,15 +2,25 @@
 
 A tree builder supplies the tags that pages leave out, rules of visibility decide
 what shows, and a renderer writes all visible text: blocks on lines of their own,
-paragraphs apart, lists with their marks, table cells in aligned columns.  All
-steps run on explicit stacks, so nesting has no limit, and read each character
-a bounded number of times.
+paragraphs apart, lists with their marks, table cells in aligned columns.
+
+``display`` and ``visibility`` are taken from ``style`` attributes and from rules
+of ``<style>`` elements for a tag, class or id (also ``tag.class`` and
+``tag#id``), by importance, specificity and order; a child may be visible again in
+a parent that is not.  Rules within ``@`` blocks and for other selectors are
+passed over.
+
+All steps run on explicit stacks, so elements may nest as deep as they like.  Work
+and output grow with the length of the page alone, since layout is bounded: the
+indent, the nesting of aligned tables, the width of columns and the distance over
+which an end tag looks for its element, each by a constant below.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +32,10 @@ from .shared import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 UNPARSED = RAW | {"title", "textarea"}
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist annotation annotation-xml".split())
+#: Within an ``svg``: the elements whose text shows, and those that are never drawn by themselves.
+DRAWN_TEXT = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu xmp".split())
 BLOCKS = SPACED | frozenset("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav section summary center caption tr option optgroup select textarea search".split())
 CLOSES_P = SPACED | frozenset("address article aside center details dialog dir div dd dt fieldset figcaption footer form header hgroup li main nav section summary".split())
@@ -48,7 +61,13 @@ NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=[^\s/>=]*)?(\s*=\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?(?:([.#])([\w-]+))?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Bounds of the layout: columns of indent, aligned tables within each other, columns of text that widen a table's column, the place up to which columns are aligned, and columns that a cell can hold for later rows.
+DEEPEST, MOST_TABLES, WIDEST, FARTHEST, MOST_HELD = 60, 8, 80, 480, 1000
+#: Open elements among which an end tag looks for its own.
+NEAR = 512
 
 
 class Node:
@@ -109,9 +128,9 @@ def tokens(html: str):
             at = lt + 1
 
 
-def build(html: str) -> Node:
-    """The tree of a page; html, head, body, table sections, rows and ends of paragraphs are implied."""
-    root = Node("html", {}, None)
+def build(html: str) -> tuple[Node, list[str]]:
+    """The tree of a page and its style sheets; html, head, body, table sections, rows and ends of paragraphs are implied."""
+    root, sheets = Node("html", {}, None), []
     head, body = Node("head", {}, root), Node("body", {}, root)
     root.children += [head, body]
     here, open_tags = head, {"html": 1, "head": 1}
@@ -136,11 +155,13 @@ def build(html: str) -> Node:
         if not any(open_tags.get(t) for t in tags):
             return None
         node = here
-        while node is not None and node.tag not in tags:
+        for _ in range(NEAR):
+            if node is None or node.tag in tags:
+                return node
             if node.tag in stops:
                 return None
             node = node.parent
-        return node
+        return None
 
     def to_body() -> None:
         nonlocal here
@@ -206,28 +227,91 @@ def build(html: str) -> Node:
                     table = table.parent
                 siblings = table.parent.children
                 siblings.insert(len(siblings) - 1, value)  # text between cells shows before its table
+            elif here.tag == "style":
+                sheets.append(value)
             else:
                 here.children.append(value)
-    return root
+    return root, sheets
+
+
+class Rules:
+    """What style sheets say of ``display`` and ``visibility``, by tag, class and id."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[tuple[str, str, str], dict[str, tuple]] = {}
+        self.order = 0
+        for sheet in sheets:
+            self.read(COMMENT.sub(" ", sheet))
+
+    def read(self, css: str) -> None:
+        at = 0
+        while (brace := css.find("{", at)) >= 0:
+            head = css[at:brace].rpartition(";")[2].strip()
+            if head.startswith("@"):
+                depth, at = 1, brace + 1
+                for m in re.compile("[{}]").finditer(css, at):
+                    depth += 1 if m[0] == "{" else -1
+                    at = m.end()
+                    if not depth:
+                        break
+                else:
+                    return
+                continue
+            end = css.find("}", brace)
+            end = len(css) if end < 0 else end
+            if said := DECLARED.findall(css[brace + 1 : end]):
+                for selector in head.split(","):
+                    if m := SELECTOR.fullmatch(selector.strip()):
+                        self.add((m[1] or "*").lower(), m[2] or "", m[3] or "", said)
+            at = end + 1
+
+    def add(self, tag: str, sign: str, name: str, said: list[tuple[str, str, str]]) -> None:
+        weight = (100 if sign == "#" else 10 if sign else 0) + (tag != "*")
+        own = self.by_key.setdefault((tag, sign, name), {})
+        for prop, value, important in said:
+            self.order += 1
+            own[prop.lower()] = max(own.get(prop.lower(), (False,)), (bool(important), weight, self.order, value.lower()))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The values that hold for an element."""
+        a, found = node.attrs, {}
+        if self.by_key:
+            keys = [("*", "", ""), (node.tag, "", "")]
+            for sign, names in ((".", a.get("class", "").split()), ("#", [a["id"]] if "id" in a else [])):
+                keys += [(tag, sign, name) for name in names for tag in ("*", node.tag)]
+            for key in keys:
+                for prop, rank in self.by_key.get(key, {}).items():
+                    found[prop] = max(found.get(prop, (False,)), rank)
+        if "style" in a:
+            for prop, value, important in DECLARED.findall(a["style"]):
+                found[prop.lower()] = max(found.get(prop.lower(), (False,)), (bool(important), 1000, 0, value.lower()))
+        return {prop: rank[3] for prop, rank in found.items()}
 
 
 class Page:
-    """Lines of text under way: white space collapses, blocks ask for breaks."""
+    """Lines of text under way: white space collapses, blocks ask for breaks, lists and quotes indent."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = False
         self.blank = False
+        self.open: list[tuple[str, int]] = []  # marks of open lists and quotes, and the lines before each
+        self.marks: list[str] = []  # those of them without a line so far, which are always the innermost
+        self.indent = 0
+
+    def start(self) -> None:
+        """Before the first text of a line: the blank line that was asked for."""
+        if self.blank and not self.parts and self.lines:
+            self.lines.append("")
+        self.blank = False
 
     def text(self, value: str) -> None:
         words = [w for w in SPACE.split(value) if w]
         if value[:1] in " \t\n\f\r":
             self.space = True
         if words:
-            if self.blank and not self.parts and self.lines:
-                self.lines.append("")
-            self.blank = False
+            self.start()
             if self.parts and self.space:
                 self.parts.append(" ")
             self.parts.append(" ".join(words))
@@ -236,33 +320,54 @@ class Page:
     def verbatim(self, value: str) -> None:
         if not value:
             return
-        if self.blank and not self.parts and self.lines:
-            self.lines.append("")
-        self.blank = False
+        self.start()
         first, *rest = value.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.parts.append(first)
         for line in rest:
             self.line(True)
             self.parts.append(line)
 
+    def put(self, line: str) -> None:
+        if line:
+            line = " " * min(self.indent, DEEPEST) + "".join(self.marks) + line
+            self.indent += sum(map(len, self.marks))
+            self.marks = []
+        self.lines.append(line)
+
     def line(self, even_empty: bool = False) -> None:
         if self.parts or even_empty:
-            self.lines.append("".join(self.parts).rstrip() if not even_empty else "".join(self.parts))
+            self.put("".join(self.parts) if even_empty else "".join(self.parts).rstrip())
             self.parts = []
         self.space = False
 
     def apart(self) -> None:
         self.line()
-        self.blank = True
+        if not self.marks:  # the first block of an item starts beside its mark
+            self.blank = True
 
     def add(self, lines: list[str]) -> None:
         if not lines:
             return
         self.line()
-        if self.blank and self.lines:
-            self.lines.append("")
-        self.blank = False
-        self.lines += lines
+        self.start()
+        for x in lines:
+            self.put(x)
+
+    def enter(self, mark: str) -> None:
+        self.line()
+        self.open.append((mark, len(self.lines)))
+        self.marks.append(mark)
+
+    def leave(self) -> None:
+        self.line()
+        mark, before = self.open.pop()
+        while len(self.lines) > before and not self.lines[-1].strip():
+            self.lines.pop()
+        if self.marks:
+            self.marks.pop()
+        else:
+            self.indent -= len(mark)
+            self.blank = False
 
     def done(self) -> list[str]:
         self.line()
@@ -277,71 +382,85 @@ def number(text: str | None, least: int, most: int, default: int) -> int:
     return min(max(int(m[1]), least), most) if m else default
 
 
+def columns(line: str) -> int:
+    """Columns that a line takes: wide characters two, combining ones none."""
+    return len(line) if line.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in line)
+
+
 def table_lines(rows: list[list[tuple[list[str], int, int]]], caption: list[str]) -> list[str]:
     """Cells in aligned columns; a cell that spans several takes their width."""
-    grid: list[dict[int, tuple[list[str], int]]] = []
-    held: dict[int, int] = {}
-    for row in rows:
-        at, line = 0, {}
+    grid: list[list[tuple[int, list[str]]]] = []
+    held: dict[int, int] = {}  # the row after the last that a cell from above covers, by column
+    width: dict[int, int] = {}
+    for nth, row in enumerate(rows):
+        at, line = 0, []
         for lines, across, down in row:
-            while held.get(at, 0) > 0:
+            while held.get(at, 0) > nth:
                 at += 1
-            line[at] = (lines, across)
-            for c in range(at, at + across):
-                held[c] = max(held.get(c, 0), down)
+            line.append((at, lines))
+            own = min(max(map(columns, lines), default=0), WIDEST) if across == 1 else 0
+            width[at] = max(width.get(at, 0), own)
+            if down > 1:
+                for c in range(at, min(at + across, MOST_HELD)):
+                    held[c] = max(held.get(c, 0), nth + down)
             at += across
-        held = {c: n - 1 for c, n in held.items() if n > 1}
         grid.append(line)
-    width: dict[int, int] = {}
-    for line in grid:
-        for c, (lines, across) in line.items():
-            if across == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+    starts, place = {}, 0
+    for c in sorted(width):
+        starts[c] = min(place, FARTHEST)
+        place += width[c] + 2
     out = list(caption)
     for line in grid:
-        for k in range(max((len(lines) for lines, _ in line.values()), default=0)):
-            text, place = "", 0
-            starts: dict[int, int] = {}
-            for c in sorted(set(width) | set(line)):
-                starts[c] = place
-                place += width.get(c, 0) + 2
-            for c in sorted(line):
-                lines = line[c][0]
-                if k < len(lines) and lines[k]:
-                    gap = starts[c] - len(text)
-                    text += " " * (gap if gap > 0 else 2 if text else 0) + lines[k]
-            out.append(text.rstrip())
+        pieces: list[list[tuple[int, str]]] = [[] for _ in range(max((len(lines) for _, lines in line), default=0))]
+        for at, lines in line:
+            for k, x in enumerate(lines):
+                if x:
+                    pieces[k].append((at, x))
+        for piece in pieces:
+            made, filled = [], 0
+            for at, x in piece:
+                gap = starts[at] - filled
+                gap = gap if gap > 0 else 2 if filled else 0
+                made.append(" " * gap + x)
+                filled += gap + columns(x)
+            out.append("".join(made).rstrip())
     while out and not out[-1]:
         out.pop()
     return out
 
 
-def hidden(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or ("style" in a and UNSEEN.search(a["style"])):
-        return True
-    if node.tag == "dialog" and "open" not in a:
-        return True
-    parent = node.parent
-    return parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary"
+def shown(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool]:
+    """Whether an element is there at all, and whether its own text can be seen."""
+    a, parent = node.attrs, node.parent
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
+        return False, False
+    if parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
+        return False, False
+    said = rules.of(node) if rules.by_key or "style" in a else {}
+    if said.get("display", "none" if "hidden" in a else "") == "none":
+        return False, False
+    visibility = said.get("visibility", "inherit")
+    return True, visibility == "visible" or (seen and visibility not in ("hidden", "collapse"))
 
 
-def render(root: Node) -> str:
+def render(root: Node, sheets: list[str]) -> str:
     """All visible text of a tree."""
-    page, pages, tables, lists, pre = Page(), [], [], [], 0
-    stack: list[tuple[object, bool]] = [(root, False)]
+    rules, page, pages, tables, lists, pre = Rules(sheets), Page(), [], [], [], 0
+    drawing: list[bool] = []  # within svg: whether text shows, by open element that decides it
+    stack: list[tuple[object, str, bool]] = [(root, "enter", True)]
     while stack:
-        node, leaving = stack.pop()
+        node, step, seen = stack.pop()
         if isinstance(node, str):
-            (page.verbatim if pre else page.text)(node)
+            if seen and (not drawing or drawing[-1]):
+                (page.verbatim if pre else page.text)(node)
             continue
         tag = node.tag
-        if not leaving:
-            if hidden(node):
+        if step == "enter":
+            there, seen = shown(node, rules, seen)
+            if not there or (drawing and tag in UNDRAWN):
                 continue
-            stack.append((node, True))
+            step = "leave"
             closed = tag == "details" and "open" not in node.attrs
-            stack.extend((c, False) for c in reversed(node.children) if not (closed and isinstance(c, str)))
             if tag == "br":
                 page.line(True)
             elif tag in SPACED:
@@ -351,53 +470,73 @@ def render(root: Node) -> str:
             if tag in ("pre", "textarea", "xmp"):
                 pre += 1
             if tag in ("ul", "ol", "menu"):
-                lists.append([tag, number(node.attrs.get("start"), -10**9, 10**9, 1)])
-            elif tag in ("li", "blockquote", "dd", "td", "th", "caption"):
-                pages.append(page)
-                page = Page()
+                if lists and not page.marks:
+                    page.blank = False
+                lists.append([tag, number(node.attrs.get("start"), -10**9, 10**9, 1), False])
+            elif tag == "li":
+                kind = lists[-1] if lists else ["ul", 1, True]
+                if kind[0] == "ol":
+                    kind[1] = number(node.attrs.get("value"), -10**9, 10**9, kind[1])
+                page.blank, kind[2] = page.blank and not kind[2], True
+                page.enter(f"{kind[1]}. " if kind[0] == "ol" else "- ")
+            elif tag in ("blockquote", "dd"):
+                page.enter("  ")
+            elif tag in ("td", "th", "caption"):
+                if tables and tables[-1] is not None and (tag == "caption" or tables[-1][0]):
+                    step = "leave cell"
+                    pages.append(page)
+                    page = Page()
+                else:
+                    page.line()
             elif tag == "table":
-                tables.append(([], []))
-            elif tag == "tr" and tables:
+                tables.append(([], []) if len(tables) < MOST_TABLES else None)
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1][0].append([])
+            elif tag == "svg":
+                drawing.append(False)
+            elif drawing and tag in DRAWN_TEXT:
+                drawing.append(True)
+                page.space = True
+            stack.append((node, step, seen))
+            stack.extend((c, "enter", seen) for c in reversed(node.children) if not (closed and isinstance(c, str)))
             continue
         if tag in ("pre", "textarea", "xmp"):
             pre -= 1
-        if tag in ("li", "blockquote", "dd", "td", "th", "caption"):
+        if step == "leave cell":
             lines, page = page.done(), pages.pop()
-            if tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                mark = "- "
-                if kind[0] == "ol":
-                    kind[1] = number(node.attrs.get("value"), -10**9, 10**9, kind[1])
-                    mark = f"{kind[1]}. "
-                    kind[1] += 1
-                page.blank = False
-                page.add([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)])
-            elif tag in ("td", "th") and tables and tables[-1][0]:
-                tables[-1][0][-1].append((lines, number(node.attrs.get("colspan"), 1, 1000, 1), number(node.attrs.get("rowspan"), 1, 65534, 1)))
-            elif tag == "caption" and tables:
+            if tag == "caption":
                 tables[-1][1].extend(lines)
             else:
-                page.add(["  " + x if x else x for x in lines] if tag in ("blockquote", "dd") else lines)
-                if tag == "blockquote":
-                    page.apart()
+                tables[-1][0][-1].append((lines, number(node.attrs.get("colspan"), 1, 1000, 1), number(node.attrs.get("rowspan"), 1, 65534, 1)))
+        elif tag == "li":
+            page.leave()
+            if lists:
+                lists[-1][1] += 1
+        elif tag in ("blockquote", "dd"):
+            page.leave()
+            if tag == "blockquote":
+                page.apart()
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
             page.apart()
             if lists:
                 page.blank = False
         elif tag == "table":
-            page.add(table_lines(*tables.pop()))
+            if (made := tables.pop()) is not None:
+                page.add(table_lines(*made))
             page.apart()
+        elif tag == "svg" or (drawing and tag in DRAWN_TEXT):
+            drawing.pop()
+            page.space = True
         elif tag in SPACED:
             page.apart()
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in ("td", "th", "caption"):
             page.line()
     return "\n".join(page.done())
 
 
 def extract_text(html: str | None) -> str:
-    return render(build(html)) if html else ""
+    return render(*build(html)) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -26,6 +28,16 @@ CASES = [
     ("<!-- no --><!DOCTYPE html><?php no ?>yes<!-- open", "yes"),
     ("one <b>t</b>wo  \n three", "one two three"),
     ("<blockquote>q<p>w</blockquote>after", "  q\n\n  w\n\nafter"),
+    ("<p>x</p><ul><li>a<li><p>b</p><p>c</p><li></ul><p>y", "x\n\n- a\n- b\n\n  c\n\ny"),
+    ("<ul><li><ul><li>a</ul>b</ul>", "- - a\n  b"),
+    ("<style>.h{display:none} #i, b.k {visibility:hidden}/* p{display:none} */ @media print { p{display:none} }</style><p class='x h'>no</p><p id=i>no</p><b class=k>no</b><i class=k>yes</i>", "yes"),
+    ("<style>p{display:none}.on{display:block}</style><p>no<p class=on>yes<p class=on style='display:none'>no", "yes"),
+    ("<style>p{display:none !important}</style><p style='display:block'>no</p><div hidden style='display:block'>yes", "yes"),
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes<b style='visibility:hidden'>no</b></p>no</div>", "yes"),
+    ("<div style='display:none'>no<p style='display:block;visibility:visible'>no</p></div>yes", "yes"),
+    ("<p>a</p><p>late<style>p.z{display:none}</style></p><p class=z>no</p>", "a\n\nlate"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><title>no</title><defs><text>no</text></defs>no<text>label</text><text>two</text></svg> y", "x=2 label two y"),
+    ("<table><tr><td>日本<td>a<tr><td>é<td>b</table>", "日本  a\né     b"),
     ("<a href='x", ""),
     ("", ""),
     (None, ""),
@@ -81,6 +93,82 @@ def test_deep_and_long_pages():
     assert text("word " * 200_000).count("word") == 200_000
 
 
+def tree(rng, depth=0):
+    """A random block as nested tuples."""
+    word = lambda: rng.choice(("ab", "c", "déf", "ghi jk"))
+    kind = rng.choice(("p", "p", "pre", "table", "ul", "ol", "blockquote") if depth < 3 else ("p",))
+    if kind in ("ul", "ol"):
+        return kind, [(word(), [tree(rng, depth + 1) for _ in range(rng.randint(0, 2))]) for _ in range(rng.randint(1, 3))]
+    if kind == "blockquote":
+        return kind, [tree(rng, depth + 1) for _ in range(rng.randint(1, 3))]
+    if kind == "table":
+        return kind, [[word() for _ in range(3)] for _ in range(rng.randint(1, 3))]
+    return kind, word() if kind == "p" else f"{word()}\n  {word()}"
+
+
+def markup(block):
+    kind, inner = block
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{w}{''.join(map(markup, blocks))}" for w, blocks in inner) + f"</{kind}>"
+    if kind == "blockquote":
+        return "<blockquote>" + "".join(map(markup, inner)) + "</blockquote>"
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in inner) + "</table>"
+    return f"<{kind}>{inner}</{kind}>"
+
+
+def plain(block, nested=False):
+    """Lines of a block, by recursion."""
+    kind, inner = block
+    if kind in ("ul", "ol"):
+        out = []
+        for n, (w, blocks) in enumerate(inner, 1):
+            mark = f"{n}. " if kind == "ol" else "- "
+            lines = [w]
+            for b in blocks:
+                lines += ([] if b[0] in ("ul", "ol") else [""]) + plain(b, True)
+            out += [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)]
+        return out
+    if kind == "blockquote":
+        out = []
+        for i, b in enumerate(inner):
+            out += ([""] if i and not (nested and b[0] in ("ul", "ol")) else []) + plain(b, nested)
+        return ["  " + x if x else x for x in out]
+    if kind == "table":
+        wide = [max(len(row[c]) for row in inner) for c in range(3)]
+        return ["  ".join(x.ljust(w) for x, w in zip(row, wide, strict=True)).rstrip() for row in inner]
+    return inner.split("\n")
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_layout_against_a_plain_renderer(seed):
+    rng = random.Random(seed)
+    blocks = [tree(rng) for _ in range(rng.randint(1, 4))]
+    assert text("".join(map(markup, blocks))) == "\n\n".join("\n".join(plain(b)) for b in blocks)
+
+
+NESTS = ["<blockquote>x", "<ul><li>x", "<dl><dd>x", "<table><tr><td>x", "<div style='visibility:hidden'>x", "<i><b></i>x", "<td><i>x", "<tr><td rowspan=9 colspan=9>x", "<style>.a{display:none}</style><p class='a b c'>x", "<table><tr><td><i><b></i>x"]
+
+
+@pytest.mark.parametrize("part", NESTS)
+def test_a_megabyte_of_nesting_takes_seconds(part):
+    """Work and output grow with the page: twice the page, about twice of both, and no page is minutes of work."""
+    half, whole = (part * (n // len(part)) for n in (500_000, 1_000_000))
+    began = time.process_time()
+    small = text(half)
+    middle = time.process_time()
+    large = text(whole)
+    took = time.process_time() - middle
+    assert len(large) <= 2.2 * len(small) + 100 and len(large) < 80 * len(whole)
+    assert took < 25 and took < 4 * (middle - began) + 2
+
+
+def test_wide_cells_do_not_widen_every_row():
+    page = "<table><tr><td>" + "w" * 100_000 + "<td>end" + "<tr><td>a<td>b" * 5000 + "</table>"
+    got = text(page)
+    assert len(got) < 2_000_000 and "w  end" in got and got.splitlines()[1] == "a" + " " * 81 + "b"
+
+
 def test_awkward(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "<p>x", "c"), (3, "<p>y", "d"), (3, "<p>y", "d")], "page_id bigint, html string, id string")
     got = sorted(((r["id"], r["text"]) for r in html_text.extract(rows).collect()), key=str)
