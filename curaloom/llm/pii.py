@@ -72,17 +72,21 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the field
 
-#: Most tokens and characters of an entity.
-TOKENS, CHARS = 16, 64
+#: Most runs of digits in a number, and most digits.
+GROUPS, DIGITS = 6, 19
+#: Most tokens and characters of an entity, by kind (an address has 320 characters at most).
+TOKENS = {"email": 128, "ip": 16, "card": 24, "phone": 24}
+CHARS = {"email": 320, "ip": 64, "card": 64, "phone": 64}
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
-#: Where candidates can be: digits with their separators, or a word for ``@``.
-LABEL = r"[A-Za-z0-9-]{1,40}"
-REGION = re.compile(
-    r"[(+\[]?[0-9](?:[0-9]|[ ().\[\]/-]{1,3}(?=[0-9]))*"
-    rf"|[A-Za-z0-9._%+-]{{1,40}}(?: ?(?:\(at\)|\[at\]|@) ?{LABEL}(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.| dot ){LABEL}){{1,4}}| at {LABEL}(?: dot {LABEL}){{1,4}})",
-    re.I,
-)
-AT, DOT = re.compile(r" ?(?:\(at\)|\[at\]|@) ?| at ", re.I), re.compile(r" ?(?:\(dot\)|\[dot\]) ?|\.| dot ", re.I)
+#: Where numbers can be: digits with their separators.
+NUMBERS = re.compile(r"[(+\[]?[0-9](?:[0-9]|[ ().\[\]/-]{1,3}(?=[0-9]))*")
+#: Spellings of ``@`` and of the points of a host.  A bare word for ``@`` needs spelled points too.
+OPEN, SHUT = r" ?[(\[{<] ?", r" ?[)\]}>] ?"
+AT = re.compile(rf"{OPEN}(?:at|@){SHUT}| ?@ ?|(?P<bare> at |_at_)", re.I)
+SPELLED = rf"{OPEN}(?:dot|\.){SHUT}| dot |_dot_"
+DOT = re.compile(rf"{SPELLED}|\.", re.I)
+HOSTS = {bare: re.compile(rf"[A-Za-z0-9-]++(?:(?:{SPELLED}{'' if bare else '|[.]'})[A-Za-z0-9-]++)+", re.I) for bare in (False, True)}
+MAYBE_AT = re.compile(r"[ _(\[{<]at[ _)\]}>]", re.I)
 CUES = {
     "email": {"mail", "email", "contact", "write", "reach"},
     "phone": {"phone", "tel", "call", "fax", "mobile", "cell", "ring", "dial", "contact"},
@@ -104,13 +108,13 @@ def possible(text: str, kind: str) -> bool:
     """Whether a segment can be of a kind at all; everything else is left to the weights."""
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "email":
-        halves = AT.split(text)
-        return len(halves) == 2 and bool(halves[0]) and bool(DOT.search(halves[1].strip(". ")))
+        marks = list(AT.finditer(text))
+        return len(marks) == 1 and marks[0].start() > 0 and bool(HOSTS[bool(marks[0]["bare"])].fullmatch(text, marks[0].end()))
     if text[-1] not in "0123456789" or re.search(r"[^\W\d_]", text):
         return False
     if kind == "ip":
-        parts = re.split(r"\[\.\]|\.", text)
-        return len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts)
+        parts = re.split(r"[\[(]?\.[\])]?", text)
+        return len(parts) == 4 and all(p.isdigit() and p.isascii() and byte_sized(p) for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19
     return 7 <= len(digits) <= 15
@@ -122,44 +126,56 @@ def features(text: str, kind: str, near: frozenset[str]) -> list[str]:
     out = [f"{kind}", f"{kind}|{shape(text)}"]
     out += [f"{kind}|cue {c}" for c in near]
     if kind == "email":
-        local, host = AT.split(text)
-        labels = DOT.split(host)
-        out += [f"{kind}|end {2 <= len(labels[-1]) <= 6 and labels[-1].isalpha()}", f"{kind}|plain at {'@' in text}", f"{kind}|bare words {bool(re.search(r' at .* dot ', text, re.I))}", f"{kind}|local {bool(re.fullmatch(r'[A-Za-z0-9._%+-]+', local))}", f"{kind}|bare at {bool(re.search(r'[A-Za-z0-9] at ', text, re.I))} dot {bool(re.search(r' dot |dot[)]', text, re.I))}"]
-    elif kind == "card":
-        out += [f"{kind}|luhn {luhn(digits)}", f"{kind}|digits {len(digits)}", f"{kind}|known start {digits[0] in '3456'}"]
-    elif kind == "ip":
-        out += [f"{kind}|sized {all(map(byte_sized, re.split(r'[^0-9]+', text)))}"]
+        mark = AT.search(text)
+        local, labels = text[: mark.start()], DOT.split(text[mark.end() :])
+        out += [f"{kind}|end {2 <= len(labels[-1]) <= 6 and labels[-1].isalpha()}", f"{kind}|plain at {'@' in text}", f"{kind}|bare {bool(mark['bare'])}", f"{kind}|local {bool(re.fullmatch(r'[A-Za-z0-9._%+-]+', local))}", f"{kind}|spelled point {bool(re.search(SPELLED, text, re.I))}"]
     else:
         groups = re.findall(r"[0-9]+", text)
-        out += [f"{kind}|digits {len(digits)}", f"{kind}|groups {len(groups)}", f"{kind}|bracket {'(' in text}", f"{kind}|plus {text[0] == '+'}", f"{kind}|last {len(groups[-1])}", f"{kind}|points {'.' in text} {'/' in text}"]
+        lengths = [len(g) for g in groups]
+        signs = "".join(sorted(set(re.sub(r"[0-9]", "", text))))
+        out += [f"{kind}|lengths {lengths}", f"{kind}|signs {signs}", f"{kind}|least {min(lengths[1:], default=0)}", f"{kind}|digits {len(digits)}", f"{kind}|groups {len(groups)}"]
+        if kind == "card":
+            out += [f"{kind}|luhn {luhn(digits)}", f"{kind}|known start {digits[0] in '3456'}", f"{kind}|even {max(lengths) - min(lengths) < 3}"]
+        elif kind == "ip":
+            out += [f"{kind}|sized {all(map(byte_sized, groups))}"]
+        else:
+            out += [f"{kind}|head {'0' if digits[0] == '0' else '1' if groups[0] == '1' else ''} {min(lengths[0], 5)}", f"{kind}|bracket {'(' in text}", f"{kind}|plus {text[0] == '+'}", f"{kind}|last {lengths[-1]}", f"{kind}|grouped {len(groups) > 2 and min(lengths[1:]) > 1 and max(lengths) < 8}"]
     return out
 
 
 class Stretch:
     """The tokens of one region and its candidate segments, by end."""
 
-    def __init__(self, text: str, start: int, end: int):
+    def __init__(self, text: str, start: int, end: int, kinds: tuple[str, ...]):
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
         self.tokens = tokens
         around = re.findall(r"[^\W\d_]+", text[max(0, start - 32) : start])[-3:] + re.findall(r"[^\W\d_]+", text[end : end + 16])[:1]
         near = frozenset(c for w in around for c in CUE_OF.get(w.lower(), ()))
         self.near = near
         self.by_end: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
+        most_tokens, most_chars = max(TOKENS[k] for k in kinds), max(CHARS[k] for k in kinds)
+        mail = kinds == ("email",)
+        runs, digits = [0], [0]  # runs of digits and digits before each token
+        for a, b in tokens:
+            number = text[a] in "0123456789"
+            runs.append(runs[-1] + number)
+            digits.append(digits[-1] + (b - a) * number)
         for i, (a, _) in enumerate(tokens):
-            if text[a] in ").]-/ ":
+            if text[a] in ").]-/ " or (mail and AT.match(text, a)):
                 continue
-            for j in range(i, min(i + TOKENS, len(tokens))):
+            # an address ends where its region does; numbers may end anywhere
+            for j in (len(tokens) - 1,) if mail else range(i, min(i + most_tokens, len(tokens))):
                 b = tokens[j][1]
-                if b - a > CHARS:
+                if b - a > most_chars or (not mail and (runs[j + 1] - runs[i] > GROUPS or digits[j + 1] - digits[i] > DIGITS)):
                     break
-                if b - a < 7:
+                if not mail and digits[j + 1] - digits[i] < 7 and runs[j + 1] - runs[i] != 4:
                     continue
                 piece = text[a:b]
-                for k, kind in enumerate(KINDS):
-                    if possible(piece, kind):
+                for kind in kinds:
+                    if j - i < TOKENS[kind] and possible(piece, kind):
                         # a segment that cuts a run of letters or digits is told apart by its neighbours
                         cut = (a > 0 and (text[a - 1].isalnum() or text[a - 1] in "+.-/(" and kind != "email")) or (b < len(text) and (text[b].isalnum() or text[b] in "-/" or (text[b] == "." and b + 1 < len(text) and text[b + 1].isalnum())))
-                        self.by_end[j + 1].append((i, k + 1, features(piece, kind, near) + [f"{kind}|cut {cut}"]))
+                        self.by_end[j + 1].append((i, KINDS.index(kind) + 1, features(piece, kind, near) + [f"{kind}|cut {cut}"]))
 
 
 def total(weights: dict[str, float], names: list[str]) -> float:
@@ -241,15 +257,23 @@ def sentences(count: int, seed: int = 11):
     def card() -> str:
         d = rng.choice("3456") + digits(14)
         d += next(c for c in "0123456789" if luhn(d + c))
-        return rng.choice((d, f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}", f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}/{d[4:8]}/{d[8:12]}/{d[12:]}"))
+        return rng.choice((d, f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}", f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}/{d[4:8]}/{d[8:12]}/{d[12:]}", f"{d[:4]}.{d[4:8]} {d[8:12]}.{d[12:]}", f"{d[:4]}/{d[4:10]}/{d[10:]}"))
 
     def phone() -> str:
         a, b, c = rng.choice("23456789") + digits(2), digits(3), digits(4)
+        if rng.random() < 0.5:  # any grouping
+            groups = [digits(rng.choice((2, 3, 3, 4, 4))) for _ in range(rng.randint(2, 4))]
+            joint = rng.choice((" ", " ", "-", "."))
+            area = rng.choice(("0", "00", f"1{joint}", "")) + digits(rng.randint(2, 3))
+            area = f"({area.strip()})" if rng.random() < 0.3 else area
+            made = area + rng.choice((joint, joint, "/")) + joint.join(groups)
+            if 9 <= sum(map(str.isdigit, made)) <= 14:
+                return made
         return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}"))
 
     def email() -> str:
         a, b, c = word(), word(), rng.choice(("com", "org", "net", "de", "example"))
-        return rng.choice((f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}[dot]{c}", f"{a} [at] {b} [dot] {c}", f"{a} at {b} dot {c}", f"{a}@{b}.{c}", f"{a}.{word()}(at){b}.{c}"))
+        return rng.choice((f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}[dot]{c}", f"{a} [at] {b} [dot] {c}", f"{a} at {b} dot {c}", f"{a}@{b}.{c}", f"{a}.{word()}(at){b}.{c}", f"{a} (@) {b} (.) {c}", f"{a}-{word()} [at] {word()}.{b}.{c}"))
 
     def ip() -> str:
         p = [str(rng.randint(0, 255)) for _ in range(4)]
@@ -258,7 +282,7 @@ def sentences(count: int, seed: int = 11):
     def other() -> str:
         d = rng.choice("0123456789") + digits(14)
         wrong = d + next(c for c in "0123456789" if not luhn(d + c))
-        return rng.choice((f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", wrong, wrong[:13], digits(rng.randint(7, 12)), f"{digits(2)}.{digits(2)}.{rng.randint(1900, 2099)}", f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(4)} {digits(4)} {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(5)}-{digits(5)}", f"{digits(2)}/{digits(2)}/{digits(4)} {digits(4)}", f"at {word()} dot", f"{word()} at {word()}. {word()}", f"{digits(3)} {digits(2)} {digits(3)} {digits(1)}", f"{word()}. At {word()}. {word()}"))
+        return rng.choice((f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", wrong, wrong[:13], digits(rng.randint(7, 12)), f"{digits(2)}.{digits(2)}.{rng.randint(1900, 2099)}", f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(4)} {digits(4)} {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(5)}-{digits(5)}", ".".join(str(rng.randint(200, 999)) for _ in range(4)), f"{digits(2)}/{digits(2)}/{digits(4)} {digits(4)}", f"{rng.randint(1900, 2099)}.{rng.randint(1, 12):02d}.{rng.randint(1, 28):02d}.{digits(5)}", " ".join(str(rng.randint(1, 99)) for _ in range(rng.randint(3, 6))), f"{rng.randint(1900, 2099)}-{rng.randint(1900, 2099)} {rng.randint(1900, 2099)}", f"at {word()} dot", f"{word()} at {word()}. {word()}", f"{digits(3)} {digits(2)} {digits(3)} {digits(1)}", f"{word()}. At {word()}. {word()}"))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     for _ in range(count):
@@ -275,14 +299,42 @@ def sentences(count: int, seed: int = 11):
         yield text, marks
 
 
-def stretches(text: str):
-    for m in REGION.finditer(text):
-        if m.end() - m.start() >= 7:
-            yield Stretch(text, m.start(), m.end())
+def mail_regions(text: str) -> list[tuple[int, int]]:
+    """Places around a spelling of ``@`` with a host behind it and a name before it, left to right."""
+    out, free, at = [], 0, 0
+    while m := AT.search(text, at):
+        at = m.start() + 1
+        host = HOSTS[bool(m["bare"])].match(text, m.end())
+        start, least = m.start(), max(free, m.start() - CHARS["email"])
+        while start > least and text[start - 1] in LOCAL:
+            start -= 1
+        if host and start < m.start():
+            free = at = host.end()
+            out.append((start, free))
+    return out
+
+
+def stretches(text: str, base: list[Span] = []):  # noqa: B006
+    """The regions in which the field looks: those of addresses that are no base span, and numbers outside of addresses."""
+    mails = mail_regions(text) if "@" in text or MAYBE_AT.search(text) else []
+    known, nth = [(a, b) for a, k, b in base if k == 0], 0
+    for start, end in mails:
+        while nth < len(known) and known[nth][1] <= start:
+            nth += 1
+        if nth == len(known) or known[nth][0] >= end:
+            yield Stretch(text, start, end, ("email",))
+    nth = 0
+    for m in NUMBERS.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        while nth < len(mails) and mails[nth][1] <= m.start():
+            nth += 1
+        if nth == len(mails) or mails[nth][0] >= m.end():
+            yield Stretch(text, m.start(), m.end(), ("ip", "card", "phone"))
 
 
 @cache
-def trained(count: int = 600, epochs: int = 4, rate: float = 0.3) -> dict[str, float]:
+def trained(count: int = 1500, epochs: int = 6, rate: float = 0.2) -> dict[str, float]:
     """Weights by feature, the same in every process."""
     weights: dict[str, float] = {}
     made = []
@@ -298,16 +350,21 @@ def trained(count: int = 600, epochs: int = 4, rate: float = 0.3) -> dict[str, f
     return weights
 
 
-def field_spans(text: str, weights: dict[str, float]) -> list[Span]:
-    """What the field finds by itself."""
-    return [(s.tokens[i][0], k - 1, s.tokens[j - 1][1]) for s in stretches(text) if any(s.by_end) for i, k, j in best(s, weights)]
+def field_spans(text: str, weights: dict[str, float], base: list[Span] = []) -> list[Span]:  # noqa: B006
+    """What the field finds by itself, beside the addresses among ``base``."""
+    return [(s.tokens[i][0], k - 1, s.tokens[j - 1][1]) for s in stretches(text, base) if any(s.by_end) for i, k, j in best(s, weights)]
 
 
 def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """Base spans, and those together with the field's that overlap none of them."""
     base = base_spans(text)
-    covered = sorted((a, b) for a, _, b in base)
-    extra = [s for s in field_spans(text, weights) if not any(a < s[2] and s[0] < b for a, b in covered)] if any(c.isdigit() or c in "@([" for c in text) or " at " in text else []
+    extra, nth, reach = [], 0, -1  # ``reach``: the end of the base spans that start before the one in hand ends
+    for span in sorted(field_spans(text, weights, base)):
+        while nth < len(base) and base[nth][0] < span[2]:
+            reach = max(reach, base[nth][2])
+            nth += 1
+        if reach <= span[0]:
+            extra.append(span)
     return base, sorted(base + extra)
 
 
@@ -319,12 +376,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Personal data in every whole text.
 
     Returns per input row ``id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``
-    (base spans), ``base_sha256``, ``spans`` (all, as ``kind:start:end``) and
-    ``found`` (the same as an array of kind, start, end, base).
+    (base spans), ``base_sha256``, ``spans`` (all, as ``kind:start:end``),
+    ``n_spans`` (their number) and ``found`` (the same as an array of kind, start,
+    end, base).
 
     Defined cases: a null text is empty and has no spans; a null id and repeated
     rows keep their rows; an empty table gives an empty result; other columns
-    aren't read.  Entities of the field hold at most 16 tokens and 64 characters.
+    aren't read.  Entities of the field are bounded: addresses by 320 characters,
+    addresses of machines by 16 tokens, other numbers by 24, both by 64 characters.
+    Base spans have any length.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
@@ -337,14 +397,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             made = [all_spans(x or "", weights) for x in batch.column(1).to_pylist()]
             counts = [pa.array([sum(k == n for _, k, _ in base) for base, _ in made], pa.int64()) for n in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in made], pa.string())
-            found = [[{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in set(base)} for a, k, b in both] for base, both in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([written(both) for _, both in made], pa.string()), pa.array(found, pa.list_(item))], names=["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "found"])
+            known = [set(base) for base, _ in made]
+            found = [[{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in own} for a, k, b in both] for own, (_, both) in zip(known, made, strict=True)]
+            numbers = pa.array([len(both) for _, both in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([written(both) for _, both in made], pa.string()), numbers, pa.array(found, pa.list_(item))], names=["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans", "found"])
 
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_spans bigint, found array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in angle brackets."""
+    """``docs`` with each span of its text replaced by its kind in angle brackets.
+
+    Defined cases: a null text stays null; of spans that overlap, the first gives
+    the kind and all are covered; null ids and repeated rows are like any other;
+    an empty table gives an empty result; other columns stay as they are, whatever
+    their names.
+    """
     small_batches(docs.sparkSession)
     weights, at = trained(), docs.columns.index(text_col)
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,51 @@ def test_field_on_unseen_sentences():
     assert right / all_ > 0.9
 
 
+#: Spellings that the generator of the training sentences doesn't write.
+OTHERS = {
+    "email": ["jane.doe {at} example {dot} com", "bob AT example DOT org", "kim(at)mail(dot)example(dot)co(dot)uk", "x.y-z+tag [AT] host [DOT] net", "anna @ example.com", "lee <at> corp <dot> io", "joe_at_site_dot_org", "max at uni dot edu dot au", "tom [@] web [.] de", "sue (at) sub.domain.example.org", "a.very.long.local.part.with.many.labels.and.more.than.forty.characters (at) mail.example.com"],
+    "phone": ["0049 30 1234567", "(030) 1234 5678", "555 234 5678", "1 800 555 0199", "1.800.555.0199", "020 7946 0958", "(02) 9374 4000", "01 42 68 53 00", "555/234-5678", "(0171) 234 56 78"],
+    "card": ["3782.822463.10005", "3782/822463/10005", "4222222222222", "5500 0000.0000 0004", "4012.8888.8888.1881", "6011/0009.9013/9424"],
+    "ip": ["192.168.1[.]1", "192[.]168.1.1", "172(.)16(.)0(.)9", "8[.]8[.]8[.]8", "10.20[.]30[.]40"],
+}
+FRAMES = ("", ""), ("please use ", " for this"), ("you can write to ", " now."), ("(see ", ")"), ("it was ", ", they said"), ("kontakt: ", "")
+CLEAN = ["in 2024-05-17 at 12:30 the total was 1,299.00", "version 3.14.1 of page 12345", "order 100200300 line 12", "at noon dot", "He was at home. At last", "look at foo.bar now", "year 1999 2001 2003", "isbn 978-3-16-148410-0", "1234567890123456", "12 34 56", "id 2024.05.17.12345", "1 2 3 4 5 6 7 8 9 10", "from 1914-1918 to 1939-1945", "room 101, floor 12, building 7", "0.123456789", "300.300.300.300", "10000000", "3/4/2024 12:00"]
+
+
+def test_recall_on_other_spellings():
+    """At least nine of ten are found exactly (0.906 when measured), and none of the clean texts is marked."""
+    w, found, all_ = pii.trained(), 0, 0
+    for kind, values in OTHERS.items():
+        for value in values:
+            for before, after in FRAMES:
+                want = (len(before), pii.KINDS.index(kind), len(before) + len(value))
+                found += want in pii.all_spans(before + value + after, w)[1]
+                all_ += 1
+    assert found >= 0.9 * all_
+    assert [c for c in CLEAN if pii.all_spans(c, w)[1]] == []
+
+
+def test_long_texts_take_seconds():
+    w = pii.trained()
+    began = time.process_time()
+    base, both = pii.all_spans("write to x@y.zz, " * 100_000, w)
+    assert len(base) == len(both) == 100_000
+    base, both = pii.all_spans("ask john.doe (at) example.org, " * 20_000, w)
+    assert not base and len(both) == 20_000
+    for text in ("1 2 3 " * 50_000, "a_at_" * 50_000, "a" * 200_000 + "@" + "b." * 100_000 + "c", "555 234 5678 " * 10_000):
+        pii.all_spans(text, w)
+    assert time.process_time() - began < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", " ", "4111 1111 1111 1111", "1.2.3.4", "+1 (555) 234-5678", "x (at) y dot z", "(555) 234-5678", ", ", "é", "7"]), max_size=12))
+def test_added_spans_overlap_no_base_span(parts):
+    base, both = pii.all_spans("".join(parts), pii.trained())
+    added = [s for s in both if s not in base]
+    assert not any(a < d and c < b for a, _, b in base for c, _, d in added)
+    assert {x for x in pii.field_spans("".join(parts), pii.trained()) if not any(a < x[2] and x[0] < b for a, _, b in base)} == set(added)
+
+
 def test_best_labelling_is_the_best_of_all():
     """The dynamic program against every labelling of short texts."""
     w = pii.trained()
