@@ -86,13 +86,13 @@ def secrets_sql() -> str:
     return f"""
         WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
         c AS ({union}),
-        o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
-        k AS (SELECT c.*, owners <= 1 AS live FROM c JOIN o USING (v)),
+        o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM c GROUP BY v),
+        k AS (SELECT c.*, owners, repos, owners <= 1 AND repos <= 3 AS live FROM c JOIN o USING (v)),
         f AS (SELECT * FROM k WHERE NOT wide OR (live AND NOT EXISTS (SELECT 1 FROM k AS b WHERE b.row_no = k.row_no AND NOT b.wide AND b.s < k.e AND k.s < b.e))),
-        g AS (SELECT row_no, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (live) AS l,
+        g AS (SELECT row_no, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (live) AS l, max(owners) AS mo, max(repos) AS mr,
                      string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, nth) AS al,
                      string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, nth) FILTER (NOT wide) AS ba FROM f GROUP BY row_no)
-        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(l, 0) AS n_live,
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(l, 0) AS n_live, coalesce(mo, 0) AS most_owners, coalesce(mr, 0) AS most_repos,
                sha256(coalesce(ba, '')) AS base_sha256, coalesce(al, '') AS spans
         FROM t LEFT JOIN g USING (row_no)
     """

@@ -2,10 +2,11 @@
 
 Patterns find candidates with their places in the text.  Every candidate's value
 is hashed, and the hashes are counted over the whole corpus by distinct
-repositories and owners.  A value that many owners have is a copied example; one
-that a single owner has looks live.  Base patterns always give spans; the wider
-patterns, which would be noisy by themselves, give spans only for values that
-look live.
+repositories and owners.  A value that several owners have is a copied example,
+and so is one that its only owner has in many repositories, as template files
+are; a value of one owner in few repositories looks live.  Base patterns always
+give spans; the wider patterns, which would be noisy by themselves, give spans
+only for values that look live.
 
 Everything is an expression of Spark SQL.
 """
@@ -43,15 +44,20 @@ def spans(text: str, found: str, pattern: str, group: int) -> str:
     """SQL for the array of ``(start, end, value)`` in code points of a pattern's matches.
 
     ``found`` names the array of whole matches.  The text between matches comes
-    from splitting by the same pattern; places are running sums of lengths, by
-    blocks, so that many matches of one text stay affordable.
+    from splitting by the same pattern.  Places are running sums of lengths: within
+    blocks of matches, from the sums of the blocks before.
     """
     p, empty = literal(pattern), "CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>)"
     steps = f"slice(arrays_zip(transform(split({text}, {p}, -1), gp -> length(gp)), transform({found}, mt -> length(mt)), regexp_extract_all({text}, {p}, {group})), 1, size({found}))"
+    numbers = f"sequence(0, CAST((size({found}) - 1) DIV {BLOCK} AS INT))"
+    parts = f"transform({numbers}, bn -> slice(al, bn * {BLOCK} + 1, {BLOCK}))"
+    sums = "transform(bs, ba -> aggregate(ba, 0L, (su, sq) -> su + sq.`0` + sq.`1`))"
+    before = "aggregate(ss, named_struct('at', 0L, 'o', CAST(array() AS array<bigint>)), (st, sv) -> named_struct('at', st.at + sv, 'o', concat(st.o, array(st.at))), st -> st.o)"
     place = "concat(st.o, array(named_struct('start', st.at + sp.`0`, 'end', st.at + sp.`0` + sp.`1`, 'value', sp.`2`)))"
-    run = f"aggregate(slice(al, bl * {BLOCK} + 1, {BLOCK}), named_struct('at', aggregate(slice(al, 1, bl * {BLOCK}), 0L, (su, sq) -> su + sq.`0` + sq.`1`), 'o', {empty}), (st, sp) -> named_struct('at', st.at + sp.`0` + sp.`1`, 'o', {place}), st -> st.o)"
-    blocks = f"flatten(transform(sequence(0, CAST((size({found}) - 1) DIV {BLOCK} AS INT)), bl -> {run}))"
-    return f"CASE WHEN size({found}) = 0 THEN {empty} ELSE flatten(transform(array({steps}), al -> {blocks})) END"
+    run = f"aggregate(ba, named_struct('at', bo, 'o', {empty}), (st, sp) -> named_struct('at', st.at + sp.`0` + sp.`1`, 'o', {place}), st -> st.o)"
+    # one-element arrays name what is used more than once
+    summed = f"flatten(transform(array({sums}), ss -> flatten(zip_with(bs, {before}, (ba, bo) -> {run}))))"
+    return f"CASE WHEN size({found}) = 0 THEN {empty} ELSE flatten(transform(array({steps}), al -> flatten(transform(array({parts}), bs -> {summed})))) END"
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: Column) -> DataFrame:
@@ -67,13 +73,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo:
     return store(rows.select(F.monotonically_increasing_id().alias("row_no"), "id", "owner", "repo", F.expr(f"concat({', '.join(found)})").alias("found")), "secrets")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, most_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, most_owners: int = 1, most_repos: int = 3) -> DataFrame:
     """Secrets of every row with the ownership of their values.
 
     Returns ``id``, ``found`` (array of start, nth, kind, end, wide, owners,
     repos, live; in order) per input row.  A value is live if at most
-    ``most_owners`` owners have it.  Of the wider patterns only live values are
-    kept that don't overlap a base span.
+    ``most_owners`` owners have it, in at most ``most_repos`` repositories.  Of the
+    wider patterns only live values are kept that don't overlap a base span.
 
     Defined cases: a null text is empty; a null owner or repository is one of its
     own; a null id and repeated rows keep their rows, and copies of a row count as
@@ -85,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     counts = places.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"))
     counts = counts.withColumn("digest", F.xxhash64("hash"))
     known = each.withColumn("digest", F.xxhash64("hash")).join(counts, ["digest", "hash"])
-    item = F.struct("c.start", "c.nth", "c.kind", "c.end", "c.wide", "owners", "repos", (F.col("owners") <= most_owners).alias("live"))
+    item = F.struct("c.start", "c.nth", "c.kind", "c.end", "c.wide", "owners", "repos", ((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).alias("live"))
     listed = known.groupBy("row_no", "id").agg(F.sort_array(F.collect_list(item)).alias("all"))
 
     def kept(x: Column) -> Column:
@@ -98,11 +104,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The columns of the scan that other programs compare: counts, hash of base spans, all spans."""
+    """The columns of the scan that other programs compare: counts, hash of base spans, all spans.
+
+    ``n_live`` counts the values that look live; ``most_owners`` and ``most_repos``
+    are those of the row's most widely held value, 0 without any.
+    """
 
     def joined(items: Column) -> Column:
         return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("found", lambda s: ~s["wide"])
     n = {f"n_{kind}": F.expr(f"CAST(size(filter(found, fd -> fd.kind = '{kind}')) AS BIGINT)") for kind, _, _, _ in BASE}
-    return found.select("id", *[c.alias(k) for k, c in n.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda s: s["live"])).cast("bigint").alias("n_live"))
+    return found.select("id", *[c.alias(k) for k, c in n.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda s: s["live"])).cast("bigint").alias("n_live"), *[F.expr(f"CAST(coalesce(array_max(transform(found, fd -> fd.{c})), 0) AS BIGINT)").alias(f"most_{c}") for c in ("owners", "repos")])

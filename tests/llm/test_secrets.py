@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,6 +67,28 @@ def test_many_matches_of_one_text(spark):
     assert [(x["start"], x["end"]) for x in got if x["kind"] == "assign"] == [(a, b) for a, k, b in plain(text) if k == 0]
 
 
+def test_repositories_decide_too(spark):
+    """A value of one owner in many repositories is a template's."""
+    value = "Qq1Ww2Ee3Rr4Tt5Yy6Uu7Ii8"
+    rows = [(i, f"own {value}{'x' if i < 2 else ''} here", "o", f"r{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    got = {r["id"]: r for r in secrets.digest(secrets.scan(docs, owner=F.col("source"), repo=F.col("repo"))).collect()}
+    assert [got[i]["spans"] for i in range(6)] == ["opaque:4:29", "opaque:4:29", "", "", "", ""]
+    assert [(got[i]["most_owners"], got[i]["most_repos"]) for i in (0, 3)] == [(1, 2), (0, 0)]
+    wide = {r["id"]: r for r in secrets.digest(secrets.scan(docs, owner=F.col("source"), repo=F.col("repo"), most_repos=4)).collect()}
+    assert wide[3]["spans"] == "opaque:4:28" and wide[3]["most_repos"] == 4
+
+
+def test_places_of_very_many_matches_take_seconds(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = secrets.digest(secrets.scan(docs)).first()
+    want = plain(text)
+    assert got["n_assign"] == 100_000 and got["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in want).encode()).hexdigest()
+    assert time.monotonic() - began < 60
+
+
 def test_awkward(spark):
     got = secrets.scan(awkward(spark), owner=F.col("source"), repo=F.col("lang")).collect()
     assert len(got) == awkward(spark).count()
