@@ -12,26 +12,32 @@ in the order in which it sent them; and the terms are summed per document.  An
 n-gram is sent only if both shorter ones inside it occur at least twice in the
 corpus (else its own count is one, which is exact).  A very frequent n-gram costs
 one entry a block, not one an occurrence.
+
+``score_rows`` is the same by plain relations, with a row for each n-gram of each
+document.  It takes several times the space of the shared folder and of shuffles.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, new_path, small_batches, store
+from .shared import discard, forget, new_path, small_batches, store
 
 #: Tokens of a block, and n-grams of a hash partition, about.
 BLOCK_TOKENS, PARTITION_GRAMS = 3 << 19, 1 << 20
 #: Buckets of a table at most; with more blocks than that, a task has several.
 MOST_BUCKETS = 100_000
+#: N-grams of a row at least, on average.
+ROW_GRAMS = 64
 
 
 class Numbering(dict):
@@ -43,12 +49,38 @@ class Numbering(dict):
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of unsigned 32-bit numbers by significance, which compresses well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Bytes of unsigned numbers by significance, which compresses well, after their number of bytes each."""
+    width = 4 if not len(values) or values.max() < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def partition_totals(table: pa.Table) -> pa.Table:
+    """The count table of one hash partition of one level, by the block that sent each part: totals in the order in which they came."""
+    level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()
+    grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+    _, back = np.unique(np.concatenate(grams), return_inverse=True)
+    # sums of whole numbers are exact in doubles up to 2 ** 53
+    sums = np.bincount(back, weights=np.concatenate([unplanes(c) for c in table.column("counts").to_pylist()])).astype(np.int64)[back]
+    totals = [planes(t) for t in np.split(sums, np.cumsum([len(g) for g in grams])[:-1])]
+    return pa.table({"level": pa.array([level] * len(grams), pa.int32()), "part": pa.array([part] * len(grams), pa.int64()), "block": table.column("block").combine_chunks(), "totals": pa.array(totals, pa.binary())})
+
+
+def scaled(corpus_bytes: int, block_tokens: int, partition_grams: int) -> tuple[int, int]:
+    """Tokens of a block and n-grams of a partition for a corpus of some size.
+
+    A row is what one block has in one partition.  With B tokens a block and G
+    n-grams a partition, N tokens make N/B blocks and N/G partitions, and a row
+    holds about B G / N n-grams.  Both grow with the root of the corpus where rows
+    would hold fewer than ``ROW_GRAMS``, and so does the memory that a task needs.
+    """
+    tokens = corpus_bytes / 6  # of a word and its space, about
+    more = max(1.0, math.sqrt(ROW_GRAMS * tokens / (block_tokens * partition_grams)))
+    return int(block_tokens * more), int(partition_grams * more)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
@@ -173,10 +205,14 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
     null id keeps its row; repeated rows are evidence for each other; an empty
     table gives an empty result; other columns aren't read.  N-grams are told
     apart by 64-bit hashes.
+
+    Tables of the work are deleted before the result is returned.
     """
     if order < 2:
         raise ValueError("order is two at least")
     spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("bigint")), F.lit(0))).first()[0]
+    block_tokens, partition_grams = scaled(size, block_tokens, partition_grams)
     shape = blocks(docs, id_col, text_col, block_tokens)
     kind = shape.schema["ids"].dataType.elementType.simpleString()
     first = new_path(spark, "lm-blocks")
@@ -187,7 +223,8 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
     # laid out by block once, so that only the totals move when they are joined
     name = f"lm_blocks_{uuid.uuid4().hex[:12]}"
     places = min(max(corpus["n"], int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
-    made.write.bucketBy(places, "block").option("path", new_path(spark, "lm-bucketed")).option("compression", "zstd").saveAsTable(name)
+    bucketed = new_path(spark, "lm-bucketed")
+    made.write.bucketBy(places, "block").option("path", bucketed).option("compression", "zstd").saveAsTable(name)
     discard(spark, first)
     made = spark.table(name)
     sent_type = "level int, part bigint, block bigint, grams binary, counts binary"
@@ -213,16 +250,6 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
                 rows = list(sending(Block(row, order), row["block"], range(1, 3)))
                 yield from sent_rows(rows).to_batches()
 
-    def count(table: pa.Table) -> pa.Table:
-        level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()
-        grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        _, back = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(back, weights=np.concatenate([unplanes(c) for c in table.column("counts").to_pylist()])).astype(np.int64)[back]
-        ends = np.cumsum([len(g) for g in grams])[:-1]
-        # totals above the largest 32-bit number are as good as that number
-        totals = [planes(np.minimum(t, 0xFFFFFFFF)) for t in np.split(sums, ends)]
-        return pa.table({"level": pa.array([level] * len(grams), pa.int32()), "part": pa.array([part] * len(grams), pa.int64()), "block": table.column("block").combine_chunks(), "totals": pa.array(totals, pa.binary())})
-
     def informed(left: pa.Table, right: pa.Table, top: int) -> tuple[Block, dict]:
         row = left.to_pylist()[0]
         block = Block(row, order)
@@ -247,10 +274,52 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "tokens": pa.array(block.lengths, pa.int64()), "log_score": pa.array(block.scores(total, alpha), pa.float64())})
 
     def counted(sent: DataFrame, at: str) -> DataFrame:
-        return store(sent.groupBy("level", "part").applyInArrow(count, "level int, part bigint, block bigint, totals binary"), at)
+        return store(sent.groupBy("level", "part").applyInArrow(partition_totals, "level int, part bigint, block bigint, totals binary"), at)
 
-    known = counted(made.select("block", "tokens", "ids", "lengths", "words", "vocabulary").mapInArrow(send_first, sent_type), "lm-totals")
+    tables = [counted(made.select("block", "tokens", "ids", "lengths", "words", "vocabulary").mapInArrow(send_first, sent_type), "lm-totals")]
     for level in range(3, order + 1):
+        known = reduce(DataFrame.unionByName, tables)
         more = made.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_next(level), sent_type)
-        known = known.unionByName(counted(more, "lm-totals"))
-    return made.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, f"id {kind}, tokens bigint, log_score double")
+        tables.append(counted(more, "lm-totals"))
+    known = reduce(DataFrame.unionByName, tables)
+    scores = store(made.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, f"id {kind}, tokens bigint, log_score double"), "lm-scores")
+    for table in tables:
+        forget(table)
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, bucketed)
+    return scores
+
+
+def score_rows(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``score`` returns, by count tables with a row per n-gram, partitioned by hash and joined to the exploded n-grams.
+
+    Defined cases are those of ``score``.
+    """
+    if order < 2:
+        raise ValueError("order is two at least")
+    lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lowered, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("ws"))
+    rows = store(rows.withColumn("tokens", F.size("ws").cast("bigint")), "lm-rows")
+    total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    at = None
+    for k in range(1, order + 1):
+        # one row for each n-gram of each document, with its places
+        each = rows.where(f"tokens >= {k}").select("row_no", F.posexplode(F.expr(f"transform(sequence(1, size(ws) - {k - 1}), i -> xxhash64(slice(ws, i, {k})))")).alias("first", "gram"))
+        own = each.groupBy("gram", "row_no").agg(F.count(F.lit(1)).alias("own"), F.collect_list(F.col("first") + (k - 1)).alias("places"))
+        own = store(own, f"lm-grams-{k}")
+        counts = own.groupBy("gram").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+        known = own.join(counts, "gram").select("row_no", F.explode("places").alias("pos"), (F.col("n") - F.col("own")).alias("c"), F.lit(k).alias("level"))
+        at = known if at is None else at.unionByName(known)
+    by_place = at.groupBy("row_no", "pos").agg(*[F.coalesce(F.max(F.when(F.col("level") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in range(1, order + 1)])
+    every = rows.select("row_no", "tokens", F.explode(F.sequence(F.lit(0), F.col("tokens").cast("int") - 1)).alias("pos")).where("tokens > 0")
+    found = every.join(by_place, ["row_no", "pos"], "left").na.fill(0)
+    before = Window.partitionBy("row_no").orderBy("pos")
+    found = found.withColumns({f"p{k}": F.lag(f"c{k}").over(before) for k in range(1, order)})
+    most, step = F.least(F.col("pos") + 1, F.lit(order)), math.log(alpha)
+    rest = F.log(F.greatest(F.lit(total) - F.col("tokens"), F.lit(1)))
+    term = F.when(F.col("c1") > 0, F.log("c1") + (most - 1) * step - rest).otherwise(most * step - rest)
+    for k in range(2, order + 1):
+        term = F.when(F.col(f"c{k}") > 0, F.log(f"c{k}") - F.log(f"p{k - 1}") + (most - k) * step).otherwise(term)
+    sums = found.groupBy("row_no").agg(F.sum(term).alias("log_score"))
+    return rows.select("row_no", "id", "tokens").join(sums, "row_no", "left").select("id", "tokens", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))

@@ -81,3 +81,15 @@ def test_ranks_agree_on_every_code_point():
     texts = [f"a{c}b {c}1{c} {c}{c}  {c}\n" for c in points]
     for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
         assert fast(t).tolist() == e.ids
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(
+    st.text(max_size=200),
+    st.lists(st.sampled_from(["the", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "don't", "123", "4567", "ÄÖ", "é", "e\u0301", "日本語", "한국", "😀", "👩\u200d👩", "\u00a0", "\u3000", "_", "--", "...", "<|endoftext|>", "<|", "|>", "\x00", "\x1f", "A", "b", "ß", "ﬁ", "\u202e", "١٢", "²", "!"]), max_size=40).map("".join),
+    st.text(alphabet=st.characters(min_codepoint=0x80, max_codepoint=0x2FFF, exclude_categories=("Cs",)), max_size=80),
+))
+def test_ids_of_mixed_texts_are_those_of_tokenizers(text):
+    files = tokenizer_files()
+    fast, slow = packing.encoder(**files), packing.encoder(files["path"])
+    assert fast(text).tolist() == slow(text).tolist()
