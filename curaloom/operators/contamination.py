@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import store
+
 Keyword = tuple[str, int, str, int, str]
 
 
@@ -53,36 +55,50 @@ def leak_message(example_id: Column, found: Column) -> Column:
     return F.when(found.isNotNull(), F.format_string("HeldOutLeakDetected: example '%s' matches held-out topic '%s' via keyword '%s'", example_id, found["topic"], found["keyword"]))
 
 
-#: Rows of the contained side that are sent to every task at most.
+#: Rows of the contained side, or keys of the rows, that are sent to every task at most.
 BROADCAST_ROWS = 100_000
+#: Characters by whose head a text without an inner word is found.
+GRAM = 3
+
+
+def within(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """An inner join that sends the right side to the rows if it is small."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, on)
 
 
 def containing(rows: DataFrame, key: str, text_col: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """``key, item_key`` of every row whose text contains the text of an item.
 
     A row that contains an item contains each of its inner words as a whole word,
-    so rows and items meet on the item's longest inner word, and the containment
-    is then verified.  Items without an inner word (under three words, or empty)
-    are compared with every row; there are few such items, and their number is
-    checked.
+    so rows and items meet on the item's longest inner word.  Items without an
+    inner word (under three words) meet on their first characters.  Keys and words
+    travel alone; the texts of rows that met an item are brought in afterwards, and
+    containment is verified.
+
+    Defined cases: null texts and null keys contain nothing and are in nothing; an
+    empty item is in every text; repeated rows and items give their pair once;
+    empty tables give an empty result.
     """
-    spark = rows.sparkSession
     split = r"[ \t\n\x0B\f\r]+"
-    goods = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("it")).where("it IS NOT NULL")
+    goods = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("it")).where("it IS NOT NULL AND item IS NOT NULL")
     inner = F.filter(F.split("it", split), lambda w: w != "")
     goods = goods.withColumn("ws", inner).withColumn("inner", F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))))
     longest = F.element_at(F.array_sort(F.transform("inner", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = goods.where("size(inner) > 0").select("item", "it", longest.alias("word"))
-    short = goods.where("size(inner) = 0").select("item", "it")
-    texts = rows.select(F.col(key).alias("key"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    words = texts.select("key", "t", F.explode(F.array_distinct(F.split("t", split))).alias("word"))
-    few = keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = words.join(F.broadcast(keyed) if few else keyed, "word").where(F.contains("t", "it")).select("key", "item")
-    some = short.limit(1001).count()
-    if some > 1000:
-        raise ValueError("too many items without an inner word to compare with every row")
-    if some:
-        texts_of = [(r["item"], r["it"]) for r in short.collect()]
-        small = spark.createDataFrame(texts_of, short.schema)
-        hits = hits.unionByName(texts.join(F.broadcast(small), F.contains("t", "it")).select("key", "item"))
-    return hits.distinct().select("key", F.col("item").alias("item_key"))
+    head = F.substr("it", F.lit(1), F.lit(GRAM))
+    goods = store(goods.select("item", "it", F.when(F.size("inner") > 0, longest).otherwise(head).alias("mark"), (F.size("inner") > 0).alias("worded")), "contained")
+    worded, short = goods.where("worded").select("item", "mark"), goods.where("NOT worded").select("item", "mark")
+    texts = rows.select(F.col(key).alias("key"), F.col(text_col).alias("t")).where("t IS NOT NULL AND key IS NOT NULL")
+    met = within(texts.select("key", F.explode(F.array_distinct(F.split("t", split))).alias("mark")), worded, "mark").select("key", "item")
+    lengths = sorted(r["n"] for r in short.select(F.length("mark").alias("n")).distinct().collect())  # at most GRAM + 1 values
+    if lengths:
+        grams = [F.array(F.lit(""))] if lengths[0] == 0 else []
+        for n in (n for n in lengths if n):
+            grams.append(F.when(F.length("t") >= n, F.expr(f"transform(sequence(1, length(t) - {n - 1}), i -> substr(t, i, {n}))")).otherwise(F.array().cast("array<string>")))
+        met = met.unionByName(within(texts.select("key", F.explode(F.array_distinct(F.concat(*grams))).alias("mark")), short, "mark").select("key", "item"))
+    met = store(met.distinct(), "met")
+    keys = met.select("key").distinct()
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    reached = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    pairs = within(reached.join(met, "key"), goods.select("item", "it"), "item").where(F.contains("t", "it"))
+    return pairs.select("key", F.col("item").alias("item_key")).distinct()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import store
+from ..storage import forget, store
 from .similarity import similar_classes, token_classes
 
 
-def ordered_duplicates(rows: DataFrame, key: str, ord_col: str, text_col: str, eligible: str, threshold: float = 0.95, by: str | None = None, baseline: DataFrame | None = None, baseline_text: str | None = None, most_rounds: int = 1000) -> DataFrame:
+def ordered_duplicates(rows: DataFrame, key: str, ord_col: str, text_col: str, eligible: str, threshold: float = 0.95, by: str | None = None, baseline: DataFrame | None = None, baseline_text: str | None = None) -> DataFrame:
     """Per row ``key``, ``duplicate``: whether a similar row before it was accepted, or a baseline row is similar.
 
     A row is accepted if it is eligible and no duplicate, in the order of
@@ -19,7 +21,8 @@ def ordered_duplicates(rows: DataFrame, key: str, ord_col: str, text_col: str, e
 
     Of a class of equal token sets only its first eligible row can be accepted, so
     the rounds run over classes.  In a round every class is decided whose earlier
-    neighbours are; there are as many rounds as the longest chain of neighbours.
+    neighbours are; there are as many rounds as the longest chain of neighbours, and
+    a round reads only what is still open.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(key).alias("k"), F.col(ord_col).cast("bigint").alias("o"), F.col(text_col).alias("t"), F.col(by).alias("b") if by else F.lit("").alias("b"), F.coalesce(F.expr(eligible), F.lit(False)).alias("fit"))
@@ -31,22 +34,31 @@ def ordered_duplicates(rows: DataFrame, key: str, ord_col: str, text_col: str, e
     members, classes = token_classes(base, "row_no", "o", "t", "b" if by else None)
     classes = store(classes, "classes")
     joined = store(members.select(F.col("key").alias("row_no"), "class_id").join(base.select("row_no", "k", "o", "fit"), "row_no"), "members")
-    first = joined.where("fit").groupBy("class_id").agg(F.min("o").alias("o"))
+    first = store(joined.where("fit").groupBy("class_id").agg(F.min("o").alias("o")), "first")
     pairs = store(similar_classes(classes, threshold).select("a", "b"), "similar")
     both = pairs.union(pairs.select("b", "a")).toDF("class_id", "other")
     starts = first.select(F.col("class_id").alias("other"), F.col("o").alias("other_o"))
     # edges from an eligible class to eligible ones before it
     edges = store(both.join(starts, "other").join(first, "class_id").where("other_o < o").select("class_id", "other"), "edges")
-    state = store(first.join(edges.select("class_id").distinct().withColumn("waits", F.lit(True)), "class_id", "left").select("class_id", "o", F.when(F.col("waits").isNull() | (F.col("o") < 0), True).alias("accepted")), "state")
-    for _ in range(most_rounds):
-        if state.where("accepted IS NULL").isEmpty():
-            break
-        known = state.select(F.col("class_id").alias("other"), "accepted")
-        seen = edges.join(known, "other").groupBy("class_id").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("taken"), F.count_if(F.col("accepted").isNull()).alias("open"))
-        verdict = F.when(F.col("taken"), False).when(F.col("open") == 0, True)
-        state = store(state.join(seen, "class_id", "left").select("class_id", "o", F.coalesce("accepted", verdict).alias("accepted")), "state")
-    else:
-        raise RuntimeError(f"rows weren't decided in {most_rounds} rounds")
+    # open: classes without a verdict, and their edges to others; both shrink in every round
+    waits = edges.select("class_id").distinct()
+    fresh = store(first.join(waits, "class_id", "left_anti").select("class_id", "o", F.lit(True).alias("accepted")).unionByName(first.where("o < 0").join(waits, "class_id", "left_semi").select("class_id", "o", F.lit(True).alias("accepted"))), "state")
+    rest = store(first.where("o >= 0").join(waits, "class_id", "left_semi"), "open")
+    edges = store(edges.join(rest.select("class_id"), "class_id", "left_semi"), "edges")
+    state = [fresh]
+    while not rest.isEmpty():
+        said = fresh.select(F.col("class_id").alias("other"), "accepted")
+        verdict = edges.join(said, "other", "left").groupBy("class_id").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("taken"), F.count_if(F.col("accepted").isNull()).alias("open"))
+        # the first open class has no open neighbour before it, so every round decides some
+        fresh = store(rest.join(verdict.where("taken OR open = 0"), "class_id").select("class_id", "o", (~F.col("taken")).alias("accepted")), "state")
+        state = [*state, fresh] if len(state) < 20 else [store(reduce(DataFrame.unionByName, state), "state"), fresh]
+        known, before = fresh.select("class_id"), (rest, edges)
+        rest = store(rest.join(known, "class_id", "left_anti"), "open")
+        # what this round has taken into account says nothing more to the classes that are still open
+        edges = store(edges.join(known, "class_id", "left_anti").join(said.select("other"), "other", "left_anti"), "edges")
+        for table in before:
+            forget(table)
+    state = reduce(DataFrame.unionByName, state)
     kept = state.where("accepted").select("class_id", F.col("o").alias("kept_o"))
     near = both.join(kept.select(F.col("class_id").alias("other"), "kept_o"), "other").groupBy("class_id").agg(F.min("kept_o").alias("near_o"))
     reach = kept.join(near, "class_id", "full").select("class_id", F.least("kept_o", "near_o").alias("first_o"))

@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import store
+
 
 def sample_size(count: int, rate: float, least: int) -> int:
     """A share of the rows, rounded up, at least ``least`` and at most all."""
@@ -24,15 +26,65 @@ def turn(seed: str | int, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)
 
 
+#: Hexadecimal digits of the hash that are counted: 65,536 counts at most.
+COUNTED = 4
+
+
 def hash_sample(rows: DataFrame, key: str, seed: str | int, size: int) -> DataFrame:
-    """``size`` rows without replacement; any engine with SHA-256 draws the same."""
-    return rows.orderBy(turn(seed, F.col(key)), key).limit(size)
+    """``size`` rows without replacement, in the order of their hashes; any engine with SHA-256 draws the same.
+
+    Rows are counted by the head of their hash.  All rows below the head at the
+    edge are drawn as they are; only those at the edge are put in order.
+
+    Defined cases: rows with a null key come by the hash of the seed alone; rows
+    equal in hash and key are drawn in any order; a size of all rows or more draws
+    all, one of zero or less none.
+    """
+    if size <= 0:
+        return rows.limit(0)
+    head = F.substr(turn(seed, F.col(key)), F.lit(1), F.lit(COUNTED))
+    counts = sorted((r["head"], r["count"]) for r in rows.groupBy(head.alias("head")).count().collect())
+    below, edge = 0, None
+    for value, count in counts:
+        if below + count > size:
+            edge = value
+            break
+        below += count
+    if edge is None:
+        return rows.orderBy(turn(seed, F.col(key)), key)
+    drawn = rows.where(head < edge).unionByName(rows.where(head == edge).orderBy(turn(seed, F.col(key)), key).limit(size - below))
+    return drawn.orderBy(turn(seed, F.col(key)), key)
 
 
 def review_sample(rows: DataFrame, key: str, run_id: str, rate: float = 0.05, least: int = 1) -> DataFrame:
     return hash_sample(rows, key, run_id, sample_size(rows.count(), rate, least))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "place", group: str | None = None) -> DataFrame:
+    """``rows`` with their places 0, 1, ... in an order, within each value of ``group`` if one is given.
+
+    Rows are dealt out by ranges of the order and counted by task; a place is the
+    count of the tasks before and the place within the task.  No task has more than
+    its range, however many rows a group has.
+
+    Defined cases: nulls come first; rows equal in the order have any order among
+    themselves; an empty table gives an empty result; ``name`` must be free.
+    """
+    by = [c for c in [group, *order] if c]
+    part, nth = f"{name}_part", f"{name}_nth"
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the lower bits of the id count the rows of a task
+    ranged = store(ranged.withColumns({part: F.spark_partition_id(), nth: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row per task
+    starts = counts.select(part, F.coalesce(before, F.lit(0)).alias(f"{name}_start"))
+    placed = ranged.join(F.broadcast(starts), part).withColumn(name, F.col(f"{name}_start") + F.col(nth)).drop(part, nth, f"{name}_start")
+    if group is None:
+        return placed
+    first = placed.groupBy(F.col(group).alias(f"{name}_of")).agg(F.min(name).alias(f"{name}_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col(f"{name}_of"))).withColumn(name, F.col(name) - F.col(f"{name}_first")).drop(f"{name}_of", f"{name}_first")
+
+
 def random_places(count: int, run_id: str, size: int) -> list[int]:
     """The places that Python's own generator draws, seeded by the run's hash; for parity with results drawn so."""
     seed = int(hashlib.sha256(run_id.encode()).hexdigest()[:16], 16)

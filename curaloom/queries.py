@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import flow_queries
 from .config import Gates, Taxonomy
 from .functions import syntax, text
 from .operators import contamination, evaluate, gates, generate, lifecycle, ranking, sampling, similarity
@@ -248,7 +249,7 @@ def review_missing(spark, d):
 
 
 def batches(spark, d):
-    rows = table(spark, d, "documents").select((F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("ord"), "lang")
+    rows = sampling.numbered(table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], "ord", group="lang")
     rows = rows.withColumn("batch", generate.batch_of(F.col("ord"), 25)).withColumn("method", generate.method_of(F.col("batch")))
     return rows.groupBy("lang", "batch", "method").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -529,3 +530,6 @@ ORACLE_SQL = {
     "mixed_publish_union_all": f"SELECT list_position({listed(LANGUAGES)}, lang) - 1 AS src_ord, lang, count(*) AS rows, min(doc_id) AS first_id FROM documents WHERE lang IN ({listed(LANGUAGES)[1:-1]}) GROUP BY ALL",
     "language_pivot_all": "SELECT source, " + ", ".join(f"round(avg(coalesce(quality, 0)) FILTER (lang = '{x}'), 6) AS \"{x}PassAt1\"" for x in LANGUAGES) + f" FROM {JUDGED} GROUP BY source",
 }
+
+QUERIES |= flow_queries.QUERIES
+ORACLE_SQL |= flow_queries.ORACLE_SQL

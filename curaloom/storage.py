@@ -37,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage and gives rows made by non-deterministic expressions
@@ -45,7 +45,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._curaloom_path = path
     return stored

@@ -149,3 +149,22 @@ def test_publishing_rules(spark):
     versions = spark.createDataFrame([("ds-2026-01-01-js-v1", "JavaScript"), ("ds-2026-01-01-js-v1", "HTML"), ("ds-2026-01-01-mixed-v2", "HTML"), ("ds-26-01-01-js-v1", "HTML"), (None, "HTML")], "v string, l string")
     got = [r[0] for r in versions.select(lifecycle.version_fault(F.col("v"), F.col("l"), Publish().version_pattern)).collect()]
     assert [g and g[:22] for g in got] == [None, "dataset version suffix", None, "dataset version must m", "dataset version must m"]
+
+
+def test_samples_of_all_sizes_are_the_smallest_hashes(spark):
+    import hashlib
+
+    rows = spark.range(300).withColumnRenamed("id", "k").repartition(5)
+    order = sorted(range(300), key=lambda k: hashlib.sha256(f"s|{k}".encode()).hexdigest())
+    for size in (0, 1, 7, 299, 300, 500):
+        assert [r["k"] for r in sampling.hash_sample(rows, "k", "s", size).collect()] == order[:size]
+
+
+def test_places_are_those_of_one_sorted_list(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, "ab"[i % 10 == 0]) for i in range(101)], "k int, g string").repartition(4)
+    assert {(r["k"], r["place"]) for r in sampling.numbered(rows, ["k"]).collect()} == {(i, i) for i in range(101)}
+    got = sampling.numbered(rows, ["k"], group="g").collect()
+    for g in "ab":
+        own = sorted((r["k"], r["place"]) for r in got if r["g"] == g)
+        assert [p for _, p in own] == list(range(len(own)))
+    assert sampling.numbered(rows.limit(0), ["k"]).count() == 0

@@ -180,3 +180,28 @@ def test_instruction_quality_is_that_of_whole_words(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gates.quality_fault(own, F.col("t")).alias("f")).collect()
     kind = lambda f: None if f is None else "short" if "shorter" in f else "vague" if "vague" in f else "verb"
     assert [(r["t"], kind(r["f"])) for r in rows] == [(t, plain(t)) for t in texts]
+
+
+def test_many_short_items_are_found_without_a_cap(spark):
+    docs = spark.createDataFrame([(1, "xab cdy"), (2, "q7 1199 zz"), (3, ""), (4, None), (None, "q7")], "k int, t string")
+    items = spark.createDataFrame([(i, f"{i}") for i in range(1000, 2500)] + [(1, "b c"), (2, "q7 1"), (3, ""), (4, None), (5, "zz"), (6, "d")], "i int, x string")
+    got = {tuple(r) for r in contamination.containing(docs, "k", "t", items, "i", "x").collect()}
+    assert got == {(1, 1), (1, 3), (1, 6), (2, 2), (2, 3), (2, 5), (2, 1199), (3, 3)}
+
+
+def test_containment_moves_no_text_beside_each_word(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(5000))
+    docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(20)], "k int, t string")
+    items = spark.createDataFrame([(1, "w7 w8 w9"), (2, "w9 w8 w7")], "i int, x string")
+    want = {(k, 1) for k in range(20)}
+    assert {tuple(r) for r in contamination.containing(docs, "k", "t", items, "i", "x").collect()} == want
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in contamination.containing(docs, "k", "t", items, "i", "x").collect()} == want
+
+
+def test_a_long_chain_of_similar_rows_is_decided(spark):
+    """Each row is similar to its neighbours alone, so every second one stays."""
+    n = 12
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(n)]
+    got = {r["key"]: r["duplicate"] for r in ordered_duplicates(spark.createDataFrame(rows, "k int, t string"), "k", "k", "t", "true", 39 / 41).collect()}
+    assert got == {i: i % 2 == 1 for i in range(n)}
