@@ -274,7 +274,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "tokens": pa.array(block.lengths, pa.int64()), "log_score": pa.array(block.scores(total, alpha), pa.float64())})
 
     def counted(sent: DataFrame, at: str) -> DataFrame:
-        return store(sent.groupBy("level", "part").applyInArrow(partition_totals, "level int, part bigint, block bigint, totals binary"), at)
+        return store(sent.groupBy("level", "part").applyInArrow(partition_totals, "level int, part bigint, block bigint, totals binary"), at, "zstd")
 
     tables = [counted(made.select("block", "tokens", "ids", "lengths", "words", "vocabulary").mapInArrow(send_first, sent_type), "lm-totals")]
     for level in range(3, order + 1):
