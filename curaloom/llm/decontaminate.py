@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import once, rest_of, text_or_empty
+from .shared import once, rest_of, store, text_or_empty
 
 #: Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -122,6 +122,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, passage: int =
     spots = spots.select("item", "way", "n", "width", "at", F.expr("slice(h, at, width)").alias("hs"), own.alias("own"))
     words = F.expr("filter(zip_with(hs, own, (x, y) -> CASE WHEN y IS NULL THEN x END), x -> x IS NOT NULL)")
     spots = spots.withColumn("words", F.when(F.col("way") > WORDS, words).otherwise(F.array().cast("array<bigint>"))).where((F.col("way") == WORDS) | (F.size("words") > 0))
+    spots = store(spots.select("item", "way", "n", "width", "at", "hs", "own", "words"), "spots")
     widths = sorted(r["width"] for r in spots.select("width").distinct().collect())  # at most ``width`` values
     found = spots.select(F.explode("hs").alias("h")).distinct().limit(BROADCAST_WORDS + 1).collect()
     known = sorted(r["h"] for r in found) if len(found) <= BROADCAST_WORDS else None
