@@ -70,7 +70,8 @@ def rendered(template: Column, values: dict[str, Column]) -> Column:
 
 
 def percent(c: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
+    """A share in per cent; a value halfway between two goes to the even one."""
+    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))
 
 
 def cost_usd(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import syntax
+from ..vocabulary import RANKED_METHODS
 
 # Fixed values of the stand-in for a model: share of passing samples, and its cost.
 PASS_RATIO = {"FewShot": 0.42, "LoRA": 0.72, "QLoRA": 0.68, "DoRA": 0.74}
@@ -67,6 +68,11 @@ def mock_costs(method: Column, profile: Column, rank: Column, steps: Column) ->
     }
 
 
+def hyper_parameter_fault(method: Column, rank: Column) -> Column:
+    """Why a run can't be trained, else null: a method with adapters needs their rank."""
+    return F.when(method.isin(*RANKED_METHODS) & rank.isNull(), F.concat(F.lit("lora-rank required for "), method))
+
+
 def steps(examples: Column, batch: int, epochs: int, most: int | None = None) -> Column:
     """Optimizer steps of a run: at least one batch an epoch, at most ``most``."""
     own = F.greatest(F.lit(1), F.floor(examples / batch)) * epochs

@@ -102,7 +102,7 @@ def bullets(items: list[str]) -> str:
 def held_out_summary(scope: Scope, language: str, shown: int = 8) -> str:
     """The first held-out patterns as a list, with a note of how many more there are."""
     own = [t["pattern"] for t in scope.held_out if t["language"] == language]
-    return bullets(own[:shown]) + f"\n- (and {max(len(own) - shown, 0)} more held-out patterns — see config/scope-boundary.yaml)"
+    return bullets(own[:shown]) + f"\n- (and {max(len(own) - shown, 0)} more held-out patterns)"
 
 
 def few_shots(seeds: DataFrame, key: str = "id", separator: str = "\n\n---\n\n") -> DataFrame:

@@ -69,10 +69,10 @@ def footnotes(runs: DataFrame, ord_col: str) -> DataFrame:
 
 def summaries(runs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """A report row per ranked run, with a column of pass@1 for each language."""
-    own = [F.round(language_rate(F.col("byLanguage"), name), 4).alias(f"{PREFIX.get(name, name)}PassAt1") for name in languages]
+    own = [F.bround(language_rate(F.col("byLanguage"), name), 4).alias(f"{PREFIX.get(name, name)}PassAt1") for name in languages]
     return runs.select(
         "rank", "runId", "compressionMethod", "evidenceLevel", evidence_label(F.col("evidenceLevel")).alias("evidenceLabel"), rank_label(F.col("loraRank")).alias("rankParameter"),
-        F.round("passAt1", 4).alias("passAt1"), F.round("passAt5", 4).alias("passAt5"), "peakVramGb", "durationSeconds", "trainableParamCount", *own,
+        F.bround("passAt1", 4).alias("passAt1"), F.bround("passAt5", 4).alias("passAt5"), "peakVramGb", "durationSeconds", "trainableParamCount", *own,
     ).orderBy("rank")
 
 
@@ -88,18 +88,17 @@ def table_line(languages: tuple[str, ...] = LANGUAGES) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[or_dash(c) for c in shown]), F.lit(" |"))
 
 
-# The layout of the ranking report, and the heads of its language columns.
+# The layout of the ranking report.  Fixed values: its title, its table and the heads of its language columns.
 REPORT = """\
 # Wave 1 Method Ranking
 
-Comparative benchmark report (UC-005, BR-012, EVALUATION-METHOD.md).
+Benchmark runs on one test set, best first.
 
-## Ranking rules
+## How runs are ordered
 
-1. Primary: aggregate Pass@1
-2. Tie-break: lower VRAM → lower train time → fewer trainable params
-3. BR-014: param delta >10% requires footnote
-4. L4 Speculative never ranked as best without label
+- The share of tasks whose first sample passes decides.
+- Runs with equal shares: less memory first, then less training time, then fewer trained parameters.
+- A footnote marks runs whose parameters are too far from the anchor's, and runs with speculative evidence.
 {warnings}
 ## Comparative table
 

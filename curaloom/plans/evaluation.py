@@ -9,7 +9,7 @@ from ..config import Benchmark, Phase, Smoke, Train
 from ..operators import evaluate, lifecycle, ranking, sampling
 from ..sources import readers, writers
 from ..storage import store
-from ..vocabulary import COMPRESSION_METHODS, LANGUAGES
+from ..vocabulary import COMPRESSION_METHODS, LANGUAGES, RANKED_METHODS
 
 # The layout of the Markdown documents.
 SUMMARY = """\
@@ -58,7 +58,7 @@ BUCKET = "| {tag} | {taskCount} | {passAt1:.1%} | {passAt5:.1%} |"
 FOOTNOTE = """\
 ## BR-014 footnote
 
-Trainable params differ from anchor by {deltaPercent:.1f}% — comparison requires footnote.
+The trained parameters are {deltaPercent:.1f}% away from the anchor's: read this comparison with that in mind.
 """
 OVERVIEW = """\
 # Evaluation Results Summary
@@ -80,7 +80,9 @@ def train(spark: SparkSession, run_id: str, version: str, method: str, published
     if method not in COMPRESSION_METHODS:
         raise ValueError(f"unknown compression method: {method}")
     rank = config.lora_rank if rank is None else rank
-    if rank <= 0 and method != "FewShot":
+    if rank is None and method in RANKED_METHODS:
+        raise ValueError(f"lora-rank required for {method}")
+    if rank is not None and rank <= 0 and method != "FewShot":
         raise ValueError("loraRank must be positive")
     own = config.profile(profile)
     seed = own["seeds"][0] if seed is None else seed
@@ -104,10 +106,10 @@ def train(spark: SparkSession, run_id: str, version: str, method: str, published
     return manifest
 
 
-def few_shot_baseline(spark: SparkSession, run_id: str, version: str, published: str, checkpoints: str, config: Train, profile: str, now: str, events: str | None = None) -> dict:
+def few_shot_baseline(spark: SparkSession, run_id: str, version: str, published: str, checkpoints: str, config: Train, profile: str, now: str, events: str | None = None, evidence: str = "Established") -> dict:
     """A checkpoint manifest of a model that isn't trained."""
     readers.published(spark, published, version)
-    manifest = {"runId": run_id, "datasetVersion": version, "studentModel": config.student_model, "compressionMethod": "FewShot", "profile": profile, "trainableParamCount": 0, "peakVramGb": 0.0, "durationSeconds": 0.0, "backend": "few-shot", "completedAt": now, "trainingState": "Completed", "dryRun": True, "evidenceLevel": "Established"}
+    manifest = {"runId": run_id, "datasetVersion": version, "studentModel": config.student_model, "compressionMethod": "FewShot", "profile": profile, "trainableParamCount": 0, "peakVramGb": 0.0, "durationSeconds": 0.0, "backend": "few-shot", "completedAt": now, "trainingState": "Completed", "dryRun": True, "evidenceLevel": evidence}
     writers.write_json(spark, f"{checkpoints}/{run_id}/checkpoint-manifest.json", manifest)
     if events:
         writers.append_events([{"event": "FewShotBaselineRegistered", "timestamp": now, "runId": run_id, "datasetVersion": version}], spark, events)
@@ -257,13 +259,20 @@ def report(spark: SparkSession, run_ids: list[str], benchmarks: str, path: str,
 
 
 def run_method(spark: SparkSession, spec: dict, version: str, profile: str, published: str, checkpoints: str, held_out: str, benchmarks: str, config: Train, bench: Benchmark, now: str, events: str | None = None) -> dict:
-    """One experiment: train or register the method, then benchmark it."""
+    """One experiment: train or register the method, then benchmark it.
+
+    The results get the experiment's id, evidence level and rank; one that isn't trained has no rank.
+    """
+    evidence = spec.get("evidenceLevel", "Established")
     ids = {k: v.replace("{profile}", profile) for k, v in spec["runIdTemplates"].items()}
     if spec.get("skipTrain"):
-        few_shot_baseline(spark, ids["train"], version, published, checkpoints, config, profile, now, events)
+        few_shot_baseline(spark, ids["train"], version, published, checkpoints, config, profile, now, events, evidence)
     else:
-        train(spark, ids["train"], version, spec["compressionMethod"], published, checkpoints, config, profile, now, events=events, evidence=spec.get("evidenceLevel", "Established"))
-    return benchmark(spark, ids["benchmark"], f"{checkpoints}/{ids['train']}", held_out, benchmarks, bench, now, events)
+        train(spark, ids["train"], version, spec["compressionMethod"], published, checkpoints, config, profile, now, spec.get("loraRank"), events=events, evidence=evidence)
+    results = benchmark(spark, ids["benchmark"], f"{checkpoints}/{ids['train']}", held_out, benchmarks, bench, now, events)
+    own = {"experimentId": spec.get("experimentId"), "evidenceLevel": evidence, "loraRank": None if spec.get("skipTrain") else spec.get("loraRank", config.lora_rank)}
+    writers.write_json(spark, f"{benchmarks}/{ids['benchmark']}/results.json", results | own)
+    return results | own
 
 
 def run_wave(spark: SparkSession, names: list[str], phase3: Phase, **how) -> list[tuple[str, bool, str]]:
@@ -275,7 +284,7 @@ def run_wave(spark: SparkSession, names: list[str], phase3: Phase, **how) -> lis
             out.append((name, False, "unknown experiment"))
             continue
         try:
-            out.append((name, True, run_method(spark, spec, **how)["runId"]))
+            out.append((name, True, run_method(spark, {"experimentId": name} | spec, **how)["runId"]))
         except (ValueError, FileNotFoundError, readers.NotPublished, readers.VersionMismatch) as e:
             out.append((name, False, str(e)))
     return out

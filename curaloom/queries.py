@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import flow_queries
+from . import flow_queries, run_queries
 from .config import Gates, Taxonomy
 from .functions import syntax, text
 from .operators import contamination, evaluate, gates, generate, lifecycle, ranking, sampling, similarity
@@ -531,5 +531,14 @@ ORACLE_SQL = {
     "language_pivot_all": "SELECT source, " + ", ".join(f"round(avg(coalesce(quality, 0)) FILTER (lang = '{x}'), 6) AS \"{x}PassAt1\"" for x in LANGUAGES) + f" FROM {JUDGED} GROUP BY source",
 }
 
-QUERIES |= flow_queries.QUERIES
-ORACLE_SQL |= flow_queries.ORACLE_SQL
+ORACLE_SQL["freemarker_syntax"] = rf"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(/?)p>', '<\1#list>', 'g'), '<(/?)b>', '<\1#if>', 'g') AS code FROM pages),
+    t AS (SELECT page_id, code, list_transform(regexp_extract_all(coalesce(code, ''), '</#\w+>|<#\w+\b'), lambda x: lower(regexp_replace(x, '[<#>]', '', 'g'))) AS tags FROM p),
+    s AS (SELECT page_id, tags, 0 AS i, CAST([] AS VARCHAR[]) AS o, CAST(NULL AS VARCHAR) AS err FROM t UNION ALL
+        SELECT page_id, tags, i + 1, CASE WHEN starts_with(tag, '/') THEN o[1:len(o) - 1] WHEN tag IN ({listed(syntax.BLOCKS)[1:-1]}) THEN list_append(o, tag) ELSE o END,
+            CASE WHEN starts_with(tag, '/') AND coalesce(o[len(o)] <> substr(tag, 2), true) THEN 'unexpected </#' || substr(tag, 2) || '> without matching opener' END
+        FROM (SELECT *, tags[i + 1] AS tag FROM s WHERE err IS NULL AND i < len(tags)))
+    SELECT page_id, coalesce(err, CASE WHEN len(o) > 0 THEN 'unclosed <#' || o[len(o)] || '> block' END, CASE WHEN contains(code, '${{') AND NOT contains(code, '}}') THEN 'unclosed ${{ expression' END) AS message
+    FROM s JOIN t USING (page_id) WHERE err IS NOT NULL OR i = len(s.tags)"""
+
+QUERIES |= flow_queries.QUERIES | run_queries.QUERIES
+ORACLE_SQL |= flow_queries.ORACLE_SQL | run_queries.ORACLE_SQL

@@ -8,7 +8,7 @@ KEYWORDS = "language STRING, topic_ord INT, topic_id STRING, kw_ord INT, keyword
 TOPICS = "id STRING, language STRING, difficulty STRING, tags ARRAY<STRING>, pattern STRING"
 RATES = "STRUCT<taskCount: BIGINT, passAt1: DOUBLE, passAt5: DOUBLE, syntaxValidityRate: DOUBLE>"
 BENCHMARK = (
-    "runId STRING, compressionMethod STRING, evidenceLevel STRING, datasetVersion STRING, heldOutTestSetVersion STRING, studentModel STRING, passAt1 DOUBLE, passAt5 DOUBLE, syntaxValidityRate DOUBLE, "
+    "runId STRING, experimentId STRING, compressionMethod STRING, evidenceLevel STRING, datasetVersion STRING, heldOutTestSetVersion STRING, studentModel STRING, passAt1 DOUBLE, passAt5 DOUBLE, syntaxValidityRate DOUBLE, "
     f"peakVramGb DOUBLE, durationSeconds DOUBLE, trainableParamCount BIGINT, loraRank INT, byLanguage MAP<STRING, {RATES}>, paramMatch STRUCT<matched: BOOLEAN, deltaPercent: DOUBLE, anchorParamCount: BIGINT, trainableParamCount: BIGINT, footnoteRequired: BOOLEAN>, "
     "tagBuckets ARRAY<STRUCT<tag: STRING, taskCount: BIGINT, passAt1: DOUBLE, passAt5: DOUBLE>>, tasks ARRAY<STRUCT<taskId: STRING, targetLanguage: STRING, tags: ARRAY<STRING>, passAt1: BOOLEAN, passAt5: BOOLEAN>>"
 )

@@ -23,6 +23,7 @@ REASONS = tuple(reason for reason, _ in GATES) + ("BUDGET_EXCEEDED",)
 EXPANSION_METHODS = ("self-instruct", "evol-deepen", "evol-widen", "evol-shorten")
 METHOD_CYCLE = ("self-instruct", "self-instruct", "self-instruct", "evol-deepen", "evol-widen", "evol-shorten")
 COMPRESSION_METHODS = ("FewShot", "LoRA", "QLoRA", "DoRA")
+RANKED_METHODS = ("LoRA", "QLoRA", "DoRA")
 DATA_SCHEDULES = ("SingleLanguage", "MixedLanguages")
 REVIEW_STATUS = ("Pending", "Approved", "Rejected")
 DECISIONS = ("accept", "reject")

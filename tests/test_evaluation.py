@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from curaloom import schemas
 from curaloom.operators import evaluate, lifecycle, ranking, sampling
-from curaloom.config import Publish
+from curaloom.config import Publish, Train
+from curaloom.functions import text
+from curaloom.plans import evaluation
 from curaloom.vocabulary import LANGUAGES, PREFIX
 
 
@@ -168,3 +170,16 @@ def test_places_are_those_of_one_sorted_list(spark):
         own = sorted((r["k"], r["place"]) for r in got if r["g"] == g)
         assert [p for _, p in own] == list(range(len(own)))
     assert sampling.numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_a_method_with_adapters_needs_a_rank(spark, tmp_path):
+    rows = spark.createDataFrame([("LoRA", None), ("DoRA", 8), ("FewShot", None), (None, None)], "m string, r int")
+    assert [r[0] for r in rows.select(evaluate.hyper_parameter_fault(F.col("m"), F.col("r"))).collect()] == ["lora-rank required for LoRA", None, None, None]
+    with pytest.raises(ValueError, match="lora-rank required for QLoRA"):
+        evaluation.train(spark, "r", "v", "QLoRA", str(tmp_path), str(tmp_path), Train(lora_rank=None), "smoke", "2026-06-20")
+
+
+def test_shares_halfway_go_to_the_even_digit(spark):
+    shares = [0.0625, 0.1875, 0.5, 1 / 3, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in shares], "x double").select(text.percent(F.col("x"))).collect()]
+    assert got == [f"{x:.1%}" for x in shares]
