@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, ngram_lm, packing, pii, quality, secrets, simhash, warc
+from . import audit, decontaminate, exact_dedup, html_text, ngram_lm, packing, pii, quality, secrets, sharding, simhash, spelling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,85 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "tokens", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
 
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents"), drop_one_in=31))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def crc32_sql(octets: str) -> str:
+    """SQL for the CRC-32 of a list of octets; the table of remainders is worked out here."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({octets} AS BIGINT[])), lambda a, b: xor(CAST({table} AS BIGINT[])[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+
+def sharding_sql(shards: int = 40, one_in: int = 100) -> str:
+    """Cells of keys at every number of digits; of each splitter the first cell whose nearer edge is near enough."""
+    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    told = [d for d in sharding.ROUNDS if d <= 2 * sharding.PART]  # ids of the tables differ
+    return f"""
+        WITH k AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + {sharding.OVERHEAD} AS BIGINT) AS size, {crc32_sql(octets)} AS text_crc32,
+                          substr(md5(coalesce(text, '')), 1, {sharding.PART}) || substr(md5(CAST(doc_id AS VARCHAR)), 1, {sharding.PART}) AS key FROM documents),
+        o AS (SELECT *, CAST(sum(size) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS below FROM k),
+        t AS (SELECT nth, (total * nth) // {shards} AS target, total // {one_in * shards} AS slack FROM range(1, {shards}) r(nth), (SELECT CAST(sum(size) AS BIGINT) AS total FROM k)),
+        c AS (SELECT digits, substr(key, 1, digits) AS cell, min(below) AS lower, max(below + size) AS upper FROM o, (SELECT unnest({told}) AS digits) GROUP BY ALL),
+        h AS (SELECT nth, digits, lower, upper, target - lower AS down, upper - target AS up, slack FROM t JOIN c ON lower < target AND target <= upper),
+        b AS (SELECT nth, arg_min(CASE WHEN down <= up THEN lower ELSE upper END, digits) AS cut FROM h WHERE least(down, up) <= slack OR digits = {told[-1]} GROUP BY nth UNION ALL SELECT nth, 0 FROM t WHERE target = 0),
+        s AS (SELECT o.*, (SELECT count(*) FROM b WHERE cut <= below) AS shard FROM o)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+    """
+
+
+def spelling_sql(least: int = 7, times: int = 10, drop_one_in: int = 31) -> str:
+    """Near words meet on what remains when a letter is deleted, at the same place or from one of the two."""
+    octets = "flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+    return f"""
+        WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.LETTERS}+')), '{spelling.CAPITALS}', '{spelling.CAPITALS.lower()}') AS w FROM documents),
+        q AS (SELECT w, {crc32_sql(octets)} AS h FROM r WHERE length(w) >= {least}),
+        z AS (SELECT CASE WHEN h % {drop_one_in} = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w FROM q),
+        v AS (SELECT w, count(*) AS n FROM z WHERE length(w) >= {least} GROUP BY w HAVING count(*) >= 2),
+        d AS (SELECT w, n, p, substr(w, 1, p - 1) || substr(w, p + 1) AS rest FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS p FROM v)),
+        x AS (SELECT a.w AS w, b.w AS o, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.p = b.p AND a.w <> b.w UNION SELECT d.w, v.w, v.n FROM d JOIN v ON d.rest = v.w UNION SELECT v.w, d.w, d.n FROM d JOIN v ON d.rest = v.w),
+        g AS (SELECT w, count(*) AS k, max(m) AS m FROM x GROUP BY w),
+        e AS (SELECT v.w, v.n, coalesce(k, 0) AS k, CASE WHEN g.m >= {times} * v.n THEN g.m END AS m FROM v LEFT JOIN g USING (w)),
+        f AS (SELECT e.w, e.n, e.k, e.m, (SELECT min(encode(o)) FROM x WHERE x.w = e.w AND x.m = e.m) AS f FROM e),
+        s AS (SELECT w, n, k, m, decode(f) AS f FROM f),
+        c AS (SELECT w, w AS at, f AS onward FROM s UNION ALL SELECT c.w, s.w, s.f FROM c JOIN s ON c.onward = s.w)
+        SELECT s.w AS word, s.f AS form, c.at AS root, n, k AS n_near, m AS form_n FROM s JOIN c ON c.w = s.w AND c.onward IS NULL
+    """
+
+
+def audit_sql() -> str:
+    """Every order is applied step by step to the counts of documents by what they fail."""
+    letters = ", ".join(f"('{x}', {1 << i})" for i, x in enumerate(audit.FILTERS))
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+        f AS (SELECT part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+                     + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM d LEFT JOIN g USING (doc_id)),
+        h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+        l(f, bit) AS (VALUES {letters}),
+        p AS (SELECT a.f || b.f || c.f || e.f || i.f AS o, [a.bit, b.bit, c.bit, e.bit, i.bit] AS bits FROM l a, l b, l c, l e, l i WHERE a.bit + b.bit + c.bit + e.bit + i.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, e.bit, i.bit])) = 5),
+        s AS (SELECT o, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS earlier FROM p, range(1, 6) r(step)),
+        t AS (SELECT part, o, step, bit, coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0) AS redundant,
+                     coalesce(sum(n) FILTER (mask = bit), 0) AS alone, coalesce(sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS good, coalesce(sum(bad) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS bad FROM h, s GROUP BY ALL)
+        SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(alone AS BIGINT) AS unique_fails,
+               CAST(good AS BIGINT) AS good_lost, CAST(bad AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM t
+    """
+
+
 def secrets_sql() -> str:
     """The scan in SQL: the same patterns, places by sums over the text between matches."""
     kinds = []
@@ -144,6 +223,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "op11_histogram_sort": op11_histogram_sort,
+    "op12_anagram_variants": op12_anagram_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 LM_SQL = r"""
@@ -176,6 +258,9 @@ LM_SQL = r"""
 
 ORACLE_SQL = {
     "op10_stupid_backoff": LM_SQL,
+    "op11_histogram_sort": sharding_sql(),
+    "op12_anagram_variants": spelling_sql(),
+    "op13_filter_audit": audit_sql(),
     "op4_warc_index": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
         q AS (SELECT page_id, x, sha1(x) AS h, max(page_id) OVER (PARTITION BY x) AS chosen FROM p)
