@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Publish
 from ..vocabulary import LANGUAGES, PREFIX, TERMINAL, TRANSITIONS
+from .prefix import EXACT, before_first, running_sums
 from .sampling import sample_size_column
 
 
@@ -44,15 +45,17 @@ def illegal_transitions(log: DataFrame, legal: DataFrame, run: str, state: str,
 
 
 def running_cost(calls: DataFrame, by: list[str], order: list[str], cost: Column, most: float) -> DataFrame:
-    """Calls with their ``cost``, the ``spent`` so far and whether that is ``over`` the budget (reaching it is not)."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("cost", cost).withColumn("spent", F.sum("cost").over(so_far)).withColumn("over", F.col("spent") > most)
+    """Calls with their ``cost``, the ``spent`` so far and whether that is ``over`` the budget (reaching it is not).
+
+    Sums are made exactly and over many tasks, however many calls a key has.
+    """
+    summed = running_sums(calls.withColumn("cost", cost), by, order, F.col("cost"), "spent")
+    return summed.withColumn("over", F.col("spent") > F.lit(most).cast(EXACT)).withColumn("spent", F.col("spent").cast("double"))
 
 
 def within_budget(costed: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The calls whose reply is used: those before the first that goes over."""
-    up_to = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return costed.withColumn("stopped", F.max(F.col("over").cast("int")).over(up_to)).where("stopped = 0").drop("stopped")
+    return before_first(costed, by, order, "over")
 
 
 def decisions(raw: DataFrame, column: str = "value") -> DataFrame:
