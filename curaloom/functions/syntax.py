@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import count_of
 
@@ -48,50 +46,82 @@ def freemarker(code: Column) -> Column:
     return F.coalesce(end["error"], F.when(top.isNotNull(), F.concat(F.lit("unclosed <#"), top, F.lit("> block"))), bare)
 
 
-class _Checker(HTMLParser):
-    """Keeps the stack of open elements; ``fault`` is the first mismatch."""
+#: One attribute, and what a tag has before its end.  Possessive repetitions take no stack, however long a tag is.
+_ATTRIBUTE = r"""(?<=['"\s/])[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+))?+"""
+_GAP = r"(?:\s|/(?!>))*+"
+_REST = rf"(?:{_GAP}{_ATTRIBUTE})*+{_GAP}"
+_NAME = r"[a-zA-Z][^\t\n\r\f />\x00]*+"
+#: Markup in the order in which it is tried: comments, marked sections, whole elements of raw text, raw text that never ends, tags, and what is passed over up to the next bracket.
+_MARKUP = "|".join((
+    r"<!--(?s:.*?)--\s*+>", r"<!\[(?i:cdata|temp|ignore|include|rcdata)(?s:.*?)\]\s*+\]\s*+>", r"<!\[(?i:if|else|endif)(?s:.*?)\]\s*+>",
+    rf"<(?i:(?<raw>script|style))(?=[\t\n\r\f />]){_REST}>(?s:.*?)</\s*+(?i:\k<raw>)\s*+>", rf"<(?i:script|style)(?=[\t\n\r\f />]){_REST}>(?s:.*+)",
+    rf"<{_NAME}{_REST}/?>", r"</\s*+[a-zA-Z][-.a-zA-Z0-9:_]*+\s*+>", r"<[/!?a-zA-Z][^>]*+>",
+))
+#: A whole element of raw text opens and closes, and so does a tag that ends in a slash of its own.
+_BALANCED = rf"^<(?:(?i:(?<raw>script|style))(?=[\t\n\r\f />]){_REST}>(?s:.*)</\s*+(?i:\k<raw>)\s*+>|{_NAME}{_REST}/>)\z"
+_CLOSES = r"^</(?:\s*+[a-zA-Z][-.a-zA-Z0-9:_]*+\s*+>\z|[a-zA-Z])"
+_OPENS = rf"^<{_NAME}{_REST}>"
+#: Tags whose depths are summed in one go.
+BLOCK = 256
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.fault, self.opened = None, []
 
-    def handle_starttag(self, tag, attrs):
-        if tag not in VOID:
-            self.opened.append(tag)
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a lambda would work out an expression for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        expected = self.opened.pop() if self.opened else None
-        if expected != tag and self.fault is None:
-            self.fault = f"mismatched tag: expected </{expected}>, got </{tag}>" if expected else f"unexpected closing tag </{tag}>"
 
+def running(steps: Column) -> Column:
+    """The running sums of an array of numbers: within blocks, from the sums of the blocks before."""
+    starts = F.when(F.size(steps) > 0, F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
 
-def html_fault(code: str | None) -> str | None:
-    if code is None:
-        return None
-    if "<html" not in code.lower():
-        return "missing <html> root element"
-    checker = _Checker()
-    try:
-        checker.feed(code)
-        checker.close()
-    except Exception as e:  # whatever the parser raises is the verdict
-        return str(e)
-    return checker.fault or (f"unclosed tag <{checker.opened[-1]}>" if checker.opened else None)
+    def summed(blocks: Column) -> Column:
+        before = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+        within = lambda block, start: F.transform(block, lambda _, i: start + total(F.slice(block, F.lit(1), i + 1)))
+        return named(F.transform(blocks, total), lambda sums: F.flatten(F.zip_with(blocks, before(sums), within)))
 
-
-@F.pandas_udf(T.StringType())
-def _html(code: pd.Series) -> pd.Series:
-    return code.map(html_fault, na_action="ignore").astype(object).where(lambda x: x.notna(), None)
+    return named(F.transform(starts, lambda n: F.slice(steps, n * BLOCK + 1, F.lit(BLOCK))), summed)
 
 
 def html(code: Column) -> Column:
-    """A parser of the language decides; regular expressions can't follow raw text elements."""
-    return _html(code)
+    """Elements must close in the order in which they opened; the first tag that doesn't fit fails.
+
+    No stack is kept.  A tag's depth is a running sum of those opened and closed
+    before.  At one depth, tags open and close in turn up to the first fault, so a
+    closing tag's opener is its predecessor among the tags of its depth, and one
+    sort brings the two together.
+
+    Comments, marked sections and the content of ``script`` and ``style`` hold no
+    tags; void elements and tags closed by a slash need none.  What opens a bracket
+    and is no markup is passed over up to the next ``>``.  Null gives null.
+    """
+    tags = F.regexp_extract_all(code, F.lit(f"({_MARKUP})"), F.lit(1))
+    closes, opens = (lambda p: lambda t: F.regexp_like(t, F.lit(p)))(_CLOSES), (lambda p: lambda t: F.regexp_like(t, F.lit(p)))(_OPENS)
+    read = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, rf"^</?\s*+({_NAME})", 1)).alias("name"), F.when(closes(t), -1).when(opens(t) & ~F.regexp_like(t, F.lit(_BALANCED)), 1).otherwise(0).alias("step")))
+    # a closing name ends where its own pattern does
+    counted = F.filter(read, lambda t: (t["step"] != 0) & ~t["name"].isin(*VOID))
+    return F.when(~F.contains(F.lower(code), F.lit("<html")), "missing <html> root element").otherwise(named(counted, lambda own: named(running(F.transform(own, lambda t: t["step"])), lambda after: _first_fault(own, after))))
+
+
+def _first_fault(own: Column, after: Column) -> Column:
+    """The verdict over tags (name, step) with the depth after each."""
+    level = lambda t, depth: depth + F.when(t["step"] < 0, 1).otherwise(0)
+    placed = F.transform(own, lambda t, i: F.struct(level(t, F.get(after, i)).alias("level"), i.alias("place"), t["step"].alias("step"), t["name"].alias("name")))
+
+    def verdict(tags: Column) -> Column:
+        def wrong(t: Column, i: Column) -> Column:
+            opener = F.get(tags, i - 1)["name"]
+            bare = F.when(t["level"] < 1, F.format_string("unexpected closing tag </%s>", t["name"]))
+            other = F.when(opener != t["name"], F.format_string("mismatched tag: expected </%s>, got </%s>", opener, t["name"]))
+            return F.struct(t["place"].alias("place"), F.when(t["step"] < 0, F.coalesce(bare, other)).alias("message"))
+
+        first = F.array_min(F.filter(F.transform(tags, wrong), lambda w: w["message"].isNotNull()))["message"]
+        left = F.try_element_at(F.filter(tags, lambda t: (t["level"] == F.try_element_at(after, F.lit(-1))) & (t["step"] > 0)), F.lit(-1))["name"]
+        return F.coalesce(first, F.when(F.try_element_at(after, F.lit(-1)) > 0, F.format_string("unclosed tag <%s>", left)))
+
+    return named(F.sort_array(placed), verdict)
 
 
 def fault(language: Column, code: Column) -> Column:
-    """The message of the language's check.  HTML alone crosses to Python, and other rows send it null."""
-    checked = html(F.when(language == "HTML", code))
-    return F.when(language == "JavaScript", javascript(code)).when(language == "HTML", checked).otherwise(freemarker(code))
+    """The message of the language's check."""
+    return F.when(language == "JavaScript", javascript(code)).when(language == "HTML", html(code)).otherwise(freemarker(code))

@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,53 @@ def test_long_runs_stay_cheap(spark):
     began = time.time()
     rows.select(F.sum(F.length(text.stripped(F.col("t")))), F.count(text.json_object(F.col("t")))).collect()
     assert time.time() - began < 30
+
+
+class Stack(HTMLParser):
+    """The check by a parser and a stack of open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.fault, self.opened = None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in syntax.VOID:
+            self.opened.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in syntax.VOID:
+            above = self.opened.pop() if self.opened else None
+            if above != tag and self.fault is None:
+                self.fault = f"mismatched tag: expected </{above}>, got </{tag}>" if above else f"unexpected closing tag </{tag}>"
+
+
+def plain_html(code):
+    if "<html" not in code.lower():
+        return "missing <html> root element"
+    parser = Stack()
+    parser.feed(code)
+    parser.close()
+    return parser.fault or (f"unclosed tag <{parser.opened[-1]}>" if parser.opened else None)
+
+
+PARTS = ["<p>", "</p>", "<b>", "</b>", "</B >", "< b>", "</ p>", "<div/>", "<br/>", "<br>", "</br>", "<i a='>'>", '<i b=">" c>', "</i>", "<a href=x/>", "</a>", "<a 'q' x>", "<a b='>", "<!-- <p> -->", "<!-- <p>", "<!doctype html>", "<?x <b>", "<!x>", "<![CDATA[ <p> ]]>",
+         "<script>", "</script>", "</script >", "<script src=a/>", "<script/>", "var a = '</p>';", "<STYLE>", "</style>", "</>", "<3", "x < y", "a=\"", ">", "</p", "<", "<td a = 1 b>", "</td x>", "<a b=\"1\"c='2'>"]
+
+
+def test_html_is_what_a_parser_says(spark):
+    rng = random.Random(11)
+    codes = ["".join(["<html>"] * (rng.random() < 0.9) + [rng.choice(PARTS) for _ in range(rng.randint(0, 9))] + ["</html>"] * (rng.random() < 0.7)) for _ in range(1500)]
+    codes += ["<html>" + f"<{t}>" * 700 + f"</{t}>" * n + "</html>" for t, n in (("p", 700), ("p", 699), ("br", 0))]
+    rows = spark.createDataFrame([(c,) for c in codes], "c string").select("c", syntax.html(F.col("c")).alias("f")).collect()
+    assert [(r["c"], r["f"]) for r in rows] == [(c, plain_html(c)) for c in codes]
+
+
+def test_html_of_any_size(spark):
+    """Long tags take no stack, and many tags take no square of time."""
+    import time
+
+    attributes = " ".join(f'a{i}="{i}>"' for i in range(20_000))
+    codes = [f"<html><p {attributes}></p></html>", "<html>" + "<p><b>x</b></p>" * 10_000 + "</html>", "<html>" + "<b>" * 20_000]
+    began = time.time()
+    rows = spark.createDataFrame([(c,) for c in codes], "c string").select(syntax.html(F.col("c")).alias("f")).collect()
+    assert [r["f"] for r in rows] == [None, None, "unclosed tag <b>"] and time.time() - began < 60
