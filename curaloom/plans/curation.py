@@ -34,19 +34,33 @@ def expand(spark: SparkSession, run_id: str, language: str, folder: str, config:
     if have < config.min_gold_seeds:
         raise SeedsInsufficient(f"SeedCountInsufficient: {language} has {have} seeds, need >= {config.min_gold_seeds}")
     goal = target or config.target_count
-    made = generate.mock_candidates(spark, language, goal, created, config.batch_size)
+    return spend(generate.mock_candidates(spark, language, goal, created, config.batch_size), run_id, language, folder, config, goal, max_batches)
+
+
+def spend(replies: DataFrame, run_id: str, language: str, folder: str, config: Expansion, target: int | None = None, max_batches: int | None = None) -> dict:
+    """Replies within the budget, in batches; returns the manifest, which it also writes.
+
+    Replies have ``ord`` (the order of the calls), ``inputTokens``, ``outputTokens``
+    and the columns of an example.  The call that goes over the budget is paid, but
+    its reply isn't used and no later call is made.  Any number of replies is summed
+    by many tasks.
+    """
+    spark = replies.sparkSession
+    made = replies if "batch" in replies.columns else replies.withColumn("batch", generate.batch_of(F.col("ord"), config.batch_size))
     if max_batches is not None:
         made = made.where(F.col("batch") < max_batches)
     cost = cost_usd(F.col("inputTokens"), F.col("outputTokens"), config.input_usd, config.output_usd)
-    costed = store(lifecycle.running_cost(made, [], ["ord"], cost, config.max_budget_usd), "costed")  # one run's calls happen one after the other
+    costed = store(lifecycle.running_cost(made, [], ["ord"], cost, config.max_budget_usd), "costed")
     kept = lifecycle.within_budget(costed, [], ["ord"])
     writers.batches(kept.select("batch", "ord", *COLUMNS), f"{folder}/{run_id}/batches")
-    used = costed.where("NOT over").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("batch").alias("b")).first()
-    paid = costed.where("NOT over OR spent - cost <= " + repr(config.max_budget_usd)).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("usd"), F.coalesce(F.sum("inputTokens"), F.lit(0)).alias("i"), F.coalesce(F.sum("outputTokens"), F.lit(0)).alias("o"), F.max("over").alias("over")).first()
-    failed = bool(paid["over"])
+    end = costed.where("over").agg(F.min("ord").alias("ord")).first()["ord"]
+    calls = costed if end is None else costed.where(F.col("ord") <= end)
+    used = F.lit(True) if end is None else F.col("ord") < end
+    paid = calls.agg(F.count_if(used).alias("n"), F.count_distinct(F.when(used, F.col("batch"))).alias("b"), F.coalesce(F.max("spent"), F.lit(0.0)).alias("usd"), F.coalesce(F.sum("inputTokens"), F.lit(0)).alias("i"), F.coalesce(F.sum("outputTokens"), F.lit(0)).alias("o")).first()
+    failed = end is not None
     state = lifecycle.step("generation", lifecycle.step("generation", "Pending", "Generating"), "Failed" if failed else "Filtering")
     reason = f"BudgetExceeded: spent ${paid['usd']:.4f} exceeds max ${config.max_budget_usd:.2f}" if failed else None
-    manifest = {"runId": run_id, "targetLanguage": language, "promptVersion": config.prompt_version, "teacherModel": config.model, "candidateCount": used["n"], "batchCount": used["b"], "targetCount": goal, "spentUsd": round(paid["usd"], 4), "inputTokens": paid["i"], "outputTokens": paid["o"], "state": state, "failed": failed, "failureReason": reason}
+    manifest = {"runId": run_id, "targetLanguage": language, "promptVersion": config.prompt_version, "teacherModel": config.model, "candidateCount": paid["n"], "batchCount": paid["b"], "targetCount": target or config.target_count, "spentUsd": round(paid["usd"], 4), "inputTokens": paid["i"], "outputTokens": paid["o"], "state": state, "failed": failed, "failureReason": reason}
     writers.write_json(spark, f"{folder}/{run_id}/manifest.json", manifest)
     return manifest
 

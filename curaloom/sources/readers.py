@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..storage import store
 from ..vocabulary import DIRECTORY, LANGUAGES, PREFIX
 
 
@@ -70,16 +71,57 @@ def draft_seeds(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def lines(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
-    """JSON lines with ``file``, ``line`` and so the order of records; blank lines are skipped.
+#: The lower bits of a row's number count the rows of its task.
+IN_TASK = (1 << 33) - 1
+#: Blocks of files that are sent to every task at most; more are met by shuffling.
+BLOCKS = 200_000
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``file, line, ord, value``: the lines of files, split scans included, with their places.
+
+    ``line`` counts from 0 within a file, ``ord`` over all files in the order of their
+    names.  Large files are read by many tasks, a block of the file each.  A first
+    scan counts the lines of each block and notes where the task was when the block
+    began; sums over the blocks before give each block's first line, and a second
+    scan adds a line's place within its block.  No line is moved, and only counts of
+    blocks are summed.
 
-    Lines end at line feeds alone, so other separators may stand inside strings.
-    A file is split by Spark as a whole text, because the order is data here; the
-    files of a run are small batches.
+    Defined cases: lines end at line feeds alone, so other separators may stand
+    inside strings; blank lines count and are returned; a file that ends in a line
+    feed has no line after it; empty files have none.  Files must not change between
+    the scans; a line that a block can't hold is an error.
     """
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parsed(raw.where(F.trim(F.regexp_replace("value", r"[\t\r]", " ")) != ""), schema)
+    reader = spark.read.option("lineSep", "\n")
+    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    # the two scans are the same plan over the same files, so tasks get the same blocks in the same order
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counted = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    counted = store(counted, "blocks")
+    whole = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_file = counted.withColumn("line_start", whole(Window.partitionBy("file").orderBy("block")))
+    files = counted.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.select("file", whole(Window.orderBy("file")).alias("file_start"))  # a row for each file
+    starts = in_file.join(files, "file").select("file", "block", "first", "n", "line_start", "file_start")
+    starts = F.broadcast(starts) if counted.limit(BLOCKS + 1).count() <= BLOCKS else starts
+    nth = F.col("at").bitwiseAND(F.lit(IN_TASK)) - F.col("first").bitwiseAND(F.lit(IN_TASK))
+    sure = F.when((nth >= 0) & (nth < F.col("n")), nth).otherwise(F.raise_error(F.concat(F.lit("a file changed between two scans: "), F.col("file"))))
+    placed = raw.join(starts, ["file", "block"]).withColumn("nth", sure)
+    return placed.select("file", (F.col("line_start") + F.col("nth")).alias("line"), (F.col("file_start") + F.col("line_start") + F.col("nth")).alias("ord"), "value")
+
+
+def not_blank(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"[\t\r]", " ")) != ""
+
+
+def ordered_records(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
+    """JSON lines with ``file``, ``line`` and ``ord``, as ``numbered_lines`` has them; blank lines are skipped."""
+    return parsed(numbered_lines(spark, path, glob).where(not_blank(F.col("value"))), schema)
+
+
+def lines(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
+    """JSON lines with ``file``, ``line`` and so the order of records; blank lines are skipped."""
+    return ordered_records(spark, path, schema, glob).drop("ord")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -93,8 +135,8 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def raw_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``batch-*.jsonl`` of a run, in the order of file names and lines."""
-    return in_order(lines(spark, folder, schemas.EXAMPLE, "batch-*.jsonl"))
+    """All ``batch-*.jsonl`` of a run, in the order of file names and lines, as ``ord``."""
+    return ordered_records(spark, folder, schemas.EXAMPLE, "batch-*.jsonl")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -159,6 +201,21 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], f"file STRING, {schemas.MANIFEST}, corrupt STRING")
 
 
+def published_index(spark: SparkSession, root: str) -> DataFrame:
+    """Every publication with its number ``entry`` in the log; an empty table if there are none."""
+    if not exists(spark, f"{root}/published-index"):
+        return spark.createDataFrame([], f"entry BIGINT, {schemas.MANIFEST}")
+    rows = documents_of(spark, f"{root}/published-index", "*.json", schemas.MANIFEST).where("corrupt IS NULL")
+    return rows.withColumn("entry", F.regexp_extract("file", r"(\d+)\.json$", 1).cast("bigint")).select("entry", *[c for c in rows.columns if c not in ("file", "corrupt")])
+
+
+def latest_published(spark: SparkSession, root: str) -> DataFrame:
+    """The last entry of each dataset version."""
+    rows = published_index(spark, root)
+    last = rows.groupBy("datasetVersion").agg(F.max_by(F.struct("*"), "entry").alias("last"))
+    return last.select("last.*")
+
+
 def draft(spark: SparkSession, folder: str) -> tuple[dict, dict]:
     """The two manifests that a draft must have."""
     for name in ("filter-manifest.json", "manual-review-manifest.json"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,25 @@ def append_rejected(rows: DataFrame, path: str, run_id: str, rejected_at: str) -
     json_lines(out, path, "append", ["runId"])
 
 
+def batch_files(rows: DataFrame, folder: str, order: str = "ord") -> int:
+    """Rows in their order as files ``batch-NNNNNN.jsonl``; returns how many.
+
+    Tasks write ranges of the order, so the files' names and lines give it back.  The
+    driver only renames the finished files.
+    """
+    spark = rows.sparkSession
+    staged = f"{folder}/_staged"
+    rows.orderBy(order).write.mode("errorifexists").option("ignoreNullFields", "true").json(staged)
+    files, place = filesystem(spark, staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = sorted(f.getPath().getName() for f in files.listStatus(place) if f.getPath().getName().startswith("part-"))  # names rise with the range
+    for nth, name in enumerate(names):
+        if not files.rename(path(f"{staged}/{name}"), path(f"{folder}/batch-{nth:06d}.jsonl")):
+            raise PublishError(f"can't name {folder}/batch-{nth:06d}.jsonl")
+    files.delete(place, True)
+    return len(names)
+
+
 def batches(rows: DataFrame, path: str, size: int = 25) -> None:
     """Files of at most ``size`` rows, dealt out by batch number."""
     rows.repartition("batch").sortWithinPartitions("batch", "ord").write.mode("overwrite").option("maxRecordsPerFile", size).partitionBy("batch").json(path)
@@ -60,10 +80,67 @@ def publish_snapshot(rows: DataFrame, root: str, version: str, manifest: dict) -
     write_json(spark, f"{root}/{version}/manifest.json", manifest)
 
 
-def append_index(spark: SparkSession, root: str, entry: dict) -> None:
-    """The list of published versions with one more entry."""
-    path = f"{root}/published-index.json"
-    write_json(spark, path, [*(read_json(spark, path) if exists(spark, path) else []), entry])
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Make an empty file that wasn't there; false if it was.  Of several callers one succeeds."""
+    files, place = filesystem(spark, path)
+    files.mkdirs(place.getParent())
+    jvm = spark.sparkContext._jvm
+    try:
+        if place.toUri().getScheme() in (None, "file"):
+            # the local file system of the client only looks before it writes; this makes the file or fails
+            jvm.java.nio.file.Files.write(jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{place.toUri().getPath()}")), bytearray(), nio_options(spark, "CREATE_NEW"))
+        else:
+            files.create(place, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def nio_options(spark: SparkSession, name: str):
+    context = spark.sparkContext
+    options = context._gateway.new_array(context._jvm.java.nio.file.OpenOption, 1)
+    options[0] = context._jvm.java.nio.file.StandardOpenOption.valueOf(name)
+    return options
+
+
+#: The folder of the log of publications, and how its entries are named.
+LOG, ENTRY = "published-index", "{:08d}"
+
+
+def append_index(spark: SparkSession, root: str, entry: dict) -> int:
+    """One more publication in the log; returns its number.
+
+    The log is a folder with a file for each entry.  A writer claims the next number
+    by making a file that nobody else can make, and goes on to the number after if it
+    was taken, so publishers at one time lose nothing.  An entry appears whole, by
+    renaming.  A writer that dies between the two leaves a number without an entry.
+
+    ``published-index.json`` is the list of all entries for other readers.  It is
+    written from the log, again while entries have come meanwhile.
+    """
+    folder = f"{root}/{LOG}"
+    files, place = filesystem(spark, folder)
+    files.mkdirs(place)
+    number = 1 + max((int(f.getPath().getName().split(".")[0]) for f in files.listStatus(place) if f.getPath().getName().endswith(".claim")), default=0)
+    while not claimed(spark, f"{folder}/{ENTRY.format(number)}.claim"):
+        number += 1
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    write_json(spark, f"{folder}/_{ENTRY.format(number)}", entry)
+    if not files.rename(path(f"{folder}/_{ENTRY.format(number)}"), path(f"{folder}/{ENTRY.format(number)}.json")):
+        raise PublishError(f"can't add entry {number} to {folder}")
+    listed = None
+    while listed != (listed := entry_names(spark, folder)):
+        found = spark.read.text([f"{folder}/{n}" for n in listed], wholetext=True).orderBy("_metadata.file_path")
+        write_json(spark, f"{root}/{LOG}.json", [json.loads(r["value"]) for r in found.collect()])  # a small document for each publication
+    return number
+
+
+def entry_names(spark: SparkSession, folder: str) -> list[str]:
+    """The finished entries of a log, in order."""
+    files, place = filesystem(spark, folder)
+    return sorted(name for f in files.listStatus(place) if (name := f.getPath().getName()).endswith(".json") and name[0] not in "_.")
 
 
 def append_events(events: list[dict], spark: SparkSession, path: str) -> None:
