@@ -102,3 +102,77 @@ def containing(rows: DataFrame, key: str, text_col: str, items: DataFrame, item_
     reached = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi")
     pairs = within(reached.join(met, "key"), goods.select("item", "it"), "item").where(F.contains("t", "it"))
     return pairs.select("key", F.col("item").alias("item_key")).distinct()
+
+
+#: What keyword boundaries are made of, and the characters kept at either side of a seam.
+WORD, REACH = "[a-z0-9_]+", 3
+
+
+def keyword_dictionary(keywords: DataFrame) -> DataFrame:
+    """``language, topic, keyword, place, sort, mark, sure`` of the keywords that can match (columns as in ``schemas.KEYWORDS``).
+
+    ``sort`` says how a keyword is met: by a whole ``word`` of it, by the ``seam``
+    around its first space, or by its first characters (``head``) where it has neither.
+    ``mark`` is what a text must have then; ``sure`` that this is all of the keyword.
+    """
+    k = keywords.select("language", F.col("topic_id").alias("topic"), F.col("keyword").alias("keyword"), F.struct("topic_ord", "kw_ord").alias("place")).where("keyword IS NOT NULL AND keyword <> ''")
+    phrase = F.contains("keyword", F.lit(" "))
+    k = k.withColumn("phrase", phrase).where("phrase OR length(keyword) >= 4")
+    inner = F.array_sort(F.transform(F.regexp_extract_all("keyword", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    longest = F.try_element_at(inner, F.lit(1))["w"]
+    at = F.instr("keyword", F.lit(" "))
+    left = F.least(at - 1, F.lit(REACH))
+    seam = F.substr("keyword", at - left, left + 1 + REACH)
+    sort = F.when(F.col("phrase"), "seam").when(longest.isNotNull(), "word").otherwise("head")
+    mark = F.when(F.col("phrase"), seam).when(longest.isNotNull(), longest).otherwise(F.substr("keyword", F.lit(1), F.lit(REACH)))
+    made = k.withColumn("sort", sort).withColumn("mark", mark)
+    return made.withColumn("sure", (F.col("mark") == F.col("keyword")) & (F.col("sort") != "head"))
+
+
+def marks(hay: Column, seams: list[tuple[int, int]], heads: list[int]) -> Column:
+    """Distinct ``struct<sort, mark>`` that a text has: its words, what lies around its spaces, and its short runs."""
+    of = lambda sort, xs: F.transform(xs, lambda m: F.struct(F.lit(sort).alias("sort"), m.alias("mark")))
+    found = [of("word", F.array_distinct(F.regexp_extract_all(hay, F.lit(f"({WORD})"), F.lit(1))))]
+    for left, right in seams:
+        # look-ahead takes nothing, so seams may overlap
+        found.append(of("seam", F.array_distinct(F.regexp_extract_all(hay, F.lit(f"(?s)(?=(.{{{left}}} .{{{right}}}))"), F.lit(1)))))
+    for n in heads:
+        found.append(of("head", F.array_distinct(F.regexp_extract_all(hay, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))))
+    return F.concat(*found)
+
+
+def keyword_leaks(rows: DataFrame, key: str, hay: Column, language: str | None, keywords: DataFrame) -> DataFrame:
+    """``key, topic, keyword``: the first keyword in order of each row whose text has one, for any number of keywords.
+
+    The keywords are a table (``schemas.KEYWORDS``), matched as ``leak`` matches them.
+    Rows and keywords meet by key: a row gives each of its words and the characters
+    around each of its spaces once, and only keywords that have one of these in common
+    are tried on its text.  Where the common part is the whole keyword nothing is left
+    to try.
+
+    Defined cases: null keys and texts have no leak; keywords that are null, empty or
+    single words under four characters never match; of repeated rows with one key the
+    first match of any counts; a null language has no keywords; empty tables give an
+    empty result.
+    """
+    known = store(keyword_dictionary(keywords), "keywords")
+    shapes = known.select("sort", F.instr("mark", F.lit(" ")).alias("at"), F.length("mark").alias("n")).distinct().collect()  # REACH + 1 squared at most
+    seams = sorted({(r["at"] - 1, r["n"] - r["at"]) for r in shapes if r["sort"] == "seam"})
+    heads = sorted({r["n"] for r in shapes if r["sort"] == "head"})
+    own = F.col(language).cast("string") if language else F.lit("")
+    texts = rows.select(F.col(key).alias("key"), own.alias("own"), F.lower(hay).alias("hay")).where("key IS NOT NULL AND hay IS NOT NULL" + " AND own IS NOT NULL" * bool(language))
+    given = texts.select("key", "own", F.explode(marks(F.col("hay"), seams, heads)).alias("m")).select("key", "own", "m.sort", "m.mark")
+    on = ["sort", "mark", "own"] if language else ["sort", "mark"]
+    side = known.withColumn("own", F.col("language")) if language else known.drop("language")
+    side = side.select(*on, "topic", "keyword", "place", "phrase", "sure")
+    few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = store((given if language else given.drop("own")).join(F.broadcast(side) if few else side, on).select("key", "topic", "keyword", "place", "phrase", "sure").distinct(), "met-keywords")
+    open_ = met.where("NOT sure")
+    keys = open_.select("key").distinct()
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    reached = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("key", "hay")
+    # the keyword as it is, between boundaries of identifiers unless it is a phrase
+    bounded = F.regexp_like("hay", F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.replace("keyword", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9_])")))
+    tried = reached.join(open_, "key").where(F.contains("hay", F.col("keyword")) & (F.col("phrase") | bounded))
+    hits = met.where("sure").select("key", "place", "topic", "keyword").unionByName(tried.select("key", "place", "topic", "keyword"))
+    return hits.groupBy("key").agg(F.min(F.struct("place", "topic", "keyword")).alias("first")).select("key", "first.topic", "first.keyword")
