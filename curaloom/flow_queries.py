@@ -6,11 +6,14 @@ one for each call.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .config import Gates, Publish, Review, Scope, Taxonomy
+from .config import Expansion, Gates, Publish, Review, Scope, Taxonomy
 from .functions import text
 from .operators import evaluate, gates, generate, ranking, rules, sampling
 from .operators.dedup import ordered_duplicates
@@ -116,14 +119,21 @@ def json_lines_round_trip(spark, d):
 
 
 def ordered_lines(spark, d):
-    """Records in files of a run, read in the order of files and lines."""
+    """Records in the files of a folder, read in the order of files and lines."""
     path = new_path(spark, "run")
-    rows = records(spark, d).orderBy("ord").coalesce(1)
-    writers.json_lines(rows.withColumn("topicId", F.col("ord").cast("string")).drop("ord"), path)
-    back = readers.in_order(readers.lines(spark, path, schemas.EXAMPLE))
+    writers.json_lines(records(spark, d).withColumn("topicId", F.col("ord").cast("string")).orderBy("ord").drop("ord"), path)
+    back = readers.ordered_records(spark, path, schemas.EXAMPLE)
     return back.select(F.col("topicId").cast("bigint").alias("doc_id"), F.col("ord").alias("place"), "id", F.col("corrupt").isNull().alias("whole"))
 
 
+def raw_candidates(spark, d):
+    """Records as the batch files of a run, read back whole and in their order."""
+    path = new_path(spark, "raw")
+    writers.batch_files(records(spark, d).withColumn("topicId", F.col("ord").cast("string")), path)
+    back = readers.raw_candidates(spark, path)
+    return back.select(F.col("topicId").cast("bigint").alias("doc_id"), F.col("ord").alias("place"), F.startswith(F.substring_index("file", "/", -1), F.lit("batch-")).alias("batched"), F.sha2("instruction", 256).alias("instruction_sha256"), F.sha2("code", 256).alias("code_sha256"))
+
+
 def seed_folders(spark, d):
     """Benchmark items as seed files, one document each, with reference seeds among them."""
     path = new_path(spark, "seeds")
@@ -187,7 +197,30 @@ def publish_flow(spark, d):
     return rows.select("id", F.sha2("instruction", 256).alias("instruction_sha256"), F.lit(manifest["exampleCount"]).cast("bigint").alias("published"), F.lit(manifest["state"]).alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, seed_folders, held_out_round_trip, event_log, run_summaries, publish_flow)}
+def budget_batches(spark, d):
+    """Documents as replies of a teacher, paid by their length, until three fifths of the whole cost are spent; the batches as written, with the run's manifest."""
+    root, config = new_path(spark, "spend"), Expansion()
+    replies = records(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("n_chars").alias("inputTokens"), F.lit(400).alias("outputTokens")), "ord")
+    whole = replies.agg(F.sum(text.cost_usd(F.col("inputTokens"), F.col("outputTokens"), config.input_usd, config.output_usd).cast("decimal(30,12)")).alias("usd")).first()["usd"]
+    one = curation.spend(replies, "run-1", "JavaScript", root, replace(config, max_budget_usd=round(float(whole) * 0.6, 4)))
+    back = spark.read.schema(f"ord BIGINT, batch BIGINT, {schemas.EXAMPLE}").json(f"{root}/run-1/batches")
+    told = readers.parsed(spark.read.text(f"{root}/run-1/manifest.json", wholetext=True), "candidateCount BIGINT, batchCount BIGINT, spentUsd DOUBLE, inputTokens BIGINT, outputTokens BIGINT, state STRING")
+    return back.select(F.col("ord").alias("doc_id"), "batch", F.sha2("instruction", 256).alias("instruction_sha256")).join(F.broadcast(told.select("candidateCount", "batchCount", F.lit(one["spentUsd"]).alias("spentUsd"), "inputTokens", "outputTokens", "state")))  # one manifest
+
+
+def published_index(spark, d):
+    """Documents published by language as versions, two publishers at a time, the English ones twice; the log as it is read back."""
+    root, docs = new_path(spark, "index"), table(spark, d, "documents")
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    entry = lambda lang, n: {"datasetVersion": f"ds-2026-06-20-{lang}-v1", "draftId": "run-1", "state": "Published", "exampleCount": n, "publishedAt": NOW, "publishedBy": "me"}
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda lang: writers.append_index(spark, root, entry(lang, counts[lang])), sorted(counts)))
+    writers.append_index(spark, root, entry("en", counts.get("en", 0) + 1))
+    last = readers.latest_published(spark, root).select("datasetVersion", F.col("exampleCount").alias("latest"))
+    return readers.published_index(spark, root).join(last, "datasetVersion").select("datasetVersion", "exampleCount", "latest", "state")
+
+
+QUERIES = {f.__name__: f for f in (budget_batches, published_index, cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, raw_candidates, seed_folders, held_out_round_trip, event_log, run_summaries, publish_flow)}
 
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x1c-\x1f\x0b\x85\x{{a0}}]+', ''), '[\s\x1c-\x1f\x0b\x85\x{{a0}}]+$', '')"
 RECORDS = f"""(SELECT doc_id, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS four, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS three, text AS i, CASE WHEN doc_id % 3 = 0 THEN 'var a; ' ELSE 'export ' END || text AS c,
@@ -229,6 +262,14 @@ ORACLE_SQL = {
     "shot_pool": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "json_lines_round_trip": f"SELECT 'syn-js-' || four AS id, 'JavaScript' AS \"targetLanguage\", sha256(i) AS instruction_sha256, CAST(length(c) AS INT) AS code_length, CASE WHEN tagged THEN 'L1-trivial,array' ELSE 'L1-trivial,zzz' END AS tags, 'synthetic' AS source, true AS unjudged FROM {RECORDS}",
     "ordered_lines": f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, 'syn-js-' || four AS id, true AS whole FROM {RECORDS}",
+    "budget_batches": f"""WITH c AS (SELECT doc_id, n_chars, text, CAST(n_chars * 3.0 / 1e6 + 400 * 15.0 / 1e6 AS DECIMAL(30, 12)) AS usd FROM documents),
+        s AS (SELECT *, sum(usd) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent, round(CAST(sum(usd) OVER () AS DOUBLE) * 0.6, 4) AS most FROM c),
+        o AS (SELECT *, CAST(spent AS DOUBLE) > most AS over, spent - usd <= most AS called FROM s),
+        m AS (SELECT count(*) FILTER (NOT over) AS n, count(DISTINCT doc_id // 25) FILTER (NOT over) AS b, round(CAST(max(spent) AS DOUBLE), 4) AS usd, CAST(sum(n_chars) AS BIGINT) AS i, count(*) * 400 AS o, CASE WHEN bool_or(over) THEN 'Failed' ELSE 'Filtering' END AS state FROM o WHERE called)
+        SELECT doc_id, doc_id // 25 AS batch, sha256(text) AS instruction_sha256, n AS "candidateCount", b AS "batchCount", m.usd AS "spentUsd", i AS "inputTokens", m.o AS "outputTokens", state FROM o CROSS JOIN m WHERE NOT over""",
+    "published_index": """WITH c AS (SELECT 'ds-2026-06-20-' || lang || '-v1' AS v, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT v, n FROM c UNION ALL SELECT v, n + 1 FROM c WHERE v LIKE '%-en-%')
+        SELECT v AS "datasetVersion", n AS "exampleCount", max(n) OVER (PARTITION BY v) AS latest, 'Published' AS state FROM e""",
+    "raw_candidates": f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, true AS batched, sha256(i) AS instruction_sha256, sha256(c) AS code_sha256 FROM {RECORDS}",
     "seed_folders": "SELECT 'seed-js-' || lpad(CAST(item_id AS VARCHAR), 3, '0') AS id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ord, sha256(text) AS instruction_sha256 FROM benchmark WHERE item_id % 10 <> 0",
     "held_out_round_trip": f"""SELECT 'ho-' || c || '-' || lpad(CAST({HELD_NO} AS VARCHAR), 3, '0') AS id, language AS "targetLanguage", id AS "topicId", sha256(CASE c WHEN 'js' THEN 'Implement ' || lower(text) || ' in plain JavaScript (ES modules).' WHEN 'html' THEN 'Build a complete HTML5 page for: ' || text || '.'
         ELSE 'Write a FreeMarker template for: ' || text || '.' END) AS instruction_sha256, array_to_string(ws[1:2], ',') AS must, {HELD_NO} - 1 AS task_index FROM {HELD}""",

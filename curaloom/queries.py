@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import flow_queries, run_queries
+from . import flow_queries, run_queries, source_queries
 from .config import Gates, Taxonomy
 from .functions import syntax, text
 from .operators import contamination, evaluate, gates, generate, lifecycle, ranking, sampling, similarity
@@ -91,6 +91,15 @@ def keyword_leak_by_lang(spark, d):
     return table(spark, d, "documents").select("doc_id", found["topic"].alias("topic_id"), found["keyword"].alias("keyword")).where("topic_id IS NOT NULL")
 
 
+def keyword_leak_table(spark, d):
+    """The words and pairs of words of every benchmark item as keywords, a language to each item, met by key."""
+    language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
+    items = table(spark, d, "benchmark").select(language.alias("language"), F.col("item_id").cast("int").alias("topic_ord"), F.concat(F.lit("HO-"), F.col("item_id").cast("string")).alias("topic_id"), F.split(F.lower("text"), " ").alias("ws"))
+    pairs = F.zip_with("ws", F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.concat_ws(" ", a, b))
+    each = items.select("language", "topic_ord", "topic_id", F.posexplode(F.concat("ws", F.slice(pairs, F.lit(1), F.size("ws") - 1))).alias("kw_ord", "keyword"))
+    return contamination.keyword_leaks(table(spark, d, "documents"), "doc_id", F.col("text"), "lang", each).select(F.col("key").alias("doc_id"), F.col("topic").alias("topic_id"), "keyword")
+
+
 def near_dup_classes(spark, d):
     return similarity.duplicates(table(spark, d, "documents"), "doc_id", "text", 0.95, "lang").select(F.col("key").alias("doc_id"), "class_id", "links")
 
@@ -359,7 +368,7 @@ def benchmark_scores(spark, d):
 
 
 def benchmark_scores_html(spark, d):
-    """The language whose syntax check is beyond SQL; with ``benchmark_scores`` every task is scored."""
+    """The language that ``benchmark_scores`` leaves out; together they score every task."""
     return scored(spark, d, "targetLanguage = 'HTML'")
 
 
@@ -411,7 +420,7 @@ def first_language(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    gate_cascade_reasons, gate_cascade_decisions, instruction_quality, contamination_pairs, contamination_semi, contamination_anti, contamination_first_match, keyword_leak_by_lang, near_dup_classes, near_dup_pairs_same_lang,
+    gate_cascade_reasons, gate_cascade_decisions, instruction_quality, contamination_pairs, contamination_semi, contamination_anti, contamination_first_match, keyword_leak_by_lang, keyword_leak_table, near_dup_classes, near_dup_pairs_same_lang,
     dedup_greedy_keep, token_sets, review_sample, train_subset, sft_text, tag_buckets, pass_at_k, pass_rates, weighted_rate, rank_runs, run_comparability, param_match, mock_costs, mock_pass_pattern, budget_running_sum, budget_used,
     state_transitions, event_counts_daily, event_pairs, events_json_props, mixed_publish_union, counts_zero_filled, review_missing, batches, head_by_language, readiness, publish_failures, version_faults, javascript_syntax,
     freemarker_syntax, html_syntax, url_responses, prompts, topic_overlap, token_costs, schema_gate, acceptance_check, held_out_tasks, benchmark_scores, topic_matrix, blocklist, missing_labels, mock_candidates, language_pivot, inference_metrics,
@@ -457,6 +466,12 @@ ORACLE_SQL = {
     "keyword_leak_by_lang": "WITH k(l, t, i, w, p) AS (VALUES " + ", ".join(f"('{lang}', '{topic}', {t * 10 + k}, '{w}', '{w if ' ' in w else ''}')" for lang, t, topic, k, w in KEYWORDS if " " in w or len(w) >= 4) + r""")
         SELECT doc_id, arg_min(t, i) AS topic_id, arg_min(w, i) AS keyword FROM documents JOIN k ON lang = l
         AND CASE WHEN p <> '' THEN contains(lower(text), w) ELSE regexp_matches(lower(text), '(^|[^a-z0-9_])' || w || '($|[^a-z0-9_])') END GROUP BY doc_id""",
+    "keyword_leak_table": f"""WITH i AS (SELECT {listed(LANGUAGES)}[item_id % 4 + 1] AS l, item_id AS t, string_split(lower(text), ' ') AS ws FROM benchmark),
+        k AS (SELECT l, t, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS w, unnest(range(0, 2 * len(ws) - 1)) AS p FROM i),
+        u AS (SELECT l, w, min([t, p]) AS place FROM k WHERE w <> '' AND (contains(w, ' ') OR length(w) >= 4) GROUP BY l, w),
+        d AS (SELECT doc_id, lang, lower(text) AS h FROM documents)
+        SELECT doc_id, 'HO-' || (min(place))[1] AS topic_id, arg_min(w, place) AS keyword FROM d JOIN u ON lang = l AND contains(h, w)
+        WHERE CASE WHEN contains(w, ' ') THEN true ELSE regexp_matches(h, '(^|[^a-z0-9_])' || regexp_escape(w) || '($|[^a-z0-9_])') END GROUP BY doc_id""",
     "near_dup_classes": f"WITH {PAIRS}, n AS (SELECT x, y FROM q WHERE sim >= 0.95 AND same), m AS (SELECT x AS a, y AS b FROM n UNION ALL SELECT y, x FROM n) SELECT t.doc_id, min(c.doc_id) AS class_id, (SELECT count(*) FROM m WHERE m.a = t.doc_id) AS links FROM t JOIN t c ON c.lang = t.lang AND list_sort(c.ts) = list_sort(t.ts) GROUP BY t.doc_id",
     "near_dup_pairs_same_lang": f"WITH {PAIRS}, c AS (SELECT lang, list_sort(ts) AS k, min(doc_id) AS r FROM t GROUP BY ALL) SELECT x AS left_key, y AS right_key, round(sim, 6) AS similarity FROM q JOIN c a ON a.r = x JOIN c b ON b.r = y WHERE same AND sim >= 0.95",
     "dedup_greedy_keep": f"WITH {PAIRS} SELECT doc_id FROM t WHERE NOT EXISTS (SELECT 1 FROM q WHERE y = doc_id AND sim >= 0.95)",
@@ -531,6 +546,25 @@ ORACLE_SQL = {
     "language_pivot_all": "SELECT source, " + ", ".join(f"round(avg(coalesce(quality, 0)) FILTER (lang = '{x}'), 6) AS \"{x}PassAt1\"" for x in LANGUAGES) + f" FROM {JUDGED} GROUP BY source",
 }
 
+ORACLE_SQL["benchmark_scores_html"] = """WITH t AS (SELECT row_number() OVER (ORDER BY item_id) AS n FROM benchmark WHERE item_id % 3 = 1), s AS (SELECT n, k, ((n - 1 + k) % 10) / 10.0 < 0.72 AS ok FROM t, range(5) r(k))
+    SELECT 'ho-html-' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, arg_min(ok, k) AS "passAt1", bool_or(ok) AS "passAtK", true AS "syntaxValid" FROM s GROUP BY n"""
+
+# Markup as the check reads it, for an engine without look-around: a tag's attributes are tried whole, and a slash that a bare value ends in isn't the tag's.
+ATTRIBUTES = r"""(?:[\s/]+(?:[^\s/>][^\s/=>]*(?:\s*=+\s*(?:''[^'']*''|"[^"]*"|[^>\s''"][^>\s]*)?)?)?)*[\s/]*"""
+MARKUP = rf"""<!--(?s:.*?)--\s*>|<(?i:script)(?:[\s/]{ATTRIBUTES})?>(?s:.*?)</\s*(?i:script)\s*>|<(?i:style)(?:[\s/]{ATTRIBUTES})?>(?s:.*?)</\s*(?i:style)\s*>|<(?i:script|style)(?:[\s/]{ATTRIBUTES})?>(?s:.*)|<[a-zA-Z][^\t\n\r\f />]*{ATTRIBUTES}>|</\s*[a-zA-Z][-.a-zA-Z0-9:_]*\s*>|<[/!?a-zA-Z][^>]*>"""
+ORACLE_SQL["html_syntax"] = rf"""WITH g AS (SELECT page_id, html, unnest(regexp_extract_all(html, '{MARKUP}')) AS tag, generate_subscripts(regexp_extract_all(html, '{MARKUP}'), 1) AS i FROM pages),
+    t AS (SELECT page_id, i, lower(regexp_extract(tag, '^</?\s*([a-zA-Z][^\t\n\r\f />]*)', 1)) AS name,
+          CASE WHEN regexp_matches(tag, '^</(?:\s*[a-zA-Z][-.a-zA-Z0-9:_]*\s*>$|[a-zA-Z])') THEN -1 WHEN regexp_matches(tag, '(?i)^<(script|style)\b(?s:.*)</\s*(script|style)\s*>$') THEN 0
+               WHEN regexp_matches(tag, '/>$') AND NOT regexp_matches(tag, '=\s*[^\s''">][^\s>]*/>$') THEN 0 WHEN regexp_matches(tag, '^<[a-zA-Z]') THEN 1 ELSE 0 END AS step FROM g),
+    d AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS after FROM t WHERE step <> 0 AND name NOT IN ({listed(syntax.VOID)[1:-1]})),
+    l AS (SELECT *, after + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level FROM d),
+    o AS (SELECT *, lag(name) OVER (PARTITION BY page_id, level ORDER BY i) AS opener, last_value(after) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS left_open FROM l),
+    f AS (SELECT page_id, i, CASE WHEN step < 0 AND level < 1 THEN 'unexpected closing tag </' || name || '>' WHEN step < 0 AND opener <> name THEN 'mismatched tag: expected </' || opener || '>, got </' || name || '>' END AS m FROM o),
+    e AS (SELECT page_id, 'unclosed tag <' || arg_max(name, i) || '>' AS m FROM o WHERE step > 0 AND level = left_open GROUP BY page_id),
+    v AS (SELECT page_id, arg_min(m, i) AS m FROM f WHERE m IS NOT NULL GROUP BY page_id)
+    SELECT p.page_id, CASE WHEN p.html IS NULL THEN NULL WHEN NOT contains(lower(p.html), '<html') THEN 'missing <html> root element' ELSE coalesce(v.m, e.m) END AS message
+    FROM pages p LEFT JOIN v ON v.page_id = p.page_id LEFT JOIN e ON e.page_id = p.page_id"""
+
 ORACLE_SQL["freemarker_syntax"] = rf"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(/?)p>', '<\1#list>', 'g'), '<(/?)b>', '<\1#if>', 'g') AS code FROM pages),
     t AS (SELECT page_id, code, list_transform(regexp_extract_all(coalesce(code, ''), '</#\w+>|<#\w+\b'), lambda x: lower(regexp_replace(x, '[<#>]', '', 'g'))) AS tags FROM p),
     s AS (SELECT page_id, tags, 0 AS i, CAST([] AS VARCHAR[]) AS o, CAST(NULL AS VARCHAR) AS err FROM t UNION ALL
@@ -540,5 +574,5 @@ ORACLE_SQL["freemarker_syntax"] = rf"""WITH RECURSIVE p AS (SELECT page_id, rege
     SELECT page_id, coalesce(err, CASE WHEN len(o) > 0 THEN 'unclosed <#' || o[len(o)] || '> block' END, CASE WHEN contains(code, '${{') AND NOT contains(code, '}}') THEN 'unclosed ${{ expression' END) AS message
     FROM s JOIN t USING (page_id) WHERE err IS NOT NULL OR i = len(s.tags)"""
 
-QUERIES |= flow_queries.QUERIES | run_queries.QUERIES
-ORACLE_SQL |= flow_queries.ORACLE_SQL | run_queries.ORACLE_SQL
+QUERIES |= flow_queries.QUERIES | run_queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL |= flow_queries.ORACLE_SQL | run_queries.ORACLE_SQL | source_queries.ORACLE_SQL
