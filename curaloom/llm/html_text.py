@@ -5,15 +5,15 @@ what shows, and a renderer writes all visible text: blocks on lines of their own
 paragraphs apart, lists with their marks, table cells in aligned columns.
 
 ``display`` and ``visibility`` are taken from ``style`` attributes and from rules
-of ``<style>`` elements for a tag, class or id (also ``tag.class`` and
-``tag#id``), by importance, specificity and order; a child may be visible again in
-a parent that is not.  Rules within ``@`` blocks and for other selectors are
-passed over.
-
-All steps run on explicit stacks, so elements may nest as deep as they like.  Work
-and output grow with the length of the page alone, since layout is bounded: the
-indent, the nesting of aligned tables, the width of columns and the distance over
-which an end tag looks for its element, each by a constant below.
+of ``<style>`` elements, by importance, specificity and order; a child may be
+visible again in a parent that is not.  Selectors may name tags, classes and ids,
+and elements within others (``nav li.x``, ``div > p``).  Those with attributes or
+states are passed over, and so are ``@`` blocks but ``@media`` for screens.
+
+All steps run on explicit stacks, so elements may nest as deep as they like; an
+end tag finds its element at any distance.  Work and output grow with the length
+of the page alone, since layout is bounded: the indent, the nesting of aligned
+tables and the width of columns, each by a constant below.
 """
 
 from __future__ import annotations
@@ -55,6 +55,14 @@ ENDS = {
     "caption": ({"caption", "colgroup"}, {"table"}),
     "colgroup": ({"caption", "colgroup"}, {"table"}),
 }
+#: Elements that only mark text, and what an end tag of another kind doesn't reach across.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+SPECIAL = BLOCKS | frozenset("table tbody thead tfoot td th ul ol dl pre blockquote figure hr menu xmp p button object template".split())
+CELLS = frozenset("td th caption".split())
+#: Values of ``display`` that put an element on lines of its own, and those that don't; elements of lists and tables keep theirs.
+BLOCK_LIKE = frozenset("block flex grid flow-root list-item table -webkit-box".split())
+INLINE_LIKE = frozenset("inline inline-block inline-flex inline-grid contents".split())
+FIXED = frozenset("li ul ol menu dd table caption colgroup tbody thead tfoot tr td th blockquote svg text foreignobject html body".split())
 TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -62,19 +70,24 @@ ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=[^\s/>=]*)?(\s*=\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
-SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?(?:([.#])([\w-]+))?")
+COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+MARK = re.compile(r"([.#])([\w-]+)")
+SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)", re.I)
+BRACE = re.compile("[{}]")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Bounds of the layout: columns of indent, aligned tables within each other, columns of text that widen a table's column, the place up to which columns are aligned, and columns that a cell can hold for later rows.
-DEEPEST, MOST_TABLES, WIDEST, FARTHEST, MOST_HELD = 60, 8, 80, 480, 1000
-#: Open elements among which an end tag looks for its own.
-NEAR = 512
+DEEPEST, MOST_TABLES, WIDEST, FARTHEST, MOST_HELD = 60, 16, 80, 480, 1000
+#: Open elements across which the end of a formatting element leaves blocks open; beyond that it ends them.
+ACROSS = 64
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth", "met", "above")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.met = self.above = 0  # the beginnings of selectors that end here, and those that end in elements around
 
 
 def tokens(html: str):
@@ -133,43 +146,75 @@ def build(html: str) -> tuple[Node, list[str]]:
     root, sheets = Node("html", {}, None), []
     head, body = Node("head", {}, root), Node("body", {}, root)
     root.children += [head, body]
-    here, open_tags = head, {"html": 1, "head": 1}
+    here, special = head, []
+    opened: dict[str, list[Node]] = {"html": [root], "head": [head]}  # by tag, the innermost last
 
     def enter(tag: str, attrs: dict[str, str]) -> None:
         nonlocal here
         node = Node(tag, attrs, here)
         here.children.append(node)
         here = node
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(node)
+        if tag in SPECIAL:
+            special.append(node)
+
+    def left() -> Node:
+        """Close the innermost element."""
+        nonlocal here
+        node, here = here, here.parent
+        opened[node.tag].pop()
+        if node.tag in SPECIAL:
+            special.pop()
+        return node
 
     def leave(node: Node) -> None:
         """Close everything up to and with ``node``."""
-        nonlocal here
-        while True:
-            open_tags[here.tag] -= 1
-            done, here = here is node, here.parent
-            if done:
-                return
+        while left() is not node:
+            pass
+
+    def innermost(tags: set[str] | frozenset[str]) -> Node | None:
+        return max((opened[t][-1] for t in tags if opened.get(t)), key=lambda n: n.depth, default=None)
 
     def nearest(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> Node | None:
-        if not any(open_tags.get(t) for t in tags):
-            return None
-        node = here
-        for _ in range(NEAR):
-            if node is None or node.tag in tags:
-                return node
-            if node.tag in stops:
-                return None
+        """The innermost open element of ``tags``, unless one of ``stops`` is open within it."""
+        node = innermost(tags)
+        stop = innermost(stops) if node else None
+        return node if node and (stop is None or stop.depth <= node.depth) else None
+
+    def within_special(node: Node) -> bool:
+        return bool(special) and special[-1].depth > node.depth
+
+    def unwrap(outer: Node) -> None:
+        """End a formatting element around open blocks: what they hold so far keeps it, and they go on without."""
+        path, node = [], here
+        while node is not outer:
+            path.append(node)
             node = node.parent
-        return None
+            if len(path) > ACROSS:
+                leave(outer)
+                return
+        opened[outer.tag].remove(outer)
+        outer.children.pop()
+        outer.parent.children.append(path[-1])
+        path[-1].parent = outer.parent
+        for nth, node in enumerate(path):
+            inner = [node.children.pop()] if nth else []  # the next of the path, which is the last child
+            if node.children:
+                copy = Node(outer.tag, outer.attrs, node)
+                copy.children = node.children
+                for child in copy.children:
+                    if isinstance(child, Node):
+                        child.parent = copy
+                inner.insert(0, copy)
+            node.children = inner
 
     def to_body() -> None:
         nonlocal here
-        if open_tags.get("head"):
+        if opened["head"]:
             while here.tag != "head":
-                open_tags[here.tag] -= 1
-                here = here.parent
-            open_tags["head"], open_tags["body"], here = 0, 1, body
+                left()
+            opened["head"].pop()
+            opened["body"], here = [body], body
 
     for kind, value, attrs in tokens(html):
         if kind == "open":
@@ -180,7 +225,7 @@ def build(html: str) -> tuple[Node, list[str]]:
                 continue
             if here.tag == "head" and value not in HEAD_ONLY:
                 to_body()
-            if value in TABLE_PARTS and not open_tags.get("table"):
+            if value in TABLE_PARTS and not opened.get("table"):
                 continue
             if value in CLOSES_P and (p := nearest({"p"}, {"table", "td", "th", "caption", "button", "object"})):
                 leave(p)
@@ -204,15 +249,18 @@ def build(html: str) -> tuple[Node, list[str]]:
             if value == "br":
                 to_body()
                 here.children.append(Node("br", {}, here))
-            elif value == "p" and not open_tags.get("p"):
+            elif value == "p" and not opened.get("p"):
                 to_body()
                 here.children.append(Node("p", {}, here))
             elif value == "head":
                 to_body()
             elif value not in ("html", "body"):
-                inner = {"td", "th", "caption"} if value not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption") else {"table"} - {value}
-                if node := nearest({value}, inner):
-                    leave(node)
+                if value in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"):
+                    stops = frozenset({"table"} - {value})
+                else:
+                    stops = CELLS if value in SPECIAL or value in FORMATTING else SPECIAL
+                if node := nearest({value}, stops):
+                    (unwrap if value in FORMATTING and within_special(node) else leave)(node)
         else:
             if here.tag == "head" and kind == "text":
                 if not value.strip(" \t\n\f\r"):
@@ -228,63 +276,120 @@ def build(html: str) -> tuple[Node, list[str]]:
                 siblings = table.parent.children
                 siblings.insert(len(siblings) - 1, value)  # text between cells shows before its table
             elif here.tag == "style":
-                sheets.append(value)
+                if for_screens(here.attrs.get("media", "")):
+                    sheets.append(value)
             else:
                 here.children.append(value)
     return root, sheets
 
 
+def for_screens(media: str) -> bool:
+    """Whether one of the queries of a list holds for any screen; those that ask for more are taken not to."""
+    return any(not q.strip() or SCREEN.fullmatch(q.strip()) for q in media.split(","))
+
+
+def declared(css: str) -> list[tuple[str, str, bool]]:
+    return [(prop.lower(), value.lower(), bool(important)) for prop, value, important in DECLARED.findall(css)]
+
+
 class Rules:
-    """What style sheets say of ``display`` and ``visibility``, by tag, class and id."""
+    """What style sheets say of ``display`` and ``visibility``.
+
+    A selector is a row of compounds.  An element is held against the compounds that
+    name its tag, a class or its id; where one fits, the selector's beginning ends
+    here.  Elements carry the beginnings that end in them and around them as bits, so
+    a compound asks for one bit and no ancestor is looked at twice.
+    """
 
     def __init__(self, sheets: list[str]):
-        self.by_key: dict[tuple[str, str, str], dict[str, tuple]] = {}
-        self.order = 0
+        # by what a compound is found by: tag, classes, ids, the bit before it, whether that must be the parent's, its own bit, declarations
+        self.by_key: dict[tuple[str, str], list[list]] = {}
+        self.known: dict[tuple, list] = {}  # the same; equal beginnings of selectors are one
+        self.order = self.bits = 0
         for sheet in sheets:
             self.read(COMMENT.sub(" ", sheet))
 
     def read(self, css: str) -> None:
-        at = 0
-        while (brace := css.find("{", at)) >= 0:
-            head = css[at:brace].rpartition(";")[2].strip()
+        at, blocks = 0, []  # open blocks, and whether they hold for screens
+        while brace := BRACE.search(css, at):
+            if brace[0] == "}":
+                at = brace.end()
+                if blocks:
+                    blocks.pop()
+                continue
+            head, at = css[at : brace.start()].rpartition(";")[2].strip(), brace.end()
             if head.startswith("@"):
-                depth, at = 1, brace + 1
-                for m in re.compile("[{}]").finditer(css, at):
-                    depth += 1 if m[0] == "{" else -1
-                    at = m.end()
-                    if not depth:
-                        break
-                else:
-                    return
+                name, _, media = head.partition(" ")
+                blocks.append(name.lower() == "@media" and for_screens(media) and all(blocks))
                 continue
-            end = css.find("}", brace)
+            end = css.find("}", at)
             end = len(css) if end < 0 else end
-            if said := DECLARED.findall(css[brace + 1 : end]):
+            if all(blocks) and (said := declared(css[at:end])):
+                said = [(prop, value, important, self.order + i) for i, (prop, value, important) in enumerate(said)]
+                self.order += len(said)
                 for selector in head.split(","):
-                    if m := SELECTOR.fullmatch(selector.strip()):
-                        self.add((m[1] or "*").lower(), m[2] or "", m[3] or "", said)
+                    self.add(selector.strip(), said)
             at = end + 1
 
-    def add(self, tag: str, sign: str, name: str, said: list[tuple[str, str, str]]) -> None:
-        weight = (100 if sign == "#" else 10 if sign else 0) + (tag != "*")
-        own = self.by_key.setdefault((tag, sign, name), {})
-        for prop, value, important in said:
-            self.order += 1
-            own[prop.lower()] = max(own.get(prop.lower(), (False,)), (bool(important), weight, self.order, value.lower()))
+    def add(self, selector: str, said: list[tuple]) -> None:
+        steps, child, weight = [], False, [0, 0, 0]
+        for word in selector.replace(">", " > ").split():
+            if word == ">":
+                child = True
+                continue
+            m = COMPOUND.fullmatch(word)
+            if not m:
+                return
+            marks = MARK.findall(m[2])
+            names = frozenset(n for sign, n in marks if sign == "."), frozenset(n for sign, n in marks if sign == "#")
+            tag = (m[1] or "*").lower()
+            for i, n in enumerate((len(names[1]), len(names[0]), tag != "*")):
+                weight[i] += n
+            steps.append((tag, *names, child))
+            child = False
+        if child or not steps or steps[0][3]:
+            return
+        before = None
+        for step in steps:
+            entry = self.known.get((before, step))
+            if entry is None:
+                tag, classes, ids, _ = step
+                key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+                entry = self.known[before, step] = [*step[:3], before, step[3], None, {}]
+                self.by_key.setdefault(key, []).append(entry)
+            if step is steps[-1]:
+                for prop, value, important, order in said:
+                    rank = (important, tuple(weight), order, value)
+                    entry[6][prop] = max(entry[6].get(prop, rank), rank)
+            elif entry[5] is None:
+                entry[5] = self.bits
+                self.bits += 1
+            before = entry[5]
 
     def of(self, node: Node) -> dict[str, str]:
-        """The values that hold for an element."""
-        a, found = node.attrs, {}
+        """The values that hold for an element; its parent's must have been asked for before."""
+        a, found, parent = node.attrs, {}, node.parent
+        if parent is not None:
+            node.above = parent.above | parent.met
         if self.by_key:
-            keys = [("*", "", ""), (node.tag, "", "")]
-            for sign, names in ((".", a.get("class", "").split()), ("#", [a["id"]] if "id" in a else [])):
-                keys += [(tag, sign, name) for name in names for tag in ("*", node.tag)]
+            classes = a.get("class", "").split()
+            keys = [("", "*"), ("", node.tag), *((".", c) for c in dict.fromkeys(classes)), *([("#", a["id"])] if "id" in a else [])]
             for key in keys:
-                for prop, rank in self.by_key.get(key, {}).items():
-                    found[prop] = max(found.get(prop, (False,)), rank)
+                for tag, named, ids, before, of_parent, own, said in self.by_key.get(key, ()):
+                    if (tag not in ("*", node.tag)) or (len(named) > 1 and not named.issubset(classes)) or (named and key[0] == "#" and not named.issubset(classes)) or (len(ids) > 1):
+                        continue
+                    if before is not None and not (parent is not None and (parent.met if of_parent else node.above) >> before & 1):
+                        continue
+                    if own is not None:
+                        node.met |= 1 << own
+                    for prop, rank in said.items():
+                        if prop not in found or found[prop] < rank:
+                            found[prop] = rank
         if "style" in a:
-            for prop, value, important in DECLARED.findall(a["style"]):
-                found[prop.lower()] = max(found.get(prop.lower(), (False,)), (bool(important), 1000, 0, value.lower()))
+            for order, (prop, value, important) in enumerate(declared(a["style"])):
+                rank = (important, (1000, 0, 0), order, value)
+                if prop not in found or found[prop] < rank:
+                    found[prop] = rank
         return {prop: rank[3] for prop, rank in found.items()}
 
 
@@ -429,23 +534,31 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]], caption: list[str]
     return out
 
 
-def shown(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool]:
-    """Whether an element is there at all, and whether its own text can be seen."""
+def shown(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool, str]:
+    """Whether an element is there at all, whether its own text can be seen, and its ``display`` where that is said."""
     a, parent = node.attrs, node.parent
     if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
-        return False, False
+        return False, False, ""
     if parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
-        return False, False
+        return False, False, ""
     said = rules.of(node) if rules.by_key or "style" in a else {}
-    if said.get("display", "none" if "hidden" in a else "") == "none":
-        return False, False
+    display = said.get("display", "none" if "hidden" in a else "")
     visibility = said.get("visibility", "inherit")
-    return True, visibility == "visible" or (seen and visibility not in ("hidden", "collapse"))
+    return display != "none", visibility == "visible" or (seen and visibility not in ("hidden", "collapse")), display
+
+
+def layout(tag: str, display: str) -> str:
+    """How an element stands among its neighbours: apart from them, on lines of its own (``line``), or in theirs."""
+    own = "apart" if tag in SPACED else "line" if tag in BLOCKS else ""
+    if not display or tag in FIXED:
+        return own
+    return own or "line" if display in BLOCK_LIKE else "" if display in INLINE_LIKE else own
 
 
 def render(root: Node, sheets: list[str]) -> str:
     """All visible text of a tree."""
     rules, page, pages, tables, lists, pre = Rules(sheets), Page(), [], [], [], 0
+    standing: dict[Node, str] = {}  # of open elements, where their style says it
     drawing: list[bool] = []  # within svg: whether text shows, by open element that decides it
     stack: list[tuple[object, str, bool]] = [(root, "enter", True)]
     while stack:
@@ -456,17 +569,19 @@ def render(root: Node, sheets: list[str]) -> str:
             continue
         tag = node.tag
         if step == "enter":
-            there, seen = shown(node, rules, seen)
+            there, seen, display = shown(node, rules, seen)
             if not there or (drawing and tag in UNDRAWN):
                 continue
             step = "leave"
             closed = tag == "details" and "open" not in node.attrs
             if tag == "br":
                 page.line(True)
-            elif tag in SPACED:
+            elif (own := layout(tag, display)) == "apart":
                 page.apart()
-            elif tag in BLOCKS:
+            elif own == "line":
                 page.line()
+            if display and tag not in FIXED:
+                standing[node] = own
             if tag in ("pre", "textarea", "xmp"):
                 pre += 1
             if tag in ("ul", "ol", "menu"):
@@ -528,9 +643,9 @@ def render(root: Node, sheets: list[str]) -> str:
         elif tag == "svg" or (drawing and tag in DRAWN_TEXT):
             drawing.pop()
             page.space = True
-        elif tag in SPACED:
+        elif (own := standing.pop(node) if node in standing else layout(tag, "")) == "apart":
             page.apart()
-        elif tag in BLOCKS or tag in ("td", "th", "caption"):
+        elif own == "line" or tag in ("td", "th", "caption"):
             page.line()
     return "\n".join(page.done())
 

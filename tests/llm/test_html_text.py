@@ -38,6 +38,21 @@ CASES = [
     ("<p>a</p><p>late<style>p.z{display:none}</style></p><p class=z>no</p>", "a\n\nlate"),
     ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><title>no</title><defs><text>no</text></defs>no<text>label</text><text>two</text></svg> y", "x=2 label two y"),
     ("<table><tr><td>日本<td>a<tr><td>é<td>b</table>", "日本  a\né     b"),
+    ("<div hidden>" + "<b>" * 600 + "x</div><p>VISIBLE</p>", "VISIBLE"),
+    ("<p style='display:none;display:block'>yes</p><p style='visibility:visible;visibility:hidden'>no</p>", "yes"),
+    ("<p style='display:block !important;display:none'>yes", "yes"),
+    ("a<span style='display:block'>b</span>c", "a\nb\nc"),
+    ("a<div style='display:inline'>b</div>c<p style='display:inline'>d</p>", "abcd"),
+    ("<style>i{display:block}</style>a<i>b</i><i>c", "a\nb\nc"),
+    ("<b><p>x</b>y</p>z", "xy\n\nz"),
+    ("<b style='visibility:hidden'><p>no</b>yes</p>", "yes"),
+    ("<b hidden><i><div>no<p>no</b>yes</p>yes</div></i>yes", "yes\n\nyes\nyes"),
+    ("<span><p>a</span>b</p>c", "ab\n\nc"),
+    ("<style>nav li.x, div > p {display:none}</style><nav><ul><li class=x>no<li>yes</ul></nav><li class=x>yes<div><p>no</p><b><p>yes</p></b></div>", "- yes\n- yes\n\n  yes"),
+    ("<style>#a .b i{display:none}.b{visibility:hidden}</style><u id=a><u class='c b'><i>no</i>no</u><i>yes</i></u>", "yes"),
+    ("<style>@media screen{.s{display:none}}@media print{.t{display:none}}@media (max-width:9px){.t{display:none}}@supports (a:b){.t{display:none}}.u{display:none}</style><i class=s>no</i><i class=t>yes</i><i class=u>no</i>", "yes"),
+    ("<style media=print>p{display:none}</style><style media='all'>b{display:none}</style><p>yes<b>no</b>", "yes"),
+    ("<style>p:hover, p[x], a p ~ b {display:none}</style><p x>yes", "yes"),
     ("<a href='x", ""),
     ("", ""),
     (None, ""),
@@ -147,7 +162,7 @@ def test_layout_against_a_plain_renderer(seed):
     assert text("".join(map(markup, blocks))) == "\n\n".join("\n".join(plain(b)) for b in blocks)
 
 
-NESTS = ["<blockquote>x", "<ul><li>x", "<dl><dd>x", "<table><tr><td>x", "<div style='visibility:hidden'>x", "<i><b></i>x", "<td><i>x", "<tr><td rowspan=9 colspan=9>x", "<style>.a{display:none}</style><p class='a b c'>x", "<table><tr><td><i><b></i>x"]
+NESTS = ["<blockquote>x", "<ul><li>x", "<dl><dd>x", "<table><tr><td>x", "<div style='visibility:hidden'>x", "<i><b></i>x", "<td><i>x", "<tr><td rowspan=9 colspan=9>x", "<style>.a{display:none}</style><p class='a b c'>x", "<table><tr><td><i><b></i>x", "<b><div></b>x", "<b><i><div>x</b>", "<style>a b .c{display:none}</style><a><b class=c>x"]
 
 
 @pytest.mark.parametrize("part", NESTS)
@@ -163,6 +178,33 @@ def test_a_megabyte_of_nesting_takes_seconds(part):
     assert took < 25 and took < 4 * (middle - began) + 2
 
 
+WRAPS = ["b", "i", "div", "span", "p", "ul", "li", "table", "td", "section", "a", "blockquote"]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_hidden_and_visible_words_never_swap(seed):
+    """Well-formed nesting at any depth: a word shows if nothing around it is off, or the nearest that says so is visible."""
+    rng = random.Random(seed)
+    page, around, want, n = [], [], [], 0
+    for _ in range(rng.choice((30, 3000))):
+        kind = rng.random()
+        if kind < 0.45:
+            tag = rng.choice([w for w in WRAPS if w not in ("p", "li", "td", "table", "a", "ul")])
+            style = rng.choice(["", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+            page.append(f"<{tag} style='{style}'>")
+            around.append((tag, style))
+        elif kind < 0.7 and around:
+            page.append(f"</{around.pop()[0]}>")
+        else:
+            n += 1
+            page.append(f" w{n} ")
+            styles = [s for _, s in around]
+            said = [s for s in styles if s.startswith("visibility")]
+            if "display:none" not in styles and (not said or said[-1] == "visibility:visible"):
+                want.append(f"w{n}")
+    assert text("".join(page)).split() == want
+
+
 def test_wide_cells_do_not_widen_every_row():
     page = "<table><tr><td>" + "w" * 100_000 + "<td>end" + "<tr><td>a<td>b" * 5000 + "</table>"
     got = text(page)
