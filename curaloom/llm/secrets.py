@@ -13,7 +13,7 @@ Everything is an expression of Spark SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import once, store, text_or_empty
@@ -91,14 +91,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     counts = places.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"))
     counts = counts.withColumn("digest", F.xxhash64("hash"))
     known = each.withColumn("digest", F.xxhash64("hash")).join(counts, ["digest", "hash"])
-    item = F.struct("c.start", "c.nth", "c.kind", "c.end", "c.wide", "owners", "repos", ((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).alias("live"))
-    listed = known.groupBy("row_no", "id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-
-    def kept(x: Column) -> Column:
-        clash = F.exists("all", lambda b: ~b["wide"] & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return ~x["wide"] | (x["live"] & ~clash)
-
-    listed = listed.select("id", F.filter("all", kept).alias("found"))
+    # a wider span clashes if a base span that starts before its end reaches beyond its start: one pass in the order of places
+    place = F.when(F.col("c.wide"), F.col("c.end")).otherwise(F.col("c.start"))
+    before = Window.partitionBy("row_no").orderBy("place", F.col("c.wide").desc(), "c.nth").rowsBetween(Window.unboundedPreceding, -1)
+    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
+    swept = known.withColumns({"place": place, "live": live}).withColumn("reach", F.max(F.when(~F.col("c.wide"), F.col("c.end"))).over(before))
+    kept = ~F.col("c.wide") | (F.col("live") & ~F.coalesce(F.col("reach") > F.col("c.start"), F.lit(False)))
+    item = F.struct("c.start", "c.nth", "c.kind", "c.end", "c.wide", "owners", "repos", "live")
+    listed = swept.groupBy("row_no", "id").agg(F.sort_array(F.collect_list(F.when(kept, item))).alias("found")).select("id", "found")
     none = base.where(F.size("found") == 0).select("id", F.array().cast(listed.schema["found"].dataType).alias("found"))
     return listed.unionByName(none)
 

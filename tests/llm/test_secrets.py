@@ -89,6 +89,25 @@ def test_places_of_very_many_matches_take_seconds(spark):
     assert time.monotonic() - began < 60
 
 
+def test_clashes_of_very_many_spans_take_seconds(spark):
+    """Wider spans beside and inside base ones, a hundred thousand in one text; none is held against each other one."""
+    n = 50_000
+    value = lambda i: f"Aa1{i:021d}"  # noqa: E731  an opaque run of 24 characters
+    text = " ".join(f"token={value(i)} {value(n + i)}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = secrets.scan(docs).first()["found"]
+    width = len(f"token={value(0)} {value(0)} ")
+    assert [(x["kind"], x["start"], x["end"]) for x in got[:4]] == [("assign", 0, 30), ("opaque", 31, 55), ("assign", width, width + 30), ("opaque", width + 31, width + 55)]
+    assert len(got) == 2 * n and time.monotonic() - began < 90
+
+
+def test_spans_that_touch_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "AKIA" + "A" * 16 + "aB3aB3aB3aB3aB3aB3aB3aB3aB3"), (2, "token=abcdefgh ghp_" + "aB3" * 12)], "doc_id bigint, text string")
+    got = {r["id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in secrets.scan(docs).collect()}
+    assert got == {1: [("access", 0, 20)], 2: [("assign", 0, 14), ("prefixed", 15, 55), ("opaque", 19, 55)]}
+
+
 def test_awkward(spark):
     got = secrets.scan(awkward(spark), owner=F.col("source"), repo=F.col("lang")).collect()
     assert len(got) == awkward(spark).count()
