@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so a question with other
 values keeps its template.  A text is read in three ways:
 
-* ``words``: its lower-cased words, for verbatim passages;
+* ``words``: its lower-cased words, for verbatim passages; in scripts that are
+  written without spaces each character is one;
 * ``values``: numbers and units as placeholders, names as words, for texts in
   another letter case;
 * ``names``: numbers, units and names as placeholders, where a run of capitalised
@@ -29,6 +30,10 @@ from .shared import once, rest_of, store, text_or_empty
 #: Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms kilograms ton tons ounce ounces pound pounds ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur mph kmh degree degrees celsius fahrenheit watt watts kw kwh volt volts amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
+#: Characters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese), and all others.
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+SPACED = r"\x{0}-\x{DFF}\x{F00}-\x{FFF}\x{10A0}-\x{177F}\x{1800}-\x{303F}\x{3100}-\x{31EF}\x{3200}-\x{33FF}\x{4DC0}-\x{4DFF}\x{A000}-\x{F8FF}\x{FB00}-\x{1FFFF}\x{40000}-\x{10FFFF}"
+ENTRY = rf"[\p{{L}}\p{{M}}&&[{SPACED}]]+|[0-9]+(?:[.,:/][0-9]+)*+|[\p{{L}}\p{{M}}&&[{UNSPACED}]]\p{{M}}*+"
 #: Windows of the benchmark that go into a broadcast at most; more are joined by shuffling.
 BROADCAST_WINDOWS = 200_000
 #: Entries of the benchmark that documents' entries are held against at most; with more, every window is hashed.
@@ -44,7 +49,7 @@ def quoted(words: list[str]) -> str:
 def templated(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, way, h, v``: a row per text and reading, with the hashes of its entries and of the placeholders' values (null at other entries)."""
     keep = F.col("id")
-    words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*+"), F.lit(0)))
+    words = once(rows, F.col(id_col).alias("id"), ws=F.regexp_extract_all(text_or_empty(text_col), F.lit(ENTRY), F.lit(0)))
     words = once(words, keep, F.col("ws"), l=F.expr("transform(ws, w -> lower(w))"))
     words = once(words, keep, F.col("ws"), F.col("l"), d=F.expr(f"zip_with(ws, l, (w, x) -> w < ':' OR x IN ({quoted(NUMBER_WORDS)}))"))
     kind = f"""transform(ws, (w, i) -> CASE
@@ -83,8 +88,9 @@ def windows_of(rows: DataFrame, widths: list[int], known: list[int] | None) -> D
 
 def consistent() -> Column:
     """The windows of an alignment that count: all if each value of the item meets one value, else those with the item's own values."""
-    pairs = "array_distinct(flatten(transform(met, m -> m.pairs)))"
-    agrees = f"size({pairs}) = size(array_distinct(transform({pairs}, p -> p.own)))"
+    # numbers are told apart by hashing, structures only by comparing all
+    pairs = "flatten(transform(met, m -> m.pairs))"
+    agrees = f"size(array_distinct(transform({pairs}, p -> xxhash64(p.own, p.seen)))) = size(array_distinct(transform({pairs}, p -> p.own)))"
     return F.expr(f"CASE WHEN {agrees} THEN met ELSE filter(met, m -> forall(m.pairs, p -> p.own = p.seen)) END")
 
 

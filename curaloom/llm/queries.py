@@ -183,7 +183,7 @@ def templates_sql() -> str:
 
     def side(of: str, table_name: str, key: str) -> str:
         return rf"""
-            {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
+            {of}w AS (SELECT {key} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, regexp_extract_all(regexp_replace(coalesce(text, ''), '([{decontaminate.UNSPACED}]\p{{M}}*)', ' \1 ', 'g'), '[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*') AS ws FROM {table_name})),
             {of}num AS (SELECT *, lower(w) AS l, regexp_matches(w, '^[0-9]') OR lower(w) IN ({numbers}) AS num FROM {of}w),
             {of}k AS (SELECT *, CASE WHEN num THEN '#number' WHEN lag(num) OVER o AND l IN ({units}) THEN '#unit'
                                      WHEN length(w) > 1 AND w <> l AND substr(w, 2) = lower(substr(w, 2)) THEN '#name' ELSE '' END AS k FROM {of}num WINDOW o AS (PARTITION BY id ORDER BY i)),

@@ -35,6 +35,29 @@ def test_slots_must_agree(spark):
     assert set(found(spark, [even, odd], [item])) == {(0, 0)}
 
 
+UNSPACED = {
+    "天气很好我们一起去公园散步吧": "今天天气很好我们一起去公园散步吧然后回家吃饭",
+    "ひらがなとカタカナで書かれた長い質問です": "これはひらがなとカタカナで書かれた長い質問ですと言った",
+    "วันนี้อากาศดีมากเราไปเดินเล่นกัน": "เขาบอกว่าวันนี้อากาศดีมากเราไปเดินเล่นกันเถอะ",
+    "一列火车以每小时40公里的速度离开车站": "题目:一列火车以每小时40公里的速度离开车站。",
+}
+
+
+def test_scripts_without_spaces(spark):
+    """A copy inside a longer run of characters is found; texts of the same script are left."""
+    items, texts = list(UNSPACED), list(UNSPACED.values())
+    got = found(spark, [*texts, "今天下雨所以我们留在家里看书", "วันจันทร์ฝนตก", "x" + items[0][:5] + "y"], items)
+    assert set(got) == {(i, i) for i in range(len(items))}
+
+
+def test_many_repetitions_take_seconds(spark):
+    import time
+
+    began = time.monotonic()
+    phrase = "green apples never sleep well on hard "
+    assert set(found(spark, [phrase * 2000], [phrase * 40])) == {(0, 0)} and time.monotonic() - began < 60
+
+
 def test_literal_windows_beside_a_changed_value(spark):
     part = words(50, 8).split()
     item = " ".join(["The", *part[:25], "The", *part[25:40], "took 12", *part[40:], "and 12 more"])
