@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 
@@ -252,6 +253,13 @@ def run_id(template: str, **values: str | int) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: str(values[m[1]]) if m[1] in values else m[0], template)
 
 
+def run_id_column(template: Column, **values: Column) -> Column:
+    """The same for a column of templates."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+    return template
+
+
 def first_filled(*sources) -> list[str]:
     """The first non-empty list of run ids; a source may be a callable, called when its turn comes."""
     for source in sources:

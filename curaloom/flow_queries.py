@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from . import schemas
 from .config import Expansion, Gates, Publish, Review, Scope, Taxonomy
 from .functions import text
-from .operators import evaluate, gates, generate, ranking, rules, sampling
+from .operators import evaluate, gates, generate, lifecycle, ranking, rules, sampling
 from .operators.dedup import ordered_duplicates
 from .operators.similarity import duplicate_pairs
 from .plans import curation
 from .sources import readers, writers
 from .storage import new_path
+from .vocabulary import DIRECTORY
 
 NOW = "2026-06-20T10:00:00+00:00"
 # Fixed values of these queries: held-out keywords, verbs and a scope.
@@ -74,13 +76,21 @@ def baseline_dedup(spark, d):
     return ordered_duplicates(rows, "doc_id", "doc_id", "text", "true", 0.95, baseline=old).select(F.col("key").alias("doc_id"), "duplicate")
 
 
-def rule_resolver(spark, d):
-    words = F.split(F.lower("text"), " ")
-    own = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("rule-"), (F.col("item_id") % 50).cast("string")).alias("rule"), F.posexplode(F.slice(words, 1, 3)).alias("nth", "trigger"), (F.col("item_id") % 25 == 0).alias("always"))
+def resolved(spark: SparkSession, d: str, words) -> DataFrame:
+    own = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("rule-"), (F.col("item_id") % 50).cast("string")).alias("rule"), F.posexplode(words).alias("nth", "trigger"), (F.col("item_id") % 25 == 0).alias("always"))
     asked = spark.createDataFrame([("The",), ("and some of them",), ("del",), ("",)], "keyword string")
     return rules.resolve(asked, own.drop("nth"))
 
 
+def rule_resolver(spark, d):
+    return resolved(spark, d, F.slice(F.split(F.lower("text"), " "), 1, 3))
+
+
+def rule_resolver_whole(spark, d):
+    """Rules with all words of their items as triggers."""
+    return resolved(spark, d, F.split(F.lower("text"), " "))
+
+
 def response_extraction(spark, d):
     n = F.col("doc_id") % 3
     decoded = F.when(n == 0, F.concat(F.lit("ask ### Response: "), F.col("text"), F.lit(" \n"))).when(n == 1, F.concat(F.lit("prompt: "), F.col("text"))).otherwise(F.col("text"))
@@ -137,9 +147,9 @@ def raw_candidates(spark, d):
 def seed_folders(spark, d):
     """Benchmark items as seed files, one document each, with reference seeds among them."""
     path = new_path(spark, "seeds")
-    for r in table(spark, d, "benchmark").collect():  # some two hundred hand-written files, as a seed folder is
-        name = "REF" if r["item_id"] % 10 == 0 else "seed"
-        writers.write_json(spark, f"{path}/javascript/{name}-js-{r['item_id']:03d}.json", {"id": f"{name}-js-{r['item_id']:03d}", "targetLanguage": "JavaScript", "instruction": r["text"], "code": "export {}", "tags": [DIFFICULTY, "array"]})
+    name = F.concat(F.when(F.col("item_id") % 10 == 0, "REF").otherwise("seed"), F.lit("-js-"), F.lpad(F.col("item_id").cast("string"), 3, "0"))
+    own = table(spark, d, "benchmark").select(name.alias("id"), F.lit("JavaScript").alias("targetLanguage"), F.col("text").alias("instruction"), F.lit("export {}").alias("code"), F.array(F.lit(DIFFICULTY), F.lit("array")).alias("tags"))
+    writers.record_files(own, f"{path}/javascript", "id")
     return readers.seeds(spark, f"{path}/javascript").select("id", "ord", F.sha2("instruction", 256).alias("instruction_sha256"))
 
 
@@ -186,7 +196,7 @@ def published(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     root = new_path(spark, "flow")
     curation.filter_run(records(spark, d), "run-1", f"{root}/drafts", Taxonomy(), SCOPE, RULES, NOW, rejected_log=f"{root}/rejected")
     queue = curation.prepare_review(spark, "run-1", f"{root}/drafts/run-1", f"{root}/review", Review(), NOW)
-    said = spark.createDataFrame([(x, "accept") for x in queue["sampleExampleIds"]], "exampleId string, decision string")
+    said = lifecycle.auto_accept(readers.json_lines(spark, queue["samplePath"], schemas.EXAMPLE))
     curation.submit_review(spark, "run-1", f"{root}/drafts/run-1", f"{root}/review", Review(), said, "me", NOW)
     curation.publish(spark, f"{root}/drafts/run-1", "ds-2026-06-20-js-v1", f"{root}/published", Publish(), "me", NOW, f"{root}/events", skip_thresholds=True)
     return readers.published(spark, f"{root}/published", "ds-2026-06-20-js-v1")
@@ -220,7 +230,73 @@ def published_index(spark, d):
     return readers.published_index(spark, root).join(last, "datasetVersion").select("datasetVersion", "exampleCount", "latest", "state")
 
 
-QUERIES = {f.__name__: f for f in (budget_batches, published_index, cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, raw_candidates, seed_folders, held_out_round_trip, event_log, run_summaries, publish_flow)}
+def language_run(spark, d):
+    """The whole of a language's run over documents as replies: spend, filter, review, publish; the version's rows with each step of the log."""
+    root = new_path(spark, "language")
+    replies = records(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("n_chars").alias("inputTokens"), F.lit(400).alias("outputTokens")), "ord")
+    log = curation.run_language(spark, "JavaScript", root, SCOPE, NOW, Expansion(max_budget_usd=1e9), RULES, Review(), Publish(), "run-1", "ds-2026-06-20-js-v1", auto_approve=True, skip_thresholds=True, replies=replies)
+    steps = F.lit(",".join(f"{s}:{'ok' if ok else 'failed'}" for s, ok, _ in log.rows))
+    rows, _ = readers.published(spark, f"{root}/published", "ds-2026-06-20-js-v1")
+    events = readers.events(spark, f"{root}/events").agg(F.count_if(F.col("event") == "DatasetPublished").alias("events"))
+    return rows.select("id", F.sha2("instruction", 256).alias("instruction_sha256"), steps.alias("steps")).join(F.broadcast(events))  # one count
+
+
+def example_files(spark, d):
+    """Documents as files of JSON lines of three languages, read by the scan of examples."""
+    root = new_path(spark, "example-files")
+    own = records(spark, d, "seed", 3).withColumn("targetLanguage", F.element_at(F.array(*map(F.lit, DIRECTORY)), (F.col("ord") % 3 + 1).cast("int"))).withColumn("topicId", F.col("ord").cast("string"))
+    for name, folder in DIRECTORY.items():
+        writers.json_lines(own.where(F.col("targetLanguage") == name).drop("ord"), f"{root}/lines/{folder}.jsonl")
+    parts = [readers.examples(spark, f"{root}/lines/{folder}.jsonl").withColumn("folder", F.lit(folder)) for folder in DIRECTORY.values()]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(F.col("topicId").cast("bigint").alias("doc_id"), "id", "targetLanguage", "folder", F.sha2("code", 256).alias("code_sha256"))
+
+
+def seed_drafts(spark, d):
+    """Benchmark items as seed files in the folders of their languages, read as a draft's seeds."""
+    root = new_path(spark, "seed-drafts")
+    own = topics(spark, d).select(F.concat(F.lit("seed-"), F.col("ord").cast("string")).alias("id"), F.col("language").alias("targetLanguage"), F.col("pattern").alias("instruction"))
+    for name, folder in DIRECTORY.items():
+        writers.record_files(own.where(F.col("targetLanguage") == name), f"{root}/{folder}", "id")
+    return readers.draft_seeds(spark, root).select("id", "targetLanguage", F.sha2("instruction", 256).alias("instruction_sha256"))
+
+
+def reply_defaults(spark, d):
+    """Answers of the conversations as candidates, language and metadata filled in where a reply left them out."""
+    said = table(spark, d, "conversations").where("role = 'assistant'")
+    language = F.when(F.col("conv_id") % 2 == 0, "HTML")
+    meta = F.when(F.col("conv_id") % 3 == 0, F.struct(F.lit("me").alias("author"), F.lit("2026-01-01").alias("created"), F.lit("synthetic").alias("source"), F.lit(None).cast("string").alias("notes")))
+    rows = said.select("conv_id", "turn", F.col("text").alias("instruction"), language.alias("targetLanguage"), meta.alias("metadata"))
+    return generate.with_defaults(rows, "FreeMarker", "2026-06-20").select("conv_id", "turn", "targetLanguage", "metadata.author", "metadata.created", F.sha2("instruction", 256).alias("instruction_sha256"))
+
+
+def few_shots(spark, d):
+    """All benchmark items as few-shots of a prompt."""
+    return generate.few_shots(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select(F.sha2("few_shots", 256).alias("few_shots_sha256"), F.length("few_shots").cast("bigint").alias("characters"))
+
+
+def topic_counts(spark, d):
+    """Held-out topics and their keywords by language."""
+    return topics(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("topics"), F.sum(F.size("keywords")).cast("bigint").alias("keywords"))
+
+
+def logged_events(spark, d):
+    """Runs of two events each for every source, appended one after the other to the log by its sink and read back."""
+    path = new_path(spark, "event-sink")
+    counts = sorted((r["source"], r["n"]) for r in table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per source
+    for kind in ("TrainingRunStarted", "TrainingRunCompleted"):
+        writers.append_events([{"event": kind, "timestamp": NOW, "runId": source, "examples": n} for source, n in counts], spark, path)
+    back = readers.events(spark, path)
+    return back.select("event", "runId", F.from_json("payload", "examples BIGINT")["examples"].alias("examples"))
+
+
+def shuffled_subset(spark, d):
+    """A subset to train on as a seeded shuffle by Python's own generator draws it."""
+    rows = sampling.numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "ord")
+    return sampling.shuffled_subset(rows, "ord", 42, 200).select("drawn", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (language_run, example_files, seed_drafts, reply_defaults, few_shots, topic_counts, logged_events, shuffled_subset, budget_batches, published_index, cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, rule_resolver_whole, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, raw_candidates, seed_folders, held_out_round_trip, event_log, run_summaries, publish_flow)}
 
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x1c-\x1f\x0b\x85\x{{a0}}]+', ''), '[\s\x1c-\x1f\x0b\x85\x{{a0}}]+$', '')"
 RECORDS = f"""(SELECT doc_id, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS four, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS three, text AS i, CASE WHEN doc_id % 3 = 0 THEN 'var a; ' ELSE 'export ' END || text AS c,
@@ -256,6 +332,8 @@ ORACLE_SQL = {
     "baseline_dedup": f"WITH {PAIRS} SELECT doc_id, EXISTS (SELECT 1 FROM q WHERE sim >= 0.95 AND ((y = doc_id) OR (x = doc_id AND sy = 'src0'))) AS duplicate FROM t WHERE source <> 'src0'",
     "rule_resolver": """WITH b AS (SELECT item_id, 'rule-' || (item_id % 50) AS rule, unnest(string_split(lower(text), ' ')[1:3]) AS trig, item_id % 25 = 0 AS always FROM benchmark), w(k) AS (VALUES ('the'), ('and some of them'), ('del'))
         SELECT rule, min(item_id) AS ord FROM b WHERE always OR (trig <> '' AND EXISTS (SELECT 1 FROM w WHERE contains(trig, k) OR contains(k, trig))) GROUP BY rule""",
+    "rule_resolver_whole": """WITH b AS (SELECT item_id, 'rule-' || (item_id % 50) AS rule, unnest(string_split(lower(text), ' ')) AS trig, item_id % 25 = 0 AS always FROM benchmark), w(k) AS (VALUES ('the'), ('and some of them'), ('del'))
+        SELECT rule, min(item_id) AS ord FROM b WHERE always OR (trig <> '' AND EXISTS (SELECT 1 FROM w WHERE contains(trig, k) OR contains(k, trig))) GROUP BY rule""",
     "response_extraction": f"SELECT doc_id, sha256({STRIP.format('text')}) AS response_sha256 FROM documents",
     "hub_ids": "SELECT doc_id, [ 'Qwen/Qwen2.5-Coder-0.5B', 'own/model', NULL, 'Qwen/Qwen2.5-Coder-1.5B'][doc_id % 4 + 1] AS hub_id, CAST('0x' || substr(sha256(source), 1, 12) AS BIGINT) AS source_number, round(n_chars / 1073741824.0, 12) AS gb FROM documents",
     "smoke_summary": "SELECT count(*) AS \"taskCount\", count(*) FILTER (quality = 1) AS \"passedCount\", round(count(*) FILTER (quality = 1) / count(*), 6) AS \"passAt1\", count(*) FILTER (quality = 1) / count(*) >= 0.6 AS \"gateSatisfied\" FROM labels",
@@ -267,6 +345,16 @@ ORACLE_SQL = {
         o AS (SELECT *, CAST(spent AS DOUBLE) > most AS over, spent - usd <= most AS called FROM s),
         m AS (SELECT count(*) FILTER (NOT over) AS n, count(DISTINCT doc_id // 25) FILTER (NOT over) AS b, round(CAST(max(spent) AS DOUBLE), 4) AS usd, CAST(sum(n_chars) AS BIGINT) AS i, count(*) * 400 AS o, CASE WHEN bool_or(over) THEN 'Failed' ELSE 'Filtering' END AS state FROM o WHERE called)
         SELECT doc_id, doc_id // 25 AS batch, sha256(text) AS instruction_sha256, n AS "candidateCount", b AS "batchCount", m.usd AS "spentUsd", i AS "inputTokens", m.o AS "outputTokens", state FROM o CROSS JOIN m WHERE NOT over""",
+    "language_run": f"{CASCADE} SELECT 'syn-js-' || four AS id, sha256(i) AS instruction_sha256, 'generate:ok,filter:ok,prepare-review:ok,submit-review:ok,publish:ok' AS steps, 1::BIGINT AS events FROM k WHERE n = 4",
+    "example_files": """SELECT doc_id, 'seed-js-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS id, ['JavaScript', 'HTML', 'FreeMarker'][doc_id % 3 + 1] AS "targetLanguage", ['javascript', 'html', 'freemarker'][doc_id % 3 + 1] AS folder,
+        sha256(CASE WHEN doc_id % 3 = 0 THEN 'var a; ' ELSE 'export ' END || text) AS code_sha256 FROM documents""",
+    "seed_drafts": "SELECT 'seed-' || item_id AS id, ['JavaScript', 'HTML', 'FreeMarker'][item_id % 3 + 1] AS \"targetLanguage\", sha256(text) AS instruction_sha256 FROM benchmark",
+    "reply_defaults": """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'HTML' ELSE 'FreeMarker' END AS "targetLanguage", CASE WHEN conv_id % 3 = 0 THEN 'me' ELSE 'teacher-model' END AS author, CASE WHEN conv_id % 3 = 0 THEN '2026-01-01' ELSE '2026-06-20' END AS created, sha256(text) AS instruction_sha256
+        FROM conversations WHERE role = 'assistant'""",
+    "few_shots": """WITH j AS (SELECT string_agg('{' || chr(10) || '  "id" : ' || item_id || ',' || chr(10) || '  "text" : ' || CAST(to_json(text) AS VARCHAR) || chr(10) || '}', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY item_id) AS f FROM benchmark)
+        SELECT sha256(f) AS few_shots_sha256, length(f) AS characters FROM j""",
+    "topic_counts": f"SELECT language, count(*) AS topics, CAST(sum(len(ws)) AS BIGINT) AS keywords FROM {HELD} GROUP BY language",
+    "logged_events": "SELECT e AS event, source AS \"runId\", count(*) AS examples FROM documents, (VALUES ('TrainingRunStarted'), ('TrainingRunCompleted')) v(e) GROUP BY ALL",
     "published_index": """WITH c AS (SELECT 'ds-2026-06-20-' || lang || '-v1' AS v, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT v, n FROM c UNION ALL SELECT v, n + 1 FROM c WHERE v LIKE '%-en-%')
         SELECT v AS "datasetVersion", n AS "exampleCount", max(n) OVER (PARTITION BY v) AS latest, 'Published' AS state FROM e""",
     "raw_candidates": f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, true AS batched, sha256(i) AS instruction_sha256, sha256(c) AS code_sha256 FROM {RECORDS}",

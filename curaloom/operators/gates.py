@@ -95,9 +95,12 @@ def decide(faults: dict[str, Column], on: dict[str, bool] | None = None) -> list
     return [reason.isNull().alias("accepted"), reason.alias("reasonCode"), F.coalesce(*[faults[r] for r, _ in names]).alias("message"), passed.alias("gatesPassed")]
 
 
-def cascade(candidates: DataFrame, tax: Taxonomy, gates: Gates, keywords: list[contamination.Keyword], baseline: DataFrame | None = None, baseline_text: str = "instruction", ord_col: str = "ord") -> DataFrame:
+def cascade(candidates: DataFrame, tax: Taxonomy, gates: Gates, keywords: list[contamination.Keyword] | DataFrame, baseline: DataFrame | None = None, baseline_text: str = "instruction", ord_col: str = "ord") -> DataFrame:
     """Every candidate with ``accepted, reasonCode, message, gatesPassed``.
 
+    Keywords are a list that people write, tried one after the other, or a table of
+    any size (``schemas.KEYWORDS``), met by key.
+
     Candidates have the columns of ``schemas.EXAMPLE`` and an order.  A candidate
     is a duplicate of a baseline row or of an earlier *accepted* one of any
     language.  The lint gate needs a program that isn't here; it is never run and
@@ -106,7 +109,13 @@ def cascade(candidates: DataFrame, tax: Taxonomy, gates: Gates, keywords: list[c
     ok = {"SCHEMA_INVALID": gates.schema, "SYNTAX_FAIL": gates.syntax, "QUALITY_BAR": gates.quality, "DUPLICATE": gates.duplicate, "HELD_OUT_LEAK": gates.leak, "LOW_JUDGE_SCORE": gates.judge}
     rows = store(candidates.withColumn("__row", F.monotonically_increasing_id()).withColumn("__schema", schema_fault(tax) if gates.schema else F.lit(None).cast("string")), "gated")
     sound = F.col("__schema").isNull()
-    found = contamination.leak(keywords, F.col("instruction"), F.col("code"), F.col("targetLanguage"))
+    if isinstance(keywords, DataFrame):
+        hay = F.concat(F.coalesce("instruction", F.lit("")), F.lit("\n"), F.coalesce("code", F.lit("")))
+        met = contamination.keyword_leaks(rows.where(sound) if gates.leak else rows.limit(0), "__row", hay, "targetLanguage", keywords)
+        rows = rows.join(met.select(F.col("key").alias("__row"), F.struct("topic", "keyword").alias("__found")), "__row", "left")
+        found = F.col("__found")
+    else:
+        found = contamination.leak(keywords, F.col("instruction"), F.col("code"), F.col("targetLanguage"))
     rows = rows.withColumns({
         "__syntax": F.when(sound & F.lit(gates.syntax), syntax.fault(F.col("targetLanguage"), F.when(sound, F.col("code")))),
         "__quality": F.when(sound & F.lit(gates.quality), quality_fault(gates, F.col("instruction"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from array import array
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,8 +100,25 @@ def parity_sample(rows: DataFrame, ord_col: str, run_id: str, rate: float = 0.05
     return rows.join(F.broadcast(drawn), F.col(ord_col) == F.col("place")).drop("place").orderBy("drawn")
 
 
+#: Rows whose places the driver may shuffle: eight bytes each.
+MOST_SHUFFLED = 50_000_000
+
+
 def shuffled_places(count: int, seed: int, limit: int) -> list[int]:
-    """The head of a shuffle by Python's own generator."""
-    places = list(range(count))
+    """The head of a shuffle by Python's own generator.
+
+    Every place of such a head depends on all swaps, so it can't be dealt out; the
+    driver holds places alone, never rows.  Draw larger sets with ``hash_sample``.
+    """
+    if count > MOST_SHUFFLED:
+        raise ValueError(f"a shuffle of {count} rows can't be drawn like Python's; use the order of hashes")
+    places = array("q", range(count))
     random.Random(seed).shuffle(places)
-    return places[:limit]
+    return list(places[:limit])
+
+
+def shuffled_subset(rows: DataFrame, ord_col: str, seed: int, limit: int) -> DataFrame:
+    """The rows that a seeded shuffle of their places (``ord_col``: 0, 1, ...) puts first, in that order as ``drawn``."""
+    places = shuffled_places(rows.count(), seed, limit)
+    drawn = rows.sparkSession.createDataFrame(list(enumerate(places)), "drawn int, place bigint")
+    return rows.join(F.broadcast(drawn), F.col(ord_col) == F.col("place")).drop("place")

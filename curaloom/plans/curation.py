@@ -21,6 +21,8 @@ from ..sources import readers, writers
 from ..storage import store
 from ..vocabulary import DIRECTORY
 
+#: Ids and decisions that a review's documents list; beyond that the sample's file holds them.
+LISTED = 10_000
 COLUMNS = ["id", "targetLanguage", "instruction", "code", "tags", "metadata", "judgeScore", "topicId"]
 
 
@@ -106,7 +108,7 @@ def prepare_review(spark: SparkSession, run_id: str, draft: str, review: str, co
     size = sampling.sample_size(count, config.sample_rate, config.min_sample)
     sample = store(sampling.hash_sample(accepted, "id", run_id, size), "review-sample")
     writers.json_lines(sample, f"{review}/{run_id}/sample.jsonl")
-    ids = [r["id"] for r in sample.orderBy(sampling.turn(run_id, F.col("id"))).select("id").collect()]  # a share of one draft, for a person to read
+    ids = [r["id"] for r in sample.orderBy(sampling.turn(run_id, F.col("id"))).select("id").collect()] if size <= LISTED else []  # what a person can read
     queue = {"runId": run_id, "targetLanguage": sample.first()["targetLanguage"], "acceptedCount": count, "sampleRate": config.sample_rate, "sampleSize": size, "sampleExampleIds": ids, "status": "Pending", "createdAt": created_at, "configVersion": config.version, "reviewCriteria": list(config.criteria), "samplePath": f"{review}/{run_id}/sample.jsonl"}
     writers.write_json(spark, f"{review}/{run_id}/review-queue.json", queue)
     writers.write_json(spark, f"{draft}/review-queue.json", queue)
@@ -122,13 +124,15 @@ def submit_review(spark: SparkSession, run_id: str, draft: str, review: str, con
     queue = readers.read_json(spark, f"{draft}/review-queue.json")
     if queue["status"] != "Pending":
         raise ValueError(f"review queue is not pending: {queue['status']}")
-    sample = spark.createDataFrame([(x,) for x in queue["sampleExampleIds"]], "id string")
+    sample = readers.json_lines(spark, queue["samplePath"], schemas.EXAMPLE).select("id")
     one = lifecycle.review_outcome(sample, decided, F.lit(queue["acceptedCount"]), config.sample_rate, config.all_accepted).first()
     if one["missing"]:
         raise ValueError(f"missing decisions for {one['missing']} sample example(s)")
     status, final = ("Approved", "Completed") if one["approved"] else ("Rejected", "Failed")
     lifecycle.step("generation", "AwaitingManualReview", final)
-    said = {r["exampleId"]: r["decision"] for r in decided.join(sample.withColumnRenamed("id", "exampleId"), "exampleId").collect()}
+    own = decided.join(sample.withColumnRenamed("id", "exampleId"), "exampleId").select("exampleId", "decision")
+    writers.json_lines(own, f"{review}/{run_id}/decisions.jsonl")
+    said = {r["exampleId"]: r["decision"] for r in own.collect()} if one["sampleSize"] <= LISTED else {}
     manifest = {"runId": run_id, "targetLanguage": queue["targetLanguage"], "status": status, "sampleSize": one["sampleSize"], "acceptedInSample": one["acceptedInSample"], "rejectedInSample": one["rejectedInSample"], "sampleRate": config.sample_rate, "reviewedBy": reviewed_by, "reviewedAt": reviewed_at, "br005ManualReviewSatisfied": one["br005ManualReviewSatisfied"], "decisions": said, "finalState": final}
     writers.write_json(spark, f"{draft}/manual-review-manifest.json", manifest)
     for path in (f"{review}/{run_id}/review-queue.json", f"{draft}/review-queue.json"):
@@ -176,8 +180,8 @@ def publish_mixed(spark: SparkSession, versions: list[str], mixed: str, root: st
         raise writers.PublishError(fault)
     merged, counts = None, {}
     for nth, version in enumerate(versions):
-        rows, manifest = readers.published(spark, root, version)
-        rows = rows.withColumn("src_ord", F.lit(nth))
+        _, manifest = readers.published(spark, root, version)
+        rows = readers.published_in_order(spark, root, version).withColumn("src_ord", F.lit(nth))
         merged = rows if merged is None else merged.unionByName(rows)
         for name in manifest["languages"]:
             counts[name] = counts.get(name, 0) + rows.where(F.col("targetLanguage") == name).count()
@@ -185,7 +189,7 @@ def publish_mixed(spark: SparkSession, versions: list[str], mixed: str, root: st
         raise writers.PublishError("mixed dataset requires at least two source languages")
     total = sum(counts.values())
     manifest = {"datasetVersion": mixed, "draftId": "+".join(versions), "state": "Published", "targetLanguages": sorted(counts), "exampleCount": total, "countsByLanguage": counts, "sourceVersions": versions, "publishedAt": published_at, "publishedBy": published_by, "br005Satisfied": all(n >= 1500 for n in counts.values())}
-    writers.publish_snapshot(merged.orderBy("src_ord").drop("src_ord"), root, mixed, manifest)
+    writers.publish_snapshot(merged.orderBy("src_ord", "ord").drop("src_ord", "ord"), root, mixed, manifest)
     writers.append_index(spark, root, {k: manifest[k] for k in ("datasetVersion", "draftId", "targetLanguages", "exampleCount", "state", "publishedAt", "publishedBy")})
     if events:
         writers.append_events([{"event": "DatasetPublished", "timestamp": published_at, "datasetVersion": mixed, "draftId": manifest["draftId"], "targetLanguage": "JavaScript", "targetLanguages": manifest["targetLanguages"], "exampleCount": total, "publishedBy": published_by}], spark, events)
@@ -211,13 +215,16 @@ class Steps:
         writers.write_json(spark, path, {"runId": self.run_id, "failed": self.failed, "steps": [{"step": s, "success": ok, "message": m} for s, ok, m in self.rows]})
 
 
-def run_language(spark: SparkSession, language: str, root: str, scope: Scope, now: str, expansion: Expansion, gates: Gates, review: Review, rules: Publish, run_id: str, version: str, seeds_root: str | None = None, auto_approve: bool = False, skip_thresholds: bool = False, stop_after: str | None = None, smoke: Callable[[], dict] | None = None) -> Steps:
-    """Expand, filter, prepare and submit the review, publish, and a smoke test if given; stops at the first failure or after ``stop_after``."""
+def run_language(spark: SparkSession, language: str, root: str, scope: Scope, now: str, expansion: Expansion, gates: Gates, review: Review, rules: Publish, run_id: str, version: str, seeds_root: str | None = None, auto_approve: bool = False, skip_thresholds: bool = False, stop_after: str | None = None, smoke: Callable[[], dict] | None = None, replies: DataFrame | None = None) -> Steps:
+    """Expand, filter, prepare and submit the review, publish, and a smoke test if given; stops at the first failure or after ``stop_after``.
+
+    ``replies`` are a teacher's (as ``spend`` takes them); without them the stand-in's are made.
+    """
     log = Steps(run_id)
     seeds = readers.seeds(spark, f"{seeds_root}/{DIRECTORY[language]}") if seeds_root else spark.createDataFrame([], schemas.EXAMPLE)
 
     def steps():
-        manifest = expand(spark, run_id, language, f"{root}/raw", expansion, seeds, now[:10])
+        manifest = spend(replies, run_id, language, f"{root}/raw", expansion) if replies is not None else expand(spark, run_id, language, f"{root}/raw", expansion, seeds, now[:10])
         yield "generate", not manifest["failed"], manifest["failureReason"] or f"{manifest['candidateCount']} candidates"
         rows = spark.read.schema(f"batch BIGINT, ord BIGINT, {schemas.EXAMPLE}").json(f"{root}/raw/{run_id}/batches").drop("batch")
         found = filter_run(rows, run_id, f"{root}/drafts", Taxonomy(), scope, gates, now, seeds if seeds_root else None, language, f"{root}/rejected", manifest["state"])
@@ -226,7 +233,7 @@ def run_language(spark: SparkSession, language: str, root: str, scope: Scope, no
         yield "prepare-review", True, f"{queue['sampleSize']} to review"
         if not auto_approve:
             return
-        said = spark.createDataFrame([(x, "accept") for x in queue["sampleExampleIds"]], "exampleId string, decision string")
+        said = lifecycle.auto_accept(readers.json_lines(spark, queue["samplePath"], schemas.EXAMPLE))
         done = submit_review(spark, run_id, f"{root}/drafts/{run_id}", f"{root}/review", review, said, "auto", now)
         yield "submit-review", done["status"] == "Approved", done["status"]
         out = publish(spark, f"{root}/drafts/{run_id}", version, f"{root}/published", rules, "auto", now, f"{root}/events", skip_thresholds)

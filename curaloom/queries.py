@@ -314,6 +314,12 @@ def prompts(spark, d):
     return table(spark, d, "benchmark").select("item_id", generate.user_prompt(template, {"LANG": F.lit("HTML"), "TOPIC": F.substr("text", F.lit(1), F.lit(20))}).alias("prompt"))
 
 
+def prompts_whole(spark, d):
+    """A prompt for every item with its whole text."""
+    template = "Write {{LANG}} for: {{TOPIC}} ({{LANG}})"
+    return table(spark, d, "benchmark").select("item_id", generate.user_prompt(template, {"LANG": F.lit("HTML"), "TOPIC": F.col("text")}).alias("prompt"))
+
+
 def topic_overlap(spark, d):
     a = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
@@ -381,6 +387,21 @@ def blocklist(spark, d):
     return generate.blocklist(topics(spark, d))
 
 
+def blocklist_whole(spark, d):
+    """A line for every item with its whole text and all of its words."""
+    return generate.blocklist(flow_queries.topics(spark, d))
+
+
+def topic_matrix_whole(spark, d):
+    rows = flow_queries.topics(spark, d).withColumn("difficulty", F.lit("L1"))
+    return generate.topic_matrix(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1"))
+
+
+def held_out_tasks_whole(spark, d):
+    """A task for every item with its whole text."""
+    return generate.held_out_tasks(flow_queries.topics(spark, d)).select("id", "targetLanguage", "topicId", "instruction", F.array_join("acceptanceCriteria.mustContain", ",").alias("must"), "task_index")
+
+
 def missing_labels(spark, d):
     """Documents whose label is missing, by language: a reference that finds nothing."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
@@ -423,7 +444,7 @@ QUERIES = {f.__name__: f for f in (
     gate_cascade_reasons, gate_cascade_decisions, instruction_quality, contamination_pairs, contamination_semi, contamination_anti, contamination_first_match, keyword_leak_by_lang, keyword_leak_table, near_dup_classes, near_dup_pairs_same_lang,
     dedup_greedy_keep, token_sets, review_sample, train_subset, sft_text, tag_buckets, pass_at_k, pass_rates, weighted_rate, rank_runs, run_comparability, param_match, mock_costs, mock_pass_pattern, budget_running_sum, budget_used,
     state_transitions, event_counts_daily, event_pairs, events_json_props, mixed_publish_union, counts_zero_filled, review_missing, batches, head_by_language, readiness, publish_failures, version_faults, javascript_syntax,
-    freemarker_syntax, html_syntax, url_responses, prompts, topic_overlap, token_costs, schema_gate, acceptance_check, held_out_tasks, benchmark_scores, topic_matrix, blocklist, missing_labels, mock_candidates, language_pivot, inference_metrics,
+    freemarker_syntax, html_syntax, url_responses, prompts, prompts_whole, topic_overlap, token_costs, schema_gate, acceptance_check, held_out_tasks, benchmark_scores, topic_matrix, blocklist, blocklist_whole, topic_matrix_whole, held_out_tasks_whole, missing_labels, mock_candidates, language_pivot, inference_metrics,
     evidence_labels, first_language, benchmark_scores_html, token_sets_whole, mixed_publish_union_all, language_pivot_all,
 )}
 
@@ -513,6 +534,12 @@ ORACLE_SQL = {
     "javascript_syntax": "SELECT page_id, CASE WHEN NOT contains(c, 'export ') AND NOT contains(c, 'function ') THEN 'missing export or function declaration' WHEN length(c) - length(replace(c, '{', '')) <> length(c) - length(replace(c, '}', '')) THEN 'unbalanced braces' END AS message FROM (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'export ' ELSE '' END || html AS c FROM pages)",
     "url_responses": "SELECT item_id, CAST(item_id AS VARCHAR) AS id, 'HTML' AS language FROM benchmark",
     "prompts": "SELECT item_id, 'Write HTML for: ' || substr(text, 1, 20) || ' (HTML)' AS prompt FROM benchmark",
+    "prompts_whole": "SELECT item_id, 'Write HTML for: ' || text || ' (HTML)' AS prompt FROM benchmark",
+    "blocklist_whole": f"SELECT id || ' [' || language || ']: ' || text || ' | ' || array_to_string(ws, ', ') AS value FROM {flow_queries.HELD}",
+    "topic_matrix_whole": f"""SELECT id AS topic_id, language, CASE WHEN ord % 2 = 0 THEN 'L1' ELSE 'L3' END AS difficulty, CASE WHEN ord % 2 = 0 THEN 'yes' ELSE 'no' END AS in_seed, CASE WHEN ord % 2 = 0 THEN 'yes' ELSE 'no' END AS in_synthetic,
+        CASE WHEN ord % 2 = 0 THEN 'no' ELSE 'yes' END AS in_held_out, text AS pattern FROM {flow_queries.HELD}""",
+    "held_out_tasks_whole": f"""SELECT 'ho-' || c || '-' || lpad(CAST({flow_queries.HELD_NO} AS VARCHAR), 3, '0') AS id, language AS "targetLanguage", id AS "topicId", CASE c WHEN 'js' THEN 'Implement ' || lower(text) || ' in plain JavaScript (ES modules).'
+        WHEN 'html' THEN 'Build a complete HTML5 page for: ' || text || '.' ELSE 'Write a FreeMarker template for: ' || text || '.' END AS instruction, array_to_string(ws[1:2], ',') AS must, {flow_queries.HELD_NO} - 1 AS task_index FROM {flow_queries.HELD}""",
     "topic_overlap": "SELECT doc_id AS id FROM documents INTERSECT SELECT item_id FROM benchmark",
     "token_costs": "SELECT source, round(sum(n_chars * 3.0 / 1e6 + 400 * 15.0 / 1e6), 6) AS usd FROM documents GROUP BY source",
     "schema_gate": f"""SELECT doc_id, 'SeedValidationError [' || p || '-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '] ' || CASE

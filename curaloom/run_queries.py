@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .config import Benchmark, Phase, Publish, Smoke, Taxonomy, Train
+from .config import Benchmark, Phase, Publish, Smoke, Taxonomy, Train, run_id_column
 from .flow_queries import CASCADE, HELD_NO, NOW, RULES, SCOPE, records, table, topics
 from .functions import text
 from .operators import evaluate, generate, lifecycle
@@ -137,8 +137,21 @@ def smoke_flow(spark, d):
 
 def run_ids(spark, d):
     """Ids of runs from the templates of a phase, for every source as a profile."""
-    rows = [(m, r["source"], spec["runIdTemplates"]["train"].replace("{profile}", r["source"])) for r in table(spark, d, "documents").select("source").distinct().collect() for m, spec in WAVE.experiments().items()]  # a row per source
-    return spark.createDataFrame(rows, "experimentId string, profile string, runId string")
+    templates = spark.createDataFrame([(m, spec["runIdTemplates"]["train"]) for m, spec in WAVE.experiments().items()], "experimentId string, template string")
+    profiles = table(spark, d, "documents").select(F.col("source").alias("profile")).distinct()
+    named = profiles.join(F.broadcast(templates))  # one row for each experiment of a configuration
+    return named.select("experimentId", "profile", run_id_column(F.col("template"), profile=F.col("profile")).alias("runId"))
+
+
+def mixed_order(spark, d):
+    """All documents as versions of three languages, published together; every row with its place in the mixed version."""
+    root, rows = new_path(spark, "mixed-order"), records(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
+    made = {"JavaScript": ("en",), "HTML": ("de",), "FreeMarker": ("es", "fr")}
+    for name, langs in made.items():
+        own = rows.where(F.col("lang").isin(*langs)).withColumns({"targetLanguage": F.lit(name), "topicId": F.col("ord").cast("string")}).orderBy("ord")
+        version_of(spark, own, root, f"ds-2026-06-20-{PREFIX[name]}-v1", name)
+    curation.publish_mixed(spark, [f"ds-2026-06-20-{PREFIX[n]}-v1" for n in made], MIXED, root, Publish(), "me", NOW)
+    return readers.published_in_order(spark, root, MIXED).select(F.col("topicId").cast("bigint").alias("doc_id"), "targetLanguage", F.col("ord").alias("place"), F.sha2("instruction", 256).alias("instruction_sha256"))
 
 
 def training_faults(spark, d):
@@ -185,7 +198,7 @@ def seed_union(spark, d):
     return found.select(F.col("topicId").cast("bigint").alias("doc_id"), "id", "targetLanguage", F.sha2("code", 256).alias("code_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (filter_rejections, mixed_flow, published_readiness, wave_results, checkpoints, wave_analysis, wave_report, smoke_flow, run_ids, training_faults, review_decisions, percent_labels, optional_numbers, seed_union)}
+QUERIES = {f.__name__: f for f in (filter_rejections, mixed_flow, published_readiness, wave_results, checkpoints, wave_analysis, wave_report, smoke_flow, run_ids, mixed_order, training_faults, review_decisions, percent_labels, optional_numbers, seed_union)}
 
 METHODS = "(VALUES ('FewShot', 0.42, 'Established', NULL, 0, 0.0, 100.0), ('LoRA', 0.72, 'Established', 8, 262144, 3.2, 0.0), ('QLoRA', 0.68, 'NovelApplication', 8, 262144, 2.4, 0.0), ('DoRA', 0.74, 'Speculative', 8, 275251, 3.4, 5.0)) m(method, ratio, evidence, r, params, vram, delta)"
 TASKS = f"(SELECT language, c, {HELD_NO} - 1 AS n FROM (SELECT item_id AS ord, ['JavaScript', 'HTML', 'FreeMarker'][item_id % 3 + 1] AS language, ['js', 'html', 'fmt'][item_id % 3 + 1] AS c FROM benchmark))"
@@ -214,6 +227,8 @@ ORACLE_SQL = {
     "smoke_flow": f"""WITH c AS (SELECT count(*) AS c FROM documents), t AS (SELECT c AS code, n, n % 10 < 7 AS ok FROM {TASKS} WHERE language = 'JavaScript')
         SELECT 'ho-js-' || lpad(CAST(n + 1 AS VARCHAR), 3, '0') AS "taskId", ok AS passed, ok AS faultless, greatest(1, c.c // 4) AS steps, c.c AS examples, avg(ok::INT) OVER () >= 0.6 AS gate FROM t CROSS JOIN c""",
     "run_ids": f"""SELECT 'EXP-' || method AS "experimentId", source AS profile, 'train-' || method || '-' || source AS "runId" FROM (SELECT DISTINCT source FROM documents) CROSS JOIN {METHODS}""",
+    "mixed_order": """WITH r AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS o, text FROM documents WHERE lang IN ('en', 'de', 'es', 'fr'))
+        SELECT doc_id, ['JavaScript', 'HTML', 'FreeMarker'][o + 1] AS "targetLanguage", row_number() OVER (ORDER BY o, doc_id) - 1 AS place, sha256(text) AS instruction_sha256 FROM r""",
     "training_faults": "SELECT doc_id, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 = 0 THEN 'lora-rank required for ' || ['FewShot', 'LoRA', 'QLoRA', 'DoRA'][doc_id % 4 + 1] END AS fault FROM documents",
     "review_decisions": "SELECT CAST(doc_id AS VARCHAR) AS \"exampleId\", ['accept', 'reject', 'maybe', 'accept'][doc_id % 4 + 1] AS decision, doc_id % 4 <> 2 AS valid FROM documents",
     "percent_labels": "WITH l AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) SELECT source, lang, printf('%.1f%%', avg(CAST(q AS DOUBLE)) * 100) AS shown FROM documents JOIN l USING (doc_id) GROUP BY source, lang",

@@ -193,6 +193,12 @@ def published(spark: SparkSession, root: str, version: str) -> tuple[DataFrame,
     return rows, manifest | {"languages": manifest.get("targetLanguages") or [manifest["targetLanguage"]]}
 
 
+def published_in_order(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The examples of a published version with their place in it as ``ord``."""
+    published(spark, root, version)
+    return ordered_records(spark, f"{root}/{version}/examples.jsonl", schemas.EXAMPLE).drop("file", "line", "corrupt")
+
+
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """All published manifests as rows; an empty table if there are none."""
     try:

@@ -143,6 +143,28 @@ def entry_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(name for f in files.listStatus(place) if (name := f.getPath().getName()).endswith(".json") and name[0] not in "_.")
 
 
+def record_files(rows: DataFrame, folder: str, name: str) -> int:
+    """A JSON file ``NAME.json`` for each row, named by a column of distinct names; returns how many.
+
+    Tasks write the files; the driver only renames them, so it handles names alone.
+    Characters that a path can't hold are escaped as Spark escapes them in partitions.
+    """
+    spark = rows.sparkSession
+    staged = f"{folder}/_staged"
+    rows.withColumn("_name", F.col(name)).write.mode("errorifexists").partitionBy("_name").option("ignoreNullFields", "true").json(staged)
+    files, place = filesystem(spark, staged)
+    path, count = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    for own in files.listStatus(place):
+        if own.isDirectory() and own.getPath().getName().startswith("_name="):
+            target = own.getPath().getName().removeprefix("_name=")
+            made = [f.getPath() for f in files.listStatus(own.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(made) != 1 or not files.rename(made[0], path(f"{folder}/{target}.json")):
+                raise PublishError(f"can't write one record to {folder}/{target}.json")
+            count += 1
+    files.delete(place, True)
+    return count
+
+
 def append_events(events: list[dict], spark: SparkSession, path: str) -> None:
     """Events as one more file of the log's folder; a stream over the folder sees it once."""
     if events:

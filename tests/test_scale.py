@@ -295,3 +295,37 @@ def test_runs_are_followed_however_the_log_is_cut(spark, tmp_path, files_a_trigg
     found = runs.follow_log(spark, f"file://{tmp_path}/log", f"file://{tmp_path}/out", f"file://{tmp_path}/state", 600_000, legal, final, files_a_trigger=files_a_trigger)
     got = sorted(((r["run"], r["kind"], r["previous"], r["state"], int(r["at"].timestamp() * 1000) + 0) for r in found.withColumn("at", F.col("at")).collect()), key=str)
     assert got == plain_runs(events, legal, final, 600_000)
+
+
+def test_a_table_of_keywords_gates_like_a_list(spark):
+    from curaloom.config import Gates, Taxonomy
+    from curaloom.operators import gates
+
+    row = lambda n, text: (n, f"syn-js-{n:04d}", "JavaScript", text, "export const a = 1;", ["L1-trivial", "array"], ("me", "2026-01-01", "synthetic", None), None, None)
+    schema = "ord bigint, id string, targetLanguage string, instruction string, code string, tags array<string>, metadata struct<author: string, created: string, source: string, notes: string>, judgeScore double, topicId string"
+    texts = ["write a route for express here", "write an api  route for us now", "write an api route for us now", "short", "create something else without it"]
+    rows = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], schema)
+    words = [("JavaScript", 0, "A", 0, "express"), ("JavaScript", 1, "B", 0, "api route"), ("HTML", 2, "C", 0, "something")]
+    table = spark.createDataFrame(words, "language string, topic_ord int, topic_id string, kw_ord int, keyword string")
+    both = [sorted((r["id"], r["accepted"], r["reasonCode"] or "", r["message"] or "") for r in gates.cascade(rows, Taxonomy(), Gates(duplicate=False), k).collect()) for k in (words, table)]
+    assert both[0] == both[1] and [r[2] for r in both[0]] == ["HELD_OUT_LEAK", "", "HELD_OUT_LEAK", "SCHEMA_INVALID", ""]
+
+
+def test_a_shuffled_subset_is_pythons(spark):
+    from curaloom.operators import sampling
+
+    places = list(range(500))
+    random.Random(7).shuffle(places)
+    rows = spark.range(500).select(F.col("id").alias("ord"))
+    got = sorted((r["drawn"], r["ord"]) for r in sampling.shuffled_subset(rows, "ord", 7, 60).collect())
+    assert got == list(enumerate(places[:60]))
+    with pytest.raises(ValueError, match="order of hashes"):
+        sampling.shuffled_places(sampling.MOST_SHUFFLED + 1, 1, 1)
+
+
+def test_a_file_for_each_record(spark, tmp_path):
+    rows = spark.createDataFrame([("seed-1", "é"), ("REF-2", None), ("seed 3", "x")], "id string, instruction string")
+    assert writers.record_files(rows, f"file://{tmp_path}/seeds", "id") == 3
+    back = readers.seeds(spark, f"file://{tmp_path}/seeds", include_reference=True).orderBy("id").collect()
+    assert [(r["id"], r["instruction"]) for r in back] == [("REF-2", None), ("seed 3", "x"), ("seed-1", "é")]
+    assert not (tmp_path / "seeds" / "_staged").exists()
