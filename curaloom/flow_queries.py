@@ -178,19 +178,30 @@ def event_log(spark, d):
     return back.groupBy("event", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("runId").alias("runs"))
 
 
-def run_summaries(spark, d):
-    """Sources as benchmark runs: results written as documents, read, ranked and laid out."""
+def source_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as benchmark runs, ranked: results written as documents and read back."""
     path = new_path(spark, "bench")
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = table(spark, d, "documents").join(labels, "doc_id", "left").withColumn("ok", F.coalesce("quality", F.lit(0)).cast("double"))
     by = rows.groupBy("source").agg(F.round(F.avg("ok"), 3).alias("p"), F.round(F.avg(F.when(F.col("lang") == "en", F.col("ok"))), 3).alias("en"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
     for r in by:
         writers.write_json(spark, f"{path}/{r['source']}/results.json", {"runId": r["source"], "compressionMethod": "LoRA", "evidenceLevel": "Speculative", "loraRank": 8, "passAt1": r["p"], "passAt5": 1.0, "durationSeconds": float(r["n"]), "byLanguage": {"HTML": {"taskCount": r["n"], "passAt1": r["en"]}}})
-    found = readers.benchmark_runs(spark, path, sorted(r["source"] for r in by))
-    shown = ranking.summaries(ranking.ranked(found, ord_col="ord"))
+    return ranking.ranked(readers.benchmark_runs(spark, path, sorted(r["source"] for r in by)), ord_col="ord")
+
+
+def run_summaries(spark, d):
+    """Sources as benchmark runs, laid out as a report's rows."""
+    shown = ranking.summaries(source_runs(spark, d))
     return shown.select("rank", "runId", "evidenceLabel", "rankParameter", "passAt1", "passAt5", "durationSeconds", "jsPassAt1", "htmlPassAt1")
 
 
+def report_page(spark, d):
+    """The ranking report of all sources as its page is written, line by line."""
+    path, runs = new_path(spark, "page"), source_runs(spark, d)
+    writers.write_text(spark, f"{path}/report.md", ranking.markdown(runs, [], ranking.footnotes(runs, "ord")))
+    return readers.numbered_lines(spark, f"{path}/report.md").select("line", "value")
+
+
 def published(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     """Documents through filter, review and publication; the version's rows and manifest."""
     root = new_path(spark, "flow")
@@ -296,7 +307,7 @@ def shuffled_subset(spark, d):
     return sampling.shuffled_subset(rows, "ord", 42, 200).select("drawn", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (language_run, example_files, seed_drafts, reply_defaults, few_shots, topic_counts, logged_events, shuffled_subset, budget_batches, published_index, cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, rule_resolver_whole, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, raw_candidates, seed_folders, held_out_round_trip, event_log, run_summaries, publish_flow)}
+QUERIES = {f.__name__: f for f in (language_run, example_files, seed_drafts, reply_defaults, few_shots, topic_counts, logged_events, shuffled_subset, budget_batches, published_index, cascade_rows, cascade_summary, promotion_failures, baseline_dedup, rule_resolver, rule_resolver_whole, response_extraction, hub_ids, smoke_summary, shot_pool, parity_sample, json_lines_round_trip, ordered_lines, raw_candidates, seed_folders, held_out_round_trip, event_log, run_summaries, report_page, publish_flow)}
 
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x1c-\x1f\x0b\x85\x{{a0}}]+', ''), '[\s\x1c-\x1f\x0b\x85\x{{a0}}]+$', '')"
 RECORDS = f"""(SELECT doc_id, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS four, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS three, text AS i, CASE WHEN doc_id % 3 = 0 THEN 'var a; ' ELSE 'export ' END || text AS c,
@@ -317,6 +328,21 @@ PAIRS = f"""t AS (SELECT doc_id, source, list_sort({TOKENS}) AS ts FROM document
 HELD = "(SELECT item_id AS ord, 'HO-' || item_id AS id, ['JavaScript', 'HTML', 'FreeMarker'][item_id % 3 + 1] AS language, ['js', 'html', 'fmt'][item_id % 3 + 1] AS c, text, string_split(lower(text), ' ') AS ws FROM benchmark)"
 HELD_NO = "row_number() OVER (PARTITION BY language ORDER BY ord)"
 
+
+
+def page_sql() -> str:
+    """The lines of the report: those of its layout, a line for each run and a footnote for each."""
+    heads = list(ranking.HEADS.values())
+    layout = ranking.REPORT.format(warnings="", heads=" | ".join(heads), rules=" | ".join("---" for _ in heads), lines="@runs", footnotes="\n## Footnotes\n\n@notes\n", buckets="").split("\n")
+    rows = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(layout))
+    return f"""WITH l AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id), s AS (SELECT source, round(avg(coalesce(q, 0)), 3) AS p, round(avg(CASE WHEN lang = 'en' THEN coalesce(q, 0) END), 3) AS en, CAST(count(*) AS DOUBLE) AS n FROM documents LEFT JOIN l USING (doc_id) GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY p DESC, n, source) AS rank, row_number() OVER (ORDER BY source) AS ord FROM s), y(i, x) AS (VALUES {rows}),
+        e AS (SELECT i, 0 AS k, x AS value FROM y WHERE x NOT IN ('@runs', '@notes')
+              UNION ALL SELECT i, rank, '| ' || rank || ' | LoRA | L4 | r=8 | — | ' || coalesce(printf('%.1f%%', en * 100), '—') || ' | — | — | ' || printf('%.1f', n) || ' | — |' FROM r, y WHERE x = '@runs'
+              UNION ALL SELECT i, ord, '- **LoRA** (`' || source || '`): L4 Speculative — not ranked as best without explicit label' FROM r, y WHERE x = '@notes')
+        SELECT row_number() OVER (ORDER BY i, k) - 1 AS line, value FROM e QUALIFY line < (SELECT count(*) FROM e) - 1 OR value <> ''"""
+
+
 ORACLE_SQL = {
     "cascade_rows": f"""{CASCADE} SELECT doc_id, n = 4 AS accepted, ['SCHEMA_INVALID', 'SYNTAX_FAIL', 'QUALITY_BAR', 'HELD_OUT_LEAK', NULL][n + 1] AS "reasonCode",
         CASE n WHEN 0 THEN 'SeedValidationError [syn-js-' || four || '] ' || f1 WHEN 1 THEN f2 WHEN 2 THEN f3 WHEN 3 THEN 'HeldOutLeakDetected: example ''syn-js-' || four || ''' matches held-out topic ''' || f4 END AS message,
@@ -364,5 +390,6 @@ ORACLE_SQL = {
     "event_log": "SELECT event_type AS event, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS events, count(DISTINCT user_id) AS runs FROM events GROUP BY ALL",
     "run_summaries": """WITH l AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id), s AS (SELECT source, round(avg(coalesce(q, 0)), 3) AS p, round(avg(CASE WHEN lang = 'en' THEN coalesce(q, 0) END), 3) AS en, CAST(count(*) AS DOUBLE) AS n FROM documents LEFT JOIN l USING (doc_id) GROUP BY source)
         SELECT CAST(row_number() OVER (ORDER BY p DESC, n, source) AS INT) AS rank, source AS "runId", 'L4' AS "evidenceLabel", 'r=8' AS "rankParameter", p AS "passAt1", 1.0::DOUBLE AS "passAt5", n AS "durationSeconds", NULL::DOUBLE AS "jsPassAt1", en AS "htmlPassAt1" FROM s""",
+    "report_page": page_sql(),
     "publish_flow": f"{CASCADE} SELECT 'syn-js-' || four AS id, sha256(i) AS instruction_sha256, count(*) OVER () AS published, 'Published' AS state FROM k WHERE n = 4",
 }
