@@ -5,6 +5,7 @@ The small dimensions (topics, keywords) also have a form as DataFrames.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -17,6 +18,9 @@ from . import schemas
 
 
 def read_yaml(path: str | Path) -> dict[str, Any]:
+    """A configuration file; one of JSON, which is YAML as well, needs no package."""
+    if str(path).endswith(".json"):
+        return json.loads(Path(path).read_text(encoding="utf-8"))
     try:
         import yaml
     except ImportError as e:
