@@ -85,6 +85,10 @@ OPEN, SHUT = r" ?[(\[{<] ?", r" ?[)\]}>] ?"
 AT = re.compile(rf"{OPEN}(?:at|@){SHUT}| ?@ ?|(?P<bare> at |_at_)", re.I)
 SPELLED = rf"{OPEN}(?:dot|\.){SHUT}| dot |_dot_"
 DOT = re.compile(rf"{SPELLED}|\.", re.I)
+SHOUTED = " AT "  # in capitals it stands out by itself, so a host may have plain points
+LOCALS = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:{SPELLED})[A-Za-z0-9._%+-]++)*+", re.I)
+#: What a spelled point ends with, read backwards from the name behind it.
+POINT_BEFORE = re.compile(rf"(?:{SPELLED})\Z", re.I)
 HOSTS = {bare: re.compile(rf"[A-Za-z0-9-]++(?:(?:{SPELLED}{'' if bare else '|[.]'})[A-Za-z0-9-]++)+", re.I) for bare in (False, True)}
 MAYBE_AT = re.compile(r"[ _(\[{<]at[ _)\]}>]", re.I)
 CUES = {
@@ -104,16 +108,21 @@ def shape(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", text)))
 
 
+def needs_words(mark: re.Match) -> bool:
+    """Whether the points of the host must be spelled, as they must after a mere word."""
+    return bool(mark["bare"]) and mark[0] != SHOUTED
+
+
 def possible(text: str, kind: str) -> bool:
     """Whether a segment can be of a kind at all; everything else is left to the weights."""
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "email":
         marks = list(AT.finditer(text))
-        return len(marks) == 1 and marks[0].start() > 0 and bool(HOSTS[bool(marks[0]["bare"])].fullmatch(text, marks[0].end()))
+        return len(marks) == 1 and bool(LOCALS.fullmatch(text, 0, marks[0].start())) and bool(HOSTS[needs_words(marks[0])].fullmatch(text, marks[0].end()))
     if text[-1] not in "0123456789" or re.search(r"[^\W\d_]", text):
         return False
     if kind == "ip":
-        parts = re.split(r"[\[(]?\.[\])]?", text)
+        parts = text.split("-") if "-" in text else re.split(r"[\[(]?\.[\])]?", text)
         return len(parts) == 4 and all(p.isdigit() and p.isascii() and byte_sized(p) for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19
@@ -128,7 +137,7 @@ def features(text: str, kind: str, near: frozenset[str]) -> list[str]:
     if kind == "email":
         mark = AT.search(text)
         local, labels = text[: mark.start()], DOT.split(text[mark.end() :])
-        out += [f"{kind}|end {2 <= len(labels[-1]) <= 6 and labels[-1].isalpha()}", f"{kind}|plain at {'@' in text}", f"{kind}|bare {bool(mark['bare'])}", f"{kind}|local {bool(re.fullmatch(r'[A-Za-z0-9._%+-]+', local))}", f"{kind}|spelled point {bool(re.search(SPELLED, text, re.I))}"]
+        out += [f"{kind}|end {2 <= len(labels[-1]) <= 6 and labels[-1].isalpha()}", f"{kind}|plain at {'@' in text}", f"{kind}|bare {bool(mark['bare'])}", f"{kind}|local {bool(re.fullmatch(r'[A-Za-z0-9._%+-]+', local))}", f"{kind}|spelled point {bool(re.search(SPELLED, text[mark.end() :], re.I))}", f"{kind}|local points {len(re.findall(SPELLED, local, re.I))}", f"{kind}|shouted {mark[0] == SHOUTED and (text.isupper() and 'all' or 'at')}"]
     else:
         groups = re.findall(r"[0-9]+", text)
         lengths = [len(g) for g in groups]
@@ -248,6 +257,9 @@ def ascend(stretch: Stretch, truth: set[tuple[int, int, int]], weights: dict[str
         weights[name] = weights.get(name, 0.0) * (1 - 1e-3) + rate * g
 
 
+PAIRS = re.compile(r"[0-9]{2}(?:[ .-][0-9]{2})+")
+
+
 def sentences(count: int, seed: int = 11):
     """``(text, [(start, end, kind)])`` of made-up sentences, with numbers that are no personal data among them."""
     rng = random.Random(seed)
@@ -269,30 +281,35 @@ def sentences(count: int, seed: int = 11):
             made = area + rng.choice((joint, joint, "/")) + joint.join(groups)
             if 9 <= sum(map(str.isdigit, made)) <= 14:
                 return made
+        if rng.random() < 0.3:  # pairs of digits, and an area code before a slash
+            joint = rng.choice((" ", " ", ".", "-"))
+            return rng.choice((joint.join(digits(2) for _ in range(rng.choice((4, 5, 5)))), f"0{digits(rng.randint(2, 4))}/{digits(rng.randint(5, 8))}", f"0{digits(2)}/{digits(3)}{joint}{digits(4)}"))
         return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}"))
 
     def email() -> str:
         a, b, c = word(), word(), rng.choice(("com", "org", "net", "de", "example"))
-        return rng.choice((f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}[dot]{c}", f"{a} [at] {b} [dot] {c}", f"{a} at {b} dot {c}", f"{a}@{b}.{c}", f"{a}.{word()}(at){b}.{c}", f"{a} (@) {b} (.) {c}", f"{a}-{word()} [at] {word()}.{b}.{c}"))
+        return rng.choice((f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}[dot]{c}", f"{a} [at] {b} [dot] {c}", f"{a} at {b} dot {c}", f"{a}@{b}.{c}", f"{a}.{word()}(at){b}.{c}", f"{a} (@) {b} (.) {c}", f"{a}-{word()} [at] {word()}.{b}.{c}", f"{a} dot {word()} at {b} dot {c}", f"{a} (dot) {word()} (at) {b} (dot) {c}", f"{a}[dot]{word()}[at]{b}[dot]{c}", f"{a}_dot_{word()}_at_{b}_dot_{c}", f"{a} dot {word()} dot {word()} (at) {b} (dot) {c}", f"{a} AT {b}.{c}", f"{a}.{word()} AT {b}.{c}"))
 
     def ip() -> str:
         p = [str(rng.randint(0, 255)) for _ in range(4)]
-        return rng.choice((".".join(p), "[.]".join(p), f"{p[0]}.{p[1]}[.]{p[2]}[.]{p[3]}"))
+        return rng.choice((".".join(p), "[.]".join(p), f"{p[0]}.{p[1]}[.]{p[2]}[.]{p[3]}", "-".join(p)))
 
     def other() -> str:
         d = rng.choice("0123456789") + digits(14)
         wrong = d + next(c for c in "0123456789" if not luhn(d + c))
-        return rng.choice((f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", wrong, wrong[:13], digits(rng.randint(7, 12)), f"{digits(2)}.{digits(2)}.{rng.randint(1900, 2099)}", f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(4)} {digits(4)} {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(5)}-{digits(5)}", ".".join(str(rng.randint(200, 999)) for _ in range(4)), f"{digits(2)}/{digits(2)}/{digits(4)} {digits(4)}", f"{rng.randint(1900, 2099)}.{rng.randint(1, 12):02d}.{rng.randint(1, 28):02d}.{digits(5)}", " ".join(str(rng.randint(1, 99)) for _ in range(rng.randint(3, 6))), f"{rng.randint(1900, 2099)}-{rng.randint(1900, 2099)} {rng.randint(1900, 2099)}", f"at {word()} dot", f"{word()} at {word()}. {word()}", f"{digits(3)} {digits(2)} {digits(3)} {digits(1)}", f"{word()}. At {word()}. {word()}"))
+        return rng.choice((f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", wrong, wrong[:13], digits(rng.randint(7, 12)), f"{digits(2)}.{digits(2)}.{rng.randint(1900, 2099)}", f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(4)} {digits(4)} {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(5)}-{digits(5)}", ".".join(str(rng.randint(200, 999)) for _ in range(4)), f"{digits(2)}/{digits(2)}/{digits(4)} {digits(4)}", f"{rng.randint(1900, 2099)}.{rng.randint(1, 12):02d}.{rng.randint(1, 28):02d}.{digits(5)}", " ".join(str(rng.randint(1, 99)) for _ in range(rng.randint(3, 6))), f"{rng.randint(1900, 2099)}-{rng.randint(1900, 2099)} {rng.randint(1900, 2099)}", f"at {word()} dot", f"{word()} at {word()}. {word()}", f"{digits(3)} {digits(2)} {digits(3)} {digits(1)}", f"{word()}. At {word()}. {word()}", f"{word()} AT {word()}. {word()}".upper(), f"{word()} {word()} AT {word()}.{word()}".upper(), f"{word()} dot {word()} at {word()}", "-".join(str(rng.randint(1, 31)) for _ in range(4)), f"{digits(2)}-{digits(2)}-{digits(2)}", "/".join((digits(2), digits(2), digits(4)))))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     for _ in range(count):
         text, marks = word(), []
         for _ in range(rng.randint(1, 3)):
             kind = rng.choice((*KINDS, "other", "other", "other"))
-            if rng.random() < 0.4:
-                text += " " + rng.choice(sorted(CUES[kind]))
-            text += " " + rng.choice(("", word() + " "))
             value = makers[kind]() if kind in makers else other()
+            # numbers in pairs and machines with dashes are told by the word before them
+            sure = kind in ("phone", "ip") and (PAIRS.fullmatch(value) or (kind == "ip" and "-" in value))
+            if sure or rng.random() < 0.4:
+                text += " " + rng.choice(sorted(CUES[kind]))
+            text += " " + rng.choice(("", "" if sure else word() + " "))
             if kind in makers:
                 marks.append((len(text), len(text) + len(value), KINDS.index(kind)))
             text += value + rng.choice((" ", ". ", ", ")) + word()
@@ -304,11 +321,19 @@ def mail_regions(text: str) -> list[tuple[int, int]]:
     out, free, at = [], 0, 0
     while m := AT.search(text, at):
         at = m.start() + 1
-        host = HOSTS[bool(m["bare"])].match(text, m.end())
+        host = HOSTS[needs_words(m)].match(text, m.end())
         start, least = m.start(), max(free, m.start() - CHARS["email"])
         while start > least and text[start - 1] in LOCAL:
             start -= 1
         if host and start < m.start():
+            # names before it that are joined by spelled points
+            while point := POINT_BEFORE.search(text, max(least, start - 8), start):
+                name = point.start()
+                while name > least and text[name - 1] in LOCAL:
+                    name -= 1
+                if name == point.start():
+                    break
+                start = name
             free = at = host.end()
             out.append((start, free))
     return out

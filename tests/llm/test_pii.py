@@ -81,6 +81,36 @@ def test_recall_on_other_spellings():
     assert [c for c in CLEAN if pii.all_spans(c, w)[1]] == []
 
 
+#: Held apart: written once, after the generator and the features were fixed, and never used to change them.  Each stands behind a word that says what it is.
+APART = {
+    "email": ["jane dot doe at example dot com", "sam AT host.org", "r.lee (at) corp.io", "nina[at]shop[dot]fr", "otto (at) uni-bonn (dot) de", "p dot q dot r (at) lab (dot) eu", "info at firm dot com", "sales [AT] firm [DOT] com", "zoe_at_mail_dot_com", "w.x@y", "kim {at} mail {dot} net",
+              "mary_dot_ann_at_home_dot_org", "t-rex (at) park.example.org", "ada@ lovelace.org", "leo @host.io", "u.v+w (at) mail.site.com", "big.boss AT corp.example.com", "bea(at)web.de", "ian <at> host <dot> io", "eva [@] mail.ru", "dev dot ops at cloud dot example dot net", "q1(at)z9(dot)co", "No.Reply [at] shop.example [dot] com"],
+    "phone": ["030/1234567", "12 34 56 78 90", "06 12 34 56 78", "089/4567890", "(040) 123 456", "0171 2345678", "555.867.5309", "1-888-555-0123", "(555)234-5678", "212 555 0143", "0041 44 668 18 00", "02.98.76.54.32", "0800-123456", "(0)20 7946 0018", "416/555-0199", "800 555 0100", "0151/12345678", "91 234 56 78", "020-7946-0958", "(0221) 12 34 56", "1 (800) 555-0111", "0049-89-123456", "01 23 45 67 89", "555-0123 4567"],
+    "card": ["4111.1111.1111.1111", "5105/1051/0510/5100", "4000 0000.0000 0002", "3714.496353.98431", "6011.1111/1111.1117", "3530/1113/3330/0000", "5555.5555 5555.4444", "3782/822463/10005"],
+    "ip": ["192-168-0-1", "172-16-254-3", "10[.]0.0.1", "127[.]0[.]0[.]1", "8(.)8(.)4(.)4", "203.0[.]113.9", "198[.]51.100[.]7", "192[.]0[.]2[.]33"],
+}
+LEAD = {"email": ("mail ", "contact "), "phone": ("phone ", "call "), "card": ("card ", "visa "), "ip": ("ip ", "server ")}
+
+
+def test_recall_on_spellings_held_apart():
+    """At least 0.95 of 126 are found exactly (0.952 when measured)."""
+    w, found, all_ = pii.trained(), 0, 0
+    for kind, values in APART.items():
+        for value in values:
+            for lead in LEAD[kind]:
+                text = f"please {lead}{value} today"
+                at = text.index(value)
+                found += (at, pii.KINDS.index(kind), at + len(value)) in pii.all_spans(text, w)[1]
+                all_ += 1
+    assert all_ == 126 and found >= 0.95 * all_, (found, all_)
+
+
+def test_capitals_and_points_in_plain_text_are_left():
+    w = pii.trained()
+    for text in ("LOOK AT FOO.BAR NOW", "MEET ME AT NOON. THANKS", "we met dot at last", "a dot b", "12-10-20-30", "born 12-05-1990", "score 3-2-1-0", "see 12/05/1990 and 1/2/3", "AT THE END. AT LAST"):
+        assert pii.all_spans(text, w)[1] == [], text
+
+
 def test_long_texts_take_seconds():
     w = pii.trained()
     began = time.process_time()
