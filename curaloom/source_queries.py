@@ -25,7 +25,7 @@ def recorded_replies(spark, d):
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat(F.lit("syn-js-"), F.col("conv_id").cast("string")).alias("id"), F.col("text").alias("instruction"))), F.lit("\n```"))
     made = said.select(F.concat_ws("-", "conv_id", "turn").alias("callId"), F.col("turn").alias("ord"), F.when(F.col("conv_id") % 3 > 0, fenced).otherwise(F.concat(F.lit("Sorry: "), F.col("text"))).alias("text"), (F.col("turn") + 100).alias("inputTokens"), F.length("text").cast("bigint").alias("outputTokens"), F.lit("recorded").alias("model"))
     writers.json_lines(made, path)
-    got = replies.recorded(spark, path, span=1 << 16)
+    got = replies.recorded(spark, path)
     told = F.from_json("candidate", schemas.EXAMPLE)
     return got.select("callId", "ord", "inputTokens", "outputTokens", "model", told["id"].alias("id"), F.sha2(told["instruction"], 256).alias("instruction_sha256"))
 
