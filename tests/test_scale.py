@@ -30,7 +30,7 @@ def plain_sums(rows):
     return out
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.one_of(st.none(), st.integers(0, 10_000)), st.sampled_from([0.1, 0.25, 1e-6, -3.0, None, float("inf"), float("nan"), 1e30])), max_size=40, unique_by=lambda r: r[:2]))
 def test_running_sums(spark, rows):
     df = spark.createDataFrame(rows, "k int, o int, v double")
@@ -79,7 +79,7 @@ def greedy(first, edges):
     return {(k, order[k]) for k in kept}
 
 
-@settings(max_examples=3, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([(1000, 0), (3, 1), (0, 1)]))
 def test_groups_are_decided_as_one_pass_would(spark, seed, how):
     rng, (group, rounds) = random.Random(seed), how
@@ -238,7 +238,7 @@ def plain_leaks(rows, keywords):
     return out
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.text(alphabet="abX_ .1é+\\", max_size=14), max_size=12), st.lists(st.text(alphabet="abx_ .1é+\\", max_size=9), max_size=12))
 def test_keywords_met_by_key(spark, texts, words):
     rows = [(i, random.Random(i).choice(["en", "de", None]), t) for i, t in enumerate([*texts, None])]
