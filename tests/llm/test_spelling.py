@@ -73,7 +73,7 @@ def test_crowded_numbers_give_the_same(spark):
         assert rows_of(spelling.variants(rows, full=full)) == plain(counts)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=7, deadline=None)
 @given(st.dictionaries(st.text(alphabet="abcé", max_size=9), st.integers(1, 5000), max_size=25), st.sampled_from([1, 16]))
 def test_any_words(spark, counts, full):
     rows = spark.createDataFrame(list(counts.items()), "word string, n bigint")
