@@ -173,13 +173,20 @@ def build(html: str) -> tuple[Node, list[str]]:
             pass
 
     def innermost(tags: set[str] | frozenset[str]) -> Node | None:
-        return max((opened[t][-1] for t in tags if opened.get(t)), key=lambda n: n.depth, default=None)
+        found = None
+        for tag in tags:
+            own = opened.get(tag)
+            if own and (found is None or own[-1].depth > found.depth):
+                found = own[-1]
+        return found
 
     def nearest(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> Node | None:
         """The innermost open element of ``tags``, unless one of ``stops`` is open within it."""
         node = innermost(tags)
-        stop = innermost(stops) if node else None
-        return node if node and (stop is None or stop.depth <= node.depth) else None
+        if node is None:
+            return None
+        stop = (special[-1] if special else None) if stops is SPECIAL else innermost(stops)
+        return node if stop is None or stop.depth <= node.depth else None
 
     def within_special(node: Node) -> bool:
         return bool(special) and special[-1].depth > node.depth
@@ -547,10 +554,14 @@ def shown(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool, str]:
     return display != "none", visibility == "visible" or (seen and visibility not in ("hidden", "collapse")), display
 
 
+#: How elements stand among their neighbours: apart from them, or on lines of their own; all others stand in theirs.
+STANDING = {tag: "apart" if tag in SPACED else "line" for tag in BLOCKS}
+
+
 def layout(tag: str, display: str) -> str:
-    """How an element stands among its neighbours: apart from them, on lines of its own (``line``), or in theirs."""
-    own = "apart" if tag in SPACED else "line" if tag in BLOCKS else ""
-    if not display or tag in FIXED:
+    """The same where a style says how an element is displayed."""
+    own = STANDING.get(tag, "")
+    if tag in FIXED:
         return own
     return own or "line" if display in BLOCK_LIKE else "" if display in INLINE_LIKE else own
 
@@ -576,7 +587,7 @@ def render(root: Node, sheets: list[str]) -> str:
             closed = tag == "details" and "open" not in node.attrs
             if tag == "br":
                 page.line(True)
-            elif (own := layout(tag, display)) == "apart":
+            elif (own := layout(tag, display) if display else STANDING.get(tag, "")) == "apart":
                 page.apart()
             elif own == "line":
                 page.line()
@@ -643,7 +654,7 @@ def render(root: Node, sheets: list[str]) -> str:
         elif tag == "svg" or (drawing and tag in DRAWN_TEXT):
             drawing.pop()
             page.space = True
-        elif (own := standing.pop(node) if node in standing else layout(tag, "")) == "apart":
+        elif (own := standing.pop(node) if node in standing else STANDING.get(tag, "")) == "apart":
             page.apart()
         elif own == "line" or tag in ("td", "th", "caption"):
             page.line()
