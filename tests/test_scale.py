@@ -297,6 +297,49 @@ def test_runs_are_followed_however_the_log_is_cut(spark, tmp_path, files_a_trigg
     assert got == plain_runs(events, legal, final, 600_000)
 
 
+def test_one_timer_and_one_pass_for_a_run():
+    """A run's events cost one timer a batch, and one pass over what the watermark has passed."""
+    from datetime import datetime, timedelta
+
+    calls = {"timers": 0, "puts": 0, "gets": 0}
+    held, last = [], []
+
+    class State:
+        def __init__(self, box):
+            self.box = box
+
+        exists = lambda self: bool(self.box)
+        clear = lambda self: self.box.clear()
+        appendValue = lambda self, v: self.box.append(v)
+        appendList = lambda self, vs: self.box.extend(vs)
+
+        def put(self, vs):
+            calls["puts"] += 1
+            self.box[:] = vs
+
+        def get(self):
+            calls["gets"] += 1
+            return list(self.box) if self.box is held else self.box[0]
+
+        def update(self, v):
+            self.box[:] = [v]
+
+    class Handle:
+        def registerTimer(self, at):
+            calls["timers"] += 1
+
+    class Now:
+        getExpiryTimeInMs = lambda self: runs.millis(start)
+        getCurrentWatermarkInMs = lambda self: runs.millis(start) + 10**9
+
+    start = datetime(2024, 1, 1)
+    f = runs.Follower(frozenset({("Pending", "a"), ("a", "a")}), frozenset(), 10**12)
+    f.handle, f.early, f.last = Handle(), State(held), State(last)
+    list(f.handleInputRows(("r",), iter([{"state": "a", "at": start + timedelta(seconds=(7 * i) % 500), "nth": i} for i in range(500)]), Now()))
+    assert list(f.handleExpiredTimer(("r",), Now(), Now())) == []
+    assert calls["timers"] <= 2 and calls["puts"] == 0 and not held and last[0][1] == start + timedelta(seconds=499)
+
+
 def test_a_table_of_keywords_gates_like_a_list(spark):
     from curaloom.config import Gates, Taxonomy
     from curaloom.operators import gates
