@@ -297,6 +297,32 @@ def test_runs_are_followed_however_the_log_is_cut(spark, tmp_path, files_a_trigg
     assert got == plain_runs(events, legal, final, 600_000)
 
 
+def test_a_sum_right_at_the_budget_is_compared_as_its_sql_does(spark):
+    """Values of cents that make 500 exactly, and more than 500 as doubles."""
+    rng = random.Random(1)
+    rows, n = [], 0
+    for user in range(60):
+        cents = [rng.randint(1, 9000) for _ in range(12)]
+        for v in [*cents, 50_000 - sum(cents) % 50_000, 700]:
+            rows.append((user, n, v / 100))
+            n += 1
+    for user in range(100, 110):
+        rows += [(user, n + i, 0.1) for i in range(5001)]
+        n += 5001
+    want, so_far = {}, {}
+    for user, i, v in rows:
+        so_far[user] = so_far.get(user, 0.0) + v
+        want[i] = so_far[user] > 500.0
+    exact, total = {}, {}
+    for user, i, v in rows:
+        total[user] = total.get(user, Decimal(0)) + Decimal(repr(v))
+        exact[i] = total[user] > 500
+    assert exact != want  # doubles do fall on the other side here
+    df = spark.createDataFrame(rows, "k int, o int, v double")
+    over = lambda **how: {r["o"]: r["over"] for r in lifecycle.running_cost(df, ["k"], ["o"], F.col("v"), 500.0, **how).collect()}
+    assert over(doubles=True) == want and over() == exact
+
+
 def test_one_timer_and_one_pass_for_a_run():
     """A run's events cost one timer a batch, and one pass over what the watermark has passed."""
     from datetime import datetime, timedelta
