@@ -297,6 +297,30 @@ def test_runs_are_followed_however_the_log_is_cut(spark, tmp_path, files_a_trigg
     assert got == plain_runs(events, legal, final, 600_000)
 
 
+def test_high_thresholds_meet_by_parts_of_sets(spark):
+    """Every similar pair meets, and little else does, though all words are frequent."""
+    from curaloom.operators import similarity
+
+    rng = random.Random(5)
+    sets = []
+    for n in (1, 5, 18, 19, 20, 38, 39, 40, 60, 150, 400):
+        for _ in range(12):
+            base = rng.sample([f"w{i}" for i in range(600)], n)
+            sets.append(frozenset(base))
+            for cut in (1, 2, 4, 8, 16):
+                kept = rng.sample(base, max(1, n - rng.randint(0, cut)))
+                sets.append(frozenset([*kept, *(f"v{rng.randint(0, 300)}" for _ in range(rng.randint(0, cut)))]))
+    sets = sorted(set(sets), key=sorted)
+    df = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "k int, t string")
+    for t in (0.9, 0.95, 1.0):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
+        got = {(r["right_key"], r["left_key"]) for r in similarity.duplicate_pairs(df, "k", "t", t).collect()}
+        assert got == want
+    _, classes = similarity.token_classes(df, "k", "k", "t")
+    met = similarity.met_by_segments(classes.withColumn("no", F.col("ord").cast("bigint")), 0.95).count()
+    assert 0 < met < 2000 < len(sets) ** 2 / 200
+
+
 def test_a_sum_right_at_the_budget_is_compared_as_its_sql_does(spark):
     """Values of cents that make 500 exactly, and more than 500 as doubles."""
     rng = random.Random(1)
