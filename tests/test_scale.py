@@ -297,6 +297,31 @@ def test_runs_are_followed_however_the_log_is_cut(spark, tmp_path, files_a_trigg
     assert got == plain_runs(events, legal, final, 600_000)
 
 
+def test_texts_are_stored_once_on_their_way_to_a_draft(spark, tmp_path, monkeypatch):
+    from curaloom import storage
+    from curaloom.config import Expansion, Gates, Scope, Taxonomy
+    from curaloom.operators import gates, sampling
+    from curaloom.plans import curation
+
+    wide, narrow = [], []
+
+    def seen(df, name, codec=None):
+        (wide if "instruction" in df.columns else narrow).append(name)
+        return storage.store(df, name, codec)
+
+    for module in (curation, gates, prefix, lifecycle, sampling):
+        monkeypatch.setattr(module, "store", seen)
+    schema = "ord bigint, id string, targetLanguage string, instruction string, code string, tags array<string>, metadata struct<author: string, created: string, source: string, notes: string>, judgeScore double, topicId string, inputTokens bigint, outputTokens bigint"
+    made = spark.createDataFrame([(i, f"syn-js-{i:04d}", "JavaScript", f"write a function that adds {i} numbers", "export const a = 1;" if i % 2 else "let", ["L1-trivial", "array"], ("me", "2026-01-01", "synthetic", None), None, None, 1000, 100) for i in range(40)], schema)
+    one = curation.spend(made, "r1", "JavaScript", f"file://{tmp_path}/raw", Expansion(max_budget_usd=0.0999), 40)
+    assert (one["candidateCount"], one["state"], wide) == (22, "Failed", ["replies"]) and "costed" in narrow
+    back = spark.read.json(f"file://{tmp_path}/raw/r1/batches")
+    assert sorted(r["ord"] for r in back.collect()) == list(range(22))
+    wide.clear()
+    found = curation.filter_run(made.drop("inputTokens", "outputTokens"), "r2", f"file://{tmp_path}/drafts", Taxonomy(), Scope("v1", "held-out-v1", (), (), {}), Gates(duplicate=False), "2026-01-01")
+    assert wide == ["decided"] and found["acceptedCount"] + found["rejectedCount"] == 40
+
+
 def test_high_thresholds_meet_by_parts_of_sets(spark):
     """Every similar pair meets, and little else does, though all words are frequent."""
     from curaloom.operators import similarity
