@@ -260,6 +260,28 @@ def test_keywords_met_by_key_are_those_of_the_list(spark):
     assert got == {r["k"]: (r["f"]["topic"], r["f"]["keyword"]) for r in found} and len(got) >= 9
 
 
+def test_rows_bring_one_keyword_each_from_a_common_seam(spark, monkeypatch):
+    kept, store = {}, contamination.store
+    monkeypatch.setattr(contamination, "store", lambda df, name, *more: kept.setdefault(name, store(df, name, *more)))
+    keywords = [("en", i, f"T{i}", 0, f"{'abc'[i % 3]}xon the{i:03d}") for i in range(60)]
+    rows = [(i, "en", f"a long axon the{i:03d} and cxon the{i + 20:03d}, bxon then") for i in range(30)]
+    df, table = spark.createDataFrame(rows, "k int, lang string, t string"), spark.createDataFrame(keywords, "language string, topic_ord int, topic_id string, kw_ord int, keyword string")
+    got = {r["key"]: (r["topic"], r["keyword"]) for r in contamination.keyword_leaks(df, "k", F.col("t"), "lang", table).collect()}
+    assert got == plain_leaks(rows, keywords) and len(got) >= 10
+    assert kept["met-keywords"].count() <= len(rows)  # before, each keyword with that seam for each row
+
+
+def test_keywords_in_long_pieces(spark):
+    words = ["jwt_1", "...é", "_abc", "e.-.f", "next.js is", "x" * 300]
+    keywords = [("en", i, f"T{i}", 0, w) for i, w in enumerate(words)]
+    rng = random.Random(3)
+    at = [*range(250, 262), *range(505, 570, 3), *(rng.randrange(0, 1500) for _ in range(40))]
+    rows = [(i, "en", "é-" * (n // 2) + "." * (n % 2) + lead + words[i % 6] + tail + "-." * rng.randrange(0, 400)) for i, n in enumerate(at) for lead, tail in [rng.choice([("", ""), ("", "."), ("a", ""), ("", "_"), ("__", "."), ("\n", "\n")])]]
+    df, table = spark.createDataFrame(rows, "k int, lang string, t string"), spark.createDataFrame(keywords, "language string, topic_ord int, topic_id string, kw_ord int, keyword string")
+    got = {r["key"]: (r["topic"], r["keyword"]) for r in contamination.keyword_leaks(df, "k", F.col("t"), "lang", table).collect()}
+    assert got == plain_leaks(rows, keywords) and 20 < len(got) < len(rows)
+
+
 def plain_runs(events, legal, final, patience):
     out, last = [], max((t for _, _, t, _ in events), default=0)
     by = {}
